@@ -139,7 +139,7 @@ def default_label(value, default: str = DASH) -> Column:
 
 def split_name(full) -> tuple[Column, Column]:
     """First whitespace-separated token, and the rest (empty if none)."""
-    parts = F.split(F.trim(_c(full), " \t\n\r\f\u000b"), r"\s+", 2)
+    parts = F.split(F.trim(_c(full), F.lit(" \t\n\r\f\u000b")), r"\s+", 2)
     return F.element_at(parts, 1), F.coalesce(F.element_at(parts, 2), F.lit(""))
 
 
@@ -159,12 +159,29 @@ def status_rank(status, order: Iterable[str] = REQUEST_STATUSES) -> Column:
 
 
 def is_missing(c: Column, dtype: str | None = None) -> Column:
-    """Python truthiness of a JSON value: NULL, empty string or numeric zero."""
+    """Python truthiness of a JSON value: NULL, empty string or numeric zero.
+
+    ``dtype`` is ``"string"`` (default), ``"number"`` or ``"other"`` (dates,
+    timestamps: only NULL counts as missing).
+    """
     if dtype in ("string", None):
         return c.isNull() | (c.cast("string") == "")
+    if dtype == "other":
+        return c.isNull()
     return c.isNull() | (c == 0)
 
 
+def kind_of(dt) -> str:
+    """The truthiness class of a Spark data type, for :func:`required_fields`."""
+    from pyspark.sql import types as T
+
+    if isinstance(dt, T.StringType):
+        return "string"
+    if isinstance(dt, T.NumericType):
+        return "number"
+    return "other"
+
+
 def required_fields(columns: dict[str, str]) -> Column:
     """True when any listed column is missing (name -> simple type)."""
     cond = F.lit(False)
