@@ -243,12 +243,13 @@ def new_id(existing: DataFrame, key: str, given: Column, prefix: str = "") -> Co
     dtype = existing.schema[key].dataType
     seq = F.col(SEQ)
     if isinstance(dtype, T.StringType):
-        given = F.when(given.cast("string") != "", given.cast("string"))
+        given = F.when(given.try_cast("string") != "", given.try_cast("string"))
         digits = F.regexp_extract(F.col(key), "^" + re.escape(prefix) + r"([0-9]{1,18})$", 1)
         top = existing.select(F.coalesce(F.max(F.when(digits != "", digits.cast("bigint"))), F.lit(0))).scalar()
         made = F.concat(F.lit(prefix), (top + seq).cast("string"))
     else:
-        given = F.when(given != 0, given.cast(dtype))
+        typed = given.try_cast(dtype)
+        given = F.when(typed != 0, typed)
         top = existing.select(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
         made = (top + seq).cast(dtype)
     return F.coalesce(given, made)
@@ -306,7 +307,7 @@ def _update_job(
     spec = SPECS[table]
     base = T_[table]
     key = spec.key[0]
-    df = _pack(changes, {key: F.col(key_field).cast(base.schema[key].dataType), **columns})
+    df = _pack(changes, {key: F.col(key_field).try_cast(base.schema[key].dataType), **columns})
     rules = _spec_rules(df, spec)
     df = _present(df, base, key, key, "__found")
     rules.insert(0, (F.col("__found").isNull(), NOT_FOUND))
@@ -329,7 +330,7 @@ def _delete_job(
     spec = SPECS[table]
     base = T_[table]
     key = spec.key[0]
-    df = _pack(changes, {key: F.col(key_field).cast(base.schema[key].dataType)})
+    df = _pack(changes, {key: F.col(key_field).try_cast(base.schema[key].dataType)})
     df = _present(df, base, key, key, "__found")
     rules = [(F.col("__found").isNull(), NOT_FOUND)]
     asked = df.select(F.col(key).alias("__ask")).distinct()
@@ -411,7 +412,7 @@ def set_room_status(T_: Tables, changes: DataFrame):
     """I8: status must be Occupied or Vacant; the last valid change per room wins."""
     bad = ~F.coalesce(F.col("RoomStatus").isin(*ROOM_STATUSES), F.lit(False))
     room = T_["room"]
-    df = _pack(changes, {"RoomNo": F.col("room_no").cast(room.schema["RoomNo"].dataType), "RoomStatus": F.col("status")})
+    df = _pack(changes, {"RoomNo": F.col("room_no").try_cast(room.schema["RoomNo"].dataType), "RoomStatus": F.col("status")})
     df = _present(df, room, "RoomNo", "RoomNo", "__found")
     valid, rejects = _outcome(_judge(df, [(bad, BAD_STATUS), (F.col("__found").isNull(), NOT_FOUND)]))
     last = _latest(valid, ["RoomNo"], ["RoomStatus"])
@@ -432,11 +433,11 @@ def book_stays(T_: Tables, changes: DataFrame):
         "reservation",
         changes,
         {
-            "RoomID": F.col("room_id").cast(id_t),
-            "CustomerID": F.col("customer_id").cast(res.schema["CustomerID"].dataType),
-            "StaffID": F.col("staff_id").cast(res.schema["StaffID"].dataType),
-            "CheckIn": F.col("check_in").cast(res.schema["CheckIn"].dataType),
-            "CheckOut": _opt(changes, "check_out").cast(res.schema["CheckOut"].dataType),
+            "RoomID": F.col("room_id").try_cast(id_t),
+            "CustomerID": F.col("customer_id").try_cast(res.schema["CustomerID"].dataType),
+            "StaffID": F.col("staff_id").try_cast(res.schema["StaffID"].dataType),
+            "CheckIn": F.col("check_in").try_cast(res.schema["CheckIn"].dataType),
+            "CheckOut": _opt(changes, "check_out").try_cast(res.schema["CheckOut"].dataType),
         },
         required=("room_id", "customer_id", "check_in", "staff_id"),
         given_id="reservation_id",
@@ -473,8 +474,8 @@ def checkout_and_bill(T_: Tables, changes: DataFrame, as_of):
     df = _pack(
         changes,
         {
-            "ReservationID": F.col("reservation_id").cast(key_t),
-            "CheckOut": F.coalesce(F.col("check_out").cast(out_t), F.lit(as_of).cast(out_t)),
+            "ReservationID": F.col("reservation_id").try_cast(key_t),
+            "CheckOut": F.coalesce(F.col("check_out").try_cast(out_t), F.lit(as_of).cast(out_t)),
         },
     )
     stays = res.select(
@@ -525,7 +526,7 @@ def delete_stays(T_: Tables, changes: DataFrame):
     """Open stays are deleted, completed ones refused; their invoices keep
     with ReservationID set NULL.  Room status is not touched."""
     res = T_["reservation"]
-    df = _pack(changes, {"ReservationID": F.col("reservation_id").cast(res.schema["ReservationID"].dataType)})
+    df = _pack(changes, {"ReservationID": F.col("reservation_id").try_cast(res.schema["ReservationID"].dataType)})
     closed = res.select(F.col("ReservationID").alias("__rid"), F.col("CheckOut").isNotNull().alias("__closed"))
     df = df.join(closed, F.col("ReservationID") == F.col("__rid"), "left").drop("__rid")
     df = _judge(df, [(F.col("__closed").isNull(), NOT_FOUND), (F.col("__closed"), COMPLETED_DELETE)])
@@ -566,8 +567,8 @@ def submit_requests(T_: Tables, changes: DataFrame, as_of):
         {
             "RequestToken": tok,
             "RoomType": F.col("room_type"),
-            "CheckIn": F.col("check_in").cast(ts),
-            "CheckOut": F.col("check_out").cast(ts),
+            "CheckIn": F.col("check_in").try_cast(ts),
+            "CheckOut": F.col("check_out").try_cast(ts),
             "Status": F.lit("Pending"),
             "RequestDate": F.lit(as_of).cast("date"),
             "CustomerFName": trim["fname"],
@@ -637,9 +638,9 @@ def decide_requests(T_: Tables, approvals: DataFrame | None = None, declines: Da
             feed.select(
                 F.lit(kind).alias("kind"),
                 F.col(SEQ),
-                F.col("token").cast("string").alias("token"),
+                F.col("token").try_cast("string").alias("token"),
                 _opt(feed, "room_no").cast("string").alias("room_no"),
-                F.col("staff_id").cast("string").alias("staff_id"),
+                F.col("staff_id").try_cast("string").alias("staff_id"),
             )
         )
     feed = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -649,8 +650,8 @@ def decide_requests(T_: Tables, approvals: DataFrame | None = None, declines: Da
         {
             "RequestToken": F.col("token"),
             "kind": F.col("kind"),
-            "RoomID": F.when(F.col("kind") == "approve", F.col("room_no").cast(id_t)),
-            "StaffID": F.col("staff_id").cast(res.schema["StaffID"].dataType),
+            "RoomID": F.when(F.col("kind") == "approve", F.col("room_no").try_cast(id_t)),
+            "StaffID": F.col("staff_id").try_cast(res.schema["StaffID"].dataType),
             "room_missing": (F.col("kind") == "approve") & is_missing(F.col("room_no")),
             "staff_missing": is_missing(F.col("staff_id")),
         },
@@ -732,7 +733,7 @@ def record_payments(T_: Tables, changes: DataFrame):
     money = inv.schema["AmountPaid"].dataType
     df = _pack(
         changes,
-        {"InvoiceNo": F.col("invoice_no").cast(inv.schema["InvoiceNo"].dataType), "amount": F.col("amount").cast("decimal(20,2)")},
+        {"InvoiceNo": F.col("invoice_no").try_cast(inv.schema["InvoiceNo"].dataType), "amount": F.col("amount").try_cast("decimal(20,2)")},
     )
     df = _present(df, inv, "InvoiceNo", "InvoiceNo", "__found")
     df = _judge(
@@ -766,11 +767,11 @@ def create_invoices(T_: Tables, changes: DataFrame):
         "invoice",
         changes,
         {
-            "ReservationID": _truthy_or_null(changes, "reservation_id").cast(inv.schema["ReservationID"].dataType),
-            "CustomerID": F.col("customer_id").cast(inv.schema["CustomerID"].dataType),
-            "AmountPayable": F.col("amount_payable").cast(inv.schema["AmountPayable"].dataType),
+            "ReservationID": _truthy_or_null(changes, "reservation_id").try_cast(inv.schema["ReservationID"].dataType),
+            "CustomerID": F.col("customer_id").try_cast(inv.schema["CustomerID"].dataType),
+            "AmountPayable": F.col("amount_payable").try_cast(inv.schema["AmountPayable"].dataType),
             "AmountPaid": F.coalesce(
-                F.when(_opt(changes, "amount_paid", "double").cast("double") != 0, _opt(changes, "amount_paid", "double")),
+                F.when(_opt(changes, "amount_paid", "double").try_cast("double") != 0, _opt(changes, "amount_paid", "double")),
                 F.lit(0),
             ).cast(inv.schema["AmountPaid"].dataType),
         },
@@ -887,9 +888,9 @@ def add_rooms(T_: Tables, changes: DataFrame):
         changes,
         {
             "RoomType": F.col("room_type"),
-            "RoomRate": F.col("rate").cast(room.schema["RoomRate"].dataType),
+            "RoomRate": F.col("rate").try_cast(room.schema["RoomRate"].dataType),
             "RoomStatus": F.lit("Vacant"),
-            "HousekeeperID": _truthy_or_null(changes, "housekeeper_id").cast(room.schema["HousekeeperID"].dataType),
+            "HousekeeperID": _truthy_or_null(changes, "housekeeper_id").try_cast(room.schema["HousekeeperID"].dataType),
         },
         required=("room_type", "rate"),
         given_id="room_no",
@@ -906,7 +907,7 @@ def update_rooms(T_: Tables, changes: DataFrame):
         "room",
         changes,
         "room_no",
-        {"RoomType": F.col("room_type"), "RoomRate": F.col("rate").cast(room.schema["RoomRate"].dataType)},
+        {"RoomType": F.col("room_type"), "RoomRate": F.col("rate").try_cast(room.schema["RoomRate"].dataType)},
     )
     return {"room": new}, rejects
 
@@ -928,10 +929,10 @@ def add_events(T_: Tables, changes: DataFrame):
         changes,
         {
             "EventType": F.col("event_type"),
-            "EventDate": F.col("event_date").cast("date"),
-            "EventDuration": F.col("duration").cast(ev.schema["EventDuration"].dataType),
-            "Host": F.col("host_id").cast(ev.schema["Host"].dataType),
-            "HallID": F.col("hall_id").cast(ev.schema["HallID"].dataType),
+            "EventDate": F.col("event_date").try_cast("date"),
+            "EventDuration": F.col("duration").try_cast(ev.schema["EventDuration"].dataType),
+            "Host": F.col("host_id").try_cast(ev.schema["Host"].dataType),
+            "HallID": F.col("hall_id").try_cast(ev.schema["HallID"].dataType),
         },
         required=("event_type", "event_date", "duration", "host_id", "hall_id"),
         given_id="event_id",
@@ -946,7 +947,7 @@ def add_halls(T_: Tables, changes: DataFrame):
         T_,
         "conference_hall",
         changes,
-        {"HallName": F.col("name"), "Capacity": F.col("capacity").cast("int")},
+        {"HallName": F.col("name"), "Capacity": F.col("capacity").try_cast("int")},
         required=("name", "capacity"),
         given_id="hall_id",
         prefix="CH",
@@ -960,7 +961,7 @@ def add_restaurants(T_: Tables, changes: DataFrame):
         T_,
         "restaurant",
         changes,
-        {"RestaurantName": F.col("name"), "SeatingCapacity": F.col("seating_capacity").cast("int")},
+        {"RestaurantName": F.col("name"), "SeatingCapacity": F.col("seating_capacity").try_cast("int")},
         required=("name", "seating_capacity"),
         given_id="restaurant_id",
         prefix="RT",
@@ -976,9 +977,9 @@ def add_orders(T_: Tables, changes: DataFrame):
         "restaurant_order",
         changes,
         {
-            "CustomerID": F.col("customer_id").cast(ro.schema["CustomerID"].dataType),
-            "RestaurantID": F.col("restaurant_id").cast(ro.schema["RestaurantID"].dataType),
-            "InvoiceID": _truthy_or_null(changes, "invoice_id").cast(ro.schema["InvoiceID"].dataType),
+            "CustomerID": F.col("customer_id").try_cast(ro.schema["CustomerID"].dataType),
+            "RestaurantID": F.col("restaurant_id").try_cast(ro.schema["RestaurantID"].dataType),
+            "InvoiceID": _truthy_or_null(changes, "invoice_id").try_cast(ro.schema["InvoiceID"].dataType),
             "OrderDetails": F.col("order_details"),
         },
         required=("customer_id", "restaurant_id", "order_details"),
@@ -1003,7 +1004,7 @@ def add_feedback(T_: Tables, changes: DataFrame, as_of):
         "customer_feedback",
         changes,
         {
-            "CustomerID": F.col("customer_id").cast(fb.schema["CustomerID"].dataType),
+            "CustomerID": F.col("customer_id").try_cast(fb.schema["CustomerID"].dataType),
             "Rating": as_int,
             "Comments": F.col("comments"),
             "FeedbackDate": F.lit(as_of).cast("date"),

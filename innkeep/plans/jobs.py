@@ -1 +1,652 @@
-"""Registry entries of the bulk change jobs (filled in by innkeep.operators.changes)."""
+"""Registry entries of the bulk change jobs (I1-I21), with their oracles.
+
+Each job runs on a change feed derived from the bookings tables (so the feed
+grows with the data), written twice: as Spark DataFrames here and as DuckDB
+SQL in the oracle text.  A registered query is one output of a job: a whole
+new table, or the rejects.  The oracle restates the job's rules in plain SQL
+(window ``row_number`` for "last wins", ``NOT IN`` subqueries for keys),
+independently of the Spark plan.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import changes as C
+from . import oracle as O
+from .catalog import AS_OF, Context, register
+
+SEQ = C.SEQ
+CHECKOUT_AS_OF = f"{AS_OF} 12:00:00"
+TS = "timestamp_ntz"
+
+
+def _days_hours(days, hours):
+    return F.make_dt_interval(F.lit(days) if isinstance(days, int) else days.cast("int"),
+                              F.lit(hours) if isinstance(hours, int) else hours.cast("int"))
+
+
+# ----------------------------------------------------------------- helpers (SQL)
+
+def _base36_sql(n: str) -> str:
+    digits = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+    parts = [f"substr({digits}, CAST(({n} // {36 ** i}) % 36 AS INTEGER) + 1, 1)" for i in range(11, -1, -1)]
+    return f"COALESCE(NULLIF(ltrim({' || '.join(parts)}, '0'), ''), '0')"
+
+
+_ROOM_COLS = "RoomNo, RoomType, RoomRate, RoomStatus, HousekeeperID"
+_RES_COLS = "ReservationID, RoomID, CustomerID, StaffID, CheckIn, CheckOut"
+_INV_COLS = "InvoiceNo, ReservationID, CustomerID, AmountPayable, AmountPaid"
+_REQ_COLS = "RequestToken, CustomerID, RoomType, CheckIn, CheckOut, Status, RoomNo, StaffID, RequestDate"
+
+
+# ========================================================= I5 check-out + billing
+
+def checkout_feed(T) -> DataFrame:
+    r = T["reservation"]
+    k = F.col("ReservationID")
+    open_ = r.where(F.col("CheckOut").isNull())
+    first = open_.select(
+        (4 * k).alias(SEQ),
+        k.alias("reservation_id"),
+        F.when(k % 13 == 0, F.col("CheckIn") - _days_hours(0, 1))
+        .otherwise(F.col("CheckIn") + _days_hours(1 + k % 5, k % 24))
+        .alias("check_out"),
+    )
+    second = open_.where(k % 3 == 0).select(
+        (4 * k + 1).alias(SEQ), k.alias("reservation_id"), (F.col("CheckIn") + _days_hours(2 + k % 3, 0)).alias("check_out")
+    )
+    unknown = open_.where(k % 7 == 0).select(
+        (4 * k + 2).alias(SEQ), (-k).alias("reservation_id"), (F.col("CheckIn") + _days_hours(1, 0)).alias("check_out")
+    )
+    default = open_.where(k % 11 == 0).select(
+        (4 * k + 3).alias(SEQ), k.alias("reservation_id"), F.lit(None).cast(TS).alias("check_out")
+    )
+    rebill = r.where(F.col("CheckOut").isNotNull() & (k % 17 == 0)).select(
+        (4 * k).alias(SEQ), k.alias("reservation_id"), (F.col("CheckOut") + _days_hours(1, 0)).alias("check_out")
+    )
+    return first.unionByName(second).unionByName(unknown).unionByName(default).unionByName(rebill)
+
+
+_CHECKOUT_SQL = f"""
+WITH feed AS (
+  SELECT 4 * ReservationID AS change_seq, ReservationID AS reservation_id,
+         CASE WHEN ReservationID % 13 = 0 THEN CheckIn - INTERVAL 1 HOUR
+              ELSE CheckIn + to_days(CAST(1 + ReservationID % 5 AS INTEGER)) + to_hours(ReservationID % 24) END
+           AS check_out
+  FROM hotel_reservation WHERE CheckOut IS NULL
+  UNION ALL
+  SELECT 4 * ReservationID + 1, ReservationID, CheckIn + to_days(CAST(2 + ReservationID % 3 AS INTEGER))
+  FROM hotel_reservation WHERE CheckOut IS NULL AND ReservationID % 3 = 0
+  UNION ALL
+  SELECT 4 * ReservationID + 2, -ReservationID, CheckIn + INTERVAL 1 DAY
+  FROM hotel_reservation WHERE CheckOut IS NULL AND ReservationID % 7 = 0
+  UNION ALL
+  SELECT 4 * ReservationID + 3, ReservationID, CAST(NULL AS TIMESTAMP)
+  FROM hotel_reservation WHERE CheckOut IS NULL AND ReservationID % 11 = 0
+  UNION ALL
+  SELECT 4 * ReservationID, ReservationID, CheckOut + INTERVAL 1 DAY
+  FROM hotel_reservation WHERE CheckOut IS NOT NULL AND ReservationID % 17 = 0),
+judged AS (
+  SELECT f.*, r.RoomID, r.CustomerID, r.CheckIn,
+         COALESCE(f.check_out, TIMESTAMP '{CHECKOUT_AS_OF}') AS new_out,
+         CASE WHEN r.ReservationID IS NULL THEN 'not found'
+              WHEN COALESCE(f.check_out, TIMESTAMP '{CHECKOUT_AS_OF}') <= r.CheckIn THEN '{C.STAY_ORDER}' END AS reason
+  FROM feed f LEFT JOIN hotel_reservation r ON r.ReservationID = f.reservation_id),
+winners AS (
+  SELECT * FROM judged WHERE reason IS NULL
+  QUALIFY row_number() OVER (PARTITION BY reservation_id ORDER BY change_seq DESC) = 1),
+bills AS (
+  SELECT w.reservation_id, w.CustomerID, w.change_seq,
+         {O.charge_sql(O.nights_sql('w.CheckIn', 'w.new_out'), 'rm.RoomRate')} AS charge
+  FROM winners w LEFT JOIN hotel_room rm ON rm.RoomNo = w.RoomID)
+"""
+
+
+def _checkout(c: Context):
+    return C.checkout_and_bill(c.T, checkout_feed(c.T), CHECKOUT_AS_OF)
+
+
+register("checkout_stays", _CHECKOUT_SQL + f"""
+SELECT r.ReservationID, r.RoomID, r.CustomerID, r.StaffID, r.CheckIn,
+       CASE WHEN w.reservation_id IS NULL THEN r.CheckOut ELSE w.new_out END AS CheckOut
+FROM hotel_reservation r LEFT JOIN winners w ON w.reservation_id = r.ReservationID
+""")(lambda c: _checkout(c)[0]["reservation"])
+
+register("checkout_rooms", _CHECKOUT_SQL + """
+SELECT rm.RoomNo, rm.RoomType, rm.RoomRate,
+       CASE WHEN rm.RoomNo IN (SELECT RoomID FROM winners) THEN 'Vacant' ELSE rm.RoomStatus END AS RoomStatus,
+       rm.HousekeeperID
+FROM hotel_room rm
+""")(lambda c: _checkout(c)[0]["room"])
+
+register("checkout_invoices", _CHECKOUT_SQL + """
+SELECT i.InvoiceNo, i.ReservationID, i.CustomerID, COALESCE(b.charge, i.AmountPayable) AS AmountPayable, i.AmountPaid
+FROM hotel_invoice i LEFT JOIN bills b ON b.reservation_id = i.ReservationID
+UNION ALL
+SELECT (SELECT max(InvoiceNo) FROM hotel_invoice) + b.change_seq, b.reservation_id, b.CustomerID, b.charge,
+       CAST(0 AS DECIMAL(10,2))
+FROM bills b
+WHERE b.reservation_id NOT IN (SELECT ReservationID FROM hotel_invoice WHERE ReservationID IS NOT NULL)
+""")(lambda c: _checkout(c)[0]["invoice"])
+
+register("checkout_rejects", _CHECKOUT_SQL + """
+SELECT change_seq, reservation_id, check_out, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: _checkout(c)[1])
+
+
+# ================================================================ I12 payments
+
+def payment_feed(T) -> DataFrame:
+    k = F.col("ReservationID")  # every order key; invoices exist for key % 4 <> 0
+    r = T["reservation"]
+    first = r.where(k % 3 == 0).select(
+        (2 * k).alias(SEQ), k.alias("invoice_no"), ((k % 7) * 10).cast("decimal(10,2)").alias("amount")
+    )
+    second = r.where(k % 6 == 0).select(
+        (2 * k + 1).alias(SEQ), k.alias("invoice_no"), F.lit("5.25").cast("decimal(10,2)").alias("amount")
+    )
+    return first.unionByName(second)
+
+
+_PAYMENT_SQL = f"""
+WITH feed AS (
+  SELECT 2 * ReservationID AS change_seq, ReservationID AS invoice_no,
+         CAST((ReservationID % 7) * 10 AS DECIMAL(10,2)) AS amount
+  FROM hotel_reservation WHERE ReservationID % 3 = 0
+  UNION ALL
+  SELECT 2 * ReservationID + 1, ReservationID, CAST(5.25 AS DECIMAL(10,2))
+  FROM hotel_reservation WHERE ReservationID % 6 = 0),
+judged AS (
+  SELECT f.*, CASE WHEN f.amount IS NULL OR f.amount <= 0 THEN '{C.BAD_PAYMENT}'
+                   WHEN i.InvoiceNo IS NULL THEN 'not found' END AS reason
+  FROM feed f LEFT JOIN hotel_invoice i ON i.InvoiceNo = f.invoice_no),
+totals AS (
+  SELECT i.InvoiceNo, i.AmountPaid + t.paid AS new_paid
+  FROM (SELECT invoice_no, sum(amount) AS paid FROM judged WHERE reason IS NULL GROUP BY invoice_no) t
+  JOIN hotel_invoice i ON i.InvoiceNo = t.invoice_no)
+"""
+
+
+def _payments(c: Context):
+    return C.record_payments(c.T, payment_feed(c.T))
+
+
+register("payment_invoices", _PAYMENT_SQL + """
+SELECT i.InvoiceNo, i.ReservationID, i.CustomerID, i.AmountPayable,
+       CASE WHEN t.new_paid IS NOT NULL AND abs(t.new_paid) < 100000000
+            THEN CAST(t.new_paid AS DECIMAL(10,2)) ELSE i.AmountPaid END AS AmountPaid
+FROM hotel_invoice i LEFT JOIN totals t ON t.InvoiceNo = i.InvoiceNo
+""")(lambda c: _payments(c)[0]["invoice"])
+
+register("payment_rejects", _PAYMENT_SQL + """
+SELECT j.change_seq, j.invoice_no, j.amount, COALESCE(j.reason, 'size: AmountPaid') AS reason
+FROM judged j LEFT JOIN totals t ON t.InvoiceNo = j.invoice_no
+WHERE j.reason IS NOT NULL OR abs(t.new_paid) >= 100000000
+""")(lambda c: _payments(c)[1])
+
+
+# ============================================================ I9 booking requests
+
+def request_feed(T) -> DataFrame:
+    cu = T["customer"]
+    k = F.col("CustomerID")
+    check_in = F.lit("2024-02-01 14:00:00").cast(TS) + _days_hours(k % 30, 0)
+    check_out = check_in + _days_hours(k % 4, 0)
+    room_type = F.concat(F.lit("Suite "), (k % 3).cast("string"))
+    known = cu.where(k % 7 == 0).select(
+        (2 * k).alias(SEQ),
+        F.when(k % 19 == 0, F.lit(" ")).otherwise(F.col("CustomerFName")).alias("fname"),
+        F.col("CustomerLName").alias("lname"),
+        F.col("PhoneNumber").alias("phone"),
+        room_type.alias("room_type"),
+        check_in.alias("check_in"),
+        check_out.alias("check_out"),
+    )
+    unseen_phone = F.concat(F.lit("1"), F.lpad(k.cast("string"), 9, "0"))
+    unseen = cu.where(k % 7 == 1).select(
+        (2 * k).alias(SEQ),
+        F.concat(F.lit(" New"), k.cast("string")).alias("fname"),
+        F.col("CustomerLName").alias("lname"),
+        unseen_phone.alias("phone"),
+        room_type.alias("room_type"),
+        check_in.alias("check_in"),
+        (check_in + _days_hours(2, 0)).alias("check_out"),
+    )
+    again = cu.where(k % 14 == 1).select(
+        (2 * k + 1).alias(SEQ),
+        F.concat(F.lit("Again"), k.cast("string")).alias("fname"),
+        F.lit("Guest").alias("lname"),
+        unseen_phone.alias("phone"),
+        room_type.alias("room_type"),
+        check_in.alias("check_in"),
+        (check_in + _days_hours(1, 0)).alias("check_out"),
+    )
+    return known.unionByName(unseen).unionByName(again)
+
+
+_REQUEST_SQL = f"""
+WITH feed AS (
+  SELECT 2 * CustomerID AS change_seq,
+         CASE WHEN CustomerID % 19 = 0 THEN ' ' ELSE CustomerFName END AS fname,
+         CustomerLName AS lname, PhoneNumber AS phone,
+         'Suite ' || CAST(CustomerID % 3 AS VARCHAR) AS room_type,
+         TIMESTAMP '2024-02-01 14:00:00' + to_days(CAST(CustomerID % 30 AS INTEGER)) AS check_in,
+         TIMESTAMP '2024-02-01 14:00:00' + to_days(CAST(CustomerID % 30 AS INTEGER))
+           + to_days(CAST(CustomerID % 4 AS INTEGER)) AS check_out
+  FROM hotel_customer WHERE CustomerID % 7 = 0
+  UNION ALL
+  SELECT 2 * CustomerID, ' New' || CAST(CustomerID AS VARCHAR), CustomerLName,
+         '1' || lpad(CAST(CustomerID AS VARCHAR), 9, '0'), 'Suite ' || CAST(CustomerID % 3 AS VARCHAR),
+         TIMESTAMP '2024-02-01 14:00:00' + to_days(CAST(CustomerID % 30 AS INTEGER)),
+         TIMESTAMP '2024-02-01 14:00:00' + to_days(CAST(CustomerID % 30 AS INTEGER)) + INTERVAL 2 DAY
+  FROM hotel_customer WHERE CustomerID % 7 = 1
+  UNION ALL
+  SELECT 2 * CustomerID + 1, 'Again' || CAST(CustomerID AS VARCHAR), 'Guest',
+         '1' || lpad(CAST(CustomerID AS VARCHAR), 9, '0'), 'Suite ' || CAST(CustomerID % 3 AS VARCHAR),
+         TIMESTAMP '2024-02-01 14:00:00' + to_days(CAST(CustomerID % 30 AS INTEGER)),
+         TIMESTAMP '2024-02-01 14:00:00' + to_days(CAST(CustomerID % 30 AS INTEGER)) + INTERVAL 1 DAY
+  FROM hotel_customer WHERE CustomerID % 14 = 1),
+cleaned AS (
+  SELECT feed.*, trim(COALESCE(fname, '')) AS f, trim(COALESCE(lname, '')) AS l, trim(COALESCE(phone, '')) AS p,
+         'AK-' || {_base36_sql('change_seq')} AS token
+  FROM feed),
+judged AS (
+  SELECT cleaned.*,
+         CASE WHEN room_type IS NULL OR room_type = '' OR check_in IS NULL OR check_out IS NULL
+                   OR f = '' OR l = '' OR p = '' THEN '{C.MISSING}'
+              WHEN check_out <= check_in THEN '{C.REQUEST_ORDER}'
+              WHEN length(room_type) > 30 THEN 'size: RoomType'
+              WHEN length(f) > 20 THEN 'size: CustomerFName'
+              WHEN length(l) > 20 THEN 'size: CustomerLName'
+              WHEN length(p) > 10 THEN 'size: PhoneNumber'
+              WHEN token IN (SELECT RequestToken FROM hotel_reservation_request) THEN 'duplicate key' END AS reason
+  FROM cleaned),
+valid AS (SELECT * FROM judged WHERE reason IS NULL),
+known AS (SELECT PhoneNumber, min(CustomerID) AS cid FROM hotel_customer GROUP BY PhoneNumber),
+made AS (
+  SELECT p, arg_min(f, change_seq) AS f, arg_min(l, change_seq) AS l,
+         (SELECT max(CustomerID) FROM hotel_customer) + min(change_seq) AS cid
+  FROM valid WHERE p NOT IN (SELECT PhoneNumber FROM hotel_customer) GROUP BY p)
+"""
+
+
+def _requests(c: Context):
+    return C.submit_requests(c.T, request_feed(c.T), AS_OF)
+
+
+register("request_submissions", _REQUEST_SQL + f"""
+SELECT {_REQ_COLS} FROM hotel_reservation_request
+UNION ALL
+SELECT v.token, COALESCE(k.cid, m.cid), v.room_type, v.check_in, v.check_out, 'Pending', NULL, NULL, DATE '{AS_OF}'
+FROM valid v LEFT JOIN known k ON k.PhoneNumber = v.p LEFT JOIN made m ON m.p = v.p
+""")(lambda c: _requests(c)[0]["reservation_request"])
+
+register("request_customers", _REQUEST_SQL + """
+SELECT CustomerID, CustomerFName, CustomerLName, PhoneNumber FROM hotel_customer
+UNION ALL
+SELECT cid, f, l, p FROM made
+""")(lambda c: _requests(c)[0]["customer"])
+
+register("request_rejects", _REQUEST_SQL + """
+SELECT change_seq, fname, lname, phone, room_type, check_in, check_out, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: _requests(c)[1])
+
+
+# ===================================================== I10 + I11 request decisions
+
+def _token_key(col: str = "RequestToken"):
+    return F.substring(F.col(col), 4, 30).cast("bigint")
+
+
+def decision_feeds(T) -> tuple[DataFrame, DataFrame]:
+    rq = T["reservation_request"].withColumn("__k", _token_key())
+    k = F.col("__k")
+    # the reference UI offers the cheapest vacant room of the type first
+    vacant = (
+        T["room"].where(F.col("RoomStatus") == "Vacant")
+        .groupBy("RoomType")
+        .agg(F.min(F.struct("RoomRate", "RoomNo")).alias("m"))
+        .select("RoomType", F.col("m.RoomNo").alias("__room"))
+    )
+    pending = rq.where(F.col("Status") == "Pending").join(vacant, "RoomType", "left")
+    approvals = pending.select(
+        (2 * k).alias(SEQ),
+        F.col("RequestToken").alias("token"),
+        F.col("__room").cast("string").alias("room_no"),
+        (2 * (k % 7)).cast("string").alias("staff_id"),
+    ).unionByName(
+        rq.where((F.col("Status") == "Approved") & (k % 11 == 0)).select(
+            (2 * k).alias(SEQ),
+            F.col("RequestToken").alias("token"),
+            F.col("RoomNo").cast("string").alias("room_no"),
+            F.lit("2").alias("staff_id"),
+        )
+    )
+    declines = rq.where((F.col("Status") == "Pending") & (k % 7 == 0)).select(
+        F.when(k % 2 == 0, 2 * k - 1).otherwise(2 * k + 1).alias(SEQ),
+        F.col("RequestToken").alias("token"),
+        F.lit("4").alias("staff_id"),
+    )
+    return approvals, declines
+
+
+_DECISION_SQL = f"""
+WITH rq AS (SELECT *, CAST(substr(RequestToken, 4) AS BIGINT) AS k FROM hotel_reservation_request),
+vacant AS (
+  SELECT RoomType, RoomNo FROM hotel_room WHERE RoomStatus = 'Vacant'
+  QUALIFY row_number() OVER (PARTITION BY RoomType ORDER BY RoomRate, RoomNo) = 1),
+feed AS (
+  SELECT 'approve' AS kind, 2 * k AS change_seq, RequestToken AS token, CAST(v.RoomNo AS VARCHAR) AS room_no,
+         CAST(2 * (k % 7) AS VARCHAR) AS staff_id
+  FROM rq LEFT JOIN vacant v ON v.RoomType = rq.RoomType WHERE rq.Status = 'Pending'
+  UNION ALL
+  SELECT 'approve', 2 * k, RequestToken, CAST(RoomNo AS VARCHAR), '2' FROM rq WHERE Status = 'Approved' AND k % 11 = 0
+  UNION ALL
+  SELECT 'decline', CASE WHEN k % 2 = 0 THEN 2 * k - 1 ELSE 2 * k + 1 END, RequestToken, NULL, '4'
+  FROM rq WHERE Status = 'Pending' AND k % 7 = 0),
+looked AS (
+  SELECT f.*, q.Status AS cur, q.CustomerID, q.CheckIn, q.CheckOut,
+         TRY_CAST(f.room_no AS BIGINT) AS room_id, TRY_CAST(f.staff_id AS BIGINT) AS staff
+  FROM feed f LEFT JOIN hotel_reservation_request q ON q.RequestToken = f.token),
+judged AS (
+  SELECT looked.*,
+         CASE WHEN kind = 'approve' AND (room_no IS NULL OR room_no = '') THEN 'room_no is required'
+              WHEN staff_id IS NULL OR staff_id = '' THEN 'staff_id is required'
+              WHEN cur IS NULL THEN 'not found'
+              WHEN cur <> 'Pending' THEN '{C.ALREADY}' || lower(cur) || '.'
+              WHEN kind = 'approve' AND (room_id IS NULL OR room_id NOT IN (SELECT RoomNo FROM hotel_room))
+                THEN 'foreign_key: RoomID'
+              WHEN staff IS NULL OR staff NOT IN (SELECT StaffID FROM hotel_frontdesk) THEN 'foreign_key: StaffID'
+              WHEN kind = 'approve' AND CheckOut <= CheckIn THEN '{C.STAY_ORDER}' END AS first_reason
+  FROM looked),
+firsts AS (
+  SELECT token, arg_min(kind, change_seq) AS wkind, min(change_seq) AS first_seq
+  FROM judged WHERE first_reason IS NULL GROUP BY token),
+final AS (
+  SELECT j.*, CASE WHEN j.first_reason IS NULL AND j.change_seq <> f.first_seq
+                   THEN '{C.ALREADY}' || CASE WHEN f.wkind = 'approve' THEN 'approved' ELSE 'declined' END || '.'
+                   ELSE j.first_reason END AS reason
+  FROM judged j LEFT JOIN firsts f ON f.token = j.token),
+won AS (SELECT * FROM final WHERE reason IS NULL)
+"""
+
+
+def _decisions(c: Context):
+    approvals, declines = decision_feeds(c.T)
+    return C.decide_requests(c.T, approvals, declines)
+
+
+register("decision_requests", _DECISION_SQL + """
+SELECT q.RequestToken, q.CustomerID, q.RoomType, q.CheckIn, q.CheckOut,
+       CASE WHEN w.kind = 'approve' THEN 'Approved' WHEN w.kind = 'decline' THEN 'Declined' ELSE q.Status END AS Status,
+       CASE WHEN w.kind = 'approve' THEN w.room_id WHEN w.kind = 'decline' THEN NULL ELSE q.RoomNo END AS RoomNo,
+       CASE WHEN w.kind IS NOT NULL THEN w.staff ELSE q.StaffID END AS StaffID,
+       q.RequestDate
+FROM hotel_reservation_request q LEFT JOIN won w ON w.token = q.RequestToken
+""")(lambda c: _decisions(c)[0]["reservation_request"])
+
+register("decision_stays", _DECISION_SQL + f"""
+SELECT {_RES_COLS} FROM hotel_reservation
+UNION ALL
+SELECT (SELECT max(ReservationID) FROM hotel_reservation) + change_seq, room_id, CustomerID, staff, CheckIn, CheckOut
+FROM won WHERE kind = 'approve'
+""")(lambda c: _decisions(c)[0]["reservation"])
+
+register("decision_rooms", _DECISION_SQL + """
+SELECT rm.RoomNo, rm.RoomType, rm.RoomRate,
+       CASE WHEN rm.RoomNo IN (SELECT room_id FROM won WHERE kind = 'approve') THEN 'Vacant' ELSE rm.RoomStatus END
+         AS RoomStatus,
+       rm.HousekeeperID
+FROM hotel_room rm
+""")(lambda c: _decisions(c)[0]["room"])
+
+register("decision_rejects", _DECISION_SQL + """
+SELECT kind, change_seq, token, room_no, staff_id, reason FROM final WHERE reason IS NOT NULL
+""")(lambda c: _decisions(c)[1])
+
+
+# ================================================================= I4 bookings
+
+def booking_feed(T) -> DataFrame:
+    r = T["reservation"]
+    k = F.col("ReservationID")
+    check_in = F.col("CheckIn") + _days_hours(30, 0)
+    return r.where(k % 13 == 0).select(
+        k.alias(SEQ),
+        F.lit(None).cast("bigint").alias("reservation_id"),
+        F.when(k % 39 == 0, -k).otherwise(F.col("RoomID")).alias("room_id"),
+        F.col("CustomerID").alias("customer_id"),
+        F.when(k % 50 == 0, F.lit(0).cast("bigint")).otherwise(F.col("StaffID")).alias("staff_id"),
+        check_in.alias("check_in"),
+        F.when(k % 2 == 0, F.lit(None).cast(TS))
+        .when(k % 5 == 0, check_in - _days_hours(0, 1))
+        .otherwise(check_in + _days_hours(2, 0))
+        .alias("check_out"),
+    )
+
+
+_BOOKING_SQL = f"""
+WITH feed AS (
+  SELECT ReservationID AS change_seq, CAST(NULL AS BIGINT) AS reservation_id,
+         CASE WHEN ReservationID % 39 = 0 THEN -ReservationID ELSE RoomID END AS room_id,
+         CustomerID AS customer_id,
+         CASE WHEN ReservationID % 50 = 0 THEN CAST(0 AS BIGINT) ELSE StaffID END AS staff_id,
+         CheckIn + INTERVAL 30 DAY AS check_in,
+         CASE WHEN ReservationID % 2 = 0 THEN CAST(NULL AS TIMESTAMP)
+              WHEN ReservationID % 5 = 0 THEN CheckIn + INTERVAL 30 DAY - INTERVAL 1 HOUR
+              ELSE CheckIn + INTERVAL 32 DAY END AS check_out
+  FROM hotel_reservation WHERE ReservationID % 13 = 0),
+judged AS (
+  SELECT feed.*, (SELECT max(ReservationID) FROM hotel_reservation) + change_seq AS new_id,
+         CASE WHEN room_id IS NULL OR room_id = 0 OR customer_id IS NULL OR customer_id = 0
+                   OR check_in IS NULL OR staff_id IS NULL OR staff_id = 0 THEN '{C.MISSING}'
+              WHEN check_out IS NOT NULL AND check_out <= check_in THEN '{C.STAY_ORDER}'
+              WHEN (SELECT max(ReservationID) FROM hotel_reservation) + change_seq
+                   IN (SELECT ReservationID FROM hotel_reservation) THEN 'duplicate key'
+              WHEN room_id NOT IN (SELECT RoomNo FROM hotel_room) THEN 'foreign_key: RoomID'
+              WHEN customer_id NOT IN (SELECT CustomerID FROM hotel_customer) THEN 'foreign_key: CustomerID'
+              WHEN staff_id NOT IN (SELECT StaffID FROM hotel_frontdesk) THEN 'foreign_key: StaffID' END AS reason
+  FROM feed)
+"""
+
+
+def _bookings(c: Context):
+    return C.book_stays(c.T, booking_feed(c.T))
+
+
+register("booking_stays", _BOOKING_SQL + f"""
+SELECT {_RES_COLS} FROM hotel_reservation
+UNION ALL
+SELECT new_id, room_id, customer_id, staff_id, check_in, check_out FROM judged WHERE reason IS NULL
+""")(lambda c: _bookings(c)[0]["reservation"])
+
+register("booking_rooms", _BOOKING_SQL + """
+SELECT RoomNo, RoomType, RoomRate,
+       CASE WHEN RoomNo IN (SELECT room_id FROM judged WHERE reason IS NULL) THEN 'Occupied' ELSE RoomStatus END
+         AS RoomStatus,
+       HousekeeperID
+FROM hotel_room
+""")(lambda c: _bookings(c)[0]["room"])
+
+register("booking_rejects", _BOOKING_SQL + """
+SELECT change_seq, reservation_id, room_id, customer_id, staff_id, check_in, check_out, reason
+FROM judged WHERE reason IS NOT NULL
+""")(lambda c: _bookings(c)[1])
+
+
+# ================================================= I7 room status from all stays
+
+@register("replayed_room_status", f"""
+WITH last_stay AS (
+  SELECT RoomID, CheckOut FROM hotel_reservation
+  QUALIFY row_number() OVER (PARTITION BY RoomID ORDER BY ReservationID DESC) = 1)
+SELECT rm.RoomNo, rm.RoomType, rm.RoomRate,
+       CASE WHEN l.RoomID IS NULL THEN rm.RoomStatus WHEN l.CheckOut IS NULL THEN 'Occupied' ELSE 'Vacant' END
+         AS RoomStatus,
+       rm.HousekeeperID
+FROM hotel_room rm LEFT JOIN last_stay l ON l.RoomID = rm.RoomNo
+""")
+def _replayed_room_status(c: Context) -> DataFrame:
+    # every stay insert replayed in key order: the trigger's last write per room wins
+    stays = c.T["reservation"].select("RoomID", "CheckOut", F.col("ReservationID").alias(SEQ))
+    return C.derive_room_status(c.T["room"], stays)
+
+
+# ============================================================ I8 room status set
+
+def room_status_feed(T) -> DataFrame:
+    rm = T["room"]
+    k = F.col("RoomNo")
+    a = rm.where(k % 9 == 0).select(
+        (2 * k).alias(SEQ), k.alias("room_no"), F.when(k % 2 == 0, "Vacant").otherwise("Occupied").alias("status")
+    )
+    b = rm.where(k % 27 == 0).select((2 * k + 1).alias(SEQ), k.alias("room_no"), F.lit("Cleaning").alias("status"))
+    return a.unionByName(b)
+
+
+_ROOM_STATUS_SQL = f"""
+WITH feed AS (
+  SELECT 2 * RoomNo AS change_seq, RoomNo AS room_no,
+         CASE WHEN RoomNo % 2 = 0 THEN 'Vacant' ELSE 'Occupied' END AS status
+  FROM hotel_room WHERE RoomNo % 9 = 0
+  UNION ALL
+  SELECT 2 * RoomNo + 1, RoomNo, 'Cleaning' FROM hotel_room WHERE RoomNo % 27 = 0),
+judged AS (
+  SELECT feed.*, CASE WHEN status IS NULL OR status NOT IN ('Occupied', 'Vacant') THEN '{C.BAD_STATUS.replace("'", "''")}'
+                      WHEN room_no NOT IN (SELECT RoomNo FROM hotel_room) THEN 'not found' END AS reason
+  FROM feed),
+last AS (
+  SELECT * FROM judged WHERE reason IS NULL
+  QUALIFY row_number() OVER (PARTITION BY room_no ORDER BY change_seq DESC) = 1)
+"""
+
+register("room_status_updates", _ROOM_STATUS_SQL + """
+SELECT rm.RoomNo, rm.RoomType, rm.RoomRate, COALESCE(l.status, rm.RoomStatus) AS RoomStatus, rm.HousekeeperID
+FROM hotel_room rm LEFT JOIN last l ON l.room_no = rm.RoomNo
+""")(lambda c: C.set_room_status(c.T, room_status_feed(c.T))[0]["room"])
+
+register("room_status_rejects", _ROOM_STATUS_SQL + """
+SELECT change_seq, room_no, status, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: C.set_room_status(c.T, room_status_feed(c.T))[1])
+
+
+# ================================================================ I6 stay deletes
+
+def stay_delete_feed(T) -> DataFrame:
+    r = T["reservation"]
+    k = F.col("ReservationID")
+    a = r.where(k % 11 == 0).select((2 * k).alias(SEQ), k.alias("reservation_id"))
+    b = r.where(k % 22 == 0).select((2 * k + 1).alias(SEQ), (-k).alias("reservation_id"))
+    return a.unionByName(b)
+
+
+_STAY_DELETE_SQL = f"""
+WITH feed AS (
+  SELECT 2 * ReservationID AS change_seq, ReservationID AS reservation_id FROM hotel_reservation
+  WHERE ReservationID % 11 = 0
+  UNION ALL
+  SELECT 2 * ReservationID + 1, -ReservationID FROM hotel_reservation WHERE ReservationID % 22 = 0),
+judged AS (
+  SELECT f.*, CASE WHEN r.ReservationID IS NULL THEN 'not found'
+                   WHEN r.CheckOut IS NOT NULL THEN '{C.COMPLETED_DELETE}' END AS reason
+  FROM feed f LEFT JOIN hotel_reservation r ON r.ReservationID = f.reservation_id),
+gone AS (SELECT DISTINCT reservation_id FROM judged WHERE reason IS NULL)
+"""
+
+
+def _stay_deletes(c: Context):
+    return C.delete_stays(c.T, stay_delete_feed(c.T))
+
+
+register("stay_delete_stays", _STAY_DELETE_SQL + f"""
+SELECT {_RES_COLS} FROM hotel_reservation WHERE ReservationID NOT IN (SELECT reservation_id FROM gone)
+""")(lambda c: _stay_deletes(c)[0]["reservation"])
+
+register("stay_delete_invoices", _STAY_DELETE_SQL + """
+SELECT InvoiceNo, CASE WHEN ReservationID IN (SELECT reservation_id FROM gone) THEN NULL ELSE ReservationID END
+         AS ReservationID,
+       CustomerID, AmountPayable, AmountPaid
+FROM hotel_invoice
+""")(lambda c: _stay_deletes(c)[0]["invoice"])
+
+register("stay_delete_rejects", _STAY_DELETE_SQL + """
+SELECT change_seq, reservation_id, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: _stay_deletes(c)[1])
+
+
+# ============================================================ I15 staff removal
+
+def staff_removal_feed(T) -> DataFrame:
+    k = F.col("StaffID")
+    return T["staff"].where(k % 3 == 0).select(k.alias(SEQ), k.alias("staff_id"))
+
+
+_STAFF_REMOVAL_SQL = f"""
+WITH feed AS (SELECT StaffID AS change_seq, StaffID AS staff_id FROM hotel_staff WHERE StaffID % 3 = 0),
+judged AS (
+  SELECT f.*, CASE WHEN s.StaffID IS NULL THEN 'not found'
+                   WHEN f.staff_id IN (SELECT StaffID FROM hotel_reservation) THEN '{C.REFERENCED}reservation.StaffID'
+              END AS reason
+  FROM feed f LEFT JOIN hotel_staff s ON s.StaffID = f.staff_id),
+gone AS (SELECT staff_id FROM judged WHERE reason IS NULL)
+"""
+
+
+def _staff_removal(c: Context):
+    return C.remove_staff(c.T, staff_removal_feed(c.T))
+
+
+register("staff_removal_staff", _STAFF_REMOVAL_SQL + """
+SELECT StaffID, StaffFName, StaffLName, StaffRole FROM hotel_staff WHERE StaffID NOT IN (SELECT staff_id FROM gone)
+""")(lambda c: _staff_removal(c)[0]["staff"])
+
+register("staff_removal_rooms", _STAFF_REMOVAL_SQL + """
+SELECT RoomNo, RoomType, RoomRate, RoomStatus,
+       CASE WHEN HousekeeperID IN (SELECT staff_id FROM gone) THEN NULL ELSE HousekeeperID END AS HousekeeperID
+FROM hotel_room
+""")(lambda c: _staff_removal(c)[0]["room"])
+
+register("staff_removal_rejects", _STAFF_REMOVAL_SQL + """
+SELECT change_seq, staff_id, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: _staff_removal(c)[1])
+
+
+# ========================================================= I16 customer removal
+
+def customer_removal_feed(T) -> DataFrame:
+    k = F.col("CustomerID")
+    return T["customer"].where(k % 11 == 0).select(k.alias(SEQ), k.alias("customer_id"))
+
+
+_CUSTOMER_REMOVAL_SQL = f"""
+WITH feed AS (SELECT CustomerID AS change_seq, CustomerID AS customer_id FROM hotel_customer WHERE CustomerID % 11 = 0),
+judged AS (
+  SELECT f.*, CASE WHEN c.CustomerID IS NULL THEN 'not found'
+    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_reservation) THEN '{C.REFERENCED}reservation.CustomerID'
+    WHEN f.customer_id IN (SELECT Host FROM hotel_event) THEN '{C.REFERENCED}event.Host'
+    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_invoice) THEN '{C.REFERENCED}invoice.CustomerID'
+    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_restaurant_order)
+      THEN '{C.REFERENCED}restaurant_order.CustomerID' END AS reason
+  FROM feed f LEFT JOIN hotel_customer c ON c.CustomerID = f.customer_id),
+gone AS (SELECT customer_id FROM judged WHERE reason IS NULL)
+"""
+
+
+def _customer_removal(c: Context):
+    return C.remove_customers(c.T, customer_removal_feed(c.T))
+
+
+register("customer_removal_customers", _CUSTOMER_REMOVAL_SQL + """
+SELECT CustomerID, CustomerFName, CustomerLName, PhoneNumber FROM hotel_customer
+WHERE CustomerID NOT IN (SELECT customer_id FROM gone)
+""")(lambda c: _customer_removal(c)[0]["customer"])
+
+register("customer_removal_feedback", _CUSTOMER_REMOVAL_SQL + """
+SELECT FeedbackID, CustomerID, Rating, Comments, FeedbackDate FROM hotel_customer_feedback
+WHERE CustomerID NOT IN (SELECT customer_id FROM gone)
+""")(lambda c: _customer_removal(c)[0]["customer_feedback"])
+
+register("customer_removal_rejects", _CUSTOMER_REMOVAL_SQL + """
+SELECT change_seq, customer_id, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: _customer_removal(c)[1])
