@@ -140,7 +140,7 @@ def default_label(value, default: str = DASH) -> Column:
 def split_name(full) -> tuple[Column, Column]:
     """First whitespace-separated token, and the rest (empty if none)."""
     parts = F.split(F.trim(_c(full), F.lit(" \t\n\r\f\u000b")), r"\s+", 2)
-    return F.element_at(parts, 1), F.coalesce(F.element_at(parts, 2), F.lit(""))
+    return F.element_at(parts, 1), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
 
 
 def normalise_token(token) -> Column:

@@ -802,9 +802,17 @@ def onboard_staff(T_: Tables, changes: DataFrame):
     use_full = _opt(changes, "fname").isNull() & full.isNotNull()
     fname = F.when(use_full, first).otherwise(_opt(changes, "fname"))
     lname = F.when(use_full, rest).otherwise(_opt(changes, "lname"))
-    feed = changes.withColumn("__fname", fname).withColumn("__lname", lname).withColumn("__via_full", use_full)
     role = F.col("role")
     hk = role == "Housekeeping"
+    given = _opt(changes, "staff_id")
+    key_t = staff.schema["StaffID"].dataType.simpleString()
+    staff_id = F.when(hk, new_id(staff, "StaffID", given, "HK")).otherwise(new_id(staff, "StaffID", given, "FD"))
+    feed = (
+        changes.withColumn("__fname", fname)
+        .withColumn("__lname", lname)
+        .withColumn("__via_full", use_full)
+        .withColumn("__staff_id", staff_id.try_cast(key_t))
+    )
     floor = F.coalesce(F.when(_opt(changes, "floor", "int") != 0, _opt(changes, "floor", "int")), F.lit(0))
     lname_missing = ~F.col(f"{IN}.__via_full") & is_missing(F.col(f"{IN}.__lname"))
     new_staff, valid, rejects = append_validated(
@@ -819,15 +827,14 @@ def onboard_staff(T_: Tables, changes: DataFrame):
             "AssignedFloor": F.when(hk, floor.cast("int")),
         },
         required=("__fname", "role", "shift"),
-        given_id="staff_id",
-        prefix="",
+        given_id="__staff_id",
         pre_rules=[
             (lname_missing, MISSING),
             (~F.coalesce(F.col("Shift").isin(*SPECS["frontdesk"].col("Shift").values), F.lit(False)), "enum: Shift"),
             (F.col("AssignedFloor").isNotNull() & ~F.col("AssignedFloor").between(0, 20), "range: AssignedFloor"),
         ],
     )
-    rejects = rejects.drop("__fname", "__lname", "__via_full")
+    rejects = rejects.drop("__fname", "__lname", "__via_full", "__staff_id")
     housekeeping = valid.where(F.col("StaffRole") == "Housekeeping").select("StaffID", "Shift", "AssignedFloor")
     frontdesk = valid.where(F.col("StaffRole") != "Housekeeping").select("StaffID", "Shift")
     return {

@@ -1 +1 @@
-"""Structured Streaming wrappers of the bulk jobs."""
+"""Streaming wrappers: the batch change jobs driven by Structured Streaming."""
