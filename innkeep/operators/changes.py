@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalar import kind_of, is_missing, split_name, stay_charge, stay_nights
 from ..sources.schema import REQUEST_STATUSES, ROOM_STATUSES, SPECS, TableSpec
+from ..session import stage
 from .quality import RULE_BUILDERS
 
 Tables = dict[str, DataFrame]
@@ -150,6 +151,8 @@ def _latest(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def _outcome(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split judged changes into valid rows and rejects (one staged scan)."""
+    df = stage(df)
     valid = df.where(F.col("reason").isNull()).drop("reason")
     rejects = df.where(F.col("reason").isNotNull()).select(f"{IN}.*", "reason")
     return valid, rejects

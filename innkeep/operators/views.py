@@ -107,7 +107,7 @@ def customer_reservations(T: Tables, ids, ordered: bool = False) -> DataFrame:
     if isinstance(ids, (str, int)):
         df = r.where(F.col("CustomerID") == F.lit(ids))
     else:
-        df = r.join(_ids_frame(ids, "CustomerID", r), "CustomerID", "left_semi")
+        df = r.join(_ids_frame(ids, "CustomerID", r).distinct(), "CustomerID", "left_semi")
     df = df.select("ReservationID", "RoomID", "CheckIn", "CheckOut")
     return _sort(df, ordered, "ReservationID")
 
@@ -317,7 +317,9 @@ def request_room_matches(T: Tables, ordered: bool = False) -> DataFrame:
 
 def customers_ordering(T: Tables, item: str, ordered: bool = False) -> DataFrame:
     """C14: customers with an order whose text contains ``item`` (any case)."""
-    buyers = T["restaurant_order"].where(contains_item("OrderDetails", item)).select("CustomerID")
+    # DISTINCT as in the model's subquery: a partial aggregate drops repeat
+    # buyers before the shuffle, and the semi join reuses its partitioning
+    buyers = T["restaurant_order"].where(contains_item("OrderDetails", item)).select("CustomerID").distinct()
     df = T["customer"].join(buyers, "CustomerID", "left_semi").select(
         "CustomerID", "CustomerFName", "CustomerLName"
     )

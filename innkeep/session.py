@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -46,3 +46,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     os.makedirs(fallback, exist_ok=True) if "://" not in fallback else None
     spark.sparkContext.setCheckpointDir(fallback)
     return spark.sparkContext.getCheckpointDir() or fallback
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once when several branches of a plan read it.
+
+    With a shared checkpoint folder (``spark.checkpoint.dir`` or
+    ``SparkContext.setCheckpointDir``) the rows are written there by a
+    reliable ``checkpoint()``: the branches read them back instead of
+    recomputing the lineage, and a lost executor costs a re-read, not a
+    recomputation.  Without one the plan stays lazy (Spark recomputes).
+    """
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    return df

@@ -24,19 +24,40 @@ DRIVER_TABLES = (
 ).split()
 
 
-def read_driver_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """Lazy readers for the driver's Parquet tables that exist in ``directory``."""
+_READERS: dict[tuple[int, str], dict[str, DataFrame]] = {}
+_DERIVED: dict[tuple[int, str], dict[str, DataFrame]] = {}
+
+
+def _session_key(spark: SparkSession, directory: str) -> tuple[int, str]:
+    return id(spark._jsparkSession), os.path.abspath(directory) if "://" not in directory else directory
+
+
+def read_driver_tables(spark: SparkSession, directory: str, refresh: bool = False) -> dict[str, DataFrame]:
+    """Lazy readers for the driver's Parquet tables that exist in ``directory``.
+
+    Readers (file listing and footer schema) are made once per session and
+    directory; DataFrames are immutable, so queries share them.  Pass
+    ``refresh=True`` after the files change.
+    """
+    key = _session_key(spark, directory)
+    if not refresh and key in _READERS:
+        return _READERS[key]
     out = {}
     for name in DRIVER_TABLES:
         path = os.path.join(directory, f"{name}.parquet")
         if os.path.exists(path) or "://" in directory:
             out[name] = spark.read.parquet(path)
+    _READERS[key] = out
+    _DERIVED.pop(key, None)
     return out
 
 
-def load_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+def load_tables(spark: SparkSession, directory: str, refresh: bool = False) -> dict[str, DataFrame]:
     """A1: the 13 bookings tables (lazy DataFrames) derived from ``directory``."""
-    return hotel_tables(read_driver_tables(spark, directory))
+    key = _session_key(spark, directory)
+    if refresh or key not in _DERIVED:
+        _DERIVED[key] = hotel_tables(read_driver_tables(spark, directory, refresh))
+    return _DERIVED[key]
 
 
 def read_tables(
