@@ -650,3 +650,536 @@ WHERE CustomerID NOT IN (SELECT customer_id FROM gone)
 register("customer_removal_rejects", _CUSTOMER_REMOVAL_SQL + """
 SELECT change_seq, customer_id, reason FROM judged WHERE reason IS NOT NULL
 """)(lambda c: _customer_removal(c)[1])
+
+
+# ==================================================== I2, I3 customers (add, edit)
+
+def customer_add_feed(T) -> DataFrame:
+    cu = T["customer"]
+    k = F.col("CustomerID")
+    a = cu.where(k % 10 == 0).select(
+        (4 * k).alias(SEQ),
+        F.lit(None).cast("bigint").alias("customer_id"),
+        F.when(k % 30 == 0, F.lit("")).otherwise(F.col("CustomerFName")).alias("fname"),
+        F.lit("Copy").alias("lname"),
+        F.col("PhoneNumber").alias("phone"),
+    )
+    b = cu.where(k % 20 == 0).select(
+        (4 * k + 1).alias(SEQ), k.alias("customer_id"), F.lit("Dup").alias("fname"), F.lit("Row").alias("lname"),
+        F.col("PhoneNumber").alias("phone"),
+    )
+    return a.unionByName(b)
+
+
+_CUSTOMER_ADD_SQL = f"""
+WITH feed AS (
+  SELECT 4 * CustomerID AS change_seq, CAST(NULL AS BIGINT) AS customer_id,
+         CASE WHEN CustomerID % 30 = 0 THEN '' ELSE CustomerFName END AS fname, 'Copy' AS lname, PhoneNumber AS phone
+  FROM hotel_customer WHERE CustomerID % 10 = 0
+  UNION ALL
+  SELECT 4 * CustomerID + 1, CustomerID, 'Dup', 'Row', PhoneNumber FROM hotel_customer WHERE CustomerID % 20 = 0),
+ided AS (
+  SELECT feed.*, COALESCE(NULLIF(customer_id, 0), (SELECT max(CustomerID) FROM hotel_customer) + change_seq) AS new_id
+  FROM feed),
+judged AS (
+  SELECT ided.*,
+         CASE WHEN fname IS NULL OR fname = '' OR lname IS NULL OR lname = '' OR phone IS NULL OR phone = ''
+                THEN '{C.MISSING}'
+              WHEN length(fname) > 20 THEN 'size: CustomerFName'
+              WHEN length(lname) > 20 THEN 'size: CustomerLName'
+              WHEN length(phone) > 10 THEN 'size: PhoneNumber'
+              WHEN new_id IN (SELECT CustomerID FROM hotel_customer) THEN 'duplicate key' END AS reason0
+  FROM ided),
+final AS (
+  SELECT judged.*,
+         CASE WHEN reason0 IS NULL
+                   AND change_seq <> min(CASE WHEN reason0 IS NULL THEN change_seq END) OVER (PARTITION BY new_id)
+              THEN 'duplicate key' ELSE reason0 END AS reason
+  FROM judged)
+"""
+
+register("customer_additions", _CUSTOMER_ADD_SQL + """
+SELECT CustomerID, CustomerFName, CustomerLName, PhoneNumber FROM hotel_customer
+UNION ALL
+SELECT new_id, fname, lname, phone FROM final WHERE reason IS NULL
+""")(lambda c: C.add_customers(c.T, customer_add_feed(c.T))[0]["customer"])
+
+register("customer_addition_rejects", _CUSTOMER_ADD_SQL + """
+SELECT change_seq, customer_id, fname, lname, phone, reason FROM final WHERE reason IS NOT NULL
+""")(lambda c: C.add_customers(c.T, customer_add_feed(c.T))[1])
+
+
+def customer_edit_feed(T) -> DataFrame:
+    cu = T["customer"]
+    k = F.col("CustomerID")
+    cols = lambda seq, cid, f, l: cu.select(seq.alias(SEQ), cid.alias("customer_id"), f.alias("fname"),
+                                            l.alias("lname"), F.col("PhoneNumber").alias("phone"))
+    return (
+        cols(4 * k, k, F.lower("CustomerFName"), F.col("CustomerLName")).where(k % 10 == 5)
+        .unionByName(cols(4 * k + 1, k, F.lit("Zed"), F.lit(None).cast("string")).where(k % 30 == 5))
+        .unionByName(cols(4 * k + 2, -k, F.lit("Ghost"), F.lit("Row")).where(k % 40 == 5))
+        .unionByName(cols(4 * k + 3, k, F.lit("Late"), F.col("CustomerLName")).where(k % 20 == 5))
+    )
+
+
+_CUSTOMER_EDIT_SQL = f"""
+WITH feed AS (
+  SELECT 4 * CustomerID AS change_seq, CustomerID AS customer_id, lower(CustomerFName) AS fname,
+         CustomerLName AS lname, PhoneNumber AS phone FROM hotel_customer WHERE CustomerID % 10 = 5
+  UNION ALL SELECT 4 * CustomerID + 1, CustomerID, 'Zed', NULL, PhoneNumber FROM hotel_customer WHERE CustomerID % 30 = 5
+  UNION ALL SELECT 4 * CustomerID + 2, -CustomerID, 'Ghost', 'Row', PhoneNumber FROM hotel_customer WHERE CustomerID % 40 = 5
+  UNION ALL SELECT 4 * CustomerID + 3, CustomerID, 'Late', CustomerLName, PhoneNumber FROM hotel_customer
+  WHERE CustomerID % 20 = 5),
+judged AS (
+  SELECT f.*, CASE WHEN c.CustomerID IS NULL THEN 'not found'
+                   WHEN f.fname IS NULL THEN 'not_null: CustomerFName'
+                   WHEN f.lname IS NULL THEN 'not_null: CustomerLName'
+                   WHEN f.phone IS NULL THEN 'not_null: PhoneNumber'
+                   WHEN length(f.fname) > 20 THEN 'size: CustomerFName'
+                   WHEN length(f.lname) > 20 THEN 'size: CustomerLName'
+                   WHEN length(f.phone) > 10 THEN 'size: PhoneNumber' END AS reason
+  FROM feed f LEFT JOIN hotel_customer c ON c.CustomerID = f.customer_id),
+last AS (
+  SELECT * FROM judged WHERE reason IS NULL
+  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY change_seq DESC) = 1)
+"""
+
+register("customer_updates", _CUSTOMER_EDIT_SQL + """
+SELECT c.CustomerID, COALESCE(l.fname, c.CustomerFName) AS CustomerFName,
+       COALESCE(l.lname, c.CustomerLName) AS CustomerLName, COALESCE(l.phone, c.PhoneNumber) AS PhoneNumber
+FROM hotel_customer c LEFT JOIN last l ON l.customer_id = c.CustomerID
+""")(lambda c: C.update_customers(c.T, customer_edit_feed(c.T))[0]["customer"])
+
+register("customer_update_rejects", _CUSTOMER_EDIT_SQL + """
+SELECT change_seq, customer_id, fname, lname, phone, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: C.update_customers(c.T, customer_edit_feed(c.T))[1])
+
+
+# ======================================================== I13 invoice creation
+
+def invoice_feed(T) -> DataFrame:
+    r = T["reservation"]
+    k = F.col("ReservationID")
+    pay = (100 + k % 50).cast("decimal(10,2)")
+
+    def rows(seq, inv, res, cust, paid):
+        return r.select(seq.alias(SEQ), inv.alias("invoice_no"), res.alias("reservation_id"), cust.alias("customer_id"),
+                        pay.alias("amount_payable"), paid.alias("amount_paid"))
+
+    none = F.lit(None).cast("bigint")
+    return (
+        rows(4 * k, k, F.when(k % 8 != 0, k), F.col("CustomerID"),
+             F.when(k % 3 == 0, (k % 50).cast("decimal(10,2)"))).where(k % 4 == 0)
+        .unionByName(rows(4 * k + 1, k - 1, k, F.col("CustomerID"), F.lit(None).cast("decimal(10,2)")).where(k % 12 == 0))
+        .unionByName(rows(4 * k + 2, none, -k, F.col("CustomerID"), F.lit(None).cast("decimal(10,2)")).where(k % 16 == 0))
+        .unionByName(rows(4 * k + 3, none, none, none, F.lit(None).cast("decimal(10,2)")).where(k % 20 == 0))
+    )
+
+
+_INVOICE_SQL = f"""
+WITH feed AS (
+  SELECT 4 * ReservationID AS change_seq, ReservationID AS invoice_no,
+         CASE WHEN ReservationID % 8 <> 0 THEN ReservationID END AS reservation_id, CustomerID AS customer_id,
+         CAST(100 + ReservationID % 50 AS DECIMAL(10,2)) AS amount_payable,
+         CASE WHEN ReservationID % 3 = 0 THEN CAST(ReservationID % 50 AS DECIMAL(10,2)) END AS amount_paid
+  FROM hotel_reservation WHERE ReservationID % 4 = 0
+  UNION ALL SELECT 4 * ReservationID + 1, ReservationID - 1, ReservationID, CustomerID,
+         CAST(100 + ReservationID % 50 AS DECIMAL(10,2)), NULL FROM hotel_reservation WHERE ReservationID % 12 = 0
+  UNION ALL SELECT 4 * ReservationID + 2, NULL, -ReservationID, CustomerID,
+         CAST(100 + ReservationID % 50 AS DECIMAL(10,2)), NULL FROM hotel_reservation WHERE ReservationID % 16 = 0
+  UNION ALL SELECT 4 * ReservationID + 3, NULL, NULL, NULL,
+         CAST(100 + ReservationID % 50 AS DECIMAL(10,2)), NULL FROM hotel_reservation WHERE ReservationID % 20 = 0),
+ided AS (
+  SELECT feed.*, COALESCE(NULLIF(invoice_no, 0), (SELECT max(InvoiceNo) FROM hotel_invoice) + change_seq) AS new_no,
+         NULLIF(reservation_id, 0) AS res, COALESCE(NULLIF(amount_paid, 0), 0) AS paid
+  FROM feed),
+judged AS (
+  SELECT ided.*,
+         CASE WHEN customer_id IS NULL OR customer_id = 0 THEN '{C.MISSING}'
+              WHEN amount_payable IS NULL THEN '{C.MISSING}'
+              WHEN abs(amount_payable) >= 100000000 THEN 'size: AmountPayable'
+              WHEN abs(paid) >= 100000000 THEN 'size: AmountPaid'
+              WHEN new_no IN (SELECT InvoiceNo FROM hotel_invoice) THEN 'duplicate key'
+              WHEN res IS NOT NULL AND res NOT IN (SELECT ReservationID FROM hotel_reservation)
+                THEN 'foreign_key: ReservationID'
+              WHEN customer_id NOT IN (SELECT CustomerID FROM hotel_customer) THEN 'foreign_key: CustomerID'
+         END AS reason0
+  FROM ided),
+final AS (
+  SELECT judged.*,
+         CASE WHEN reason0 IS NULL
+                   AND change_seq <> min(CASE WHEN reason0 IS NULL THEN change_seq END) OVER (PARTITION BY new_no)
+              THEN 'duplicate key' ELSE reason0 END AS reason
+  FROM judged)
+"""
+
+register("invoice_creations", _INVOICE_SQL + f"""
+SELECT {_INV_COLS} FROM hotel_invoice
+UNION ALL
+SELECT new_no, res, customer_id, amount_payable, CAST(paid AS DECIMAL(10,2)) FROM final WHERE reason IS NULL
+""")(lambda c: C.create_invoices(c.T, invoice_feed(c.T))[0]["invoice"])
+
+register("invoice_creation_rejects", _INVOICE_SQL + """
+SELECT change_seq, invoice_no, reservation_id, customer_id, amount_payable, amount_paid, reason
+FROM final WHERE reason IS NOT NULL
+""")(lambda c: C.create_invoices(c.T, invoice_feed(c.T))[1])
+
+
+# ========================================================== I14 staff onboarding
+
+def staff_feed(T) -> DataFrame:
+    s = T["staff"]
+    k = F.col("StaffID")
+    return s.where(k % 2 == 1).select(
+        k.alias(SEQ),
+        F.lit(None).cast("bigint").alias("staff_id"),
+        F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("StaffFName")).alias("fname"),
+        F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("StaffLName")).alias("lname"),
+        F.when(k % 7 == 0, F.concat(F.lit("New  Staff "), k.cast("string"))).alias("full_name"),
+        F.when(k % 9 == 0, F.lit("Chef")).when(k % 4 == 1, F.lit("Housekeeping")).otherwise(F.lit("Front Desk")).alias("role"),
+        F.when(k % 11 == 0, F.lit("Night")).otherwise(F.lit("Morning")).alias("shift"),
+        (k % 25).cast("int").alias("floor"),
+    )
+
+
+_STAFF_SQL = f"""
+WITH feed AS (
+  SELECT StaffID AS change_seq, CAST(NULL AS BIGINT) AS staff_id,
+         CASE WHEN StaffID % 7 = 0 THEN NULL ELSE StaffFName END AS fname,
+         CASE WHEN StaffID % 7 = 0 THEN NULL ELSE StaffLName END AS lname,
+         CASE WHEN StaffID % 7 = 0 THEN 'New  Staff ' || CAST(StaffID AS VARCHAR) END AS full_name,
+         CASE WHEN StaffID % 9 = 0 THEN 'Chef' WHEN StaffID % 4 = 1 THEN 'Housekeeping' ELSE 'Front Desk' END AS role,
+         CASE WHEN StaffID % 11 = 0 THEN 'Night' ELSE 'Morning' END AS shift,
+         CAST(StaffID % 25 AS INTEGER) AS floor
+  FROM hotel_staff WHERE StaffID % 2 = 1),
+named AS (
+  SELECT feed.*,
+         CASE WHEN fname IS NULL AND full_name IS NOT NULL THEN split_part(trim(full_name), ' ', 1) ELSE fname END AS f,
+         CASE WHEN fname IS NULL AND full_name IS NOT NULL
+              THEN COALESCE(NULLIF(regexp_replace(trim(full_name), '^\\S+\\s+', ''), trim(full_name)), '')
+              ELSE lname END AS l,
+         fname IS NULL AND full_name IS NOT NULL AS via_full,
+         (SELECT max(StaffID) FROM hotel_staff) + change_seq AS new_id,
+         CASE WHEN role = 'Housekeeping' THEN COALESCE(NULLIF(floor, 0), 0) END AS fl
+  FROM feed),
+judged AS (
+  SELECT named.*,
+         CASE WHEN f IS NULL OR f = '' OR role IS NULL OR role = '' OR shift IS NULL OR shift = '' THEN '{C.MISSING}'
+              WHEN NOT via_full AND (l IS NULL OR l = '') THEN '{C.MISSING}'
+              WHEN shift NOT IN ('Morning', 'Afternoon', 'Evening') THEN 'enum: Shift'
+              WHEN fl IS NOT NULL AND fl NOT BETWEEN 0 AND 20 THEN 'range: AssignedFloor'
+              WHEN role NOT IN ('Housekeeping', 'Front Desk') THEN 'enum: StaffRole'
+              WHEN length(f) > 20 THEN 'size: StaffFName'
+              WHEN length(l) > 20 THEN 'size: StaffLName'
+              WHEN new_id IN (SELECT StaffID FROM hotel_staff) THEN 'duplicate key' END AS reason
+  FROM named)
+"""
+
+register("staff_onboarding", _STAFF_SQL + """
+SELECT StaffID, StaffFName, StaffLName, StaffRole FROM hotel_staff
+UNION ALL
+SELECT new_id, f, l, role FROM judged WHERE reason IS NULL
+""")(lambda c: C.onboard_staff(c.T, staff_feed(c.T))[0]["staff"])
+
+register("staff_onboarding_housekeeping", _STAFF_SQL + """
+SELECT StaffID, Shift, AssignedFloor FROM hotel_housekeeping
+UNION ALL
+SELECT new_id, shift, fl FROM judged WHERE reason IS NULL AND role = 'Housekeeping'
+""")(lambda c: C.onboard_staff(c.T, staff_feed(c.T))[0]["housekeeping"])
+
+register("staff_onboarding_rejects", _STAFF_SQL + """
+SELECT change_seq, staff_id, fname, lname, full_name, role, shift, floor, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: C.onboard_staff(c.T, staff_feed(c.T))[1])
+
+
+# ================================================ I1, I17, I18 rooms (upsert, add, edit)
+
+def room_upsert_feed(T) -> DataFrame:
+    rm = T["room"]
+    k = F.col("RoomNo")
+    cols = [c for c in rm.columns if c != "RoomRate"]
+    a = rm.where(k % 6 == 0).select(*cols, (F.col("RoomRate") + 10).cast("decimal(10,2)").alias("RoomRate"),
+                                    F.lit(1).cast("bigint").alias(SEQ))
+    b = rm.where(k % 12 == 0).select(*cols, (F.col("RoomRate") + 20).cast("decimal(10,2)").alias("RoomRate"),
+                                     F.lit(2).cast("bigint").alias(SEQ))
+    new = rm.where(k % 30 == 0).select((-k).alias("RoomNo"), *[c for c in cols if c != "RoomNo"], "RoomRate",
+                                       F.lit(1).cast("bigint").alias(SEQ))
+    return a.unionByName(b).unionByName(new)
+
+
+register("room_upserts", f"""
+WITH feed AS (
+  SELECT RoomNo, RoomType, CAST(RoomRate + 10 AS DECIMAL(10,2)) AS RoomRate, RoomStatus, HousekeeperID, 1 AS seq
+  FROM hotel_room WHERE RoomNo % 6 = 0
+  UNION ALL SELECT RoomNo, RoomType, CAST(RoomRate + 20 AS DECIMAL(10,2)), RoomStatus, HousekeeperID, 2
+  FROM hotel_room WHERE RoomNo % 12 = 0
+  UNION ALL SELECT -RoomNo, RoomType, RoomRate, RoomStatus, HousekeeperID, 1 FROM hotel_room WHERE RoomNo % 30 = 0),
+last AS (SELECT * FROM feed QUALIFY row_number() OVER (PARTITION BY RoomNo ORDER BY seq DESC) = 1)
+SELECT {_ROOM_COLS} FROM hotel_room WHERE RoomNo NOT IN (SELECT RoomNo FROM last)
+UNION ALL
+SELECT {_ROOM_COLS} FROM last
+""")(lambda c: C.upsert(c.T["room"], room_upsert_feed(c.T), "RoomNo"))
+
+
+def room_add_feed(T) -> DataFrame:
+    rm = T["room"]
+    k = F.col("RoomNo")
+    a = rm.where(k % 25 == 0).select(
+        (2 * k).alias(SEQ), F.lit(None).cast("bigint").alias("room_no"), F.col("RoomType").alias("room_type"),
+        F.when(k % 50 == 0, F.lit(0)).otherwise(F.col("RoomRate") + 1).cast("decimal(10,2)").alias("rate"),
+        F.col("HousekeeperID").alias("housekeeper_id"),
+    )
+    b = rm.where(k % 75 == 0).select(
+        (2 * k + 1).alias(SEQ), k.alias("room_no"), F.col("RoomType").alias("room_type"),
+        F.col("RoomRate").alias("rate"), F.lit(None).cast("bigint").alias("housekeeper_id"),
+    )
+    return a.unionByName(b)
+
+
+_ROOM_ADD_SQL = f"""
+WITH feed AS (
+  SELECT 2 * RoomNo AS change_seq, CAST(NULL AS BIGINT) AS room_no, RoomType AS room_type,
+         CAST(CASE WHEN RoomNo % 50 = 0 THEN 0 ELSE RoomRate + 1 END AS DECIMAL(10,2)) AS rate,
+         HousekeeperID AS housekeeper_id
+  FROM hotel_room WHERE RoomNo % 25 = 0
+  UNION ALL SELECT 2 * RoomNo + 1, RoomNo, RoomType, RoomRate, NULL FROM hotel_room WHERE RoomNo % 75 = 0),
+ided AS (
+  SELECT feed.*, COALESCE(NULLIF(room_no, 0), (SELECT max(RoomNo) FROM hotel_room) + change_seq) AS new_no,
+         NULLIF(housekeeper_id, 0) AS hk
+  FROM feed),
+judged AS (
+  SELECT ided.*,
+         CASE WHEN room_type IS NULL OR room_type = '' OR rate IS NULL OR rate = 0 THEN '{C.MISSING}'
+              WHEN length(room_type) > 30 THEN 'size: RoomType'
+              WHEN abs(rate) >= 100000000 THEN 'size: RoomRate'
+              WHEN new_no IN (SELECT RoomNo FROM hotel_room) THEN 'duplicate key'
+              WHEN hk IS NOT NULL AND hk NOT IN (SELECT StaffID FROM hotel_housekeeping) THEN 'foreign_key: HousekeeperID'
+         END AS reason
+  FROM ided)
+"""
+
+register("room_additions", _ROOM_ADD_SQL + f"""
+SELECT {_ROOM_COLS} FROM hotel_room
+UNION ALL
+SELECT new_no, room_type, rate, 'Vacant', hk FROM judged WHERE reason IS NULL
+""")(lambda c: C.add_rooms(c.T, room_add_feed(c.T))[0]["room"])
+
+register("room_addition_rejects", _ROOM_ADD_SQL + """
+SELECT change_seq, room_no, room_type, rate, housekeeper_id, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: C.add_rooms(c.T, room_add_feed(c.T))[1])
+
+
+def room_edit_feed(T) -> DataFrame:
+    rm = T["room"]
+    k = F.col("RoomNo")
+    a = rm.where(k % 25 == 1).select(
+        (2 * k).alias(SEQ), k.alias("room_no"), F.concat(F.col("RoomType"), F.lit(" X")).alias("room_type"),
+        (F.col("RoomRate") * 2).cast("decimal(10,2)").alias("rate"),
+    )
+    b = rm.where(k % 50 == 1).select(
+        (2 * k + 1).alias(SEQ), k.alias("room_no"), F.col("RoomType").alias("room_type"),
+        F.lit(None).cast("decimal(10,2)").alias("rate"),
+    )
+    return a.unionByName(b)
+
+
+_ROOM_EDIT_SQL = """
+WITH feed AS (
+  SELECT 2 * RoomNo AS change_seq, RoomNo AS room_no, RoomType || ' X' AS room_type,
+         CAST(RoomRate * 2 AS DECIMAL(10,2)) AS rate
+  FROM hotel_room WHERE RoomNo % 25 = 1
+  UNION ALL SELECT 2 * RoomNo + 1, RoomNo, RoomType, NULL FROM hotel_room WHERE RoomNo % 50 = 1),
+judged AS (
+  SELECT f.*, CASE WHEN r.RoomNo IS NULL THEN 'not found'
+                   WHEN f.room_type IS NULL THEN 'not_null: RoomType'
+                   WHEN f.rate IS NULL THEN 'not_null: RoomRate'
+                   WHEN length(f.room_type) > 30 THEN 'size: RoomType'
+                   WHEN abs(f.rate) >= 100000000 THEN 'size: RoomRate' END AS reason
+  FROM feed f LEFT JOIN hotel_room r ON r.RoomNo = f.room_no),
+last AS (
+  SELECT * FROM judged WHERE reason IS NULL
+  QUALIFY row_number() OVER (PARTITION BY room_no ORDER BY change_seq DESC) = 1)
+"""
+
+register("room_updates", _ROOM_EDIT_SQL + """
+SELECT r.RoomNo, COALESCE(l.room_type, r.RoomType) AS RoomType, COALESCE(l.rate, r.RoomRate) AS RoomRate,
+       r.RoomStatus, r.HousekeeperID
+FROM hotel_room r LEFT JOIN last l ON l.room_no = r.RoomNo
+""")(lambda c: C.update_rooms(c.T, room_edit_feed(c.T))[0]["room"])
+
+register("room_update_rejects", _ROOM_EDIT_SQL + """
+SELECT change_seq, room_no, room_type, rate, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: C.update_rooms(c.T, room_edit_feed(c.T))[1])
+
+register("room_delete_rejects", f"""
+SELECT 2 * RoomNo AS change_seq, RoomNo AS room_no, '{C.ROOM_DELETE}' AS reason FROM hotel_room WHERE RoomNo % 10 = 0
+""")(lambda c: C.block_room_deletes(
+    c.T["room"].where(F.col("RoomNo") % 10 == 0).select((2 * F.col("RoomNo")).alias(SEQ), F.col("RoomNo").alias("room_no"))
+))
+
+
+# ============================================= I19 inserts (events, orders, feedback)
+
+def event_feed(T) -> DataFrame:
+    ev = T["event"]
+    k = F.col("EventID")
+    return ev.where(k % 20 == 0).select(
+        k.alias(SEQ),
+        F.lit(None).cast("bigint").alias("event_id"),
+        F.when(k % 60 == 0, F.lit("Gala")).otherwise(F.col("EventType")).alias("event_type"),
+        F.date_format(F.date_add("EventDate", 365), "yyyy-MM-dd").alias("event_date"),
+        F.col("EventDuration").alias("duration"),
+        F.col("Host").alias("host_id"),
+        F.when(k % 40 == 0, F.lit(99).cast("bigint")).otherwise(F.col("HallID")).alias("hall_id"),
+    )
+
+
+_EVENT_SQL = f"""
+WITH feed AS (
+  SELECT EventID AS change_seq, CAST(NULL AS BIGINT) AS event_id,
+         CASE WHEN EventID % 60 = 0 THEN 'Gala' ELSE EventType END AS event_type,
+         strftime(EventDate + INTERVAL 365 DAY, '%Y-%m-%d') AS event_date, EventDuration AS duration,
+         Host AS host_id, CASE WHEN EventID % 40 = 0 THEN CAST(99 AS BIGINT) ELSE HallID END AS hall_id
+  FROM hotel_event WHERE EventID % 20 = 0),
+judged AS (
+  SELECT feed.*, (SELECT max(EventID) FROM hotel_event) + change_seq AS new_id,
+         CASE WHEN event_type IS NULL OR event_type = '' OR event_date IS NULL OR event_date = ''
+                   OR duration IS NULL OR duration = 0 OR host_id IS NULL OR host_id = 0
+                   OR hall_id IS NULL OR hall_id = 0 THEN '{C.MISSING}'
+              WHEN event_type NOT IN ('Wedding', 'Conference', 'Seminar', 'Networking Event', 'Birthday Party')
+                THEN 'enum: EventType'
+              WHEN abs(duration) >= 1000 THEN 'size: EventDuration'
+              WHEN (SELECT max(EventID) FROM hotel_event) + change_seq IN (SELECT EventID FROM hotel_event)
+                THEN 'duplicate key'
+              WHEN hall_id NOT IN (SELECT HallID FROM hotel_conference_hall) THEN 'foreign_key: HallID'
+              WHEN host_id NOT IN (SELECT CustomerID FROM hotel_customer) THEN 'foreign_key: Host' END AS reason
+  FROM feed)
+"""
+
+register("event_additions", _EVENT_SQL + """
+SELECT EventID, EventType, EventDate, EventDuration, Host, HallID FROM hotel_event
+UNION ALL
+SELECT new_id, event_type, CAST(event_date AS DATE), duration, host_id, hall_id FROM judged WHERE reason IS NULL
+""")(lambda c: C.add_events(c.T, event_feed(c.T))[0]["event"])
+
+register("event_addition_rejects", _EVENT_SQL + """
+SELECT change_seq, event_id, event_type, event_date, duration, host_id, hall_id, reason FROM judged
+WHERE reason IS NOT NULL
+""")(lambda c: C.add_events(c.T, event_feed(c.T))[1])
+
+
+def order_feed(T) -> DataFrame:
+    r = T["reservation"]
+    k = F.col("ReservationID")
+    return r.where(k % 9 == 0).select(
+        k.alias(SEQ),
+        F.lit(None).cast("bigint").alias("order_id"),
+        F.col("CustomerID").alias("customer_id"),
+        (k % 7).alias("restaurant_id"),
+        F.when(k % 4 != 0, k).alias("invoice_id"),
+        F.concat(F.lit("1x item "), k.cast("string")).alias("order_details"),
+    )
+
+
+_ORDER_SQL = f"""
+WITH feed AS (
+  SELECT ReservationID AS change_seq, CAST(NULL AS BIGINT) AS order_id, CustomerID AS customer_id,
+         ReservationID % 7 AS restaurant_id, CASE WHEN ReservationID % 4 <> 0 THEN ReservationID END AS invoice_id,
+         '1x item ' || CAST(ReservationID AS VARCHAR) AS order_details
+  FROM hotel_reservation WHERE ReservationID % 9 = 0),
+judged AS (
+  SELECT feed.*, (SELECT max(OrderID) FROM hotel_restaurant_order) + change_seq AS new_id,
+         NULLIF(invoice_id, 0) AS inv,
+         CASE WHEN customer_id IS NULL OR customer_id = 0 OR restaurant_id IS NULL OR restaurant_id = 0
+                   OR order_details IS NULL OR order_details = '' THEN '{C.MISSING}'
+              WHEN (SELECT max(OrderID) FROM hotel_restaurant_order) + change_seq
+                   IN (SELECT OrderID FROM hotel_restaurant_order) THEN 'duplicate key'
+              WHEN customer_id NOT IN (SELECT CustomerID FROM hotel_customer) THEN 'foreign_key: CustomerID'
+              WHEN restaurant_id NOT IN (SELECT RestaurantID FROM hotel_restaurant) THEN 'foreign_key: RestaurantID'
+              WHEN NULLIF(invoice_id, 0) IS NOT NULL AND invoice_id NOT IN (SELECT InvoiceNo FROM hotel_invoice)
+                THEN 'foreign_key: InvoiceID' END AS reason
+  FROM feed)
+"""
+
+register("order_additions", _ORDER_SQL + """
+SELECT OrderID, CustomerID, RestaurantID, InvoiceID, OrderDetails FROM hotel_restaurant_order
+UNION ALL
+SELECT new_id, customer_id, restaurant_id, inv, order_details FROM judged WHERE reason IS NULL
+""")(lambda c: C.add_orders(c.T, order_feed(c.T))[0]["restaurant_order"])
+
+register("order_addition_rejects", _ORDER_SQL + """
+SELECT change_seq, order_id, customer_id, restaurant_id, invoice_id, order_details, reason FROM judged
+WHERE reason IS NOT NULL
+""")(lambda c: C.add_orders(c.T, order_feed(c.T))[1])
+
+
+def feedback_feed(T) -> DataFrame:
+    fb = T["customer_feedback"]
+    k = F.col("FeedbackID")
+    return fb.where(k % 10 == 0).select(
+        k.alias(SEQ),
+        F.lit(None).cast("bigint").alias("feedback_id"),
+        F.col("CustomerID").alias("customer_id"),
+        F.col("Rating").cast("string").alias("rating"),
+        F.substring("Comments", 1, 60).alias("comments"),
+    )
+
+
+_FEEDBACK_SQL = f"""
+WITH feed AS (
+  SELECT FeedbackID AS change_seq, CAST(NULL AS BIGINT) AS feedback_id, CustomerID AS customer_id,
+         CAST(Rating AS VARCHAR) AS rating, substr(Comments, 1, 60) AS comments
+  FROM hotel_customer_feedback WHERE FeedbackID % 10 = 0),
+judged AS (
+  SELECT feed.*, (SELECT max(FeedbackID) FROM hotel_customer_feedback) + change_seq AS new_id,
+         TRY_CAST(CASE WHEN regexp_full_match(trim(rating), '[+-]?[0-9]+') THEN trim(rating) END AS INTEGER) AS r,
+         CASE WHEN customer_id IS NULL OR customer_id = 0 OR rating IS NULL OR rating = ''
+                   OR comments IS NULL OR comments = '' THEN '{C.MISSING}'
+              WHEN TRY_CAST(CASE WHEN regexp_full_match(trim(rating), '[+-]?[0-9]+') THEN trim(rating) END AS INTEGER)
+                   NOT BETWEEN 1 AND 5
+                OR NOT regexp_full_match(trim(rating), '[+-]?[0-9]+') THEN '{C.BAD_RATING}'
+              WHEN (SELECT max(FeedbackID) FROM hotel_customer_feedback) + change_seq
+                   IN (SELECT FeedbackID FROM hotel_customer_feedback) THEN 'duplicate key'
+              WHEN customer_id NOT IN (SELECT CustomerID FROM hotel_customer) THEN 'foreign_key: CustomerID' END AS reason
+  FROM feed)
+"""
+
+register("feedback_additions", _FEEDBACK_SQL + f"""
+SELECT FeedbackID, CustomerID, Rating, Comments, FeedbackDate FROM hotel_customer_feedback
+UNION ALL
+SELECT new_id, customer_id, r, comments, DATE '{AS_OF}' FROM judged WHERE reason IS NULL
+""")(lambda c: C.add_feedback(c.T, feedback_feed(c.T), AS_OF)[0]["customer_feedback"])
+
+register("feedback_addition_rejects", _FEEDBACK_SQL + """
+SELECT change_seq, feedback_id, customer_id, rating, comments, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: C.add_feedback(c.T, feedback_feed(c.T), AS_OF)[1])
+
+
+# ============================================================ I20 feedback removal
+
+def feedback_removal_feed(T) -> DataFrame:
+    fb = T["customer_feedback"]
+    k = F.col("FeedbackID")
+    return fb.where(k % 7 == 0).select((2 * k).alias(SEQ), k.alias("feedback_id")).unionByName(
+        fb.where(k % 14 == 0).select((2 * k + 1).alias(SEQ), (-k).alias("feedback_id"))
+    )
+
+
+_FEEDBACK_REMOVAL_SQL = """
+WITH feed AS (
+  SELECT 2 * FeedbackID AS change_seq, FeedbackID AS feedback_id FROM hotel_customer_feedback WHERE FeedbackID % 7 = 0
+  UNION ALL SELECT 2 * FeedbackID + 1, -FeedbackID FROM hotel_customer_feedback WHERE FeedbackID % 14 = 0),
+judged AS (
+  SELECT feed.*, CASE WHEN feedback_id NOT IN (SELECT FeedbackID FROM hotel_customer_feedback) THEN 'not found' END
+    AS reason
+  FROM feed)
+"""
+
+register("feedback_removals", _FEEDBACK_REMOVAL_SQL + """
+SELECT FeedbackID, CustomerID, Rating, Comments, FeedbackDate FROM hotel_customer_feedback
+WHERE FeedbackID NOT IN (SELECT feedback_id FROM judged WHERE reason IS NULL)
+""")(lambda c: C.remove_feedback(c.T, feedback_removal_feed(c.T))[0]["customer_feedback"])
+
+register("feedback_removal_rejects", _FEEDBACK_REMOVAL_SQL + """
+SELECT change_seq, feedback_id, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: C.remove_feedback(c.T, feedback_removal_feed(c.T))[1])
