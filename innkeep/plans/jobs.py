@@ -1121,14 +1121,14 @@ def feedback_feed(T) -> DataFrame:
         F.lit(None).cast("bigint").alias("feedback_id"),
         F.col("CustomerID").alias("customer_id"),
         F.col("Rating").cast("string").alias("rating"),
-        F.substring("Comments", 1, 60).alias("comments"),
+        F.col("Comments").alias("comments"),
     )
 
 
 _FEEDBACK_SQL = f"""
 WITH feed AS (
   SELECT FeedbackID AS change_seq, CAST(NULL AS BIGINT) AS feedback_id, CustomerID AS customer_id,
-         CAST(Rating AS VARCHAR) AS rating, substr(Comments, 1, 60) AS comments
+         CAST(Rating AS VARCHAR) AS rating, Comments AS comments
   FROM hotel_customer_feedback WHERE FeedbackID % 10 = 0),
 judged AS (
   SELECT feed.*, (SELECT max(FeedbackID) FROM hotel_customer_feedback) + change_seq AS new_id,

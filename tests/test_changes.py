@@ -246,3 +246,25 @@ def test_payments_equal_row_by_row_model(spark):
         model[no] += amount
     assert {r.InvoiceNo: r.AmountPaid for r in new["invoice"].collect()} == model
     assert {r.change_seq for r in rej.collect()} == refused
+
+
+def test_add_halls_restaurants_orders_events_feedback(spark):
+    T = _tables(spark)
+    new, rej = C.add_halls(T, spark.createDataFrame([(1, "Main", 100), (2, "", 5), (3, "Side", None)],
+                                                    "change_seq long, name string, capacity int"))
+    assert _reasons(rej, "change_seq") == {2: C.MISSING, 3: C.MISSING}
+    assert [r.HallID for r in new["conference_hall"].collect()] == ["CH1"]
+    new, rej = C.add_restaurants(T, spark.createDataFrame([(4, "Grill", 30), (5, "Bar", 0)],
+                                                          "change_seq long, name string, seating_capacity int"))
+    assert _reasons(rej, "change_seq") == {5: C.MISSING}
+    assert [r.RestaurantID for r in new["restaurant"].collect()] == ["RT4"]
+    new, rej = C.add_orders(T, spark.createDataFrame(
+        [(1, "CU01", "RT9", None, "tea"), (2, "CU01", "RT9", "", "tea")],
+        "change_seq long, customer_id string, restaurant_id string, invoice_id string, order_details string"))
+    assert _reasons(rej, "change_seq") == {1: "foreign_key: RestaurantID", 2: "foreign_key: RestaurantID"}
+    new, rej = C.add_feedback(T, spark.createDataFrame([(1, "CU01", " 5 ", "great"), (2, "CU01", "6", "x"), (3, "CU09", "3", "x")],
+                                                       "change_seq long, customer_id string, rating string, comments string"),
+                              "2024-01-15")
+    assert _reasons(rej, "change_seq") == {2: C.BAD_RATING, 3: "foreign_key: CustomerID"}
+    fb = new["customer_feedback"].where("CustomerID = 'CU01'").first()
+    assert (fb.Rating, fb.FeedbackDate) == (5, dt.date(2024, 1, 15))
