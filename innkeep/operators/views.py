@@ -145,15 +145,28 @@ def room_occupancy(T: Tables, ordered: bool = False) -> DataFrame:
     The open-stay predicate belongs to the outer join's ON clause, so it is
     applied to the stays *before* the join: vacant rooms keep one row, a
     room with two open stays gets two.
+
+    Written as (open stays INNER JOIN rooms) UNION (rooms without an open
+    stay) rather than ``rooms LEFT JOIN stays``: a room holding a large share
+    of the open stays is then on the side of an inner join that AQE can split
+    into several tasks (the right side of a left outer join cannot be split),
+    and the anti join reads only the distinct rooms that have stays.
     """
     open_stays = T["reservation"].where(F.col("CheckOut").isNull()).select(
         F.col("RoomID").alias("RoomNo"), "ReservationID", "CustomerID", "CheckIn", "CheckOut"
     )
     guests = _names(T, "CustomerID", "GuestName")
     stays = open_stays.join(guests, "CustomerID", "left")
-    df = T["room"].join(stays, "RoomNo", "left").select(
-        "RoomNo", "RoomType", "RoomRate", "RoomStatus", "ReservationID", "CustomerID", "GuestName", "CheckIn", "CheckOut"
+    rooms = T["room"].select("RoomNo", "RoomType", "RoomRate", "RoomStatus")
+    cols = ["RoomNo", "RoomType", "RoomRate", "RoomStatus", "ReservationID", "CustomerID", "GuestName", "CheckIn", "CheckOut"]
+    occupied = stays.join(rooms, "RoomNo").select(*cols)
+    empty = rooms.join(open_stays.select("RoomNo").distinct(), "RoomNo", "left_anti").select(
+        *[
+            F.col(c) if c in rooms.columns else F.lit(None).cast(occupied.schema[c].dataType).alias(c)
+            for c in cols
+        ]
     )
+    df = occupied.unionByName(empty)
     return _sort(df, ordered, "RoomNo", "ReservationID")
 
 
