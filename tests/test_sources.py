@@ -52,3 +52,27 @@ def test_entry_contract(spark):
     assert df.count() > 0
     assert set(E.oracle_sql()) == set(E.queries())
     assert E.queries()["halls"](spark, SF_SMALL).count() > 0
+
+
+def test_read_tables_with_declared_schema(spark, tmp_path):
+    from innkeep.sources.schema import SPECS
+
+    from decimal import Decimal
+
+    rows = [("R1", "Single", Decimal("250.00"), "Vacant", None)]
+    spark.createDataFrame(rows, SPECS["room"].struct()).write.parquet(str(tmp_path / "room"))
+    T = tables.read_tables(spark, str(tmp_path))
+    assert set(T) == {"room"}
+    # declared types (file sources report every column as nullable)
+    assert [f.dataType for f in T["room"].schema] == [f.dataType for f in SPECS["room"].struct()]
+    assert str(T["room"].first().RoomRate) == "250.00"
+
+
+def test_write_report_csv_and_parquet(spark, small_tables, tmp_path):
+    from innkeep.operators.reports import room_type_summary
+
+    df = room_type_summary(small_tables)
+    tables.write_report(df, str(tmp_path / "csv"), fmt="csv")
+    tables.write_report(df, str(tmp_path / "pq"), fmt="parquet")
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == df.count()
+    assert sorted(spark.read.parquet(str(tmp_path / "pq")).collect()) == sorted(df.collect())
