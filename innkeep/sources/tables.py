@@ -111,8 +111,11 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> tuple[
         .json(path)
     )
     # Spark refuses queries that touch only the corrupt column of a raw JSON
-    # scan; persisting the parsed rows (or checkpointing) is the documented fix.
-    df = df.persist()
+    # scan; materialising the parsed rows is the documented fix.  A reliable
+    # checkpoint in the shared folder when there is one, else a cache.
+    from ..session import stage
+
+    df = stage(df) if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.where(F.col(CORRUPT).isNotNull()).select(
         F.col(CORRUPT).alias("raw"), F.lit("malformed record").alias("reason")
