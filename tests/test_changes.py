@@ -69,11 +69,12 @@ def test_two_new_requests_one_phone_make_one_customer(spark):
         [(5, " Ann ", "Lee", "0999", "Single", "2024-04-01 14:00:00", "2024-04-02 10:00:00"),
          (6, "Bo", "Lee", "0999", "Suite", "2024-04-01 14:00:00", "2024-04-03 10:00:00"),
          (7, "Cy", "Lee", "0241", "Suite", "2024-04-01", "2024-04-03"),
-         (8, "Di", "Lee", "0777", "Suite", "2024-04-05", "2024-04-03")],
+         (8, "Di", "Lee", "0777", "Suite", "2024-04-05", "2024-04-03"),
+         (9, "Ed", "Lee", "0778", "Suite", "next friday", "2024-04-03")],
         "change_seq long, fname string, lname string, phone string, room_type string, check_in string, check_out string",
     )
     new, rej = C.submit_requests(T, feed, "2024-01-15")
-    assert _reasons(rej, "change_seq") == {8: C.REQUEST_ORDER}
+    assert _reasons(rej, "change_seq") == {8: C.REQUEST_ORDER, 9: C.INVALID_DATE}
     made = new["customer"].where("PhoneNumber = '0999'").collect()
     assert len(made) == 1 and made[0].CustomerFName == "Ann"
     req = {r.RequestToken: r.CustomerID for r in new["reservation_request"].collect()}
@@ -268,3 +269,12 @@ def test_add_halls_restaurants_orders_events_feedback(spark):
     assert _reasons(rej, "change_seq") == {2: C.BAD_RATING, 3: "foreign_key: CustomerID"}
     fb = new["customer_feedback"].where("CustomerID = 'CU01'").first()
     assert (fb.Rating, fb.FeedbackDate) == (5, dt.date(2024, 1, 15))
+
+
+def test_set_amount_paid_last_wins(spark):
+    T = _tables(spark)
+    feed = spark.createDataFrame([(1, "INV1", D("0.75")), (2, "INV1", D("0")), (3, "INV2", None), (4, "INV9", D("1"))],
+                                 "change_seq long, invoice_no string, amount_paid decimal(10,2)")
+    new, rej = C.set_amount_paid(T, feed)
+    assert _reasons(rej, "change_seq") == {3: "not_null: AmountPaid", 4: C.NOT_FOUND}
+    assert {r.InvoiceNo: r.AmountPaid for r in new["invoice"].collect()} == {"INV1": D("0.00"), "INV2": D("10.00")}
