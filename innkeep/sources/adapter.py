@@ -5,9 +5,11 @@ so Catalyst prunes columns and tables that a query does not use, and the
 work grows with the input.  Identifiers stay ``bigint``.
 
 The three table sizes the mapping depends on (``np`` parts, ``nc``
-customers, ``h`` = half the suppliers) are *scalar subqueries*: Spark runs
-each once per query as a one-row aggregate (a Parquet footer count), and no
-value is pulled through the driver by our code.
+customers, ``h`` = half the suppliers) are passed in as numbers when the
+caller has counted the tables (:func:`innkeep.sources.tables.load_tables`
+does, once per session and directory: a footer-only count per table).
+Without them they are scalar subqueries; Spark does not reuse those across
+the many references of one plan, so the counted form is the default.
 
 The same mapping is written in DuckDB SQL in :mod:`innkeep.plans.oracle`.
 """
@@ -47,12 +49,20 @@ def _stay_window(o: DataFrame):
     return check_in, check_out
 
 
-def hotel_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Map the driver tables (by name) to the 13 bookings tables."""
+def hotel_tables(raw: dict[str, DataFrame], sizes: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """Map the driver tables (by name) to the 13 bookings tables.
+
+    ``sizes``: row counts of ``part``, ``customer`` and ``supplier`` if known.
+    """
     supplier, customer, part, orders = raw["supplier"], raw["customer"], raw["part"], raw["orders"]
-    n_parts = _count(part)
-    n_customers = _count(customer)
-    half_suppliers = F.floor(_count(supplier) / 2).cast("bigint")
+    if sizes:
+        n_parts = F.lit(sizes["part"]).cast("bigint")
+        n_customers = F.lit(sizes["customer"]).cast("bigint")
+        half_suppliers = F.lit(sizes["supplier"] // 2).cast("bigint")
+    else:
+        n_parts = _count(part)
+        n_customers = _count(customer)
+        half_suppliers = F.floor(_count(supplier) / 2).cast("bigint")
 
     sk = F.col("s_suppkey")
     staff = supplier.select(
