@@ -151,9 +151,10 @@ def _latest(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(payload, F.col("__seq")).alias("__l")).select(*keys, "__l.*")
 
 
-def _outcome(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _outcome(df: DataFrame, staged: bool = False) -> tuple[DataFrame, DataFrame]:
     """Split judged changes into valid rows and rejects (one staged scan)."""
-    df = stage(df)
+    if not staged:
+        df = stage(df)
     valid = df.where(F.col("reason").isNull()).drop("reason")
     rejects = df.where(F.col("reason").isNotNull()).select(f"{IN}.*", "reason")
     return valid, rejects
@@ -491,7 +492,8 @@ def checkout_and_bill(T_: Tables, changes: DataFrame, as_of):
         [(F.col("__found").isNull(), NOT_FOUND), (F.col("CheckOut") <= F.col("CheckIn"), STAY_ORDER)],
     )
     valid, rejects = _outcome(df)
-    last = _latest(valid, ["ReservationID"], ["RoomID", "CustomerID", "CheckIn", "CheckOut", "__seq"])
+    # one row per stay, read by four branches (stays, rooms, invoice update, new invoices)
+    last = stage(_latest(valid, ["ReservationID"], ["RoomID", "CustomerID", "CheckIn", "CheckOut", "__seq"]))
 
     new_res = _replace(res, "ReservationID", last, ["CheckOut"])
     freed = last.select("RoomID", "CheckOut", F.lit("Vacant").alias("RoomStatus"), F.col("__seq").alias(SEQ))
@@ -657,6 +659,8 @@ def decide_requests(T_: Tables, approvals: DataFrame | None = None, declines: Da
                 F.col("staff_id").try_cast("string").alias("staff_id"),
             )
         )
+    if not parts:
+        raise ValueError("decide_requests needs approvals, declines or both")
     feed = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     id_t = res.schema["RoomID"].dataType
     df = _pack(
@@ -750,12 +754,14 @@ def record_payments(T_: Tables, changes: DataFrame):
         {"InvoiceNo": F.col("invoice_no").try_cast(inv.schema["InvoiceNo"].dataType), "amount": F.col("amount").try_cast("decimal(20,2)")},
     )
     df = _present(df, inv, "InvoiceNo", "InvoiceNo", "__found")
-    df = _judge(
-        df,
-        [
-            (F.col("amount").isNull() | (F.col("amount") <= 0), BAD_PAYMENT),
-            (F.col("__found").isNull(), NOT_FOUND),
-        ],
+    df = stage(
+        _judge(
+            df,
+            [
+                (F.col("amount").isNull() | (F.col("amount") <= 0), BAD_PAYMENT),
+                (F.col("__found").isNull(), NOT_FOUND),
+            ],
+        )
     )
     ok = df.where(F.col("reason").isNull())
     totals = ok.groupBy("InvoiceNo").agg(F.sum("amount").alias("__paid_now"))
@@ -767,7 +773,7 @@ def record_payments(T_: Tables, changes: DataFrame):
     )
     df = df.join(fits.select(F.col("InvoiceNo").alias("__fk2"), "__fits"), F.col("InvoiceNo") == F.col("__fk2"), "left")
     df = _judge(df.drop("__fk2"), [(~F.coalesce(F.col("__fits"), F.lit(True)), "size: AmountPaid")])
-    _, rejects = _outcome(df)
+    _, rejects = _outcome(df, staged=True)
     return {"invoice": _replace(inv, "InvoiceNo", fits.where("__fits"), ["AmountPaid"])}, rejects
 
 
