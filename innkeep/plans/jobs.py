@@ -1183,3 +1183,76 @@ WHERE FeedbackID NOT IN (SELECT feedback_id FROM judged WHERE reason IS NULL)
 register("feedback_removal_rejects", _FEEDBACK_REMOVAL_SQL + """
 SELECT change_seq, feedback_id, reason FROM judged WHERE reason IS NOT NULL
 """)(lambda c: C.remove_feedback(c.T, feedback_removal_feed(c.T))[1])
+
+
+# ================================================== I19 halls and restaurants
+
+def hall_feed(T) -> DataFrame:
+    h = T["conference_hall"]
+    k = F.col("HallID")
+    return h.select(
+        (k + 1).alias(SEQ),
+        F.lit(None).cast("bigint").alias("hall_id"),
+        F.concat(F.col("HallName"), F.lit(" Annex")).alias("name"),
+        F.when(k % 5 == 0, F.lit(0)).otherwise(F.col("Capacity") + 5).cast("int").alias("capacity"),
+    )
+
+
+_HALL_SQL = f"""
+WITH feed AS (
+  SELECT HallID + 1 AS change_seq, CAST(NULL AS BIGINT) AS hall_id, HallName || ' Annex' AS name,
+         CAST(CASE WHEN HallID % 5 = 0 THEN 0 ELSE Capacity + 5 END AS INTEGER) AS capacity
+  FROM hotel_conference_hall),
+judged AS (
+  SELECT feed.*, (SELECT max(HallID) FROM hotel_conference_hall) + change_seq AS new_id,
+         CASE WHEN name IS NULL OR name = '' OR capacity IS NULL OR capacity = 0 THEN '{C.MISSING}'
+              WHEN length(name) > 50 THEN 'size: HallName'
+              WHEN (SELECT max(HallID) FROM hotel_conference_hall) + change_seq
+                   IN (SELECT HallID FROM hotel_conference_hall) THEN 'duplicate key' END AS reason
+  FROM feed)
+"""
+
+register("hall_additions", _HALL_SQL + """
+SELECT HallID, HallName, Capacity FROM hotel_conference_hall
+UNION ALL SELECT new_id, name, capacity FROM judged WHERE reason IS NULL
+""")(lambda c: C.add_halls(c.T, hall_feed(c.T))[0]["conference_hall"])
+
+register("hall_addition_rejects", _HALL_SQL + """
+SELECT change_seq, hall_id, name, capacity, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: C.add_halls(c.T, hall_feed(c.T))[1])
+
+
+def restaurant_feed(T) -> DataFrame:
+    r = T["restaurant"]
+    k = F.col("RestaurantID")
+    return r.select(
+        (k + 1).alias(SEQ),
+        F.when(k == 0, k + 1).otherwise(F.lit(None)).cast("bigint").alias("restaurant_id"),
+        F.concat(F.col("RestaurantName"), F.lit(" Bar")).alias("name"),
+        F.col("SeatingCapacity").alias("seating_capacity"),
+    )
+
+
+_RESTAURANT_SQL = f"""
+WITH feed AS (
+  SELECT RestaurantID + 1 AS change_seq, CAST(CASE WHEN RestaurantID = 0 THEN RestaurantID + 1 END AS BIGINT) AS restaurant_id,
+         RestaurantName || ' Bar' AS name, SeatingCapacity AS seating_capacity
+  FROM hotel_restaurant),
+judged AS (
+  SELECT feed.*, COALESCE(NULLIF(restaurant_id, 0), (SELECT max(RestaurantID) FROM hotel_restaurant) + change_seq)
+           AS new_id,
+         CASE WHEN name IS NULL OR name = '' OR seating_capacity IS NULL OR seating_capacity = 0 THEN '{C.MISSING}'
+              WHEN length(name) > 50 THEN 'size: RestaurantName'
+              WHEN COALESCE(NULLIF(restaurant_id, 0), (SELECT max(RestaurantID) FROM hotel_restaurant) + change_seq)
+                   IN (SELECT RestaurantID FROM hotel_restaurant) THEN 'duplicate key' END AS reason
+  FROM feed)
+"""
+
+register("restaurant_additions", _RESTAURANT_SQL + """
+SELECT RestaurantID, RestaurantName, SeatingCapacity FROM hotel_restaurant
+UNION ALL SELECT new_id, name, seating_capacity FROM judged WHERE reason IS NULL
+""")(lambda c: C.add_restaurants(c.T, restaurant_feed(c.T))[0]["restaurant"])
+
+register("restaurant_addition_rejects", _RESTAURANT_SQL + """
+SELECT change_seq, restaurant_id, name, seating_capacity, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: C.add_restaurants(c.T, restaurant_feed(c.T))[1])

@@ -126,9 +126,18 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> tuple[
     return good, bad
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
-    """A4: emit result rows (JSON lines by default, one file per partition)."""
+def write_report(
+    df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite", partition_by: list[str] | None = None
+) -> None:
+    """A4: emit result rows (JSON lines by default, one file per partition).
+
+    ``partition_by`` writes one folder per value (e.g. a date column) so
+    readers prune whole folders; each task writes its own files, nothing
+    passes through the driver.
+    """
     writer = df.write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     if fmt == "json":
         writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").json(path)
     elif fmt == "csv":

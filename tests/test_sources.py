@@ -76,3 +76,13 @@ def test_write_report_csv_and_parquet(spark, small_tables, tmp_path):
     tables.write_report(df, str(tmp_path / "pq"), fmt="parquet")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == df.count()
     assert sorted(spark.read.parquet(str(tmp_path / "pq")).collect()) == sorted(df.collect())
+
+
+def test_write_report_partitioned(spark, small_tables, tmp_path):
+    from innkeep.operators.views import upcoming_events
+
+    df = upcoming_events(small_tables, "2024-01-15", ordered=False).select("EventID", "EventType")
+    tables.write_report(df, str(tmp_path / "ev"), fmt="parquet", partition_by=["EventType"])
+    folders = sorted(p.name for p in (tmp_path / "ev").iterdir() if p.is_dir())
+    assert folders and all(f.startswith("EventType=") for f in folders)
+    assert spark.read.parquet(str(tmp_path / "ev")).count() == df.count()
