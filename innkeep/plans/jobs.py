@@ -1188,21 +1188,22 @@ SELECT change_seq, feedback_id, reason FROM judged WHERE reason IS NOT NULL
 # ================================================== I19 halls and restaurants
 
 def hall_feed(T) -> DataFrame:
-    h = T["conference_hall"]
-    k = F.col("HallID")
-    return h.select(
+    # one requested hall per 50 events: grows with the event table
+    e = T["event"]
+    k = F.col("EventID")
+    return e.where(k % 50 == 0).select(
         (k + 1).alias(SEQ),
         F.lit(None).cast("bigint").alias("hall_id"),
-        F.concat(F.col("HallName"), F.lit(" Annex")).alias("name"),
-        F.when(k % 5 == 0, F.lit(0)).otherwise(F.col("Capacity") + 5).cast("int").alias("capacity"),
+        F.concat(F.lit("Hall for "), F.col("EventType")).alias("name"),
+        (k % 300).cast("int").alias("capacity"),
     )
 
 
 _HALL_SQL = f"""
 WITH feed AS (
-  SELECT HallID + 1 AS change_seq, CAST(NULL AS BIGINT) AS hall_id, HallName || ' Annex' AS name,
-         CAST(CASE WHEN HallID % 5 = 0 THEN 0 ELSE Capacity + 5 END AS INTEGER) AS capacity
-  FROM hotel_conference_hall),
+  SELECT EventID + 1 AS change_seq, CAST(NULL AS BIGINT) AS hall_id, 'Hall for ' || EventType AS name,
+         CAST(EventID % 300 AS INTEGER) AS capacity
+  FROM hotel_event WHERE EventID % 50 = 0),
 judged AS (
   SELECT feed.*, (SELECT max(HallID) FROM hotel_conference_hall) + change_seq AS new_id,
          CASE WHEN name IS NULL OR name = '' OR capacity IS NULL OR capacity = 0 THEN '{C.MISSING}'
@@ -1223,21 +1224,22 @@ SELECT change_seq, hall_id, name, capacity, reason FROM judged WHERE reason IS N
 
 
 def restaurant_feed(T) -> DataFrame:
-    r = T["restaurant"]
-    k = F.col("RestaurantID")
-    return r.select(
-        (k + 1).alias(SEQ),
-        F.when(k == 0, k + 1).otherwise(F.lit(None)).cast("bigint").alias("restaurant_id"),
-        F.concat(F.col("RestaurantName"), F.lit(" Bar")).alias("name"),
-        F.col("SeatingCapacity").alias("seating_capacity"),
+    # one requested restaurant per 100 orders: grows with the orders table
+    r = T["reservation"]
+    k = F.col("ReservationID")
+    return r.where(k % 100 == 0).select(
+        k.alias(SEQ),
+        F.when(k % 700 == 0, F.lit(1)).cast("bigint").alias("restaurant_id"),
+        F.concat(F.lit("Bistro "), k.cast("string")).alias("name"),
+        (k % 120).cast("int").alias("seating_capacity"),
     )
 
 
 _RESTAURANT_SQL = f"""
 WITH feed AS (
-  SELECT RestaurantID + 1 AS change_seq, CAST(CASE WHEN RestaurantID = 0 THEN RestaurantID + 1 END AS BIGINT) AS restaurant_id,
-         RestaurantName || ' Bar' AS name, SeatingCapacity AS seating_capacity
-  FROM hotel_restaurant),
+  SELECT ReservationID AS change_seq, CAST(CASE WHEN ReservationID % 700 = 0 THEN 1 END AS BIGINT) AS restaurant_id,
+         'Bistro ' || CAST(ReservationID AS VARCHAR) AS name, CAST(ReservationID % 120 AS INTEGER) AS seating_capacity
+  FROM hotel_reservation WHERE ReservationID % 100 = 0),
 judged AS (
   SELECT feed.*, COALESCE(NULLIF(restaurant_id, 0), (SELECT max(RestaurantID) FROM hotel_restaurant) + change_seq)
            AS new_id,
