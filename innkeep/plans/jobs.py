@@ -62,7 +62,7 @@ def checkout_feed(T) -> DataFrame:
     default = open_.where(k % 11 == 0).select(
         (4 * k + 3).alias(SEQ), k.alias("reservation_id"), F.lit(None).cast(TS).alias("check_out")
     )
-    rebill = r.where(F.col("CheckOut").isNotNull() & (k % 17 == 0)).select(
+    rebill = r.where(F.col("CheckOut").isNotNull()).select(
         (4 * k).alias(SEQ), k.alias("reservation_id"), (F.col("CheckOut") + _days_hours(1, 0)).alias("check_out")
     )
     return first.unionByName(second).unionByName(unknown).unionByName(default).unionByName(rebill)
@@ -86,7 +86,7 @@ WITH feed AS (
   FROM hotel_reservation WHERE CheckOut IS NULL AND ReservationID % 11 = 0
   UNION ALL
   SELECT 4 * ReservationID, ReservationID, CheckOut + INTERVAL 1 DAY
-  FROM hotel_reservation WHERE CheckOut IS NOT NULL AND ReservationID % 17 = 0),
+  FROM hotel_reservation WHERE CheckOut IS NOT NULL),
 judged AS (
   SELECT f.*, r.RoomID, r.CustomerID, r.CheckIn,
          COALESCE(f.check_out, TIMESTAMP '{CHECKOUT_AS_OF}') AS new_out,
@@ -140,7 +140,7 @@ SELECT change_seq, reservation_id, check_out, reason FROM judged WHERE reason IS
 def payment_feed(T) -> DataFrame:
     k = F.col("ReservationID")  # every order key; invoices exist for key % 4 <> 0
     r = T["reservation"]
-    first = r.where(k % 3 == 0).select(
+    first = r.select(
         (2 * k).alias(SEQ), k.alias("invoice_no"), ((k % 7) * 10).cast("decimal(10,2)").alias("amount")
     )
     second = r.where(k % 6 == 0).select(
@@ -153,7 +153,7 @@ _PAYMENT_SQL = f"""
 WITH feed AS (
   SELECT 2 * ReservationID AS change_seq, ReservationID AS invoice_no,
          CAST((ReservationID % 7) * 10 AS DECIMAL(10,2)) AS amount
-  FROM hotel_reservation WHERE ReservationID % 3 = 0
+  FROM hotel_reservation
   UNION ALL
   SELECT 2 * ReservationID + 1, ReservationID, CAST(5.25 AS DECIMAL(10,2))
   FROM hotel_reservation WHERE ReservationID % 6 = 0),
@@ -194,24 +194,19 @@ def request_feed(T) -> DataFrame:
     check_in = F.lit("2024-02-01 14:00:00").cast(TS) + _days_hours(k % 30, 0)
     check_out = check_in + _days_hours(k % 4, 0)
     room_type = F.concat(F.lit("Suite "), (k % 3).cast("string"))
-    known = cu.where(k % 7 == 0).select(
-        (2 * k).alias(SEQ),
-        F.when(k % 19 == 0, F.lit(" ")).otherwise(F.col("CustomerFName")).alias("fname"),
-        F.col("CustomerLName").alias("lname"),
-        F.col("PhoneNumber").alias("phone"),
-        room_type.alias("room_type"),
-        check_in.alias("check_in"),
-        check_out.alias("check_out"),
-    )
     unseen_phone = F.concat(F.lit("1"), F.lpad(k.cast("string"), 9, "0"))
-    unseen = cu.where(k % 7 == 1).select(
+    new_guest = k % 7 == 1  # every seventh customer writes in from a new phone
+    first = cu.select(
         (2 * k).alias(SEQ),
-        F.concat(F.lit(" New"), k.cast("string")).alias("fname"),
+        F.when(new_guest, F.concat(F.lit(" New"), k.cast("string")))
+        .when(k % 19 == 0, F.lit(" "))
+        .otherwise(F.col("CustomerFName"))
+        .alias("fname"),
         F.col("CustomerLName").alias("lname"),
-        unseen_phone.alias("phone"),
+        F.when(new_guest, unseen_phone).otherwise(F.col("PhoneNumber")).alias("phone"),
         room_type.alias("room_type"),
         check_in.alias("check_in"),
-        (check_in + _days_hours(2, 0)).alias("check_out"),
+        F.when(new_guest, check_in + _days_hours(2, 0)).otherwise(check_out).alias("check_out"),
     )
     again = cu.where(k % 14 == 1).select(
         (2 * k + 1).alias(SEQ),
@@ -222,25 +217,23 @@ def request_feed(T) -> DataFrame:
         check_in.alias("check_in"),
         (check_in + _days_hours(1, 0)).alias("check_out"),
     )
-    return known.unionByName(unseen).unionByName(again)
+    return first.unionByName(again)
 
 
 _REQUEST_SQL = f"""
 WITH feed AS (
   SELECT 2 * CustomerID AS change_seq,
-         CASE WHEN CustomerID % 19 = 0 THEN ' ' ELSE CustomerFName END AS fname,
-         CustomerLName AS lname, PhoneNumber AS phone,
+         CASE WHEN CustomerID % 7 = 1 THEN ' New' || CAST(CustomerID AS VARCHAR)
+              WHEN CustomerID % 19 = 0 THEN ' ' ELSE CustomerFName END AS fname,
+         CustomerLName AS lname,
+         CASE WHEN CustomerID % 7 = 1 THEN '1' || lpad(CAST(CustomerID AS VARCHAR), 9, '0') ELSE PhoneNumber END
+           AS phone,
          'Suite ' || CAST(CustomerID % 3 AS VARCHAR) AS room_type,
          TIMESTAMP '2024-02-01 14:00:00' + to_days(CAST(CustomerID % 30 AS INTEGER)) AS check_in,
          TIMESTAMP '2024-02-01 14:00:00' + to_days(CAST(CustomerID % 30 AS INTEGER))
-           + to_days(CAST(CustomerID % 4 AS INTEGER)) AS check_out
-  FROM hotel_customer WHERE CustomerID % 7 = 0
-  UNION ALL
-  SELECT 2 * CustomerID, ' New' || CAST(CustomerID AS VARCHAR), CustomerLName,
-         '1' || lpad(CAST(CustomerID AS VARCHAR), 9, '0'), 'Suite ' || CAST(CustomerID % 3 AS VARCHAR),
-         TIMESTAMP '2024-02-01 14:00:00' + to_days(CAST(CustomerID % 30 AS INTEGER)),
-         TIMESTAMP '2024-02-01 14:00:00' + to_days(CAST(CustomerID % 30 AS INTEGER)) + INTERVAL 2 DAY
-  FROM hotel_customer WHERE CustomerID % 7 = 1
+           + CASE WHEN CustomerID % 7 = 1 THEN INTERVAL 2 DAY ELSE to_days(CAST(CustomerID % 4 AS INTEGER)) END
+           AS check_out
+  FROM hotel_customer
   UNION ALL
   SELECT 2 * CustomerID + 1, 'Again' || CAST(CustomerID AS VARCHAR), 'Guest',
          '1' || lpad(CAST(CustomerID AS VARCHAR), 9, '0'), 'Suite ' || CAST(CustomerID % 3 AS VARCHAR),
@@ -412,7 +405,7 @@ def booking_feed(T) -> DataFrame:
     r = T["reservation"]
     k = F.col("ReservationID")
     check_in = F.col("CheckIn") + _days_hours(30, 0)
-    return r.where(k % 13 == 0).select(
+    return r.select(
         k.alias(SEQ),
         F.lit(None).cast("bigint").alias("reservation_id"),
         F.when(k % 39 == 0, -k).otherwise(F.col("RoomID")).alias("room_id"),
@@ -436,7 +429,7 @@ WITH feed AS (
          CASE WHEN ReservationID % 2 = 0 THEN CAST(NULL AS TIMESTAMP)
               WHEN ReservationID % 5 = 0 THEN CheckIn + INTERVAL 30 DAY - INTERVAL 1 HOUR
               ELSE CheckIn + INTERVAL 32 DAY END AS check_out
-  FROM hotel_reservation WHERE ReservationID % 13 = 0),
+  FROM hotel_reservation),
 judged AS (
   SELECT feed.*, (SELECT max(ReservationID) FROM hotel_reservation) + change_seq AS new_id,
          CASE WHEN room_id IS NULL OR room_id = 0 OR customer_id IS NULL OR customer_id = 0
@@ -498,7 +491,7 @@ def _replayed_room_status(c: Context) -> DataFrame:
 def room_status_feed(T) -> DataFrame:
     rm = T["room"]
     k = F.col("RoomNo")
-    a = rm.where(k % 9 == 0).select(
+    a = rm.select(
         (2 * k).alias(SEQ), k.alias("room_no"), F.when(k % 2 == 0, "Vacant").otherwise("Occupied").alias("status")
     )
     b = rm.where(k % 27 == 0).select((2 * k + 1).alias(SEQ), k.alias("room_no"), F.lit("Cleaning").alias("status"))
@@ -509,7 +502,7 @@ _ROOM_STATUS_SQL = f"""
 WITH feed AS (
   SELECT 2 * RoomNo AS change_seq, RoomNo AS room_no,
          CASE WHEN RoomNo % 2 = 0 THEN 'Vacant' ELSE 'Occupied' END AS status
-  FROM hotel_room WHERE RoomNo % 9 = 0
+  FROM hotel_room
   UNION ALL
   SELECT 2 * RoomNo + 1, RoomNo, 'Cleaning' FROM hotel_room WHERE RoomNo % 27 = 0),
 judged AS (
@@ -536,7 +529,7 @@ SELECT change_seq, room_no, status, reason FROM judged WHERE reason IS NOT NULL
 def stay_delete_feed(T) -> DataFrame:
     r = T["reservation"]
     k = F.col("ReservationID")
-    a = r.where(k % 11 == 0).select((2 * k).alias(SEQ), k.alias("reservation_id"))
+    a = r.select((2 * k).alias(SEQ), k.alias("reservation_id"))
     b = r.where(k % 22 == 0).select((2 * k + 1).alias(SEQ), (-k).alias("reservation_id"))
     return a.unionByName(b)
 
@@ -544,7 +537,6 @@ def stay_delete_feed(T) -> DataFrame:
 _STAY_DELETE_SQL = f"""
 WITH feed AS (
   SELECT 2 * ReservationID AS change_seq, ReservationID AS reservation_id FROM hotel_reservation
-  WHERE ReservationID % 11 = 0
   UNION ALL
   SELECT 2 * ReservationID + 1, -ReservationID FROM hotel_reservation WHERE ReservationID % 22 = 0),
 judged AS (
@@ -579,11 +571,11 @@ SELECT change_seq, reservation_id, reason FROM judged WHERE reason IS NOT NULL
 
 def staff_removal_feed(T) -> DataFrame:
     k = F.col("StaffID")
-    return T["staff"].where(k % 3 == 0).select(k.alias(SEQ), k.alias("staff_id"))
+    return T["staff"].select(k.alias(SEQ), k.alias("staff_id"))
 
 
 _STAFF_REMOVAL_SQL = f"""
-WITH feed AS (SELECT StaffID AS change_seq, StaffID AS staff_id FROM hotel_staff WHERE StaffID % 3 = 0),
+WITH feed AS (SELECT StaffID AS change_seq, StaffID AS staff_id FROM hotel_staff),
 judged AS (
   SELECT f.*, CASE WHEN s.StaffID IS NULL THEN 'not found'
                    WHEN f.staff_id IN (SELECT StaffID FROM hotel_reservation) THEN '{C.REFERENCED}reservation.StaffID'
@@ -616,11 +608,11 @@ SELECT change_seq, staff_id, reason FROM judged WHERE reason IS NOT NULL
 
 def customer_removal_feed(T) -> DataFrame:
     k = F.col("CustomerID")
-    return T["customer"].where(k % 11 == 0).select(k.alias(SEQ), k.alias("customer_id"))
+    return T["customer"].select(k.alias(SEQ), k.alias("customer_id"))
 
 
 _CUSTOMER_REMOVAL_SQL = f"""
-WITH feed AS (SELECT CustomerID AS change_seq, CustomerID AS customer_id FROM hotel_customer WHERE CustomerID % 11 = 0),
+WITH feed AS (SELECT CustomerID AS change_seq, CustomerID AS customer_id FROM hotel_customer),
 judged AS (
   SELECT f.*, CASE WHEN c.CustomerID IS NULL THEN 'not found'
     WHEN f.customer_id IN (SELECT CustomerID FROM hotel_reservation) THEN '{C.REFERENCED}reservation.CustomerID'
@@ -657,7 +649,7 @@ SELECT change_seq, customer_id, reason FROM judged WHERE reason IS NOT NULL
 def customer_add_feed(T) -> DataFrame:
     cu = T["customer"]
     k = F.col("CustomerID")
-    a = cu.where(k % 10 == 0).select(
+    a = cu.select(
         (4 * k).alias(SEQ),
         F.lit(None).cast("bigint").alias("customer_id"),
         F.when(k % 30 == 0, F.lit("")).otherwise(F.col("CustomerFName")).alias("fname"),
@@ -675,7 +667,7 @@ _CUSTOMER_ADD_SQL = f"""
 WITH feed AS (
   SELECT 4 * CustomerID AS change_seq, CAST(NULL AS BIGINT) AS customer_id,
          CASE WHEN CustomerID % 30 = 0 THEN '' ELSE CustomerFName END AS fname, 'Copy' AS lname, PhoneNumber AS phone
-  FROM hotel_customer WHERE CustomerID % 10 = 0
+  FROM hotel_customer
   UNION ALL
   SELECT 4 * CustomerID + 1, CustomerID, 'Dup', 'Row', PhoneNumber FROM hotel_customer WHERE CustomerID % 20 = 0),
 ided AS (
@@ -715,7 +707,7 @@ def customer_edit_feed(T) -> DataFrame:
     cols = lambda seq, cid, f, l: cu.select(seq.alias(SEQ), cid.alias("customer_id"), f.alias("fname"),
                                             l.alias("lname"), F.col("PhoneNumber").alias("phone"))
     return (
-        cols(4 * k, k, F.lower("CustomerFName"), F.col("CustomerLName")).where(k % 10 == 5)
+        cols(4 * k, k, F.lower("CustomerFName"), F.col("CustomerLName"))
         .unionByName(cols(4 * k + 1, k, F.lit("Zed"), F.lit(None).cast("string")).where(k % 30 == 5))
         .unionByName(cols(4 * k + 2, -k, F.lit("Ghost"), F.lit("Row")).where(k % 40 == 5))
         .unionByName(cols(4 * k + 3, k, F.lit("Late"), F.col("CustomerLName")).where(k % 20 == 5))
@@ -725,7 +717,7 @@ def customer_edit_feed(T) -> DataFrame:
 _CUSTOMER_EDIT_SQL = f"""
 WITH feed AS (
   SELECT 4 * CustomerID AS change_seq, CustomerID AS customer_id, lower(CustomerFName) AS fname,
-         CustomerLName AS lname, PhoneNumber AS phone FROM hotel_customer WHERE CustomerID % 10 = 5
+         CustomerLName AS lname, PhoneNumber AS phone FROM hotel_customer
   UNION ALL SELECT 4 * CustomerID + 1, CustomerID, 'Zed', NULL, PhoneNumber FROM hotel_customer WHERE CustomerID % 30 = 5
   UNION ALL SELECT 4 * CustomerID + 2, -CustomerID, 'Ghost', 'Row', PhoneNumber FROM hotel_customer WHERE CustomerID % 40 = 5
   UNION ALL SELECT 4 * CustomerID + 3, CustomerID, 'Late', CustomerLName, PhoneNumber FROM hotel_customer
@@ -762,14 +754,18 @@ def invoice_feed(T) -> DataFrame:
     k = F.col("ReservationID")
     pay = (100 + k % 50).cast("decimal(10,2)")
 
-    def rows(seq, inv, res, cust, paid):
-        return r.select(seq.alias(SEQ), inv.alias("invoice_no"), res.alias("reservation_id"), cust.alias("customer_id"),
-                        pay.alias("amount_payable"), paid.alias("amount_paid"))
+    def rows(seq, inv, res, cust, paid, src=r):
+        return src.select(seq.alias(SEQ), inv.alias("invoice_no"), res.alias("reservation_id"),
+                          cust.alias("customer_id"), pay.alias("amount_payable"), paid.alias("amount_paid"))
+
+    # every stay that no invoice refers to gets one
+    billed = T["invoice"].where(F.col("ReservationID").isNotNull()).select("ReservationID")
+    unbilled = r.join(billed, "ReservationID", "left_anti")
 
     none = F.lit(None).cast("bigint")
     return (
         rows(4 * k, k, F.when(k % 8 != 0, k), F.col("CustomerID"),
-             F.when(k % 3 == 0, (k % 50).cast("decimal(10,2)"))).where(k % 4 == 0)
+             F.when(k % 3 == 0, (k % 50).cast("decimal(10,2)")), src=unbilled)
         .unionByName(rows(4 * k + 1, k - 1, k, F.col("CustomerID"), F.lit(None).cast("decimal(10,2)")).where(k % 12 == 0))
         .unionByName(rows(4 * k + 2, none, -k, F.col("CustomerID"), F.lit(None).cast("decimal(10,2)")).where(k % 16 == 0))
         .unionByName(rows(4 * k + 3, none, none, none, F.lit(None).cast("decimal(10,2)")).where(k % 20 == 0))
@@ -782,7 +778,8 @@ WITH feed AS (
          CASE WHEN ReservationID % 8 <> 0 THEN ReservationID END AS reservation_id, CustomerID AS customer_id,
          CAST(100 + ReservationID % 50 AS DECIMAL(10,2)) AS amount_payable,
          CASE WHEN ReservationID % 3 = 0 THEN CAST(ReservationID % 50 AS DECIMAL(10,2)) END AS amount_paid
-  FROM hotel_reservation WHERE ReservationID % 4 = 0
+  FROM hotel_reservation
+  WHERE ReservationID NOT IN (SELECT ReservationID FROM hotel_invoice WHERE ReservationID IS NOT NULL)
   UNION ALL SELECT 4 * ReservationID + 1, ReservationID - 1, ReservationID, CustomerID,
          CAST(100 + ReservationID % 50 AS DECIMAL(10,2)), NULL FROM hotel_reservation WHERE ReservationID % 12 = 0
   UNION ALL SELECT 4 * ReservationID + 2, NULL, -ReservationID, CustomerID,
@@ -830,7 +827,7 @@ FROM final WHERE reason IS NOT NULL
 def staff_feed(T) -> DataFrame:
     s = T["staff"]
     k = F.col("StaffID")
-    return s.where(k % 2 == 1).select(
+    return s.select(
         k.alias(SEQ),
         F.lit(None).cast("bigint").alias("staff_id"),
         F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("StaffFName")).alias("fname"),
@@ -851,7 +848,7 @@ WITH feed AS (
          CASE WHEN StaffID % 9 = 0 THEN 'Chef' WHEN StaffID % 4 = 1 THEN 'Housekeeping' ELSE 'Front Desk' END AS role,
          CASE WHEN StaffID % 11 = 0 THEN 'Night' ELSE 'Morning' END AS shift,
          CAST(StaffID % 25 AS INTEGER) AS floor
-  FROM hotel_staff WHERE StaffID % 2 = 1),
+  FROM hotel_staff),
 named AS (
   SELECT feed.*,
          CASE WHEN fname IS NULL AND full_name IS NOT NULL THEN split_part(trim(full_name), ' ', 1) ELSE fname END AS f,
@@ -898,7 +895,7 @@ def room_upsert_feed(T) -> DataFrame:
     rm = T["room"]
     k = F.col("RoomNo")
     cols = [c for c in rm.columns if c != "RoomRate"]
-    a = rm.where(k % 6 == 0).select(*cols, (F.col("RoomRate") + 10).cast("decimal(10,2)").alias("RoomRate"),
+    a = rm.select(*cols, (F.col("RoomRate") + 10).cast("decimal(10,2)").alias("RoomRate"),
                                     F.lit(1).cast("bigint").alias(SEQ))
     b = rm.where(k % 12 == 0).select(*cols, (F.col("RoomRate") + 20).cast("decimal(10,2)").alias("RoomRate"),
                                      F.lit(2).cast("bigint").alias(SEQ))
@@ -910,7 +907,7 @@ def room_upsert_feed(T) -> DataFrame:
 register("room_upserts", f"""
 WITH feed AS (
   SELECT RoomNo, RoomType, CAST(RoomRate + 10 AS DECIMAL(10,2)) AS RoomRate, RoomStatus, HousekeeperID, 1 AS seq
-  FROM hotel_room WHERE RoomNo % 6 = 0
+  FROM hotel_room
   UNION ALL SELECT RoomNo, RoomType, CAST(RoomRate + 20 AS DECIMAL(10,2)), RoomStatus, HousekeeperID, 2
   FROM hotel_room WHERE RoomNo % 12 = 0
   UNION ALL SELECT -RoomNo, RoomType, RoomRate, RoomStatus, HousekeeperID, 1 FROM hotel_room WHERE RoomNo % 30 = 0),
@@ -924,7 +921,7 @@ SELECT {_ROOM_COLS} FROM last
 def room_add_feed(T) -> DataFrame:
     rm = T["room"]
     k = F.col("RoomNo")
-    a = rm.where(k % 25 == 0).select(
+    a = rm.select(
         (2 * k).alias(SEQ), F.lit(None).cast("bigint").alias("room_no"), F.col("RoomType").alias("room_type"),
         F.when(k % 50 == 0, F.lit(0)).otherwise(F.col("RoomRate") + 1).cast("decimal(10,2)").alias("rate"),
         F.col("HousekeeperID").alias("housekeeper_id"),
@@ -941,7 +938,7 @@ WITH feed AS (
   SELECT 2 * RoomNo AS change_seq, CAST(NULL AS BIGINT) AS room_no, RoomType AS room_type,
          CAST(CASE WHEN RoomNo % 50 = 0 THEN 0 ELSE RoomRate + 1 END AS DECIMAL(10,2)) AS rate,
          HousekeeperID AS housekeeper_id
-  FROM hotel_room WHERE RoomNo % 25 = 0
+  FROM hotel_room
   UNION ALL SELECT 2 * RoomNo + 1, RoomNo, RoomType, RoomRate, NULL FROM hotel_room WHERE RoomNo % 75 = 0),
 ided AS (
   SELECT feed.*, COALESCE(NULLIF(room_no, 0), (SELECT max(RoomNo) FROM hotel_room) + change_seq) AS new_no,
@@ -972,7 +969,7 @@ SELECT change_seq, room_no, room_type, rate, housekeeper_id, reason FROM judged
 def room_edit_feed(T) -> DataFrame:
     rm = T["room"]
     k = F.col("RoomNo")
-    a = rm.where(k % 25 == 1).select(
+    a = rm.select(
         (2 * k).alias(SEQ), k.alias("room_no"), F.concat(F.col("RoomType"), F.lit(" X")).alias("room_type"),
         (F.col("RoomRate") * 2).cast("decimal(10,2)").alias("rate"),
     )
@@ -987,7 +984,7 @@ _ROOM_EDIT_SQL = """
 WITH feed AS (
   SELECT 2 * RoomNo AS change_seq, RoomNo AS room_no, RoomType || ' X' AS room_type,
          CAST(RoomRate * 2 AS DECIMAL(10,2)) AS rate
-  FROM hotel_room WHERE RoomNo % 25 = 1
+  FROM hotel_room
   UNION ALL SELECT 2 * RoomNo + 1, RoomNo, RoomType, NULL FROM hotel_room WHERE RoomNo % 50 = 1),
 judged AS (
   SELECT f.*, CASE WHEN r.RoomNo IS NULL THEN 'not found'
@@ -1012,9 +1009,9 @@ SELECT change_seq, room_no, room_type, rate, reason FROM judged WHERE reason IS
 """)(lambda c: C.update_rooms(c.T, room_edit_feed(c.T))[1])
 
 register("room_delete_rejects", f"""
-SELECT 2 * RoomNo AS change_seq, RoomNo AS room_no, '{C.ROOM_DELETE}' AS reason FROM hotel_room WHERE RoomNo % 10 = 0
+SELECT 2 * RoomNo AS change_seq, RoomNo AS room_no, '{C.ROOM_DELETE}' AS reason FROM hotel_room
 """)(lambda c: C.block_room_deletes(
-    c.T["room"].where(F.col("RoomNo") % 10 == 0).select((2 * F.col("RoomNo")).alias(SEQ), F.col("RoomNo").alias("room_no"))
+    c.T["room"].select((2 * F.col("RoomNo")).alias(SEQ), F.col("RoomNo").alias("room_no"))
 ))
 
 
@@ -1023,7 +1020,7 @@ SELECT 2 * RoomNo AS change_seq, RoomNo AS room_no, '{C.ROOM_DELETE}' AS reason
 def event_feed(T) -> DataFrame:
     ev = T["event"]
     k = F.col("EventID")
-    return ev.where(k % 20 == 0).select(
+    return ev.select(
         k.alias(SEQ),
         F.lit(None).cast("bigint").alias("event_id"),
         F.when(k % 60 == 0, F.lit("Gala")).otherwise(F.col("EventType")).alias("event_type"),
@@ -1040,7 +1037,7 @@ WITH feed AS (
          CASE WHEN EventID % 60 = 0 THEN 'Gala' ELSE EventType END AS event_type,
          strftime(EventDate + INTERVAL 365 DAY, '%Y-%m-%d') AS event_date, EventDuration AS duration,
          Host AS host_id, CASE WHEN EventID % 40 = 0 THEN CAST(99 AS BIGINT) ELSE HallID END AS hall_id
-  FROM hotel_event WHERE EventID % 20 = 0),
+  FROM hotel_event),
 judged AS (
   SELECT feed.*, (SELECT max(EventID) FROM hotel_event) + change_seq AS new_id,
          CASE WHEN event_type IS NULL OR event_type = '' OR event_date IS NULL OR event_date = ''
@@ -1071,7 +1068,7 @@ WHERE reason IS NOT NULL
 def order_feed(T) -> DataFrame:
     r = T["reservation"]
     k = F.col("ReservationID")
-    return r.where(k % 9 == 0).select(
+    return r.select(
         k.alias(SEQ),
         F.lit(None).cast("bigint").alias("order_id"),
         F.col("CustomerID").alias("customer_id"),
@@ -1086,7 +1083,7 @@ WITH feed AS (
   SELECT ReservationID AS change_seq, CAST(NULL AS BIGINT) AS order_id, CustomerID AS customer_id,
          ReservationID % 7 AS restaurant_id, CASE WHEN ReservationID % 4 <> 0 THEN ReservationID END AS invoice_id,
          '1x item ' || CAST(ReservationID AS VARCHAR) AS order_details
-  FROM hotel_reservation WHERE ReservationID % 9 = 0),
+  FROM hotel_reservation),
 judged AS (
   SELECT feed.*, (SELECT max(OrderID) FROM hotel_restaurant_order) + change_seq AS new_id,
          NULLIF(invoice_id, 0) AS inv,
@@ -1116,7 +1113,7 @@ WHERE reason IS NOT NULL
 def feedback_feed(T) -> DataFrame:
     fb = T["customer_feedback"]
     k = F.col("FeedbackID")
-    return fb.where(k % 10 == 0).select(
+    return fb.select(
         k.alias(SEQ),
         F.lit(None).cast("bigint").alias("feedback_id"),
         F.col("CustomerID").alias("customer_id"),
@@ -1129,7 +1126,7 @@ _FEEDBACK_SQL = f"""
 WITH feed AS (
   SELECT FeedbackID AS change_seq, CAST(NULL AS BIGINT) AS feedback_id, CustomerID AS customer_id,
          CAST(Rating AS VARCHAR) AS rating, Comments AS comments
-  FROM hotel_customer_feedback WHERE FeedbackID % 10 = 0),
+  FROM hotel_customer_feedback),
 judged AS (
   SELECT feed.*, (SELECT max(FeedbackID) FROM hotel_customer_feedback) + change_seq AS new_id,
          TRY_CAST(CASE WHEN regexp_full_match(trim(rating), '[+-]?[0-9]+') THEN trim(rating) END AS INTEGER) AS r,
@@ -1160,14 +1157,14 @@ SELECT change_seq, feedback_id, customer_id, rating, comments, reason FROM judge
 def feedback_removal_feed(T) -> DataFrame:
     fb = T["customer_feedback"]
     k = F.col("FeedbackID")
-    return fb.where(k % 7 == 0).select((2 * k).alias(SEQ), k.alias("feedback_id")).unionByName(
+    return fb.select((2 * k).alias(SEQ), k.alias("feedback_id")).unionByName(
         fb.where(k % 14 == 0).select((2 * k + 1).alias(SEQ), (-k).alias("feedback_id"))
     )
 
 
 _FEEDBACK_REMOVAL_SQL = """
 WITH feed AS (
-  SELECT 2 * FeedbackID AS change_seq, FeedbackID AS feedback_id FROM hotel_customer_feedback WHERE FeedbackID % 7 = 0
+  SELECT 2 * FeedbackID AS change_seq, FeedbackID AS feedback_id FROM hotel_customer_feedback
   UNION ALL SELECT 2 * FeedbackID + 1, -FeedbackID FROM hotel_customer_feedback WHERE FeedbackID % 14 = 0),
 judged AS (
   SELECT feed.*, CASE WHEN feedback_id NOT IN (SELECT FeedbackID FROM hotel_customer_feedback) THEN 'not found' END
@@ -1188,10 +1185,10 @@ SELECT change_seq, feedback_id, reason FROM judged WHERE reason IS NOT NULL
 # ================================================== I19 halls and restaurants
 
 def hall_feed(T) -> DataFrame:
-    # one requested hall per 50 events: grows with the event table
+    # one requested hall per event: grows with the event table
     e = T["event"]
     k = F.col("EventID")
-    return e.where(k % 50 == 0).select(
+    return e.select(
         (k + 1).alias(SEQ),
         F.lit(None).cast("bigint").alias("hall_id"),
         F.concat(F.lit("Hall for "), F.col("EventType")).alias("name"),
@@ -1203,7 +1200,7 @@ _HALL_SQL = f"""
 WITH feed AS (
   SELECT EventID + 1 AS change_seq, CAST(NULL AS BIGINT) AS hall_id, 'Hall for ' || EventType AS name,
          CAST(EventID % 300 AS INTEGER) AS capacity
-  FROM hotel_event WHERE EventID % 50 = 0),
+  FROM hotel_event),
 judged AS (
   SELECT feed.*, (SELECT max(HallID) FROM hotel_conference_hall) + change_seq AS new_id,
          CASE WHEN name IS NULL OR name = '' OR capacity IS NULL OR capacity = 0 THEN '{C.MISSING}'
@@ -1224,10 +1221,10 @@ SELECT change_seq, hall_id, name, capacity, reason FROM judged WHERE reason IS N
 
 
 def restaurant_feed(T) -> DataFrame:
-    # one requested restaurant per 100 orders: grows with the orders table
+    # one requested restaurant per order: grows with the orders table
     r = T["reservation"]
     k = F.col("ReservationID")
-    return r.where(k % 100 == 0).select(
+    return r.select(
         k.alias(SEQ),
         F.when(k % 700 == 0, F.lit(1)).cast("bigint").alias("restaurant_id"),
         F.concat(F.lit("Bistro "), k.cast("string")).alias("name"),
@@ -1239,7 +1236,7 @@ _RESTAURANT_SQL = f"""
 WITH feed AS (
   SELECT ReservationID AS change_seq, CAST(CASE WHEN ReservationID % 700 = 0 THEN 1 END AS BIGINT) AS restaurant_id,
          'Bistro ' || CAST(ReservationID AS VARCHAR) AS name, CAST(ReservationID % 120 AS INTEGER) AS seating_capacity
-  FROM hotel_reservation WHERE ReservationID % 100 = 0),
+  FROM hotel_reservation),
 judged AS (
   SELECT feed.*, COALESCE(NULLIF(restaurant_id, 0), (SELECT max(RestaurantID) FROM hotel_restaurant) + change_seq)
            AS new_id,
