@@ -346,7 +346,8 @@ def _delete_job(
         flag = f"__ref_{child}_{column}"
         df = _present(df, used, "__ask", key, flag)
         rules.append((F.col(flag).isNotNull(), REFERENCED + f"{child}.{column}"))
-    valid, rejects = _outcome(_judge(df, rules))
+    # deleted once; a later delete of the same key finds no row
+    valid, rejects = _outcome(_first_in_batch(_judge(df, rules), [key], NOT_FOUND))
     deleted = valid.select(key).distinct()
     return _drop_keys(base, key, deleted), deleted, rejects
 
@@ -536,7 +537,8 @@ def delete_stays(T_: Tables, changes: DataFrame):
     closed = res.select(F.col("ReservationID").alias("__rid"), F.col("CheckOut").isNotNull().alias("__closed"))
     df = df.join(closed, F.col("ReservationID") == F.col("__rid"), "left").drop("__rid")
     df = _judge(df, [(F.col("__closed").isNull(), NOT_FOUND), (F.col("__closed"), COMPLETED_DELETE)])
-    valid, rejects = _outcome(df)
+    # deleted once; a later delete of the same stay finds no row
+    valid, rejects = _outcome(_first_in_batch(df, ["ReservationID"], NOT_FOUND))
     gone = valid.select("ReservationID").distinct()
     return {
         "reservation": _drop_keys(res, "ReservationID", gone),
@@ -690,19 +692,36 @@ def decide_requests(T_: Tables, approvals: DataFrame | None = None, declines: Da
         (F.col("staff_missing"), "staff_id is required"),
         (F.col("__status").isNull(), NOT_FOUND),
         (F.col("__status") != "Pending", F.concat(F.lit(ALREADY), F.lower("__status"), F.lit("."))),
+    ]
+    # checks the database makes when the change is written (after the status check)
+    write_rules = [
         (approve & F.col("__room_ok").isNull(), "foreign_key: RoomID"),
         (F.col("__staff_ok").isNull(), "foreign_key: StaffID"),
         (approve & (F.col("CheckOut") <= F.col("CheckIn")), STAY_ORDER),
     ]
-    first = F.coalesce(*[F.when(c, r if isinstance(r, Column) else F.lit(r)) for c, r in rules])
-    df = df.withColumn("reason", first)
-    winner = df.where(F.col("reason").isNull()).groupBy("RequestToken").agg(
-        F.min_by("kind", "__seq").alias("__wkind"), F.min("__seq").alias("__first")
+
+    def first_of(pairs):
+        return F.coalesce(*[F.when(c, r if isinstance(r, Column) else F.lit(r)) for c, r in pairs])
+
+    df = df.withColumn("__pre", first_of(rules)).withColumn("__post", first_of(write_rules))
+    # the winner per token: the first change that passes every check
+    winner = (
+        df.where(F.col("__pre").isNull() & F.col("__post").isNull())
+        .groupBy("RequestToken")
+        .agg(F.min_by("kind", "__seq").alias("__wkind"), F.min("__seq").alias("__first"))
     )
     df = df.join(winner, "RequestToken", "left")
     done = F.when(F.col("__wkind") == "approve", "approved").otherwise("declined")
-    later = F.col("reason").isNull() & (F.col("__seq") != F.col("__first"))
-    df = df.withColumn("reason", F.when(later, F.concat(F.lit(ALREADY), done, F.lit("."))).otherwise(F.col("reason")))
+    # a change after the winner finds the request decided, whatever else is wrong with it
+    after = F.col("__first").isNotNull() & (F.col("__seq") > F.col("__first"))
+    df = df.withColumn(
+        "reason",
+        F.coalesce(
+            F.col("__pre"),
+            F.when(after, F.concat(F.lit(ALREADY), done, F.lit("."))),
+            F.col("__post"),
+        ),
+    )
     valid, rejects = _outcome(df)
 
     ok_appr = valid.where(F.col("kind") == "approve")

@@ -347,19 +347,21 @@ judged AS (
          CASE WHEN kind = 'approve' AND (room_no IS NULL OR room_no = '') THEN 'room_no is required'
               WHEN staff_id IS NULL OR staff_id = '' THEN 'staff_id is required'
               WHEN cur IS NULL THEN 'not found'
-              WHEN cur <> 'Pending' THEN '{C.ALREADY}' || lower(cur) || '.'
-              WHEN kind = 'approve' AND (room_id IS NULL OR room_id NOT IN (SELECT RoomNo FROM hotel_room))
+              WHEN cur <> 'Pending' THEN '{C.ALREADY}' || lower(cur) || '.' END AS pre,
+         CASE WHEN kind = 'approve' AND (room_id IS NULL OR room_id NOT IN (SELECT RoomNo FROM hotel_room))
                 THEN 'foreign_key: RoomID'
               WHEN staff IS NULL OR staff NOT IN (SELECT StaffID FROM hotel_frontdesk) THEN 'foreign_key: StaffID'
-              WHEN kind = 'approve' AND CheckOut <= CheckIn THEN '{C.STAY_ORDER}' END AS first_reason
+              WHEN kind = 'approve' AND CheckOut <= CheckIn THEN '{C.STAY_ORDER}' END AS post
   FROM looked),
 firsts AS (
   SELECT token, arg_min(kind, change_seq) AS wkind, min(change_seq) AS first_seq
-  FROM judged WHERE first_reason IS NULL GROUP BY token),
+  FROM judged WHERE pre IS NULL AND post IS NULL GROUP BY token),
 final AS (
-  SELECT j.*, CASE WHEN j.first_reason IS NULL AND j.change_seq <> f.first_seq
-                   THEN '{C.ALREADY}' || CASE WHEN f.wkind = 'approve' THEN 'approved' ELSE 'declined' END || '.'
-                   ELSE j.first_reason END AS reason
+  SELECT j.*, COALESCE(j.pre,
+                       CASE WHEN j.change_seq > f.first_seq
+                            THEN '{C.ALREADY}' || CASE WHEN f.wkind = 'approve' THEN 'approved' ELSE 'declined' END || '.'
+                       END,
+                       j.post) AS reason
   FROM judged j LEFT JOIN firsts f ON f.token = j.token),
 won AS (SELECT * FROM final WHERE reason IS NULL)
 """
@@ -529,19 +531,24 @@ SELECT change_seq, room_no, status, reason FROM judged WHERE reason IS NOT NULL
 def stay_delete_feed(T) -> DataFrame:
     r = T["reservation"]
     k = F.col("ReservationID")
-    a = r.select((2 * k).alias(SEQ), k.alias("reservation_id"))
-    b = r.where(k % 22 == 0).select((2 * k + 1).alias(SEQ), (-k).alias("reservation_id"))
-    return a.unionByName(b)
+    a = r.select((4 * k).alias(SEQ), k.alias("reservation_id"))
+    b = r.where(k % 22 == 0).select((4 * k + 1).alias(SEQ), (-k).alias("reservation_id"))
+    again = r.where(k % 33 == 0).select((4 * k + 2).alias(SEQ), k.alias("reservation_id"))  # asked twice
+    return a.unionByName(b).unionByName(again)
 
 
 _STAY_DELETE_SQL = f"""
 WITH feed AS (
-  SELECT 2 * ReservationID AS change_seq, ReservationID AS reservation_id FROM hotel_reservation
+  SELECT 4 * ReservationID AS change_seq, ReservationID AS reservation_id FROM hotel_reservation
+  UNION ALL
+  SELECT 4 * ReservationID + 1, -ReservationID FROM hotel_reservation WHERE ReservationID % 22 = 0
   UNION ALL
-  SELECT 2 * ReservationID + 1, -ReservationID FROM hotel_reservation WHERE ReservationID % 22 = 0),
+  SELECT 4 * ReservationID + 2, ReservationID FROM hotel_reservation WHERE ReservationID % 33 = 0),
 judged AS (
   SELECT f.*, CASE WHEN r.ReservationID IS NULL THEN 'not found'
-                   WHEN r.CheckOut IS NOT NULL THEN '{C.COMPLETED_DELETE}' END AS reason
+                   WHEN r.CheckOut IS NOT NULL THEN '{C.COMPLETED_DELETE}'
+                   WHEN f.change_seq <> min(f.change_seq) OVER (PARTITION BY f.reservation_id) THEN 'not found'
+              END AS reason
   FROM feed f LEFT JOIN hotel_reservation r ON r.ReservationID = f.reservation_id),
 gone AS (SELECT DISTINCT reservation_id FROM judged WHERE reason IS NULL)
 """
@@ -579,6 +586,7 @@ WITH feed AS (SELECT StaffID AS change_seq, StaffID AS staff_id FROM hotel_staff
 judged AS (
   SELECT f.*, CASE WHEN s.StaffID IS NULL THEN 'not found'
                    WHEN f.staff_id IN (SELECT StaffID FROM hotel_reservation) THEN '{C.REFERENCED}reservation.StaffID'
+                   WHEN f.change_seq <> min(f.change_seq) OVER (PARTITION BY f.staff_id) THEN 'not found'
               END AS reason
   FROM feed f LEFT JOIN hotel_staff s ON s.StaffID = f.staff_id),
 gone AS (SELECT staff_id FROM judged WHERE reason IS NULL)
@@ -619,7 +627,8 @@ judged AS (
     WHEN f.customer_id IN (SELECT Host FROM hotel_event) THEN '{C.REFERENCED}event.Host'
     WHEN f.customer_id IN (SELECT CustomerID FROM hotel_invoice) THEN '{C.REFERENCED}invoice.CustomerID'
     WHEN f.customer_id IN (SELECT CustomerID FROM hotel_restaurant_order)
-      THEN '{C.REFERENCED}restaurant_order.CustomerID' END AS reason
+      THEN '{C.REFERENCED}restaurant_order.CustomerID'
+    WHEN f.change_seq <> min(f.change_seq) OVER (PARTITION BY f.customer_id) THEN 'not found' END AS reason
   FROM feed f LEFT JOIN hotel_customer c ON c.CustomerID = f.customer_id),
 gone AS (SELECT customer_id FROM judged WHERE reason IS NULL)
 """
@@ -1167,7 +1176,8 @@ WITH feed AS (
   SELECT 2 * FeedbackID AS change_seq, FeedbackID AS feedback_id FROM hotel_customer_feedback
   UNION ALL SELECT 2 * FeedbackID + 1, -FeedbackID FROM hotel_customer_feedback WHERE FeedbackID % 14 = 0),
 judged AS (
-  SELECT feed.*, CASE WHEN feedback_id NOT IN (SELECT FeedbackID FROM hotel_customer_feedback) THEN 'not found' END
+  SELECT feed.*, CASE WHEN feedback_id NOT IN (SELECT FeedbackID FROM hotel_customer_feedback) THEN 'not found'
+                      WHEN change_seq <> min(change_seq) OVER (PARTITION BY feedback_id) THEN 'not found' END
     AS reason
   FROM feed)
 """
