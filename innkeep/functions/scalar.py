@@ -30,8 +30,8 @@ CHARGE_FACTOR = 1.125
 DEFAULT_NIGHTLY_RATE = 100.0
 HALF_DAY_SECONDS = 12 * 3600
 DAY_MICROS = 86_400_000_000
-_TWO_50 = 1 << 50
-_TWO_49 = 1 << 49
+_TWO_62 = 1 << 62
+_TWO_61 = 1 << 61
 
 
 def _c(x) -> Column:
@@ -66,14 +66,18 @@ def round_half_even_binary(p) -> Column:
     """Round a non-negative double to cents, half to even on its exact binary value.
 
     Equal to Python's ``round(p, 2)``.  Integer arithmetic: the fraction of
-    ``p`` times 2^50 is an exact integer for ``p >= 4``.
+    ``p`` times 2^62 is an exact integer for every ``p >= 2^-10`` (its last
+    bit is no finer than 2^-62), and fits a long; the hundredfold of it is
+    carried in decimal(38,0), so nothing is rounded before the tie test.
     """
     p = _c(p)
     whole = F.floor(p).cast("long")
-    frac = ((p - F.floor(p)) * F.lit(float(_TWO_50))).cast("long") * 100
-    q = whole * 100 + F.shiftright(frac, 50)
-    r = frac.bitwiseAND(F.lit(_TWO_50 - 1))
-    up = (r > _TWO_49) | ((r == _TWO_49) & (q % 2 == 1))
+    z = ((p - F.floor(p)) * F.lit(float(_TWO_62))).cast("long").cast("decimal(38,0)") * F.lit(100)
+    scale = F.lit(_TWO_62).cast("decimal(38,0)")
+    r = F.pmod(z, scale)
+    q = whole * 100 + ((z - r) / scale).cast("long")
+    half = F.lit(_TWO_61).cast("decimal(38,0)")
+    up = (r > half) | ((r == half) & (q % 2 == 1))
     cents = q + F.when(up, 1).otherwise(0)
     return (cents.cast("decimal(20,0)") / 100).cast(MONEY)
 

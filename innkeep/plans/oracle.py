@@ -121,14 +121,14 @@ def nights_sql(check_in: str, check_out: str) -> str:
 
 def charge_sql(nights: str, rate: str) -> str:
     """round(nights * rate * 1.125, 2) on the exact binary value, half to even."""
-    two50 = 1 << 50
-    two49 = 1 << 49
+    two62 = 1 << 62
+    two61 = 1 << 61
     r = f"(CASE WHEN {rate} IS NULL OR {rate} = 0 THEN CAST(100.0 AS DOUBLE) ELSE CAST({rate} AS DOUBLE) END)"
     p = f"((CAST({nights} AS DOUBLE) * {r}) * CAST(1.125 AS DOUBLE))"
-    z = f"(CAST(trunc(({p} - floor({p})) * CAST({two50} AS DOUBLE)) AS BIGINT) * 100)"
-    q = f"(CAST(floor({p}) AS BIGINT) * 100 + {z} // {two50})"
-    rem = f"({z} % {two50})"
-    cents = f"({q} + CASE WHEN {rem} > {two49} OR ({rem} = {two49} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
+    z = f"(CAST(trunc(({p} - floor({p})) * CAST({two62} AS DOUBLE)) AS HUGEINT) * 100)"
+    q = f"(CAST(floor({p}) AS HUGEINT) * 100 + {z} // {two62})"
+    rem = f"({z} % {two62})"
+    cents = f"({q} + CASE WHEN {rem} > {two61} OR ({rem} = {two61} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
     return f"CAST({cents} / CAST(100 AS DOUBLE) AS DECIMAL(10,2))"
 
 

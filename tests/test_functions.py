@@ -111,3 +111,12 @@ def test_required_fields_truthiness(spark):
     df = spark.createDataFrame([("a", 1), ("", 1), ("a", 0), (None, 2)], "s string, n int")
     got = [r.m for r in df.select(H.required_fields({"s": "string", "n": "number"}).alias("m")).collect()]
     assert got == [False, True, True, True]
+
+
+def test_stay_charge_small_products(spark):
+    # products under 4 have fraction bits finer than 2^-50
+    cases = [(n, D(r) / 100) for n in (1, 2, 3) for r in range(1, 400)]
+    df = spark.createDataFrame(cases, "n long, r decimal(10,2)")
+    got = [r.c for r in df.select(H.stay_charge("n", "r").alias("c")).collect()]
+    want = [D(str(round((n * float(r)) * 1.125, 2))).quantize(D("0.01")) for n, r in cases]
+    assert got == want
