@@ -51,10 +51,12 @@ def room_tax(rate) -> Column:
 def stay_nights(check_in, check_out) -> Column:
     """H3: whole days, plus one when the rest is more than 12 h; at least 1.
 
-    Microsecond arithmetic with a floor division, so stays of any length or
-    sign give the same answer as calendar subtraction.
+    The difference is taken on the zone-less values (``timestamp_diff`` in
+    microseconds), as the model subtracts naive datetimes: a stay across a
+    clock change has the same nights in every session time zone.  A floor
+    division keeps stays of any length or sign equal to calendar subtraction.
     """
-    diff = F.unix_micros(_c(check_out).cast("timestamp")) - F.unix_micros(_c(check_in).cast("timestamp"))
+    diff = F.timestamp_diff("MICROSECOND", _c(check_in), _c(check_out))
     rest = F.pmod(diff, F.lit(DAY_MICROS))
     days = (diff - rest).cast("long") / F.lit(DAY_MICROS)
     rest_seconds = F.floor(rest / F.lit(1_000_000))

@@ -120,3 +120,14 @@ def test_stay_charge_small_products(spark):
     got = [r.c for r in df.select(H.stay_charge("n", "r").alias("c")).collect()]
     want = [D(str(round((n * float(r)) * 1.125, 2))).quantize(D("0.01")) for n, r in cases]
     assert got == want
+
+
+def test_stay_nights_ignores_session_time_zone(spark):
+    rows = [(dt.datetime(2024, 3, 9, 14), dt.datetime(2024, 3, 11, 2, 30))]  # across a clock change in New York
+    df = spark.createDataFrame(rows, "i timestamp_ntz, o timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert df.select(H.stay_nights("i", "o").alias("n")).first().n == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
