@@ -40,7 +40,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalar import kind_of, is_missing, split_name, stay_charge, stay_nights
-from ..sources.schema import REQUEST_STATUSES, ROOM_STATUSES, SPECS, TableSpec
+from ..sources.schema import ROOM_STATUSES, SPECS, TableSpec
 from ..session import stage
 from .quality import RULE_BUILDERS
 
@@ -1086,5 +1086,5 @@ __all__ = [
     "decline_requests", "record_payments", "set_amount_paid", "create_invoices", "onboard_staff", "remove_staff",
     "remove_customers", "add_rooms", "update_rooms", "block_room_deletes", "add_events", "add_halls",
     "add_restaurants", "add_orders", "add_feedback", "remove_feedback", "new_id", "append_validated",
-    "stay_bill", "REQUEST_STATUSES",
+    "stay_bill",
 ]
