@@ -143,15 +143,38 @@ def default_label(value, default: str = DASH) -> Column:
     return F.coalesce(_c(value).cast("string"), F.lit(default))
 
 
+# whitespace as Python's str.split / str.strip see it: Unicode white space
+# plus the four ASCII information separators
+_WS = r"(?U)[\s\x1c-\x1f]"
+# whitespace as JavaScript's String.trim sees it: Unicode white space and
+# line terminators, the byte-order mark, but not NEL (U+0085)
+_JS_WS = r"(?U)[[\s\uFEFF]&&[^\x85]]"
+
+
+def py_strip(text) -> Column:
+    """Python's ``str.strip()``."""
+    return F.regexp_replace(_c(text), f"^{_WS}+|{_WS}+$", "")
+
+
+def js_trim(text) -> Column:
+    """JavaScript's ``String.prototype.trim()``."""
+    return F.regexp_replace(_c(text), f"^{_JS_WS}+|{_JS_WS}+$", "")
+
+
 def split_name(full) -> tuple[Column, Column]:
-    """First whitespace-separated token, and the rest (empty if none)."""
-    parts = F.split(F.trim(_c(full), F.lit(" \t\n\r\f\u000b")), r"\s+", 2)
+    """``full.split(None, 1)``: the first token, and the rest ('' if none).
+
+    Leading white space is dropped; the rest keeps its trailing white space,
+    as Python's split does with a maximum of one split.
+    """
+    head = F.regexp_replace(_c(full), "^" + _WS + "+", "")
+    parts = F.split(head, _WS + "+", 2)
     return F.element_at(parts, 1), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
 
 
 def normalise_token(token) -> Column:
-    """H13."""
-    return F.upper(F.trim(_c(token)))
+    """``token.trim().toUpperCase()``."""
+    return F.upper(js_trim(token))
 
 
 def contains_item(text, item: str) -> Column:

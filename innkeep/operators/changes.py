@@ -39,7 +39,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.scalar import kind_of, is_missing, split_name, stay_charge, stay_nights
+from ..functions.scalar import is_missing, kind_of, py_strip, split_name, stay_charge, stay_nights
 from ..sources.schema import ROOM_STATUSES, SPECS, TableSpec
 from ..session import stage
 from .quality import RULE_BUILDERS
@@ -564,7 +564,7 @@ def submit_requests(T_: Tables, changes: DataFrame, as_of):
     Returns tables ``customer`` and ``reservation_request``.
     """
     cust, req = T_["customer"], T_["reservation_request"]
-    trim = {n: F.trim(F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in ("fname", "lname", "phone")}
+    trim = {n: py_strip(F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in ("fname", "lname", "phone")}
     tok = F.coalesce(
         F.when(_opt(changes, "token") != "", _opt(changes, "token")),
         F.concat(F.lit("AK-"), F.upper(F.conv(F.col(SEQ).cast("string"), 10, 36))),

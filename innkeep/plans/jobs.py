@@ -860,9 +860,9 @@ WITH feed AS (
   FROM hotel_staff),
 named AS (
   SELECT feed.*,
-         CASE WHEN fname IS NULL AND full_name IS NOT NULL THEN split_part(trim(full_name), ' ', 1) ELSE fname END AS f,
-         CASE WHEN fname IS NULL AND full_name IS NOT NULL
-              THEN COALESCE(NULLIF(regexp_replace(trim(full_name), '^\\S+\\s+', ''), trim(full_name)), '')
+         CASE WHEN fname IS NULL AND full_name IS NOT NULL THEN regexp_extract(full_name, '^\\s*(\\S+)', 1)
+              ELSE fname END AS f,
+         CASE WHEN fname IS NULL AND full_name IS NOT NULL THEN regexp_extract(full_name, '^\\s*\\S+\\s+(.*)$', 1)
               ELSE lname END AS l,
          fname IS NULL AND full_name IS NOT NULL AS via_full,
          (SELECT max(StaffID) FROM hotel_staff) + change_seq AS new_id,

@@ -90,10 +90,15 @@ def test_request_labels(spark):
 
 
 def test_split_name(spark):
-    df = spark.createDataFrame([("  Cy  De Fa ",), ("Solo",), ("A\tB",)], "n string")
+    names = ["  Cy  De Fa ", "Solo", " Solo ", "A\tB", "a\xa0b c", "Ama K. Mensah", "x\u3000y"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
     first, rest = H.split_name("n")
     rows = df.select(first.alias("a"), rest.alias("b")).collect()
-    assert [(r.a, r.b) for r in rows] == [("Cy", "De Fa"), ("Solo", ""), ("A", "B")]
+    want = []
+    for n in names:
+        parts = n.split(None, 1)
+        want.append((parts[0], parts[1] if len(parts) > 1 else ""))
+    assert [(r.a, r.b) for r in rows] == want
 
 
 def test_token_rank_contains(spark):
@@ -131,3 +136,13 @@ def test_stay_nights_ignores_session_time_zone(spark):
         assert df.select(H.stay_nights("i", "o").alias("n")).first().n == 2
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_trims_follow_python_and_javascript(spark):
+    values = ["\t ak-x1 \n", " ab　", "﻿ab\u0085", "\x1cab\x1f", "plain"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = df.select(H.py_strip("v").alias("p"), H.js_trim("v").alias("j"), H.normalise_token("v").alias("t")).collect()
+    assert [r.p for r in rows] == [v.strip() for v in values]
+    # JavaScript trims the byte-order mark but not NEL or the ASCII separators
+    assert [r.j for r in rows] == ["ak-x1", "ab", "ab\u0085", "\x1cab\x1f", "plain"]
+    assert rows[0].t == "AK-X1"
