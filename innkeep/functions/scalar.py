@@ -138,9 +138,17 @@ def request_label(status, room_no, audience: str = "guest") -> Column:
     )
 
 
-def default_label(value, default: str = DASH) -> Column:
-    """NULL shows a default text (a dash, or ``Unassigned``)."""
-    return F.coalesce(_c(value).cast("string"), F.lit(default))
+def default_label(value, default: str = DASH, falsy: bool = True) -> Column:
+    """A missing value shows a default text (a dash, or ``Unassigned``).
+
+    ``falsy=True`` is the front end's ``value || default`` (an empty text
+    counts as missing too); ``falsy=False`` is ``value !== null ? value :
+    default`` (only NULL), used for the floor, where 0 is shown.
+    """
+    text = _c(value).cast("string")
+    if falsy:
+        text = F.when(text != "", text)
+    return F.coalesce(text, F.lit(default))
 
 
 # whitespace as Python's str.split / str.strip see it: Unicode white space

@@ -382,8 +382,8 @@ def _request_labels(c: Context) -> DataFrame:
 
 
 @register("room_board", f"""
-SELECT rm.RoomNo, COALESCE({FN('s.StaffFName', 's.StaffLName')}, 'Unassigned') AS HousekeeperLabel,
-       COALESCE({FN('c.CustomerFName', 'c.CustomerLName')}, '—') AS GuestLabel
+SELECT rm.RoomNo, COALESCE(NULLIF({FN('s.StaffFName', 's.StaffLName')}, ''), 'Unassigned') AS HousekeeperLabel,
+       COALESCE(NULLIF({FN('c.CustomerFName', 'c.CustomerLName')}, ''), '—') AS GuestLabel
 FROM hotel_room rm
 LEFT JOIN hotel_staff s ON s.StaffID = rm.HousekeeperID
 LEFT JOIN hotel_reservation r ON r.RoomID = rm.RoomNo AND r.CheckOut IS NULL
@@ -401,7 +401,7 @@ def _room_board(c: Context) -> DataFrame:
 
 
 @register("staff_board", """
-SELECT s.StaffID, COALESCE(COALESCE(h.Shift, f.Shift), '—') AS ShiftLabel,
+SELECT s.StaffID, COALESCE(NULLIF(COALESCE(h.Shift, f.Shift), ''), '—') AS ShiftLabel,
        COALESCE(CAST(h.AssignedFloor AS VARCHAR), '—') AS FloorLabel
 FROM hotel_staff s
 LEFT JOIN hotel_housekeeping h ON h.StaffID = s.StaffID
@@ -409,7 +409,9 @@ LEFT JOIN hotel_frontdesk f ON f.StaffID = s.StaffID
 """)
 def _staff_board(c: Context) -> DataFrame:
     return views.staff_directory(c.T, ordered=False).select(
-        "StaffID", H.default_label("Shift").alias("ShiftLabel"), H.default_label("AssignedFloor").alias("FloorLabel")
+        "StaffID",
+        H.default_label("Shift").alias("ShiftLabel"),
+        H.default_label("AssignedFloor", falsy=False).alias("FloorLabel"),
     )
 
 

@@ -146,3 +146,10 @@ def test_trims_follow_python_and_javascript(spark):
     # JavaScript trims the byte-order mark but not NEL or the ASCII separators
     assert [r.j for r in rows] == ["ak-x1", "ab", "ab\u0085", "\x1cab\x1f", "plain"]
     assert rows[0].t == "AK-X1"
+
+
+def test_default_label_falsy_and_null_forms(spark):
+    df = spark.createDataFrame([("", 0), (None, None), ("Evening", 3)], "s string, f int")
+    rows = df.select(H.default_label("s").alias("a"), H.default_label("f", falsy=False).alias("b"),
+                     H.default_label("s", H.UNASSIGNED).alias("c")).collect()
+    assert [(r.a, r.b, r.c) for r in rows] == [("—", "0", "Unassigned"), ("—", "—", "Unassigned"), ("Evening", "3", "Evening")]
