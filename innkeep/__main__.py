@@ -3,6 +3,7 @@
     python -m innkeep list
     python -m innkeep run room_inventory_report --data /data/driver [--out /data/out --format json] [--show 20]
     python -m innkeep sql room_inventory_report
+    python -m innkeep explain room_inventory_report --data /data/driver
 
 ``run`` uses the session settings of :mod:`innkeep.session`; on a cluster,
 start it with spark-submit and leave ``--master`` unset.
@@ -29,6 +30,10 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--master", default=None)
     s = sub.add_parser("sql", help="print the DuckDB oracle SQL of a query")
     s.add_argument("name")
+    e = sub.add_parser("explain", help="print the formatted physical plan of a query")
+    e.add_argument("name")
+    e.add_argument("--data", required=True)
+    e.add_argument("--master", default=None)
     a = p.parse_args(argv)
 
     if a.cmd == "list":
@@ -43,6 +48,9 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = get_spark(a.master)
     df = catalog.build(a.name, spark, a.data)
+    if a.cmd == "explain":
+        df.explain("formatted")
+        return 0
     if a.out:
         write_report(df, a.out, a.format)
     else:
