@@ -297,7 +297,9 @@ def append_validated(
     rules.append((F.col("__dup").isNotNull(), DUPLICATE))
     df, fk = _fk_rules(df, T_, spec)
     df = _judge(df, rules + fk)
-    df = _first_in_batch(df, [key], DUPLICATE)
+    if not generated or given_id in changes.columns:
+        # ids made from change_seq are unique; only given ids can repeat in a batch
+        df = _first_in_batch(df, [key], DUPLICATE)
     valid, rejects = _outcome(df)
     return base.unionByName(_typed(valid, base)), valid, rejects
 
@@ -601,7 +603,10 @@ def submit_requests(T_: Tables, changes: DataFrame, as_of):
     rules += [r for r in _spec_rules(df, SPECS["customer"]) if "CustomerID" not in r[1]]
     df = _present(df, req, "RequestToken", "RequestToken", "__dup")
     rules.append((F.col("__dup").isNotNull(), DUPLICATE))
-    df = _first_in_batch(_judge(df, rules), ["RequestToken"], DUPLICATE)
+    df = _judge(df, rules)
+    if "token" in changes.columns:
+        # tokens made from change_seq are unique; only given tokens can repeat
+        df = _first_in_batch(df, ["RequestToken"], DUPLICATE)
     valid, rejects = _outcome(df)
 
     # guest by phone: existing customers (lowest id) for the phones of the batch
