@@ -74,6 +74,29 @@ def read_tables(
     }
 
 
+# stored layout: tables whose date filters should prune folders at the scan
+PARTITIONS = {"event": ["EventDate"]}
+
+
+def write_tables(
+    T: dict[str, DataFrame], directory: str, mode: str = "errorifexists", partitions: dict | None = None
+) -> None:
+    """Store bookings tables as ``<directory>/<table>`` Parquet (the layout
+    :func:`read_tables` reads).
+
+    ``partitions`` (default :data:`PARTITIONS`) names partition columns per
+    table: events are stored by ``EventDate``, so ``EventDate >= as_of``
+    (C6, B9, D7) reads only the folders on or after that day.  Each task
+    writes its own files; nothing passes through the driver.
+    """
+    parts = PARTITIONS if partitions is None else partitions
+    for name, df in T.items():
+        writer = df.write.mode(mode)
+        if parts.get(name):
+            writer = writer.partitionBy(*parts[name])
+        writer.parquet(os.path.join(directory, name))
+
+
 def bulk_load(
     spark: SparkSession,
     table: str,

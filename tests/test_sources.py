@@ -86,3 +86,17 @@ def test_write_report_partitioned(spark, small_tables, tmp_path):
     folders = sorted(p.name for p in (tmp_path / "ev").iterdir() if p.is_dir())
     assert folders and all(f.startswith("EventType=") for f in folders)
     assert spark.read.parquet(str(tmp_path / "ev")).count() == df.count()
+
+
+def test_write_tables_partitions_events_and_prunes(spark, small_tables, tmp_path):
+    from innkeep.operators import views
+
+    T = {k: small_tables[k] for k in ("event", "conference_hall", "customer")}
+    tables.write_tables(T, str(tmp_path))
+    assert any(p.name.startswith("EventDate=") for p in (tmp_path / "event").iterdir())
+    stored = tables.read_tables(spark, str(tmp_path), id_type=T["event"].schema["EventID"].dataType)
+    got = views.upcoming_events(stored, "2024-01-15", ordered=False)
+    want = views.upcoming_events(T, "2024-01-15", ordered=False)
+    assert sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(EventDate" in plan and "EventDate" in plan.split("PartitionFilters: [")[1].split("]")[0]
