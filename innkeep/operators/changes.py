@@ -483,7 +483,7 @@ def checkout_and_bill(T_: Tables, changes: DataFrame, as_of):
         changes,
         {
             "ReservationID": F.col("reservation_id").try_cast(key_t),
-            "CheckOut": F.coalesce(F.col("check_out").try_cast(out_t), F.lit(as_of).cast(out_t)),
+            "CheckOut": F.coalesce(_opt(changes, "check_out").try_cast(out_t), F.lit(as_of).cast(out_t)),
         },
     )
     stays = res.select(

@@ -278,3 +278,11 @@ def test_set_amount_paid_last_wins(spark):
     new, rej = C.set_amount_paid(T, feed)
     assert _reasons(rej, "change_seq") == {3: "not_null: AmountPaid", 4: C.NOT_FOUND}
     assert {r.InvoiceNo: r.AmountPaid for r in new["invoice"].collect()} == {"INV1": D("0.00"), "INV2": D("10.00")}
+
+
+def test_checkout_without_check_out_column_uses_as_of(spark):
+    T = _tables(spark)
+    feed = spark.createDataFrame([(1, "RES1")], "change_seq long, reservation_id string")
+    new, rej = C.checkout_and_bill(T, feed, "2024-01-04 10:00:00")
+    assert rej.count() == 0
+    assert new["reservation"].where("ReservationID = 'RES1'").first().CheckOut == t(2024, 1, 4, 10)
