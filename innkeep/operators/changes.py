@@ -66,6 +66,44 @@ INVALID_DATE = "invalid date"
 # --- end of fixed values --------------------------------------------------------
 
 
+# --- fixed values: change-feed schemas (the endpoints' JSON body fields) -------
+# Dates and times are text: ``try_cast`` reads both ISO forms ("T" or space),
+# and a value that does not parse becomes a reject instead of a bad record.
+FEEDS = {
+    "add_customers": "change_seq long, customer_id string, fname string, lname string, phone string",
+    "update_customers": "change_seq long, customer_id string, fname string, lname string, phone string",
+    "book_stays": "change_seq long, reservation_id string, room_id string, customer_id string, staff_id string, "
+                  "check_in string, check_out string",
+    "checkout_and_bill": "change_seq long, reservation_id string, check_out string",
+    "delete_stays": "change_seq long, reservation_id string",
+    "set_room_status": "change_seq long, room_no string, status string",
+    "submit_requests": "change_seq long, fname string, lname string, phone string, room_type string, "
+                       "check_in string, check_out string, token string",
+    "approve_requests": "change_seq long, token string, room_no string, staff_id string",
+    "decline_requests": "change_seq long, token string, staff_id string",
+    "record_payments": "change_seq long, invoice_no string, amount decimal(12,2)",
+    "set_amount_paid": "change_seq long, invoice_no string, amount_paid decimal(10,2)",
+    "create_invoices": "change_seq long, invoice_no string, reservation_id string, customer_id string, "
+                       "amount_payable decimal(10,2), amount_paid decimal(10,2)",
+    "onboard_staff": "change_seq long, staff_id string, fname string, lname string, full_name string, role string, "
+                     "shift string, floor int",
+    "remove_staff": "change_seq long, staff_id string",
+    "remove_customers": "change_seq long, customer_id string",
+    "add_rooms": "change_seq long, room_no string, room_type string, rate decimal(10,2), housekeeper_id string",
+    "update_rooms": "change_seq long, room_no string, room_type string, rate decimal(10,2)",
+    "block_room_deletes": "change_seq long, room_no string",
+    "add_events": "change_seq long, event_id string, event_type string, event_date string, duration decimal(4,1), "
+                  "host_id string, hall_id string",
+    "add_halls": "change_seq long, hall_id string, name string, capacity int",
+    "add_restaurants": "change_seq long, restaurant_id string, name string, seating_capacity int",
+    "add_orders": "change_seq long, order_id string, customer_id string, restaurant_id string, invoice_id string, "
+                  "order_details string",
+    "add_feedback": "change_seq long, feedback_id string, customer_id string, rating string, comments string",
+    "remove_feedback": "change_seq long, feedback_id string",
+}
+# --- end of fixed values --------------------------------------------------------
+
+
 # ------------------------------------------------------------------- helpers
 
 
@@ -483,7 +521,10 @@ def checkout_and_bill(T_: Tables, changes: DataFrame, as_of):
         changes,
         {
             "ReservationID": F.col("reservation_id").try_cast(key_t),
-            "CheckOut": F.coalesce(_opt(changes, "check_out").try_cast(out_t), F.lit(as_of).cast(out_t)),
+            # an empty check-out means "now" (as_of); one that does not parse is refused
+            "CheckOut": F.when(is_missing(_opt(changes, "check_out")), F.lit(as_of).cast(out_t)).otherwise(
+                _opt(changes, "check_out").try_cast(out_t)
+            ),
         },
     )
     stays = res.select(
@@ -492,7 +533,11 @@ def checkout_and_bill(T_: Tables, changes: DataFrame, as_of):
     df = df.join(stays, F.col("ReservationID") == F.col("__rid"), "left").drop("__rid")
     df = _judge(
         df,
-        [(F.col("__found").isNull(), NOT_FOUND), (F.col("CheckOut") <= F.col("CheckIn"), STAY_ORDER)],
+        [
+            (F.col("__found").isNull(), NOT_FOUND),
+            (F.col("CheckOut").isNull(), INVALID_DATE),
+            (F.col("CheckOut") <= F.col("CheckIn"), STAY_ORDER),
+        ],
     )
     valid, rejects = _outcome(df)
     # one row per stay, read by four branches (stays, rooms, invoice update, new invoices)
@@ -1091,5 +1136,5 @@ __all__ = [
     "decline_requests", "record_payments", "set_amount_paid", "create_invoices", "onboard_staff", "remove_staff",
     "remove_customers", "add_rooms", "update_rooms", "block_room_deletes", "add_events", "add_halls",
     "add_restaurants", "add_orders", "add_feedback", "remove_feedback", "new_id", "append_validated",
-    "stay_bill",
+    "stay_bill", "FEEDS",
 ]

@@ -123,12 +123,15 @@ def bulk_load(
 CORRUPT = "_corrupt_record"
 
 
-def read_changes(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """A3: JSON change requests with an explicit schema.
+def read_changes(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """A3: JSON change requests with an explicit schema (a StructType or DDL,
+    e.g. ``innkeep.operators.changes.FEEDS["checkout_and_bill"]``).
 
     Returns ``(good, bad)``; ``bad`` keeps the raw text of every record that
     did not parse, with a reason, so no request is silently dropped.
     """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
     df = (
         spark.read.schema(full)

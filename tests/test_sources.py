@@ -100,3 +100,31 @@ def test_write_tables_partitions_events_and_prunes(spark, small_tables, tmp_path
     assert sorted(got.collect()) == sorted(want.collect())
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(EventDate" in plan and "EventDate" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_json_feed_into_a_job(spark, tmp_path):
+    import datetime as dt
+    from decimal import Decimal
+
+    from innkeep.operators import changes as C
+
+    from .helpers import make_tables
+
+    T = make_tables(
+        spark,
+        room=[("R1", "Single", Decimal("100.00"), "Occupied", None)],
+        reservation=[("RES1", "R1", "C1", "F1", dt.datetime(2024, 1, 1, 14), None)],
+    )
+    p = tmp_path / "co.json"
+    p.write_text('{"change_seq": 1, "reservation_id": "RES1", "check_out": "2024-01-03T10:00:00"}\n'
+                 '{"change_seq": 2, "reservation_id": "RES1", "check_out": "2024-01-04 10:00:00"}\n'
+                 '{"change_seq": 3, "reservation_id": "RES1", "check_out": "soon"}\n'
+                 'not json\n')
+    good, bad = tables.read_changes(spark, str(p), C.FEEDS["checkout_and_bill"])
+    assert bad.count() == 1
+    new, rej = C.checkout_and_bill(T, good, "2024-01-05 00:00:00")
+    # "soon" does not parse: the database would refuse the update
+    assert {r.change_seq: r.reason for r in rej.collect()} == {3: C.INVALID_DATE}
+    # the last valid check-out wins: 2 days 20 h -> 3 nights at 100 x 1.125
+    assert new["reservation"].first().CheckOut == dt.datetime(2024, 1, 4, 10)
+    assert new["invoice"].first().AmountPayable == Decimal("337.50")
