@@ -488,6 +488,10 @@ def book_stays(T_: Tables, changes: DataFrame):
         required=("room_id", "customer_id", "check_in", "staff_id"),
         given_id="reservation_id",
         prefix="RES",
+        # a check-out given but not readable would fail the insert
+        pre_rules=[(~is_missing(F.col(f"{IN}.check_out")) & F.col("CheckOut").isNull(), INVALID_DATE)]
+        if "check_out" in changes.columns
+        else [],
     )
     booked = valid.select("RoomID", "CheckOut", F.lit("Occupied").alias("RoomStatus"), F.col("__seq").alias(SEQ))
     return {"reservation": new, "room": derive_room_status(T_["room"], booked)}, rejects

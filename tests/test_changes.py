@@ -286,3 +286,15 @@ def test_checkout_without_check_out_column_uses_as_of(spark):
     new, rej = C.checkout_and_bill(T, feed, "2024-01-04 10:00:00")
     assert rej.count() == 0
     assert new["reservation"].where("ReservationID = 'RES1'").first().CheckOut == t(2024, 1, 4, 10)
+
+
+def test_booking_with_unreadable_check_out_is_refused(spark):
+    T = _tables(spark)
+    feed = spark.createDataFrame([(1, "R101", "CU03", "FD02", "2024-05-01 14:00:00", "later"),
+                                  (2, "R101", "CU03", "FD02", "2024-05-01T14:00:00", "")],
+                                 "change_seq long, room_id string, customer_id string, staff_id string, "
+                                 "check_in string, check_out string")
+    new, rej = C.book_stays(T, feed)
+    assert _reasons(rej, "change_seq") == {1: C.INVALID_DATE}
+    booked = new["reservation"].where("CustomerID = 'CU03'").collect()
+    assert len(booked) == 1 and booked[0].CheckOut is None and booked[0].CheckIn == t(2024, 5, 1, 14)
