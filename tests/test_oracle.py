@@ -23,7 +23,7 @@ def duck():
 def test_query_matches_oracle(spark, duck, name):
     from tools.compare import compare
 
-    ok, msg = compare(spark, SF_SMALL, name, duck)
+    ok, msg = compare(spark, SF_SMALL, name, duck, strict=True)
     assert ok, msg
 
 
