@@ -160,10 +160,12 @@ def _judge(df: DataFrame, rules: list[tuple[Column, str]]) -> DataFrame:
 def _present(df: DataFrame, parent: DataFrame, parent_key: str, column: str, flag: str) -> DataFrame:
     """Left-join a presence flag: ``flag`` is true when ``column`` is a key of ``parent``.
 
-    The parent column is its primary key, so the join never multiplies rows.
+    The parent keys are made distinct first (an EXISTS test), so even a parent
+    with a repeated key - the fault J1 reports - never multiplies the changes;
+    the partial aggregate shares the join's partitioning.
     """
     k = f"__k{flag}"
-    keys = parent.select(F.col(parent_key).alias(k), F.lit(True).alias(flag))
+    keys = parent.select(F.col(parent_key).alias(k)).distinct().withColumn(flag, F.lit(True))
     return df.join(keys, F.col(column) == F.col(k), "left").drop(k)
 
 

@@ -298,3 +298,15 @@ def test_booking_with_unreadable_check_out_is_refused(spark):
     assert _reasons(rej, "change_seq") == {1: C.INVALID_DATE}
     booked = new["reservation"].where("CustomerID = 'CU03'").collect()
     assert len(booked) == 1 and booked[0].CheckOut is None and booked[0].CheckIn == t(2024, 5, 1, 14)
+
+
+def test_lookup_against_a_parent_with_a_repeated_key(spark):
+    T = _tables(spark)
+    # a dirty room table: R101 twice
+    T["room"] = T["room"].unionByName(T["room"].where("RoomNo = 'R101'"))
+    feed = spark.createDataFrame([(1, None, "R101", "CU03", "FD02", t(2024, 5, 1), None)],
+                                 "change_seq long, reservation_id string, room_id string, customer_id string, "
+                                 "staff_id string, check_in timestamp_ntz, check_out timestamp_ntz")
+    new, rej = C.book_stays(T, feed)
+    assert rej.count() == 0
+    assert new["reservation"].where("CustomerID = 'CU03'").count() == 1
