@@ -297,7 +297,11 @@ def request_status(T: Tables, tokens, ordered: bool = False) -> DataFrame:
     if isinstance(tokens, str):
         picked = rq.where(F.col("RequestToken") == normalise_token(F.lit(tokens)))
     else:
-        wanted = _ids_frame(tokens, "RequestToken", rq).select(normalise_token("RequestToken").alias("RequestToken"))
+        wanted = (
+            _ids_frame(tokens, "RequestToken", rq)
+            .select(normalise_token("RequestToken").alias("RequestToken"))
+            .distinct()
+        )
         picked = rq.join(wanted, "RequestToken", "left_semi")
     df = _requests_with_guest(T, picked).select(*REQUEST_COLUMNS[:10])
     return _sort(df, ordered, "RequestToken")
