@@ -59,6 +59,14 @@ def stage(df: DataFrame) -> DataFrame:
     recomputing the lineage, and a lost executor costs a re-read, not a
     recomputation.  Without one the plan stays lazy (Spark recomputes).
     """
-    if df.sparkSession.sparkContext.getCheckpointDir():
+    if has_checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
     return df
+
+
+def has_checkpoint_dir(spark: SparkSession) -> bool:
+    """Whether the session names a checkpoint folder (classic or Spark Connect)."""
+    try:
+        return bool(spark.sparkContext.getCheckpointDir())
+    except Exception:  # Spark Connect: no SparkContext on the client
+        return bool(spark.conf.get("spark.checkpoint.dir", None))

@@ -29,7 +29,8 @@ _DERIVED: dict[tuple[int, str], dict[str, DataFrame]] = {}
 
 
 def _session_key(spark: SparkSession, directory: str) -> tuple[int, str]:
-    return id(spark._jsparkSession), os.path.abspath(directory) if "://" not in directory else directory
+    handle = getattr(spark, "_jsparkSession", spark)  # Spark Connect sessions have no JVM handle
+    return id(handle), os.path.abspath(directory) if "://" not in directory else directory
 
 
 def read_driver_tables(spark: SparkSession, directory: str, refresh: bool = False) -> dict[str, DataFrame]:
@@ -142,9 +143,9 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType | str) ->
     # Spark refuses queries that touch only the corrupt column of a raw JSON
     # scan; materialising the parsed rows is the documented fix.  A reliable
     # checkpoint in the shared folder when there is one, else a cache.
-    from ..session import stage
+    from ..session import has_checkpoint_dir, stage
 
-    df = stage(df) if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    df = stage(df) if has_checkpoint_dir(df.sparkSession) else df.persist()
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.where(F.col(CORRUPT).isNotNull()).select(
         F.col(CORRUPT).alias("raw"), F.lit("malformed record").alias("reason")
