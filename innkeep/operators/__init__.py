@@ -1,0 +1 @@
+"""DataFrame operators: views and joins (B, C), reports (D), bulk change jobs (I), quality checks (J)."""
