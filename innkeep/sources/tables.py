@@ -166,7 +166,8 @@ def write_report(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "json":
-        writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").json(path)
+        # NULL fields are written as null, as the model's JSON responses carry them
+        writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("ignoreNullFields", False).json(path)
     elif fmt == "csv":
         writer.option("header", True).csv(path)
     else:

@@ -128,3 +128,12 @@ def test_json_feed_into_a_job(spark, tmp_path):
     # the last valid check-out wins: 2 days 20 h -> 3 nights at 100 x 1.125
     assert new["reservation"].first().CheckOut == dt.datetime(2024, 1, 4, 10)
     assert new["invoice"].first().AmountPayable == Decimal("337.50")
+
+
+def test_write_report_json_keeps_nulls(spark, small_tables, tmp_path):
+    from innkeep.operators.views import outstanding_invoices
+
+    df = outstanding_invoices(small_tables, ordered=False).where("ReservationID IS NULL")
+    tables.write_report(df, str(tmp_path / "inv"))
+    lines = [json.loads(x) for f in (tmp_path / "inv").glob("part-*.json") for x in f.read_text().splitlines()]
+    assert lines and all("ReservationID" in r and r["ReservationID"] is None for r in lines)
