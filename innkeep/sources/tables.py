@@ -106,19 +106,26 @@ def bulk_load(
     fmt: str = "csv",
     id_type: T.DataType | None = None,
     mode: str = "errorifexists",
+    parents: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """A2: read initial rows with the declared schema, check them, write Parquet.
 
     Returns the violations found by the quality job (J); rows are written
-    as they are so that a reviewer can fix them in place.
+    as they are so that a reviewer can fix them in place.  ``parents`` (the
+    already-loaded tables, e.g. from :func:`read_tables`) adds the foreign-key
+    check (J5) of the new table against them.
     """
-    from ..operators.quality import check_table
+    from ..operators.quality import _union, check_foreign_keys, check_table
 
     spec = SPECS[table]
     reader = spark.read.schema(spec.struct(id_type))
     df = reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
     df.write.mode(mode).parquet(out_path)
-    return check_table(spark.read.parquet(out_path), spec)
+    loaded = spark.read.parquet(out_path)
+    found = [check_table(loaded, spec)]
+    if parents:
+        found += check_foreign_keys({**parents, table: loaded}, spec)
+    return _union(found, spark)
 
 
 CORRUPT = "_corrupt_record"

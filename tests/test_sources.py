@@ -137,3 +137,15 @@ def test_write_report_json_keeps_nulls(spark, small_tables, tmp_path):
     tables.write_report(df, str(tmp_path / "inv"))
     lines = [json.loads(x) for f in (tmp_path / "inv").glob("part-*.json") for x in f.read_text().splitlines()]
     assert lines and all("ReservationID" in r and r["ReservationID"] is None for r in lines)
+
+
+def test_bulk_load_checks_foreign_keys_against_parents(spark, tmp_path):
+    from innkeep.sources.schema import SPECS
+
+    staff = spark.createDataFrame([("HK01", "Ama", "Owusu", "Housekeeping")], SPECS["staff"].struct())
+    hk = spark.createDataFrame([("HK01", "Morning", 2)], SPECS["housekeeping"].struct())
+    csv = tmp_path / "rooms.csv"
+    csv.write_text("RoomNo,RoomType,RoomRate,RoomStatus,HousekeeperID\nR101,Single,250.00,Vacant,HK01\n"
+                   "R102,Single,250.00,Vacant,HK09\n")
+    v = tables.bulk_load(spark, "room", str(csv), str(tmp_path / "room"), parents={"staff": staff, "housekeeping": hk})
+    assert [(r.rule, r.column_name, r.row_key) for r in v.collect()] == [("foreign_key", "HousekeeperID", "R102")]
