@@ -190,3 +190,12 @@ def check_all(T_: dict[str, DataFrame], rules: tuple[str, ...] = ("unique", "not
         if "foreign_key" in rules:
             frames.extend(check_foreign_keys(T_, spec))
     return _union(frames, spark)
+
+
+def summary(violations: DataFrame) -> DataFrame:
+    """Violation counts per table, rule and column (one partial aggregate)."""
+    return (
+        violations.groupBy("table_name", "rule", "column_name")
+        .agg(F.count(F.lit(1)).alias("violations"))
+        .orderBy("table_name", "rule", "column_name")
+    )

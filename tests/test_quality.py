@@ -41,3 +41,12 @@ def test_every_rule_reports_its_bad_rows(spark):
     assert want <= got, sorted(want - got)
     # nothing else is reported
     assert got - want == set(), sorted(got - want)
+
+
+def test_summary_counts_per_rule(spark):
+    T = make_tables(
+        spark,
+        room=[("R1", "S", D("1.00"), "Dirty", None), ("R2", "S", D("1.00"), "Dirty", None), ("R3", "S", D("1.00"), "Vacant", None)],
+    )
+    rows = [(r.table_name, r.rule, r.column_name, r.violations) for r in quality.summary(quality.check_all(T)).collect()]
+    assert rows == [("room", "enum", "RoomStatus", 2)]
