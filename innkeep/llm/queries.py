@@ -24,6 +24,27 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as ranked variable-length codes and read back."""
+    from .token_store import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weighted source targets."""
+    from .cube_mix import mix
+
+    return mix(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op8_token_count_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, quantile rank and truncated totals at every length of the corpus."""
+    from .length_histogram import length_table
+
+    return length_table(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus_pipeline.run over the documents of ``sf_dir``."""
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
