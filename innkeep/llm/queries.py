@@ -31,6 +31,13 @@ def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all documents, learned from the training fold."""
+    from .suffix_tree import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weighted source targets."""
     from .cube_mix import mix
