@@ -24,6 +24,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    from .language_crf import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as ranked variable-length codes and read back."""
     from .token_store import round_trip
