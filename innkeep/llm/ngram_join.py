@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bytetext as bt
 from .graph import components
@@ -41,6 +41,7 @@ from .storage import cut, new_path, remove, written
 
 BUCKET_BITS = 20  # size of the frequency table: 4 MiB, whatever the corpus
 CHUNK = 1 << 14
+FILTER_BITS = 26
 MAX_MATCH = 3  # longest prefix asks for so many shared tokens
 VERIFY_COST = 50.0  # of one verification, in posting reads
 
@@ -170,15 +171,38 @@ def _postings(words: int, num: int, den: int, ranks):
     return run
 
 
-def _whole_sets(words: int):
+def id_hash(column: str) -> Column:
+    """The place of an id in :func:`id_filter`."""
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - FILTER_BITS)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bit table of 2**FILTER_BITS hashed ids: 8 MiB, whatever their number (more ids only make it less selective)."""
+    h = id_hash(ids.columns[0])
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return out
+
+
+def _whole_sets(words: int, filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in bt.text_slices(batch):
+            h = batch.column(1).to_numpy(zero_copy_only=False)
+            roles = [(t[h >> 6] >> (h & 63)) & 1 == 1 for t in filters.value]
+            wanted = np.flatnonzero(roles[0] | roles[1])
+            batch = batch.take(pa.array(wanted))
+            roles = [pa.array(r[wanted]) for r in roles]
+            for i, j, data, offsets in bt.text_slices(batch):
                 s, at = shingle_sets(data, offsets, words)
                 values = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(s)]
                 ).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(s, at), pa.binary()), values], names=["sid", "toks"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(set_keys(s, at), pa.binary()), values, *[r.slice(i, j - i) for r in roles]],
+                    names=["id", "sid", "toks", "as_a", "as_b"],
+                )
 
     return run
 
@@ -224,8 +248,10 @@ def jaccard_components(
         base.where("id is not null").select("text").mapInArrow(_postings(words, num, den, ranks), "token long, sid binary, n int, pos int"),
         f"{root}/postings",
     )
-    shared = posts.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo != hi").select("token")
+    short = posts.select("token", F.xxhash64("sid").alias("h"))
+    shared = short.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("token")
     posts = written(posts.join(shared, "token").dropDuplicates(["token", "sid"]), f"{root}/shared")
+    remove(spark, f"{root}/postings")
     # levels: the first l for which the posting is in the l-prefix, as the longer and as the shorter set of a pair
     posts = posts.withColumn("probe", F.expr(f"greatest(1, pos + 2 - (n - ceil({num} * n / {den}) + 1))").cast("int")).withColumn(
         "index", F.expr(f"greatest(1, pos + 2 - (n - ceil({2 * num} * n / {num + den}) + 1))").cast("int")
@@ -247,27 +273,32 @@ def jaccard_components(
     # sets of a few shingles don't have so many to share
     choice = written(costs.select("sid", "first", F.when(F.col("n") < 4 * MAX_MATCH, 1).otherwise(need).alias("need")), f"{root}/choice")
     posts = written(posts.join(choice, "sid"), f"{root}/chosen")
+    remove(spark, f"{root}/shared")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(pairs, f"{root}/{name}-pairs")
-        wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-        ids = reps.join(wanted, "sid", "left_semi").select("id")
+        a, b = reps.select(F.col("sid").alias("a"), F.col("id").alias("ia")), reps.select(F.col("sid").alias("b"), F.col("id").alias("ib"))
+        pairs = written(pairs.join(a, "a").join(b, "b"), f"{root}/{name}-pairs")
+        filters = sc.broadcast([id_filter(pairs.select(c)) for c in ("ia", "ib")])
         sets = written(
-            base.join(ids, "id", "left_semi").select("text").mapInArrow(_whole_sets(words), "sid binary, toks binary")
-            .join(wanted, "sid", "left_semi").dropDuplicates(["sid"]),
+            base.where("id is not null").select("id", id_hash("id").alias("h"), "text").mapInArrow(_whole_sets(words, filters), "id long, sid binary, toks binary, as_a boolean, as_b boolean"),
             f"{root}/{name}-sets",
         )
-        whole = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        return written(whole.mapInArrow(_verify(num, den), "a binary, b binary"), f"{root}/{name}-links")
+        ta = sets.where("as_a").select(F.col("id").alias("ia"), F.col("sid").alias("a"), F.col("toks").alias("ta"))
+        tb = sets.where("as_b").select(F.col("id").alias("ib"), F.col("sid").alias("b"), F.col("toks").alias("tb"))
+        whole = pairs.join(ta, ["ia", "a"]).join(tb, ["ib", "b"]).select("a", "b", "ta", "tb")
+        out = written(whole.mapInArrow(_verify(num, den), "a binary, b binary"), f"{root}/{name}-links")
+        remove(spark, f"{root}/{name}-sets")
+        return out
 
     # 3. one leader each: in every list (by size class) the set with the fewest tokens of its own
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).alias("band")
-    banded = posts.select("token", "sid", "n", "first", band)
+    banded = posts.select("token", "sid", "n", "pos", "first", band)
     leaders = banded.groupBy("token", "band").agg(F.min(F.struct("first", "sid", "n")).alias("lead"))
     met = (
         banded.join(leaders, ["token", "band"])
         .where(f"sid != lead.sid and {den} * least(n, lead.n) >= {num} * greatest(n, lead.n)")
-        .groupBy("sid", F.col("lead.sid").alias("b")).agg(F.count("*").alias("c"))
+        .groupBy("sid", "n", F.col("lead.sid").alias("b"), F.col("lead.n").alias("nb")).agg(F.count("*").alias("c"), F.min("pos").alias("p"))
+        .where(f"n - p >= ceil({num} * (n + nb) / {num + den})")  # no room for the overlap: left to step 4
     )
     first_pairs = met.groupBy("sid").agg(F.max(F.struct("c", "b")).alias("m")).select(F.col("sid").alias("a"), F.col("m.b").alias("b"))
     first_links = links(first_pairs, "leader")

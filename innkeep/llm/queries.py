@@ -59,6 +59,13 @@ def op8_token_count_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_table(_table(spark, sf_dir, "documents"))
 
 
+def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside ten-word windows of benchmark items."""
+    from .positional_index import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus_pipeline.run over the documents of ``sf_dir``."""
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
