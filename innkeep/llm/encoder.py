@@ -18,7 +18,9 @@ import pyarrow as pa
 
 from . import bytetext as bt
 
-MOST_KNOWN = 600_000  # pre-tokens a worker remembers before it starts anew
+MOST_KNOWN = 1_300_000  # pre-tokens a worker remembers before it starts anew
+TABLE_BITS = 21
+TABLE = 1 << TABLE_BITS
 
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -89,15 +91,42 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        """An open-addressing table from hash to place, and the ids of every place."""
+        self.known = 0
+        self.keys = np.zeros(TABLE, np.uint64)
+        self.places = np.zeros(TABLE, np.int32)
         self.first = np.zeros(1024, np.int64)
-        self.count = np.zeros(1024, np.int64)
+        self.count = np.zeros(1024, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 if it isn't known."""
+        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        got = self.keys[slot]
+        out = np.where(got == h, self.places[slot], -1)
+        open_ = np.flatnonzero((got != h) & (got != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (TABLE - 1)
+            got = self.keys[slot[open_]]
+            hit = got == h[open_]
+            out[open_[hit]] = self.places[slot[open_[hit]]]
+            open_ = open_[~hit & (got != 0)]
+        return out
+
+    def _put(self, h: np.ndarray, place: np.ndarray) -> None:
+        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        open_ = np.arange(len(h))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == 0]
+            self.keys[slot[free]] = h[free]
+            self.places[slot[free]] = place[free]
+            open_ = open_[self.keys[slot[open_]] != h[open_]]
+            slot[open_] = (slot[open_] + 1) & (TABLE - 1)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        base = len(self.known)
+        base = self.known
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
         while base + len(ids) > len(self.first):
@@ -109,23 +138,28 @@ class Encoder:
         self.count[base : base + len(ids)] = counts
         self.first[base : base + len(ids)] = self.used + np.cumsum(counts) - counts
         self.used += len(flat)
-        self.known.update(zip(hashes, range(base, base + len(ids))))
+        self.known += len(ids)
+        self._put(hashes, np.arange(base, self.known, dtype=np.int32))
 
     def _places(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the pool of every pre-token, and the pre-token offsets of each document."""
         starts = split(data, offsets)
         bounds = np.append(starts, len(data))
-        h, at, back = np.unique(bt.hash_runs(data, starts, bounds[1:]), return_index=True, return_inverse=True)
-        h = h.tolist()
-        if len(self.known) + len(h) > MOST_KNOWN:
-            self._clear()
-        new = [k for k, x in enumerate(h) if x not in self.known]
-        if new:
+        h = bt.hash_runs(data, starts, bounds[1:])
+        h[h == 0] = 1  # 0 marks a free slot
+        place = self._find(h)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, at = np.unique(h[missing], return_index=True)
+            if self.known + len(new) > MOST_KNOWN:
+                self._clear()
+                new, at = np.unique(h, return_index=True)
+                missing = np.arange(len(h))
             raw = data.tobytes()
-            s, e = starts[at[new]].tolist(), bounds[at[new] + 1].tolist()
-            self._learn([h[k] for k in new], [raw[a:b].decode() for a, b in zip(s, e)])
-        place = np.fromiter(map(self.known.__getitem__, h), np.int64, len(h))
-        return place[back], np.searchsorted(starts, offsets)
+            s, e = starts[missing[at]].tolist(), bounds[missing[at] + 1].tolist()
+            self._learn(new, [raw[a:b].decode() for a, b in zip(s, e)])
+            place[missing] = self._find(h[missing])
+        return place, np.searchsorted(starts, offsets)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets of each) for texts as bytes and offsets."""

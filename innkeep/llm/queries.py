@@ -76,6 +76,13 @@ def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation repaired to a legal one at least cost, rendered turn by turn."""
+    from .role_repair import repair_roles
+
+    return repair_roles(_table(spark, sf_dir, "conversations"))
+
+
 def op8_token_count_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, quantile rank and truncated totals at every length of the corpus."""
     from .length_histogram import length_table

@@ -31,39 +31,45 @@ PART_BYTES = 32 << 20  # text bytes a part aims at
 IDS = "part int, seq long, doc_id long, before long, n int, ids binary"
 TOKENS = "part int, seq long, doc_id long, before long, n int, control binary, data binary"
 
-#: lengths of the four values of a control byte, and their sum
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
-_PLACES = np.cumsum(LENGTHS, 1) - LENGTHS
-_TOTAL = LENGTHS.sum(1)
+#: lengths of the four values of a control byte
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of unsigned 32-bit values."""
+def pack(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the spans ``at`` of unsigned 32-bit values: control bytes and their spans, data bytes and theirs."""
     v = np.asarray(values, np.uint32)
-    n = len(v)
-    size = 1 + (v > 0xFF).astype(np.int64) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    codes = np.zeros(-(-n // 4) * 4, np.uint8)
-    codes[:n] = size - 1
+    n = np.diff(at)
+    size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    control_at = np.concatenate([[0], np.cumsum(-(-n // 4))])
+    codes = np.zeros(int(control_at[-1]) * 4, np.uint8)
+    codes[np.arange(len(v)) + np.repeat(4 * control_at[:-1] - at[:-1], n)] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
     raw = v.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    data = raw[np.arange(4, dtype=np.uint8) < size[:, None]]
+    return control, control_at, data, np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[at]
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` values of :func:`pack`, by table lookup."""
-    c = np.frombuffer(control, np.uint8)
-    if len(c) != -(-n // 4):
+def unpack(control: np.ndarray, data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The values of :func:`pack` (``n`` per span, one after another), by table lookup."""
+    blocks = -(-n // 4)
+    if int(blocks.sum()) != len(control):
         raise ValueError("control bytes don't fit the number of values")
-    starts = np.cumsum(_TOTAL[c]) - _TOTAL[c]
-    at = (starts[:, None] + _PLACES[c]).reshape(-1)[:n]
-    size = LENGTHS[c].reshape(-1)[:n]
-    if int(size.sum()) != len(data):
+    real = np.ones(4 * len(control), bool)
+    first = 4 * (np.cumsum(blocks) - blocks)
+    for k in range(1, 4):  # a last control byte has up to three places without a value
+        short = 4 * blocks - n >= k
+        real[(first + 4 * blocks - k)[short]] = False
+    size = LENGTHS[control].reshape(-1)[real]
+    end = np.cumsum(size, dtype=np.int64)
+    if (int(end[-1]) if len(end) else 0) != len(data):
         raise ValueError("data bytes don't fit the control bytes")
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        out |= np.where(size > k, raw[at + k], np.uint8(0)).astype(np.uint32) << np.uint32(8 * k)
+    at = end - size
+    raw = np.concatenate([data, np.zeros(3, np.uint8)])
+    out = raw[at].astype(np.uint32)
+    for k in range(1, int(size.max()) if len(size) else 1):
+        more = np.flatnonzero(size > k)
+        out[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -73,6 +79,32 @@ def _binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and the spans of its values."""
+    column = column.cast(pa.large_binary())
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[off[0] : off[-1]], off - off[0]
+
+
+def _ids(column: pa.Array, n: np.ndarray) -> np.ndarray:
+    """Token ids of a column of two or four bytes an id."""
+    raw, at = _flat(column)
+    wide = np.diff(at) == 4 * n
+    if not wide.any():
+        return raw.view(np.uint16).astype(np.uint32)
+    parts = np.split(raw, at[1:-1])
+    return np.concatenate([p.view(np.uint32 if w else np.uint16).astype(np.uint32) for p, w in zip(parts, wide)])
+
+
+def _some(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` values each, by the counts in ``column``."""
+    n = batch.column(batch.schema.get_field_index(column)).to_numpy()
+    for i, j in bt.slices(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), most):
+        yield batch.slice(i, j - i)
+
+
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = seq = 0  # a task holds one part, in order
@@ -98,9 +130,8 @@ def _encode(path: str, end_id: int):
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        each = [_ids(b.as_buffer(), n) for n, b in zip(batch.column(0).to_pylist(), batch.column(1))]
-        for k in range(0, len(each), 1000):
-            c = np.bincount(np.concatenate(each[k : k + 1000]))
+        for part in _some(batch, "n"):
+            c = np.bincount(_ids(part.column(1), part.column(0).to_numpy()))
             if len(c) > len(total):
                 total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
             total[: len(c)] += c
@@ -108,20 +139,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], names=["id", "c"])
 
 
-def _ids(raw, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
-
-
 def _pack(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = ranks.value
         for batch in batches:
-            packed = [pack(rank[_ids(b.as_buffer(), n)]) for n, b in zip(batch.column(4).to_pylist(), batch.column(5))]
-            control, data = zip(*packed) if packed else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                names=["part", "seq", "doc_id", "before", "n", "control", "data"],
-            )
+            for part in _some(batch, "n"):
+                n = part.column(4).to_numpy()
+                control, control_at, data, data_at = pack(rank[_ids(part.column(5), n)], np.concatenate([[0], np.cumsum(n, dtype=np.int64)]))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:5], _binary(control, control_at), _binary(data, data_at)],
+                    names=["part", "seq", "doc_id", "before", "n", "control", "data"],
+                )
 
     return run
 
@@ -167,13 +195,19 @@ def _decode(table, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = table.value
         for batch in batches:
-            n = batch.column(4).to_pylist()
-            out = [ids_of[unpack(c.as_buffer(), d.as_buffer(), k)].astype("<u4") for k, c, d in zip(n, batch.column(5), batch.column(6))]
-            last = pa.array([zlib.crc32(x.tobytes()) for x in out], pa.int64()) if digest else pa.array(out, pa.list_(pa.uint32())).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), last],
-                names=["part", "doc_id", "before", "n_tokens", "ids_crc32" if digest else "ids"],
-            )
+            for part in _some(batch, "n"):
+                n = part.column(4).to_numpy()
+                ids = ids_of[unpack(_flat(part.column(5))[0], _flat(part.column(6))[0], n)].astype("<u4")
+                at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+                if digest:
+                    raw, spans = memoryview(ids.tobytes()), (4 * at).tolist()
+                    last = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(spans, spans[1:])], pa.int64())
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), part.column(3), part.column(4).cast(pa.int64()), last],
+                    names=["part", "doc_id", "before", "n_tokens", "ids_crc32" if digest else "ids"],
+                )
 
     return run
 
