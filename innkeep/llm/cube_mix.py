@@ -135,15 +135,15 @@ def _decide(last: bool):
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", draw_cols: list[str] | None = None) -> DataFrame:
     """One row per input row: ``id_col, size, source_size, target, taken, copies``.
 
-    ``copies`` is how often the mix takes the document, ``taken`` the words of
+    The draws depend on ``draw_cols`` (id and text) alone.  ``copies`` is how often the mix takes the document, ``taken`` the words of
     these copies.  Per source, ``sum(taken)`` comes within about one document of
     ``target``.
     """
     own = [F.col(id_col).cast("long").alias("mix_id"), F.col(source_col).cast("string").alias("mix_src")]
-    sized = docs.select(*own, F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).cast("string").alias("mix_text")).mapInArrow(
+    sized = docs.select(*own, F.xxhash64(*(draw_cols or [id_col, text_col])).alias("h"), F.col(text_col).cast("string").alias("mix_text")).mapInArrow(
         _sizes, "mix_id long, mix_src string, h long, size long"
     )
     rows = cut(sized.withColumn("row", F.monotonically_increasing_id()))
@@ -176,3 +176,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         level += 1
     out = whole.join(decided, "row", "left").withColumn("copies", F.col("whole") + F.coalesce("more", F.lit(0)))
     return out.select(F.col("mix_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("int").alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    ``docs`` is read twice and must give the same rows in the same places (a table does).
+    """
+    placed = docs.withColumn("mix_row", F.monotonically_increasing_id())
+    copies = mix(placed, "mix_row", text_col, source_col, [id_col, text_col]).where("copies > 0").select("mix_row", F.explode(F.sequence(F.lit(1), "copies")).alias("mix_copy"))
+    return placed.join(copies, "mix_row").drop("mix_row", "mix_copy")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bytetext as bt
 
@@ -33,6 +33,7 @@ BUCKET_BITS = 18
 GRAMS = (2, 3, 4, 5)
 LEXICON_COUNT = 5  # a word of the lexicon occurs so often in the sample
 SEQUENCE = 64
+LEAST_SCORE = 0.4  # mean posterior below which a document is rejected
 STEPS = 40
 BLOCK = 64
 UNDETERMINED = "und"
@@ -283,17 +284,24 @@ def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fit([r.t for r in rows], [r.l for r in rows]) if rows else None
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, model: Model | None = None) -> DataFrame:
-    """``id_col, held_out, lang_pred, score`` for every row; ids and languages are used to learn only."""
+def _identified(docs: DataFrame, first: list[Column], kinds: str, id_col: str, text_col: str, lang_col: str, folds: int, held: int, model: Model | None) -> DataFrame:
     model = model or fit_sample(docs, id_col, text_col, lang_col, folds, held)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        (F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held).alias("held_out"),
-        F.col(text_col).cast("string").alias("text"),
-    )
-    out = rows.mapInArrow(_predict(shared), "id long, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    rows = docs.select(*first, F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_predict(shared), f"{kinds}, lang_pred string, score double")
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, model: Model | None = None) -> DataFrame:
+    """``id_col, held_out, lang_pred, score`` for every row; ids and languages are used to learn only."""
+    first = [F.col(id_col).cast("long").alias("id"), (F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held).alias("held_out")]
+    return _identified(docs, first, "id long, held_out boolean", id_col, text_col, lang_col, folds, held, model).withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
+    """The rows, with their own columns, whose language is determined with a score of at least ``least``."""
+    kind = docs.select(F.struct(*docs.columns).alias("r")).schema["r"].dataType.simpleString()
+    out = _identified(docs, [F.struct(*docs.columns).alias("r")], f"r {kind}", id_col, text_col, lang_col, 4, 2, model)
+    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("r.*")
 
 
 def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

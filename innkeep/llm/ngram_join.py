@@ -337,3 +337,16 @@ def jaccard_components(
     out = cut(out)
     remove(spark, root)
     return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, one of each group of linked rows: the one with the smallest id (nulls last), then the first.
+
+    ``docs`` is read twice and must give the same rows in the same places (a table does).
+    """
+    place = F.monotonically_increasing_id().alias("near_row")
+    groups = jaccard_components(docs.select(place, F.col(text_col).alias("near_text")), "near_row", "near_text", words, num, den)
+    ids = docs.select(place, F.col(id_col).alias("near_id"))
+    first = groups.join(ids, "near_row").groupBy("component_id").agg(F.min(F.struct(F.col("near_id").isNull(), "near_id", "near_row")).alias("m"))
+    kept = first.select(F.col("m.near_row").alias("near_row"))
+    return docs.select("*", place).join(kept, "near_row", "left_semi").drop("near_row")

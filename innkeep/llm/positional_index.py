@@ -147,3 +147,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str =
     out = cut(out)
     remove(spark, root)
     return out
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` in which no window of a benchmark item occurs."""
+    spark = docs.sparkSession
+    root = new_path(spark, "positional-index")
+    base, tests, index = _setup(docs, bench, n, id_col, text_col, item_col, root)
+    hit = cut(phrase_hits(base, tests, index).select(F.col("did").alias("hit_did"), F.col("h").alias("hit_h")).distinct())
+    remove(spark, root)
+    did = F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))
+    h = F.xxhash64(F.col(id_col).cast("long").isNull(), F.col(text_col).cast("string"))
+    return docs.join(checked(hit), (did == F.col("hit_did")) & (h == F.col("hit_h")), "left_anti")

@@ -115,7 +115,7 @@ def _runner(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Registered name -> query."""
-    own = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    own = {k: v for k, v in globals().items() if k[:2] == "op" and k[2].isdigit()} | {"pipeline": pipeline}
     return {k: _runner(v) for k, v in own.items()}
 
 
