@@ -97,6 +97,13 @@ def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents that an earlier line matches with Jaccard 0.8 or more."""
+    from .line_join import line_counts
+
+    return line_counts(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus_pipeline.run over the documents of ``sf_dir``."""
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
