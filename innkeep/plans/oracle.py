@@ -76,8 +76,8 @@ hotel_invoice AS (
            ELSE CAST(0 AS DECIMAL(10,2)) END AS AmountPaid
   FROM orders WHERE o_orderkey % 4 <> 0),
 hotel_orders_part AS (
-  SELECT o.*, p.p_partkey, p.p_name, p.p_type
-  FROM orders o JOIN part p ON o.o_orderkey % {N_PARTS} = p.p_partkey),
+  SELECT numbered.* EXCLUDE (part_of), p_partkey, p_name, p_type
+  FROM (SELECT *, o_orderkey % {N_PARTS} AS part_of FROM orders) AS numbered JOIN part ON part_of = p_partkey),
 hotel_restaurant_order AS (
   SELECT o_orderkey AS OrderID, o_custkey AS CustomerID, o_orderkey % 5 AS RestaurantID,
          CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderkey END AS InvoiceID,
