@@ -67,7 +67,7 @@ def stay_nights(check_in, check_out) -> Column:
 def round_half_even_binary(p) -> Column:
     """Round a non-negative double to cents, half to even on its exact binary value.
 
-    Equal to Python's ``round(p, 2)``.  Integer arithmetic: the fraction of
+    Equal to Python's ``round(p, 2)``.  NULL when a DECIMAL(10,2) can't hold it.  Integer arithmetic: the fraction of
     ``p`` times 2^62 is an exact integer for every ``p >= 2^-10`` (its last
     bit is no finer than 2^-62), and fits a long; the hundredfold of it is
     carried in decimal(38,0), so nothing is rounded before the tie test.
@@ -81,7 +81,7 @@ def round_half_even_binary(p) -> Column:
     half = F.lit(_TWO_61).cast("decimal(38,0)")
     up = (r > half) | ((r == half) & (q % 2 == 1))
     cents = q + F.when(up, 1).otherwise(0)
-    return (cents.cast("decimal(20,0)") / 100).cast(MONEY)
+    return (cents.cast("decimal(20,0)") / 100).try_cast(MONEY)
 
 
 def stay_charge(nights, rate) -> Column:

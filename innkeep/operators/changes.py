@@ -63,6 +63,7 @@ BAD_PAYMENT = "payment must be a positive amount"
 REFERENCED = "referenced by "
 ALREADY = "Request has already been "
 INVALID_DATE = "invalid date"
+TOKEN_PREFIX = "AK-"
 # --- end of fixed values --------------------------------------------------------
 
 
@@ -104,6 +105,8 @@ FEEDS = {
 # --- end of fixed values --------------------------------------------------------
 
 
+BAD_SEQ = "change_seq must be given, not negative and unique in the batch"
+
 # ------------------------------------------------------------------- helpers
 
 
@@ -139,9 +142,13 @@ def _pack(changes: DataFrame, columns: dict[str, Column], required: Iterable[str
     absent = [n for n in required if n not in changes.columns]
     if absent:
         missing = F.lit(True)
-    return changes.select(
+    repeated = changes.groupBy(F.col(SEQ).alias("__again")).count().where("count > 1").select("__again")
+    changes_in = changes.join(repeated, F.col(SEQ) == F.col("__again"), "left")
+    return changes_in.select(
         F.struct(*[F.col(c) for c in changes.columns]).alias(IN),
         F.col(SEQ).alias("__seq"),
+        # the order of changes and generated ids rest on the number: it is judged first
+        F.when(F.col(SEQ).isNull() | (F.col(SEQ) < 0) | F.col("__again").isNotNull(), F.lit(BAD_SEQ)).alias("reason"),
         missing.alias("__missing"),
         *[e.alias(n) for n, e in columns.items()],
     )
@@ -222,7 +229,7 @@ def _fk_rules(df: DataFrame, T_: Tables, spec: TableSpec, columns: Iterable[str]
     rules = []
     wanted = set(columns) if columns is not None else None
     for fk in spec.foreign_keys:
-        if fk.parent not in T_ or fk.column not in df.columns or (wanted is not None and fk.column not in wanted):
+        if fk.column not in df.columns or (wanted is not None and fk.column not in wanted):
             continue
         flag = f"__fk_{fk.column}"
         df = _present(df, T_[fk.parent], fk.parent_column, fk.column, flag)
@@ -275,27 +282,39 @@ def _drop_keys(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- I21 ids
 
 
-def new_id(existing: DataFrame, key: str, given: Column, prefix: str = "") -> Column:
+def _number_after(prefix: str, column: Column) -> Column:
+    """The number after ``prefix`` in an id of that form, else NULL."""
+    digits = F.regexp_extract(column, "^" + re.escape(prefix) + "([0-9]+)$", 1)
+    return F.when(digits != "", digits.try_cast("decimal(38,0)"))
+
+
+def new_id(existing: DataFrame, key: str, given: Column, prefix: str = "", batch: DataFrame | None = None) -> Column:
     """The given id when truthy, else one made from ``change_seq``.
 
     Numeric keys: ``max(key) + change_seq``.  String keys: ``prefix`` plus
     (largest number already used after that prefix + ``change_seq``).  The
-    maximum is a scalar subquery Spark runs once; unique, positive
-    ``change_seq`` values then give ids that are unique in the batch and new
-    to the table without any coordination between tasks.  A given id that
-    collides is refused as a duplicate, as the database would.
+    maximum, over the table and the ids given in ``batch``, is a scalar
+    subquery Spark runs once; unique ``change_seq`` values then give ids that
+    are unique in the batch and new to the table without any coordination
+    between tasks.  A given id that collides is refused as a duplicate, as the
+    database would.
     """
     dtype = existing.schema[key].dataType
     seq = F.col(SEQ)
     if isinstance(dtype, T.StringType):
         given = F.when(given.try_cast("string") != "", given.try_cast("string"))
-        digits = F.regexp_extract(F.col(key), "^" + re.escape(prefix) + r"([0-9]{1,18})$", 1)
-        top = existing.select(F.coalesce(F.max(F.when(digits != "", digits.cast("bigint"))), F.lit(0))).scalar()
+        used = existing.select(_number_after(prefix, F.col(key)).alias("n"))
+        if batch is not None:
+            used = used.unionAll(batch.select(_number_after(prefix, given).alias("n")))
+        top = used.select(F.coalesce(F.max("n"), F.lit(0))).scalar()
         made = F.concat(F.lit(prefix), (top + seq).cast("string"))
     else:
         typed = given.try_cast(dtype)
         given = F.when(typed != 0, typed)
-        top = existing.select(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
+        used = existing.select(F.col(key).cast("bigint").alias("n"))
+        if batch is not None:
+            used = used.unionAll(batch.select(given.cast("bigint").alias("n")))
+        top = used.select(F.coalesce(F.max("n"), F.lit(0)).cast("bigint")).scalar()
         made = (top + seq).cast(dtype)
     return F.coalesce(given, made)
 
@@ -329,7 +348,8 @@ def append_validated(
     cols = dict(columns)
     generated = given_id is not None
     if generated:
-        cols[key] = new_id(base, key, _opt(changes, given_id, base.schema[key].dataType.simpleString()), prefix)
+        given = _opt(changes, given_id, base.schema[key].dataType.simpleString())
+        cols[key] = new_id(base, key, given, prefix, changes if given_id in changes.columns else None)
     df = _pack(changes, cols, required)
     rules = [(F.col("__missing"), MISSING), *(pre_rules or [])]
     rules += _spec_rules(df, spec, skip_size=[key] if generated else [])
@@ -382,8 +402,6 @@ def _delete_job(
     rules = [(F.col("__found").isNull(), NOT_FOUND)]
     asked = df.select(F.col(key).alias("__ask")).distinct()
     for child, column in blockers:
-        if child not in T_:
-            continue
         used = T_[child].select(F.col(column).alias("__ask")).join(asked, "__ask", "left_semi").distinct()
         flag = f"__ref_{child}_{column}"
         df = _present(df, used, "__ask", key, flag)
@@ -537,23 +555,26 @@ def checkout_and_bill(T_: Tables, changes: DataFrame, as_of):
         F.col("ReservationID").alias("__rid"), "RoomID", "CustomerID", "CheckIn", F.lit(True).alias("__found")
     )
     df = df.join(stays, F.col("ReservationID") == F.col("__rid"), "left").drop("__rid")
+    df = stay_bill(df, room)
     df = _judge(
         df,
         [
             (F.col("__found").isNull(), NOT_FOUND),
             (F.col("CheckOut").isNull(), INVALID_DATE),
             (F.col("CheckOut") <= F.col("CheckIn"), STAY_ORDER),
+            # a bill that AmountPayable can't hold
+            (F.col("Charge").isNull(), "size: AmountPayable"),
         ],
     )
     valid, rejects = _outcome(df)
     # one row per stay, read by four branches (stays, rooms, invoice update, new invoices)
-    last = stage(_latest(valid, ["ReservationID"], ["RoomID", "CustomerID", "CheckIn", "CheckOut", "__seq"]))
+    last = stage(_latest(valid, ["ReservationID"], ["RoomID", "CustomerID", "CheckIn", "CheckOut", "Charge", "__seq"]))
 
     new_res = _replace(res, "ReservationID", last, ["CheckOut"])
     freed = last.select("RoomID", "CheckOut", F.lit("Vacant").alias("RoomStatus"), F.col("__seq").alias(SEQ))
     new_room = derive_room_status(room, freed)
 
-    bills = stay_bill(last, room).select("ReservationID", "CustomerID", "Charge", "__seq")
+    bills = last.select("ReservationID", "CustomerID", "Charge", "__seq")
     billed = bills.select(F.col("ReservationID").alias("__bk"), F.col("Charge").alias("__charge"))
     upd = inv.join(billed, F.col("ReservationID") == F.col("__bk"), "left")
     updated = upd.select(
@@ -610,18 +631,23 @@ def submit_requests(T_: Tables, changes: DataFrame, as_of):
     required, as are type and dates; check-out must be after check-in.  The
     guest is the customer with that phone (lowest id); an unseen phone
     creates a customer from its first valid request, and later requests of the
-    batch with that phone reuse it.  Token: given, or ``AK-`` + base-36 of
-    ``change_seq``; a token already used is refused.  Status Pending, dated
+    batch with that phone reuse it.  Token: given, or the prefix + base 36 of
+    (the largest number in use + ``change_seq``); a given token already used is
+    refused.  Status Pending, dated
     ``as_of``.
 
     Returns tables ``customer`` and ``reservation_request``.
     """
     cust, req = T_["customer"], T_["reservation_request"]
     trim = {n: py_strip(F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in ("fname", "lname", "phone")}
-    tok = F.coalesce(
-        F.when(_opt(changes, "token") != "", _opt(changes, "token")),
-        F.concat(F.lit("AK-"), F.upper(F.conv(F.col(SEQ).cast("string"), 10, 36))),
-    )
+    given = F.when(_opt(changes, "token") != "", _opt(changes, "token"))
+    used = req.select(F.col("RequestToken").alias("t"))
+    if "token" in changes.columns:
+        used = used.unionAll(changes.select(given.alias("t")))
+    # made tokens go on above the largest number in use, so no batch meets tokens of another
+    number = F.conv(F.substring("t", len(TOKEN_PREFIX) + 1, 12), 36, 10).cast("bigint")
+    top = used.select(F.coalesce(F.max(F.when(F.col("t").rlike(f"^{TOKEN_PREFIX}[0-9A-Z]{{1,12}}$"), number)), F.lit(0))).scalar()
+    tok = F.coalesce(given, F.concat(F.lit(TOKEN_PREFIX), F.upper(F.conv((top + F.col(SEQ)).cast("string"), 10, 36))))
     ts = req.schema["CheckIn"].dataType
     df = _pack(
         changes,
@@ -846,8 +872,11 @@ def record_payments(T_: Tables, changes: DataFrame):
         (F.col("__before") + F.col("__paid_now")).alias("AmountPaid"),
         (F.abs(F.col("__before") + F.col("__paid_now")) < 10 ** (money.precision - money.scale)).alias("__fits"),
     )
-    df = df.join(fits.select(F.col("InvoiceNo").alias("__fk2"), "__fits"), F.col("InvoiceNo") == F.col("__fk2"), "left")
-    df = _judge(df.drop("__fk2"), [(~F.coalesce(F.col("__fits"), F.lit(True)), "size: AmountPaid")])
+    # only the invoices over the limit go back to the payments (none, as a rule); their
+    # side is a plain shuffle of its own, so a hot invoice's payments can be split
+    over = fits.where(~F.col("__fits")).select(F.col("InvoiceNo").alias("__over"))
+    df = df.join(over, F.col("InvoiceNo") == F.col("__over"), "left")
+    df = _judge(df, [(F.col("__over").isNotNull(), "size: AmountPaid")]).drop("__over")
     _, rejects = _outcome(df, staged=True)
     return {"invoice": _replace(inv, "InvoiceNo", fits.where("__fits"), ["AmountPaid"])}, rejects
 
@@ -1109,9 +1138,10 @@ def add_feedback(T_: Tables, changes: DataFrame, as_of):
     fb = T_["customer_feedback"]
     raw = F.col("rating")
     if isinstance(changes.schema["rating"].dataType, T.StringType):
-        as_int = F.when(F.trim(raw).rlike(r"^[+-]?[0-9]+$"), F.trim(raw).cast("int"))
+        as_int = F.when(F.trim(raw).rlike(r"^[+-]?[0-9]+$"), F.trim(raw).try_cast("bigint"))
     else:
-        as_int = raw.cast("int")
+        as_int = raw.try_cast("double").try_cast("bigint")
+    as_int = F.when(as_int.between(1, 5), as_int.cast("int"))  # anything else is refused below
     new, _, rejects = append_validated(
         T_,
         "customer_feedback",

@@ -139,26 +139,31 @@ def check_rows(df: DataFrame, spec: TableSpec, rules=("not_null", "enum", "range
 
 
 def check_foreign_keys(T_: dict[str, DataFrame], spec: TableSpec) -> list[DataFrame]:
-    """Non-NULL foreign key values missing from the parent table."""
+    """Non-NULL foreign key values missing from the parent table.
+
+    All keys of a child go together as (column, value) rows: one scan for the
+    distinct values, one for the rows that hold a missing one.
+    """
+    if not spec.foreign_keys:
+        return []
     child = T_[spec.name]
-    out = []
-    for fk in spec.foreign_keys:
-        if fk.parent not in T_:
-            continue
-        parent_keys = T_[fk.parent].select(F.col(fk.parent_column).alias("_k"))
-        child_keys = child.where(F.col(fk.column).isNotNull()).select(F.col(fk.column).alias("_k")).distinct()
-        missing = child_keys.join(parent_keys, "_k", "left_anti")
-        bad = child.join(missing.withColumnRenamed("_k", fk.column), fk.column, "left_semi")
-        out.append(
-            bad.select(
-                F.lit(spec.name).alias("table_name"),
-                F.lit("foreign_key").alias("rule"),
-                F.lit(fk.column).alias("column_name"),
-                _key(spec).alias("row_key"),
-                F.col(fk.column).cast("string").alias("bad_value"),
-            )
+    pairs = [F.struct(F.lit(k.column).alias("c"), F.col(k.column).cast("string").alias("v")) for k in spec.foreign_keys]
+    held = child.select(_key(spec).alias("row_key"), F.explode(F.array(*pairs)).alias("_p")).select("row_key", "_p.c", "_p.v").where("v is not null")
+    parents = None
+    for k in spec.foreign_keys:
+        keys = T_[k.parent].select(F.lit(k.column).alias("c"), F.col(k.parent_column).cast("string").alias("v"))
+        parents = keys if parents is None else parents.unionAll(keys)
+    missing = held.select("c", "v").distinct().join(parents, ["c", "v"], "left_anti")
+    bad = held.join(missing, ["c", "v"], "left_semi")
+    return [
+        bad.select(
+            F.lit(spec.name).alias("table_name"),
+            F.lit("foreign_key").alias("rule"),
+            F.col("c").alias("column_name"),
+            "row_key",
+            F.col("v").alias("bad_value"),
         )
-    return out
+    ]
 
 
 def check_table(df: DataFrame, spec: TableSpec) -> DataFrame:

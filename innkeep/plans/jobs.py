@@ -62,10 +62,14 @@ def checkout_feed(T) -> DataFrame:
     default = open_.where(k % 11 == 0).select(
         (4 * k + 3).alias(SEQ), k.alias("reservation_id"), F.lit(None).cast(TS).alias("check_out")
     )
+    # a bill of millions of nights, which AmountPayable can't hold
+    far = open_.where((k % 7 != 0) & (k % 5 == 0)).select(
+        (4 * k + 2).alias(SEQ), k.alias("reservation_id"), F.lit("9999-01-01 10:00:00").cast(TS).alias("check_out")
+    )
     rebill = r.where(F.col("CheckOut").isNotNull()).select(
         (4 * k).alias(SEQ), k.alias("reservation_id"), (F.col("CheckOut") + _days_hours(1, 0)).alias("check_out")
     )
-    return first.unionByName(second).unionByName(unknown).unionByName(default).unionByName(rebill)
+    return first.unionByName(second).unionByName(unknown).unionByName(default).unionByName(far).unionByName(rebill)
 
 
 _CHECKOUT_SQL = f"""
@@ -85,21 +89,26 @@ WITH feed AS (
   SELECT 4 * ReservationID + 3, ReservationID, CAST(NULL AS TIMESTAMP)
   FROM hotel_reservation WHERE CheckOut IS NULL AND ReservationID % 11 = 0
   UNION ALL
+  SELECT 4 * ReservationID + 2, ReservationID, TIMESTAMP '9999-01-01 10:00:00'
+  FROM hotel_reservation WHERE CheckOut IS NULL AND ReservationID % 7 <> 0 AND ReservationID % 5 = 0
+  UNION ALL
   SELECT 4 * ReservationID, ReservationID, CheckOut + INTERVAL 1 DAY
   FROM hotel_reservation WHERE CheckOut IS NOT NULL),
+timed AS (SELECT *, COALESCE(check_out, TIMESTAMP '{CHECKOUT_AS_OF}') AS new_out FROM feed),
+priced AS (
+  SELECT t.*, r.ReservationID AS stay, r.RoomID, r.CustomerID, r.CheckIn,
+         {O.charge_sql(O.nights_sql('r.CheckIn', 't.new_out'), 'rm.RoomRate')} AS charge
+  FROM timed t LEFT JOIN hotel_reservation r ON r.ReservationID = t.reservation_id
+  LEFT JOIN hotel_room rm ON rm.RoomNo = r.RoomID),
 judged AS (
-  SELECT f.*, r.RoomID, r.CustomerID, r.CheckIn,
-         COALESCE(f.check_out, TIMESTAMP '{CHECKOUT_AS_OF}') AS new_out,
-         CASE WHEN r.ReservationID IS NULL THEN 'not found'
-              WHEN COALESCE(f.check_out, TIMESTAMP '{CHECKOUT_AS_OF}') <= r.CheckIn THEN '{C.STAY_ORDER}' END AS reason
-  FROM feed f LEFT JOIN hotel_reservation r ON r.ReservationID = f.reservation_id),
+  SELECT *, CASE WHEN stay IS NULL THEN 'not found'
+                 WHEN new_out <= CheckIn THEN '{C.STAY_ORDER}'
+                 WHEN charge IS NULL THEN 'size: AmountPayable' END AS reason
+  FROM priced),
 winners AS (
   SELECT * FROM judged WHERE reason IS NULL
   QUALIFY row_number() OVER (PARTITION BY reservation_id ORDER BY change_seq DESC) = 1),
-bills AS (
-  SELECT w.reservation_id, w.CustomerID, w.change_seq,
-         {O.charge_sql(O.nights_sql('w.CheckIn', 'w.new_out'), 'rm.RoomRate')} AS charge
-  FROM winners w LEFT JOIN hotel_room rm ON rm.RoomNo = w.RoomID)
+bills AS (SELECT reservation_id, CustomerID, change_seq, charge FROM winners)
 """
 
 
@@ -286,6 +295,26 @@ SELECT change_seq, fname, lname, phone, room_type, check_in, check_out, reason F
 """)(lambda c: _requests(c)[1])
 
 
+def _second_requests(c: Context):
+    """The same requests sent again as a new batch whose numbers start over."""
+    after = {**c.T, **_requests(c)[0]}
+    return C.submit_requests(after, request_feed(c.T), AS_OF)
+
+
+register("request_second_batch", _REQUEST_SQL.rstrip() + f""",
+asked AS (
+  SELECT v.*, COALESCE(k.cid, m.cid) AS cid FROM valid v
+  LEFT JOIN known k ON k.PhoneNumber = v.p LEFT JOIN made m ON m.p = v.p),
+numbered AS (
+  SELECT 0 AS batch, *, change_seq AS number FROM asked
+  UNION ALL SELECT 1, *, change_seq + (SELECT max(change_seq) FROM asked) FROM asked)
+SELECT {_REQ_COLS} FROM hotel_reservation_request
+UNION ALL
+SELECT 'AK-' || {_base36_sql('number')}, cid, room_type, check_in, check_out, 'Pending', NULL, NULL, DATE '{AS_OF}'
+FROM numbered
+""")(lambda c: _second_requests(c)[0]["reservation_request"])
+
+
 # ===================================================== I10 + I11 request decisions
 
 def _token_key(col: str = "RequestToken"):
@@ -607,6 +636,19 @@ SELECT RoomNo, RoomType, RoomRate, RoomStatus,
 FROM hotel_room
 """)(lambda c: _staff_removal(c)[0]["room"])
 
+register("staff_removal_housekeeping", _STAFF_REMOVAL_SQL + """
+SELECT StaffID, Shift, AssignedFloor FROM hotel_housekeeping WHERE StaffID NOT IN (SELECT staff_id FROM gone)
+""")(lambda c: _staff_removal(c)[0]["housekeeping"])
+
+register("staff_removal_frontdesk", _STAFF_REMOVAL_SQL + """
+SELECT StaffID, Shift FROM hotel_frontdesk WHERE StaffID NOT IN (SELECT staff_id FROM gone)
+""")(lambda c: _staff_removal(c)[0]["frontdesk"])
+
+register("staff_removal_requests", _STAFF_REMOVAL_SQL + """
+SELECT * EXCLUDE (StaffID), CASE WHEN StaffID NOT IN (SELECT staff_id FROM gone) THEN StaffID END AS StaffID
+FROM hotel_reservation_request
+""")(lambda c: _staff_removal(c)[0]["reservation_request"])
+
 register("staff_removal_rejects", _STAFF_REMOVAL_SQL + """
 SELECT change_seq, staff_id, reason FROM judged WHERE reason IS NOT NULL
 """)(lambda c: _staff_removal(c)[1])
@@ -619,14 +661,19 @@ def customer_removal_feed(T) -> DataFrame:
     return T["customer"].select(k.alias(SEQ), k.alias("customer_id"))
 
 
+_CUSTOMER_CHILDREN = {"reservation": "CustomerID", "event": "Host", "invoice": "CustomerID", "restaurant_order": "CustomerID"}
+
+
 _CUSTOMER_REMOVAL_SQL = f"""
 WITH feed AS (SELECT CustomerID AS change_seq, CustomerID AS customer_id FROM hotel_customer),
 judged AS (
   SELECT f.*, CASE WHEN c.CustomerID IS NULL THEN 'not found'
-    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_reservation) THEN '{C.REFERENCED}reservation.CustomerID'
-    WHEN f.customer_id IN (SELECT Host FROM hotel_event) THEN '{C.REFERENCED}event.Host'
-    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_invoice) THEN '{C.REFERENCED}invoice.CustomerID'
-    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_restaurant_order)
+    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_reservation WHERE CustomerID % 5 <> 0)
+      THEN '{C.REFERENCED}reservation.CustomerID'
+    WHEN f.customer_id IN (SELECT Host FROM hotel_event WHERE Host % 5 <> 0) THEN '{C.REFERENCED}event.Host'
+    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_invoice WHERE CustomerID % 5 <> 0)
+      THEN '{C.REFERENCED}invoice.CustomerID'
+    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_restaurant_order WHERE CustomerID % 5 <> 0)
       THEN '{C.REFERENCED}restaurant_order.CustomerID'
     WHEN f.change_seq <> min(f.change_seq) OVER (PARTITION BY f.customer_id) THEN 'not found' END AS reason
   FROM feed f LEFT JOIN hotel_customer c ON c.CustomerID = f.customer_id),
@@ -635,7 +682,9 @@ gone AS (SELECT customer_id FROM judged WHERE reason IS NULL)
 
 
 def _customer_removal(c: Context):
-    return C.remove_customers(c.T, customer_removal_feed(c.T))
+    # every fifth customer has no stays, events, invoices or orders: these go, with what cascades
+    free = {t: c.T[t].where(F.col(k) % 5 != 0) for t, k in _CUSTOMER_CHILDREN.items()}
+    return C.remove_customers({**c.T, **free}, customer_removal_feed(c.T))
 
 
 register("customer_removal_customers", _CUSTOMER_REMOVAL_SQL + """
@@ -648,6 +697,10 @@ SELECT FeedbackID, CustomerID, Rating, Comments, FeedbackDate FROM hotel_custome
 WHERE CustomerID NOT IN (SELECT customer_id FROM gone)
 """)(lambda c: _customer_removal(c)[0]["customer_feedback"])
 
+register("customer_removal_requests", _CUSTOMER_REMOVAL_SQL + f"""
+SELECT {_REQ_COLS} FROM hotel_reservation_request WHERE CustomerID NOT IN (SELECT customer_id FROM gone)
+""")(lambda c: _customer_removal(c)[0]["reservation_request"])
+
 register("customer_removal_rejects", _CUSTOMER_REMOVAL_SQL + """
 SELECT change_seq, customer_id, reason FROM judged WHERE reason IS NOT NULL
 """)(lambda c: _customer_removal(c)[1])
@@ -1119,6 +1172,58 @@ WHERE reason IS NOT NULL
 """)(lambda c: C.add_orders(c.T, order_feed(c.T))[1])
 
 
+def numbered_feed(T) -> DataFrame:
+    """Customers with missing, negative and repeated change numbers; the rest are valid."""
+    k = F.col("CustomerID")
+    seq = F.when(k % 5 == 1, -k).when(k % 5 == 3, k - 1).when(k % 5 != 0, k)
+    return T["customer"].select(seq.alias(SEQ), F.col("CustomerFName").alias("fname"), F.col("CustomerLName").alias("lname"), F.col("PhoneNumber").alias("phone"))
+
+
+register("customer_numbered_rejects", f"""
+WITH feed AS (
+  SELECT CASE CustomerID % 5 WHEN 0 THEN NULL WHEN 1 THEN -CustomerID WHEN 3 THEN CustomerID - 1 ELSE CustomerID END AS change_seq,
+         CustomerFName AS fname, CustomerLName AS lname, PhoneNumber AS phone
+  FROM hotel_customer),
+counted AS (SELECT *, count(change_seq) OVER (PARTITION BY change_seq) AS n FROM feed)
+SELECT change_seq, fname, lname, phone, '{C.BAD_SEQ}' AS reason FROM counted
+WHERE change_seq IS NULL OR change_seq < 0 OR n > 1
+""")(lambda c: C.add_customers(c.T, numbered_feed(c.T))[1])
+
+
+def paid_feed(T) -> DataFrame:
+    """The endpoint's form: AmountPaid is set; some amounts missing, some invoices unknown, some set twice."""
+    k = F.col("InvoiceNo")
+    first = T["invoice"].select(
+        (2 * k).alias(SEQ), F.when(k % 13 == 0, -k).otherwise(k).alias("invoice_no"),
+        F.when(k % 7 != 0, (k % 500).cast("decimal(10,2)")).alias("amount_paid"),
+    )
+    again = T["invoice"].where(k % 6 == 1).select((2 * k + 1).alias(SEQ), k.alias("invoice_no"), F.lit("0.50").cast("decimal(10,2)").alias("amount_paid"))
+    return first.unionByName(again)
+
+
+_PAID_SQL = """
+WITH feed AS (
+  SELECT 2 * InvoiceNo AS change_seq, CASE WHEN InvoiceNo % 13 = 0 THEN -InvoiceNo ELSE InvoiceNo END AS invoice_no,
+         CASE WHEN InvoiceNo % 7 <> 0 THEN CAST(InvoiceNo % 500 AS DECIMAL(10,2)) END AS amount_paid
+  FROM hotel_invoice
+  UNION ALL
+  SELECT 2 * InvoiceNo + 1, InvoiceNo, CAST(0.5 AS DECIMAL(10,2)) FROM hotel_invoice WHERE InvoiceNo % 6 = 1),
+judged AS (
+  SELECT *, CASE WHEN invoice_no NOT IN (SELECT InvoiceNo FROM hotel_invoice) THEN 'not found'
+                 WHEN amount_paid IS NULL THEN 'not_null: AmountPaid' END AS reason
+  FROM feed),
+last AS (SELECT invoice_no AS InvoiceNo, arg_max(amount_paid, change_seq) AS paid FROM judged WHERE reason IS NULL GROUP BY 1)
+"""
+
+register("paid_invoices", _PAID_SQL + """
+SELECT * EXCLUDE (AmountPaid, paid), coalesce(paid, AmountPaid) AS AmountPaid FROM hotel_invoice LEFT JOIN last USING (InvoiceNo)
+""")(lambda c: C.set_amount_paid(c.T, paid_feed(c.T))[0]["invoice"])
+
+register("paid_rejects", _PAID_SQL + """
+SELECT * FROM judged WHERE reason IS NOT NULL
+""")(lambda c: C.set_amount_paid(c.T, paid_feed(c.T))[1])
+
+
 def feedback_feed(T) -> DataFrame:
     fb = T["customer_feedback"]
     k = F.col("FeedbackID")
@@ -1126,7 +1231,7 @@ def feedback_feed(T) -> DataFrame:
         k.alias(SEQ),
         F.lit(None).cast("bigint").alias("feedback_id"),
         F.col("CustomerID").alias("customer_id"),
-        F.col("Rating").cast("string").alias("rating"),
+        F.when(k % 10 == 7, "99999999999").otherwise(F.col("Rating").cast("string")).alias("rating"),  # some don't fit an int
         F.col("Comments").alias("comments"),
     )
 
@@ -1134,14 +1239,14 @@ def feedback_feed(T) -> DataFrame:
 _FEEDBACK_SQL = f"""
 WITH feed AS (
   SELECT FeedbackID AS change_seq, CAST(NULL AS BIGINT) AS feedback_id, CustomerID AS customer_id,
-         CAST(Rating AS VARCHAR) AS rating, Comments AS comments
+         CASE WHEN FeedbackID % 10 = 7 THEN '99999999999' ELSE CAST(Rating AS VARCHAR) END AS rating, Comments AS comments
   FROM hotel_customer_feedback),
 judged AS (
   SELECT feed.*, (SELECT max(FeedbackID) FROM hotel_customer_feedback) + change_seq AS new_id,
          TRY_CAST(CASE WHEN regexp_full_match(trim(rating), '[+-]?[0-9]+') THEN trim(rating) END AS INTEGER) AS r,
          CASE WHEN customer_id IS NULL OR customer_id = 0 OR rating IS NULL OR rating = ''
                    OR comments IS NULL OR comments = '' THEN '{C.MISSING}'
-              WHEN TRY_CAST(CASE WHEN regexp_full_match(trim(rating), '[+-]?[0-9]+') THEN trim(rating) END AS INTEGER)
+              WHEN TRY_CAST(CASE WHEN regexp_full_match(trim(rating), '[+-]?[0-9]+') THEN trim(rating) END AS HUGEINT)
                    NOT BETWEEN 1 AND 5
                 OR NOT regexp_full_match(trim(rating), '[+-]?[0-9]+') THEN '{C.BAD_RATING}'
               WHEN (SELECT max(FeedbackID) FROM hotel_customer_feedback) + change_seq
@@ -1166,14 +1271,14 @@ SELECT change_seq, feedback_id, customer_id, rating, comments, reason FROM judge
 def feedback_removal_feed(T) -> DataFrame:
     fb = T["customer_feedback"]
     k = F.col("FeedbackID")
-    return fb.select((2 * k).alias(SEQ), k.alias("feedback_id")).unionByName(
+    return fb.where(k % 3 != 0).select((2 * k).alias(SEQ), k.alias("feedback_id")).unionByName(
         fb.where(k % 14 == 0).select((2 * k + 1).alias(SEQ), (-k).alias("feedback_id"))
     )
 
 
 _FEEDBACK_REMOVAL_SQL = """
 WITH feed AS (
-  SELECT 2 * FeedbackID AS change_seq, FeedbackID AS feedback_id FROM hotel_customer_feedback
+  SELECT 2 * FeedbackID AS change_seq, FeedbackID AS feedback_id FROM hotel_customer_feedback WHERE FeedbackID % 3 <> 0
   UNION ALL SELECT 2 * FeedbackID + 1, -FeedbackID FROM hotel_customer_feedback WHERE FeedbackID % 14 = 0),
 judged AS (
   SELECT feed.*, CASE WHEN feedback_id NOT IN (SELECT FeedbackID FROM hotel_customer_feedback) THEN 'not found'

@@ -129,7 +129,7 @@ def charge_sql(nights: str, rate: str) -> str:
     q = f"(CAST(floor({p}) AS HUGEINT) * 100 + {z} // {two62})"
     rem = f"({z} % {two62})"
     cents = f"({q} + CASE WHEN {rem} > {two61} OR ({rem} = {two61} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
-    return f"CAST({cents} / CAST(100 AS DOUBLE) AS DECIMAL(10,2))"
+    return f"TRY_CAST({cents} / CAST(100 AS DOUBLE) AS DECIMAL(10,2))"
 
 
 def pct_hundredths_sql(part: str, total: str) -> str:

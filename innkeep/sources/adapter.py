@@ -68,7 +68,7 @@ def hotel_tables(raw: dict[str, DataFrame], sizes: dict[str, int] | None = None)
     staff = supplier.select(
         sk.alias("StaffID"),
         F.lit("Supplier").alias("StaffFName"),
-        F.substr("s_name", F.lit(10), F.lit(1 << 20)).alias("StaffLName"),
+        F.substr("s_name", F.lit(10)).alias("StaffLName"),
         F.when(sk % 2 == 0, "Front Desk").otherwise("Housekeeping").alias("StaffRole"),
     )
     frontdesk = supplier.where(sk % 2 == 0).select(sk.alias("StaffID"), _shift(sk).alias("Shift"))
@@ -81,7 +81,7 @@ def hotel_tables(raw: dict[str, DataFrame], sizes: dict[str, int] | None = None)
     hotel_customer = customer.select(
         ck.alias("CustomerID"),
         F.col("c_mktsegment").alias("CustomerFName"),
-        F.substr("c_name", F.lit(10), F.lit(1 << 20)).alias("CustomerLName"),
+        F.substr("c_name", F.lit(10)).alias("CustomerLName"),
         F.concat(F.lit("0"), F.lpad(phone_key.cast("string"), 9, "0")).alias("PhoneNumber"),
     )
 

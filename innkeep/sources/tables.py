@@ -18,60 +18,58 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .adapter import hotel_tables
 from .schema import SPECS
 
-DRIVER_TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
+DRIVER_TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
-_READERS: dict[tuple[int, str], dict[str, DataFrame]] = {}
-_DERIVED: dict[tuple[int, str], dict[str, DataFrame]] = {}
+_DERIVED: dict[tuple, dict[str, DataFrame]] = {}
 
 
-def _session_key(spark: SparkSession, directory: str) -> tuple[int, str]:
-    handle = getattr(spark, "_jsparkSession", spark)  # Spark Connect sessions have no JVM handle
-    return id(handle), os.path.abspath(directory) if "://" not in directory else directory
+def read_driver_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+    """Lazy readers for the driver's Parquet tables; a missing table raises."""
+    return {name: spark.read.parquet(os.path.join(directory, f"{name}.parquet")) for name in DRIVER_TABLES}
 
 
-def read_driver_tables(spark: SparkSession, directory: str, refresh: bool = False) -> dict[str, DataFrame]:
-    """Lazy readers for the driver's Parquet tables that exist in ``directory``.
-
-    Readers (file listing and footer schema) are made once per session and
-    directory; DataFrames are immutable, so queries share them.  Pass
-    ``refresh=True`` after the files change.
-    """
-    key = _session_key(spark, directory)
-    if not refresh and key in _READERS:
-        return _READERS[key]
-    out = {}
+def _version(spark: SparkSession, directory: str) -> tuple:
+    """Names, sizes and times of the files under the tables, from the file system that Spark reads."""
+    out = []
     for name in DRIVER_TABLES:
-        path = os.path.join(directory, f"{name}.parquet")
-        if os.path.exists(path) or "://" in directory:
-            out[name] = spark.read.parquet(path)
-    _READERS[key] = out
-    _DERIVED.pop(key, None)
-    return out
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(directory, f"{name}.parquet"))
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        out.append((name, *[(f.getLen(), f.getModificationTime()) for f in files or []]))
+    return tuple(out)
 
 
 def load_tables(spark: SparkSession, directory: str, refresh: bool = False) -> dict[str, DataFrame]:
-    """A1: the 13 bookings tables (lazy DataFrames) derived from ``directory``."""
-    key = _session_key(spark, directory)
-    if refresh or key not in _DERIVED:
-        raw = read_driver_tables(spark, directory, refresh)
-        # three row counts, once: Parquet answers them from the footers
+    """A1: the 13 bookings tables (lazy DataFrames) derived from ``directory``.
+
+    Readers and row counts are kept for the session while the tables' files
+    stay as they are; ``refresh`` reads them again in any case.
+    """
+    handle = getattr(spark, "_jsparkSession", None)
+    if handle is None:  # Spark Connect: nothing is kept
+        raw = read_driver_tables(spark, directory)
+        return hotel_tables(raw, {t: raw[t].count() for t in ("part", "customer", "supplier")})
+    key = id(handle), directory
+    version = _version(spark, directory)
+    if refresh or _DERIVED.get(key, (None,))[0] != version:
+        raw = read_driver_tables(spark, directory)
+        # three row counts: Parquet answers them from the footers
         sizes = {t: raw[t].count() for t in ("part", "customer", "supplier")}
-        _DERIVED[key] = hotel_tables(raw, sizes)
-    return _DERIVED[key]
+        _DERIVED.clear()  # one set of tables is kept
+        _DERIVED[key] = version, hotel_tables(raw, sizes)
+    return _DERIVED[key][1]
 
 
 def read_tables(
-    spark: SparkSession, directory: str, id_type: T.DataType | None = None
+    spark: SparkSession, directory: str, id_type: T.DataType | None = None, names: list[str] | None = None
 ) -> dict[str, DataFrame]:
-    """Bookings tables stored as ``<directory>/<table>`` Parquet, declared schema."""
+    """Bookings tables stored as ``<directory>/<table>`` Parquet, declared schema.
+
+    All tables, or those in ``names``; one that isn't there raises.
+    """
     return {
-        name: spark.read.schema(spec.struct(id_type)).parquet(os.path.join(directory, name))
-        for name, spec in SPECS.items()
-        if os.path.exists(os.path.join(directory, name)) or "://" in directory
+        name: spark.read.schema(SPECS[name].struct(id_type)).parquet(os.path.join(directory, name))
+        for name in (names or SPECS)
     }
 
 
@@ -108,23 +106,41 @@ def bulk_load(
     mode: str = "errorifexists",
     parents: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """A2: read initial rows with the declared schema, check them, write Parquet.
+    """A2: read initial rows with the declared schema, check them, write the rows that pass as Parquet.
 
-    Returns the violations found by the quality job (J); rows are written
-    as they are so that a reviewer can fix them in place.  ``parents`` (the
-    already-loaded tables, e.g. from :func:`read_tables`) adds the foreign-key
-    check (J5) of the new table against them.
+    Returns the violations: those of the quality job (J) and every record
+    that did not parse, with its text (rule ``unreadable``).  A row with a
+    violation, or with a repeated key, is not written, as the database would
+    refuse it.  ``parents`` (the already-loaded tables, e.g. from
+    :func:`read_tables`) adds the foreign-key check (J5) against them.
     """
-    from ..operators.quality import _union, check_foreign_keys, check_table
+    from ..operators.quality import RULE_BUILDERS, _key, _union, check_foreign_keys, check_table
+    from ..session import stage
 
     spec = SPECS[table]
-    reader = spark.read.schema(spec.struct(id_type))
-    df = reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
-    df.write.mode(mode).parquet(out_path)
-    loaded = spark.read.parquet(out_path)
-    found = [check_table(loaded, spec)]
+    full = T.StructType([*spec.struct(id_type).fields, T.StructField(CORRUPT, T.StringType(), True)])
+    # a field that may not be NULL is read as NULL where it does not parse
+    full = T.StructType([T.StructField(f.name, f.dataType, True) for f in full.fields])
+    reader = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    rows = stage(reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path).select("*"))
+    unreadable = rows.where(F.col(CORRUPT).isNotNull()).select(
+        F.lit(table).alias("table_name"), F.lit("unreadable").alias("rule"), F.lit(None).cast("string").alias("column_name"),
+        F.lit(None).cast("string").alias("row_key"), F.col(CORRUPT).alias("bad_value"),
+    )
+    good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    found = [check_table(good, spec), unreadable]
+    passing = good
+    for name in RULE_BUILDERS:
+        for _, _, bad in RULE_BUILDERS[name](good, spec):
+            passing = passing.where(~F.coalesce(bad, F.lit(False)))
+    repeated = good.groupBy(*spec.key).count().where("count > 1").select(*spec.key)
+    passing = passing.join(repeated, list(spec.key), "left_anti")
     if parents:
-        found += check_foreign_keys({**parents, table: loaded}, spec)
+        missing = check_foreign_keys({**parents, table: good}, spec)
+        found += missing
+        for m in missing:
+            passing = passing.join(m.select(F.col("row_key").alias("__bad")).distinct(), _key(spec) == F.col("__bad"), "left_anti")
+    passing.select(*[c.name for c in spec.columns]).write.mode(mode).parquet(out_path)
     return _union(found, spark)
 
 

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,13 +47,12 @@ def snapshot_path(out_dir: str, batch_id: int) -> str:
 
 
 def _previous(spark: SparkSession, base_path: str, out_dir: str, batch_id: int) -> DataFrame:
-    """The snapshot written by the batch before, or the base room table."""
-    if batch_id > 0:
-        try:
-            return spark.read.parquet(snapshot_path(out_dir, batch_id - 1))
-        except AnalysisException:
-            pass
-    return spark.read.parquet(base_path)
+    """The snapshot written by the batch before; the base room table for the first batch only.
+
+    A missing snapshot raises (the changes before it would be lost): a stream
+    goes on with the ``out_dir`` of its checkpoint, or starts anew with both.
+    """
+    return spark.read.parquet(snapshot_path(out_dir, batch_id - 1) if batch_id > 0 else base_path)
 
 
 def apply_batch(spark: SparkSession, base_path: str, out_dir: str):

@@ -78,8 +78,44 @@ def test_two_new_requests_one_phone_make_one_customer(spark):
     made = new["customer"].where("PhoneNumber = '0999'").collect()
     assert len(made) == 1 and made[0].CustomerFName == "Ann"
     req = {r.RequestToken: r.CustomerID for r in new["reservation_request"].collect()}
-    assert req["AK-5"] == req["AK-6"] == made[0].CustomerID
-    assert req["AK-7"] == "CU01"
+    # AK-1 and AK-2 are in use: made tokens go on above them
+    assert req["AK-7"] == req["AK-8"] == made[0].CustomerID
+    assert req["AK-9"] == "CU01"
+    # a second batch whose numbers start over loses nobody
+    again, rej = C.submit_requests({**T, **new}, feed, "2024-01-15")
+    assert _reasons(rej, "change_seq") == {8: C.REQUEST_ORDER, 9: C.INVALID_DATE}
+    assert again["reservation_request"].select("RequestToken").distinct().count() == again["reservation_request"].count() == len(req) + 3
+
+
+def test_change_numbers_are_judged_and_ids_stay_unique(spark):
+    T = _tables(spark)
+    feed = spark.createDataFrame(
+        [(1, None, "A"), (1, None, "B"), (None, None, "C"), (-3, None, "D"), (2, None, "E"), (7, "CU50", "F"), (8, None, "G")],
+        "change_seq long, customer_id string, fname string",
+    ).selectExpr("*", "'L' AS lname", "'0' || fname AS phone")
+    new, rej = C.add_customers(T, feed)
+    assert {r.fname: r.reason for r in rej.collect()} == {k: C.BAD_SEQ for k in "ABCD"}
+    ids = {r.CustomerFName: r.CustomerID for r in new["customer"].collect()}
+    assert ids["F"] == "CU50" and ids["E"] == "CU52" and ids["G"] == "CU58"  # above the ids given in the batch
+    assert new["customer"].select("CustomerID").distinct().count() == new["customer"].count()
+
+
+def test_one_unreadable_rating_or_oversized_bill_refuses_itself_alone(spark):
+    T = _tables(spark)
+    feed = spark.createDataFrame(
+        [(1, "CU01", "99999999999", "x"), (2, "CU01", "4", "x"), (3, "CU01", "9" * 40, "x")], "change_seq long, customer_id string, rating string, comments string"
+    )
+    new, rej = C.add_feedback(T, feed, "2024-01-15")
+    assert _reasons(rej, "change_seq") == {1: C.BAD_RATING, 3: C.BAD_RATING}
+    numbers = spark.createDataFrame([(1, "CU01", 4.7, "x"), (2, "CU01", 0.0, "x"), (3, "CU01", 1e30, "x")], "change_seq long, customer_id string, rating double, comments string")
+    new, rej = C.add_feedback(T, numbers, "2024-01-15")
+    assert set(_reasons(rej, "change_seq")) == {2, 3}  # 4.7 is 4
+    stays = T["reservation"].where("CheckOut is null").select("ReservationID").collect()
+    first = stays[0].ReservationID
+    far = spark.createDataFrame([(1, first, "9999-01-01 00:00:00")], "change_seq long, reservation_id string, check_out string")
+    tables, rej = C.checkout_and_bill(T, far, "2024-01-15 12:00:00")
+    assert _reasons(rej, "change_seq") == {1: "size: AmountPayable"}
+    assert tables["invoice"].count() == T["invoice"].count()
 
 
 def test_first_decision_wins(spark):

@@ -61,3 +61,20 @@ def test_restart_and_batch_replay_are_idempotent(spark, tmp_path):
     RS.apply_batch(spark, base, out)(updates, 0)
     assert {r.RoomNo: r.RoomStatus for r in spark.read.parquet(RS.snapshot_path(out, 0)).collect()} == first
     assert sorted(p.name for p in (tmp_path / "snapshots").iterdir() if p.name.startswith("batch_id=")) == batches
+
+
+def test_a_missing_snapshot_raises(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from innkeep.streaming import room_status
+
+    base = str(tmp_path / "room")
+    spark.createDataFrame([("R1", "Vacant"), ("R2", "Vacant")], "RoomNo string, RoomStatus string").write.parquet(base)
+    run = room_status.apply_batch(spark, base, str(tmp_path / "out"))
+    run(spark.createDataFrame([("R1", "Occupied")], "RoomNo string, RoomStatus string"), 0)
+    with pytest.raises(AnalysisException):
+        run(spark.createDataFrame([("R2", "Occupied")], "RoomNo string, RoomStatus string"), 2)
+    run(spark.createDataFrame([("R2", "Occupied")], "RoomNo string, RoomStatus string"), 1)
+    rows = room_status.latest_snapshot(spark, str(tmp_path / "out")).collect()
+    assert {r.RoomNo: r.RoomStatus for r in rows} == {"R1": "Occupied", "R2": "Occupied"}
