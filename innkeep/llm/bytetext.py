@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # documents are taken together up to this many bytes of text
+SLICE_BYTES = 2 << 20  # documents are taken together up to this many bytes of text
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -128,7 +128,10 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     """A 64-bit hash of each run: differences of one polynomial prefix sum, mixed with the length."""
     power, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    values = _BYTE[data]
+    values *= power[: len(data)]
+    np.cumsum(values, out=sums[1:])
+    del values
     h = (sums[ends] - sums[starts]) * inverse[starts]
     return mix(h + (ends - starts).astype(np.uint64) * _ODD)
 

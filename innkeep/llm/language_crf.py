@@ -86,7 +86,7 @@ class Model:
     def emissions(self, words: Words) -> np.ndarray:
         """Score of each label for each distinct word."""
         n = len(words.distinct)
-        out = np.stack([np.bincount(words.owner, self.weights[words.bucket, l], n) for l in range(len(self.labels))], 1)
+        out = np.stack([np.bincount(words.owner, self.weights[words.bucket, l], n) for l in range(len(self.labels))], 1).astype(float)
         hit, k = self.in_lexicon(words.distinct)
         out[hit] += self.lex_weights[k]
         return out

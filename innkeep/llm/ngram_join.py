@@ -19,7 +19,9 @@ Plan, in Spark jobs:
    of n near copies costs n verifications here, not n * n;
 4. pairs *between* components are generated from the postings with the size,
    position and multi-match filters and verified on their whole sets.  Pairs
-   within a component can't change the answer;
+   within a component can't change the answer.  In both steps sets carry 256
+   parity bits: they differ in at least as many shingles as these differ in
+   bits, which rules out most pairs before sets are moved;
 5. connected components of all links.
 
 Edge cases: null or empty text gives an empty set, linked with nothing; a
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bytetext as bt
 from .graph import components
-from .storage import cut, new_path, remove, written
+from .storage import checked, cut, new_path, remove, written
 
 BUCKET_BITS = 20  # size of the frequency table: 4 MiB, whatever the corpus
 CHUNK = 1 << 14
@@ -93,6 +95,26 @@ def set_keys(s: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [both[i : i + 16] for i in range(0, len(both), 16)]
 
 
+SIGNS = ["s0", "s1", "s2", "s3"]
+
+
+def signatures(s: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """256 parity bits of each set, as four columns of 64."""
+    place = bt.mix(s ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(56)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    out = []
+    for k in range(4):
+        sums = np.bitwise_xor.accumulate(np.concatenate([np.zeros(1, np.uint64), np.where(place >> np.uint64(6) == k, bit, np.uint64(0))]))
+        out.append((sums[at[1:]] ^ sums[at[:-1]]).view(np.int64))
+    return out
+
+
+def _may_link(num: int, den: int, x: str, y: str) -> str:
+    """SQL: the signatures of two sets leave room for the overlap (columns n and s0 to s3, with these endings)."""
+    apart = " + ".join(f"bit_count({c}{x} ^ {c}{y})" for c in SIGNS)
+    return f"{apart} <= n{x} + n{y} - 2 * ceil({num} * (n{x} + n{y}) / {num + den})"
+
+
 def _summaries(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
@@ -103,14 +125,14 @@ def _summaries(words: int):
                 counts += np.bincount((s >> shift).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 n = j - i
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(np.diff(at), pa.int32()), pa.array(set_keys(s, at), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    names=["id", "n", "sid", "chunk", "counts"],
+                    [batch.column(0).slice(i, n), pa.array(np.diff(at), pa.int32()), pa.array(set_keys(s, at), pa.binary()), *map(pa.array, signatures(s, at)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    names=["id", "n", "sid", *SIGNS, "chunk", "counts"],
                 )
         chunks = [k for k in range(0, len(counts), CHUNK) if counts[k : k + CHUNK].any()]
         m = len(chunks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array([k // CHUNK for k in chunks], pa.int32()), pa.array([counts[k : k + CHUNK].tobytes() for k in chunks], pa.binary())],
-            names=["id", "n", "sid", "chunk", "counts"],
+            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 4, pa.array([k // CHUNK for k in chunks], pa.int32()), pa.array([counts[k : k + CHUNK].tobytes() for k in chunks], pa.binary())],
+            names=["id", "n", "sid", *SIGNS, "chunk", "counts"],
         )
 
     return run
@@ -237,11 +259,12 @@ def jaccard_components(
 
     # 1. set keys and frequencies
     summary = written(
-        base.mapInArrow(_summaries(words), "id long, n int, sid binary, chunk int, counts binary"), f"{root}/summary"
+        base.mapInArrow(_summaries(words), f"id long, n int, sid binary, {', '.join(f'{c} long' for c in SIGNS)}, chunk int, counts binary"), f"{root}/summary"
     )
     ranks = sc.broadcast(frequency_table(summary))
     rows = summary.where("chunk is null").select("id", "n", "sid")
-    reps = rows.where("n > 0 and id is not null").groupBy("sid").agg(F.min("id").alias("id"))
+    held = summary.where("chunk is null and n > 0 and id is not null")
+    reps = held.groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGNS])
 
     # 2. postings of the prefixes; tokens of one set only can't link
     posts = written(
@@ -250,7 +273,8 @@ def jaccard_components(
     )
     short = posts.select("token", F.xxhash64("sid").alias("h"))
     shared = short.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("token")
-    posts = written(posts.join(shared, "token").dropDuplicates(["token", "sid"]), f"{root}/shared")
+    # copies of a set in several tasks; by whole rows, so a frequent token is spread
+    posts = written(posts.join(shared, "token").distinct(), f"{root}/shared")
     remove(spark, f"{root}/postings")
     # levels: the first l for which the posting is in the l-prefix, as the longer and as the shorter set of a pair
     posts = posts.withColumn("probe", F.expr(f"greatest(1, pos + 2 - (n - ceil({num} * n / {den}) + 1))").cast("int")).withColumn(
@@ -276,8 +300,9 @@ def jaccard_components(
     remove(spark, f"{root}/shared")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = reps.select(F.col("sid").alias("a"), F.col("id").alias("ia")), reps.select(F.col("sid").alias("b"), F.col("id").alias("ib"))
-        pairs = written(pairs.join(a, "a").join(b, "b"), f"{root}/{name}-pairs")
+        a, b = (reps.select(*[F.col(c).alias(f"{c}_{k}") for c in reps.columns]).withColumnRenamed(f"sid_{k}", k).withColumnRenamed(f"id_{k}", f"i{k}") for k in "ab")
+        pairs = pairs.join(a, "a").join(b, "b").where(_may_link(num, den, "_a", "_b")).select("a", "b", "ia", "ib")
+        pairs = written(pairs, f"{root}/{name}-pairs")
         filters = sc.broadcast([id_filter(pairs.select(c)) for c in ("ia", "ib")])
         sets = written(
             base.where("id is not null").select("id", id_hash("id").alias("h"), "text").mapInArrow(_whole_sets(words, filters), "id long, sid binary, toks binary, as_a boolean, as_b boolean"),
@@ -285,7 +310,8 @@ def jaccard_components(
         )
         ta = sets.where("as_a").select(F.col("id").alias("ia"), F.col("sid").alias("a"), F.col("toks").alias("ta"))
         tb = sets.where("as_b").select(F.col("id").alias("ib"), F.col("sid").alias("b"), F.col("toks").alias("tb"))
-        whole = pairs.join(ta, ["ia", "a"]).join(tb, ["ib", "b"]).select("a", "b", "ta", "tb")
+        # a short list of pairs (counted) goes to the sets, a longer one meets them by a shuffle
+        whole = ta.join(checked(pairs), ["ia", "a"]).join(tb, ["ib", "b"]).select("a", "b", "ta", "tb")
         out = written(whole.mapInArrow(_verify(num, den), "a binary, b binary"), f"{root}/{name}-links")
         remove(spark, f"{root}/{name}-sets")
         return out
@@ -307,15 +333,16 @@ def jaccard_components(
     # 4. pairs between components, from lists that still hold more than one
     open_posts = posts.join(groups, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = open_posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    open_posts = written(open_posts.join(mixed, "token"), f"{root}/open")
-    x = open_posts.where("probe <= need").select("token", *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos", "need", "comp")])
-    y = open_posts.select("token", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos", "index", "comp")])
+    signs = reps.select("sid", *SIGNS)
+    open_posts = written(open_posts.join(mixed, "token").join(signs, "sid"), f"{root}/open")
+    x = open_posts.where("probe <= need").select("token", *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos", "need", "comp", *SIGNS)])
+    y = open_posts.select("token", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos", "index", "comp", *SIGNS)])
     overlap = f"ceil({num} * (n_x + n_y) / {num + den})"
     pairs = (
         x.join(y, "token")
         .where(
             f"comp_x != comp_y and index_y <= need_x and (n_x > n_y or (n_x = n_y and sid_x > sid_y)) and {den} * n_y >= {num} * n_x"
-            f" and least(pos_x, pos_y) + least(n_x - pos_x, n_y - pos_y) >= {overlap}"
+            f" and least(pos_x, pos_y) + least(n_x - pos_x, n_y - pos_y) >= {overlap} and {_may_link(num, den, '_x', '_y')}"
         )
         .groupBy("sid_x", "sid_y", "n_x", "n_y", "need_x")
         .agg(F.count("*").alias("shared"), F.min("pos_x").alias("px"), F.min("pos_y").alias("py"))
@@ -326,7 +353,7 @@ def jaccard_components(
 
     # 5. all links; a component's name is its smallest id
     groups = components(first_links.unionAll(other_links)).toDF("sid", "comp")
-    smallest = reps.join(groups, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    smallest = reps.select("sid", "id").join(groups, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     names = smallest.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = smallest.join(names, "comp").select("sid", "component_id")
     out = rows.join(named, "sid", "left").select(

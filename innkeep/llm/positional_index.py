@@ -19,11 +19,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import cut, new_path, remove, written
+from .storage import checked, cut, new_path, remove, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 500_000  # lists up to here are broadcast (about 32 MB); longer ones are joined by a shuffle
 
 
 def words(text: Column) -> Column:
@@ -33,11 +32,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(low, F.lit("")), NOT_WORD), "")
 
 
-def checked(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, did, h, text``: (did, h) tells rows apart by id and text."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -129,7 +129,7 @@ class Tree:
         each = out.T.reshape(-1)[: len(seq)].astype(np.float64)
         each[~_real(seq, doc_at)] = 0
         sums = np.concatenate([[0.0], np.cumsum(each)])
-        return np.add.reduceat(each, doc_at[:-1]) if len(doc_at) > 1 else sums[:0]
+        return sums[doc_at[1:]] - sums[doc_at[:-1]]
 
 
 def _keys(length: int, ctx):
@@ -228,7 +228,9 @@ def _score(tree, top):
                 doc = np.repeat(np.arange(len(n)), n)
                 k = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
                 known = keys[k] == words if len(keys) else np.zeros(len(words), bool)
-                gain = np.bincount(doc[known], gains[k[known]], len(n)) if len(keys) else np.zeros(len(n))
+                gain = np.zeros(len(n))
+                if known.any():
+                    gain = np.bincount(doc[known], gains[k[known]], len(n))
                 m = j - i
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, m), batch.column(1).slice(i, m), pa.array(n), pa.array(np.bincount(doc[known], minlength=m).astype(np.int64)), pa.array(gain), pa.array(model.score(seq, doc_at)), pa.nulls(m, pa.int64())],
