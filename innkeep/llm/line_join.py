@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .positional_index import LOWER, UPPER
-from .storage import cut, new_path, remove, written
+from .storage import checked, cut, new_path, remove, written
 
 BUCKET_BITS = 20
 CLASS_BITS = 8
@@ -38,9 +38,19 @@ def _low(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _hashes(line: Column) -> Column:
+def _odd(text: Column) -> Column:
+    """Whether a text has white space other than spaces and line feeds."""
+    return F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+
+
+def _words(line: Column, odd: Column) -> Column:
+    """Words of a lower-cased line, and empty strings between spaces (a plain split where spaces are all there is)."""
+    return F.when(odd, F.split(line, SPACE)).otherwise(F.split(line, " "))
+
+
+def _hashes(line: Column, odd: Column) -> Column:
     """Distinct word hashes of a lower-cased line."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(line, SPACE), ""), lambda w: F.xxhash64(w)))
+    return F.array_remove(F.array_distinct(F.transform(_words(line, odd), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _bucket(h: Column) -> Column:
@@ -49,7 +59,8 @@ def _bucket(h: Column) -> Column:
 
 def frequency_classes(texts: DataFrame) -> DataFrame:
     """One row, one array: the class of frequency (twice the binary logarithm) of each bucket."""
-    words = texts.select(F.explode(F.split(_low(F.col("text")), SPACE)).alias("w")).where("w != ''")
+    flat = F.replace(_low(F.col("text")), F.lit("\n"), F.lit(" "))
+    words = texts.select(F.explode(_words(flat, _odd(F.col("text")))).alias("w")).where("w != ''")
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("c"))
     every = texts.sparkSession.range(0, 1 << BUCKET_BITS, 1, 16).select(F.col("id").cast("int").alias("b"))
     cls = every.join(counts, "b", "left").select("b", F.coalesce(F.floor(2 * F.log2("c")), F.lit(0)).cast("int").alias("k"))
@@ -76,9 +87,9 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     """
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     classes = written(frequency_classes(base.select("text")), f"{root}/frequencies")
-    each = base.select("row", "id", F.posexplode_outer(F.split("text", "\n")).alias("line", "s"))
+    each = base.select("row", "id", _odd(F.col("text")).alias("odd"), F.posexplode_outer(F.split(_low(F.col("text")), "\n")).alias("line", "s"))
     # the frequency array is one value for all rows: a scalar subquery, which the set's order refers to once
-    sets = each.select("row", "id", "line", F.char_length("s").alias("chars"), _hashes(_low(F.col("s"))).alias("hashes"), classes.scalar().alias("classes"))
+    sets = each.select("row", "id", "line", F.char_length("s").alias("chars"), _hashes(F.col("s"), F.col("odd")).alias("hashes"), classes.scalar().alias("classes"))
     sets = sets.select("row", "id", "line", "chars", _ordered(F.col("hashes"), F.col("classes")).alias("t"))
     n = F.coalesce(F.size("t"), F.lit(0))
     probe = F.expr(f"n - ceil({num} * n / {den}) + 1").cast("int")
@@ -105,8 +116,9 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
 
     # whole sets of the candidates' first lines, read from the texts again
     wanted = pairs.select(F.col("a").alias("k")).unionAll(pairs.select(F.col("b").alias("k"))).distinct()
-    at = firsts.join(wanted, "k").select("k", F.col("f.row").alias("row"), F.col("f.line").alias("line"))
-    whole = each.where("s is not null").select("row", "line", "s").join(at, ["row", "line"]).select("k", _hashes(_low(F.col("s"))).alias("t"))
+    at = written(firsts.join(wanted, "k").select("k", F.col("f.row").alias("row"), F.col("f.line").alias("line")), f"{root}/wanted")
+    lines_of = each.where("s is not null").select("row", "line", "s", "odd")
+    whole = lines_of.join(checked(at), ["row", "line"]).select("k", _hashes(F.col("s"), F.col("odd")).alias("t"))
     whole = written(whole, f"{root}/sets")
     both = pairs.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b")
     common = F.size(F.array_intersect("ta", "tb"))
