@@ -38,8 +38,8 @@ from .storage import cut, new_path, remove, written
 
 DEPTH = 5
 CONTEXTS = 20_000
-MIN_COUNT = 30
-MIN_GAIN = 15.0
+MIN_COUNT = 10
+MIN_GAIN = 6.0
 FREQUENT = 1 << 18  # words whose counts go to every task; the others' go by a join
 SEP, END = 0x20, 0x0A  # neither occurs in a word
 CHUNK = 512
