@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bytetext as bt
 from .encoder import encoder, public_path
+from .storage import cut
 
 BLOCK = 1024  # lengths per block of the two-level sums
 
@@ -51,6 +52,7 @@ def sums(hist: DataFrame) -> DataFrame:
     Sums run within blocks of lengths and over the block totals, so no task
     holds more than a block or the list of blocks.
     """
+    hist = cut(hist)  # read twice below; a row per length
     h = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("t", F.col("n_tokens") * F.col("docs"))
     blocks = h.groupBy("block").agg(F.sum("docs").alias("bd"), F.sum("t").alias("btk"))
     upto, whole = Window.orderBy("block"), Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
