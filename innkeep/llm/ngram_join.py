@@ -12,11 +12,13 @@ Plan, in Spark jobs:
 1. one pass over the texts writes a 128-bit set key per row and a fixed-size
    table of shingle frequencies (2**20 buckets; it only sets the order, every
    order is exact);
-2. a second pass emits prefix postings ``(token, sid, n, pos)``; tokens that
-   only one set holds are dropped, repeated sets meet in one ``sid``;
-3. every set is verified against one leader: the member without tokens of its
-   own that it meets in most lists.  Linked sets form components, so a group
-   of n near copies costs n verifications here, not n * n;
+2. a second pass emits prefix postings ``(token, set, n, pos)``; tokens that
+   only one set holds are dropped, and repeated sets meet in the first row that
+   holds them, whose number names the set from here on;
+3. every set is verified against leaders: the member without tokens of its
+   own that it meets in most lists, then one member drawn for each of its
+   lists.  Linked sets form components, so a group of n near copies costs a
+   multiple of n verifications here, not n * n;
 4. pairs *between* components are generated from the postings with the size,
    position and multi-match filters and verified on their whole sets.  Pairs
    within a component can't change the answer.  In both steps sets carry 256
@@ -125,14 +127,14 @@ def _summaries(words: int):
                 counts += np.bincount((s >> shift).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 n = j - i
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(np.diff(at), pa.int32()), pa.array(set_keys(s, at), pa.binary()), *map(pa.array, signatures(s, at)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    names=["id", "n", "sid", *SIGNS, "chunk", "counts"],
+                    [batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(np.diff(at), pa.int32()), pa.array(set_keys(s, at), pa.binary()), *map(pa.array, signatures(s, at)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    names=["row", "id", "n", "sid", *SIGNS, "chunk", "counts"],
                 )
         chunks = [k for k in range(0, len(counts), CHUNK) if counts[k : k + CHUNK].any()]
         m = len(chunks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 4, pa.array([k // CHUNK for k in chunks], pa.int32()), pa.array([counts[k : k + CHUNK].tobytes() for k in chunks], pa.binary())],
-            names=["id", "n", "sid", *SIGNS, "chunk", "counts"],
+            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 4, pa.array([k // CHUNK for k in chunks], pa.int32()), pa.array([counts[k : k + CHUNK].tobytes() for k in chunks], pa.binary())],
+            names=["row", "id", "n", "sid", *SIGNS, "chunk", "counts"],
         )
 
     return run
@@ -222,8 +224,7 @@ def _whole_sets(words: int, filters):
                     pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(s)]
                 ).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(set_keys(s, at), pa.binary()), values, *[r.slice(i, j - i) for r in roles]],
-                    names=["id", "sid", "toks", "as_a", "as_b"],
+                    [batch.column(0).slice(i, j - i), pa.array(set_keys(s, at), pa.binary()), values, *[r.slice(i, j - i) for r in roles]], names=["id", "sid", "toks", "as_a", "as_b"]
                 )
 
     return run
@@ -254,17 +255,17 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     root = new_path(spark, "ngram-join")
 
     # 1. set keys and frequencies
     summary = written(
-        base.mapInArrow(_summaries(words), f"id long, n int, sid binary, {', '.join(f'{c} long' for c in SIGNS)}, chunk int, counts binary"), f"{root}/summary"
+        base.mapInArrow(_summaries(words), f"row long, id long, n int, sid binary, {', '.join(f'{c} long' for c in SIGNS)}, chunk int, counts binary"), f"{root}/summary"
     )
     ranks = sc.broadcast(frequency_table(summary))
-    rows = summary.where("chunk is null").select("id", "n", "sid")
+    rows = summary.where("chunk is null").select("row", "id", "n", "sid")
     held = summary.where("chunk is null and n > 0 and id is not null")
-    reps = held.groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGNS])
+    reps = held.groupBy("sid").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGNS])
 
     # 2. postings of the prefixes; tokens of one set only can't link
     posts = written(
@@ -273,8 +274,9 @@ def jaccard_components(
     )
     short = posts.select("token", F.xxhash64("sid").alias("h"))
     shared = short.groupBy("token").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi").select("token")
-    # copies of a set in several tasks; by whole rows, so a frequent token is spread
-    posts = written(posts.join(shared, "token").distinct(), f"{root}/shared")
+    # copies of a set come from several tasks; they meet by set, so a frequent token is spread
+    names = reps.select("sid", "node")
+    posts = written(posts.join(shared, "token").join(names, "sid").select("sid", "token", "node", "n", "pos").distinct().drop("sid"), f"{root}/shared")
     remove(spark, f"{root}/postings")
     # levels: the first l for which the posting is in the l-prefix, as the longer and as the shorter set of a pair
     posts = posts.withColumn("probe", F.expr(f"greatest(1, pos + 2 - (n - ceil({num} * n / {den}) + 1))").cast("int")).withColumn(
@@ -284,7 +286,7 @@ def jaccard_components(
     # each set's l: reads of its l-prefix plus the verifications they imply
     levels = range(1, MAX_MATCH + 1)
     lists = posts.groupBy("token").agg(*[F.count_if(F.col("index") <= k).alias(f"d{k}") for k in levels])
-    costs = posts.join(lists, "token").groupBy("sid").agg(
+    costs = posts.join(lists, "token").groupBy("node").agg(
         F.min("n").alias("n"),
         F.min("pos").alias("first"),
         *[F.sum(F.when(F.col("probe") <= k, F.col(f"d{k}")).otherwise(0)).alias(f"c{k}") for k in levels],
@@ -295,67 +297,83 @@ def jaccard_components(
     for k in reversed(levels):
         need = F.when(estimate[k - 1] <= best, F.lit(k)).otherwise(need)
     # sets of a few shingles don't have so many to share
-    choice = written(costs.select("sid", "first", F.when(F.col("n") < 4 * MAX_MATCH, 1).otherwise(need).alias("need")), f"{root}/choice")
-    posts = written(posts.join(choice, "sid"), f"{root}/chosen")
+    choice = written(costs.select("node", "first", F.when(F.col("n") < 4 * MAX_MATCH, 1).otherwise(need).alias("need")), f"{root}/choice")
+    posts = written(posts.join(choice, "node"), f"{root}/chosen")
     remove(spark, f"{root}/shared")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = (reps.select(*[F.col(c).alias(f"{c}_{k}") for c in reps.columns]).withColumnRenamed(f"sid_{k}", k).withColumnRenamed(f"id_{k}", f"i{k}") for k in "ab")
-        pairs = pairs.join(a, "a").join(b, "b").where(_may_link(num, den, "_a", "_b")).select("a", "b", "ia", "ib")
+        a, b = (reps.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "id", "sid", "n", *SIGNS)]).withColumnRenamed(f"node_{k}", k) for k in "ab")
+        pairs = pairs.join(a, "a").join(b, "b").where(_may_link(num, den, "_a", "_b")).select("a", "id_a", "sid_a", "b", "id_b", "sid_b")
         pairs = written(pairs, f"{root}/{name}-pairs")
-        filters = sc.broadcast([id_filter(pairs.select(c)) for c in ("ia", "ib")])
+        filters = sc.broadcast([id_filter(pairs.select(c)) for c in ("id_a", "id_b")])
         sets = written(
             base.where("id is not null").select("id", id_hash("id").alias("h"), "text").mapInArrow(_whole_sets(words, filters), "id long, sid binary, toks binary, as_a boolean, as_b boolean"),
             f"{root}/{name}-sets",
         )
-        ta = sets.where("as_a").select(F.col("id").alias("ia"), F.col("sid").alias("a"), F.col("toks").alias("ta"))
-        tb = sets.where("as_b").select(F.col("id").alias("ib"), F.col("sid").alias("b"), F.col("toks").alias("tb"))
+        ta = sets.where("as_a").select(F.col("id").alias("id_a"), F.col("sid").alias("sid_a"), F.col("toks").alias("ta"))
+        tb = sets.where("as_b").select(F.col("id").alias("id_b"), F.col("sid").alias("sid_b"), F.col("toks").alias("tb"))
         # a short list of pairs (counted) goes to the sets, a longer one meets them by a shuffle
-        whole = ta.join(checked(pairs), ["ia", "a"]).join(tb, ["ib", "b"]).select("a", "b", "ta", "tb")
-        out = written(whole.mapInArrow(_verify(num, den), "a binary, b binary"), f"{root}/{name}-links")
+        whole = ta.join(checked(pairs), ["id_a", "sid_a"]).select("a", "ta", "b", "id_b", "sid_b")
+        whole = whole.join(tb, ["id_b", "sid_b"]).select("a", "b", "ta", "tb")
+        out = written(whole.mapInArrow(_verify(num, den), "a long, b long"), f"{root}/{name}-links")
         remove(spark, f"{root}/{name}-sets")
         return out
 
-    # 3. one leader each: in every list (by size class) the set with the fewest tokens of its own
+    # 3. leaders, in two rounds; what links to one is joined for a cost linear in the postings.
+    # First every set and the set with the fewest tokens of its own in its lists (by size class) ...
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).alias("band")
-    banded = posts.select("token", "sid", "n", "pos", "first", band)
-    leaders = banded.groupBy("token", "band").agg(F.min(F.struct("first", "sid", "n")).alias("lead"))
+    banded = posts.select("token", "node", "n", "pos", "first", band)
+    leaders = banded.groupBy("token", "band").agg(F.min(F.struct("first", "node", "n")).alias("lead"))
     met = (
         banded.join(leaders, ["token", "band"])
-        .where(f"sid != lead.sid and {den} * least(n, lead.n) >= {num} * greatest(n, lead.n)")
-        .groupBy("sid", "n", F.col("lead.sid").alias("b"), F.col("lead.n").alias("nb")).agg(F.count("*").alias("c"), F.min("pos").alias("p"))
+        .where(f"node != lead.node and {den} * least(n, lead.n) >= {num} * greatest(n, lead.n)")
+        .groupBy("node", "n", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb")).agg(F.count("*").alias("c"), F.min("pos").alias("p"))
         .where(f"n - p >= ceil({num} * (n + nb) / {num + den})")  # no room for the overlap: left to step 4
     )
-    first_pairs = met.groupBy("sid").agg(F.max(F.struct("c", "b")).alias("m")).select(F.col("sid").alias("a"), F.col("m.b").alias("b"))
+    first_pairs = met.groupBy("node").agg(F.max(F.struct("c", "b")).alias("m")).select(F.col("node").alias("a"), F.col("m.b").alias("b"))
     first_links = links(first_pairs, "leader")
-    groups = cut(components(first_links).toDF("sid", "comp"))
+    groups = cut(components(first_links).toDF("node", "comp"))
+
+    # ... then every set and, in each list that holds several components, one drawn for the list
+    def still_open(groups: DataFrame) -> DataFrame:
+        now = posts.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
+        return now.join(mixed, "token")
+
+    now = written(still_open(groups), f"{root}/between")
+    drawn = now.groupBy("token", band).agg(F.min(F.struct(F.xxhash64("node", "token").alias("h"), "node", "n", "comp")).alias("lead"))
+    drawn_pairs = (
+        now.withColumn("band", band).join(drawn, ["token", "band"])
+        .where(f"comp != lead.comp and {den} * least(n, lead.n) >= {num} * greatest(n, lead.n)")
+        .select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
+    )
+    first_links = first_links.unionAll(links(drawn_pairs, "drawn"))
+    groups = cut(components(first_links).toDF("node", "comp"))
 
     # 4. pairs between components, from lists that still hold more than one
-    open_posts = posts.join(groups, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = open_posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    signs = reps.select("sid", *SIGNS)
-    open_posts = written(open_posts.join(mixed, "token").join(signs, "sid"), f"{root}/open")
-    x = open_posts.where("probe <= need").select("token", *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos", "need", "comp", *SIGNS)])
-    y = open_posts.select("token", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos", "index", "comp", *SIGNS)])
+    signs = reps.select("node", *SIGNS)
+    open_posts = written(still_open(groups).join(signs, "node"), f"{root}/open")
+    x = open_posts.where("probe <= need").select("token", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "need", "comp", *SIGNS)])
+    y = open_posts.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "index", "comp", *SIGNS)])
     overlap = f"ceil({num} * (n_x + n_y) / {num + den})"
     pairs = (
         x.join(y, "token")
         .where(
-            f"comp_x != comp_y and index_y <= need_x and (n_x > n_y or (n_x = n_y and sid_x > sid_y)) and {den} * n_y >= {num} * n_x"
+            f"comp_x != comp_y and index_y <= need_x and (n_x > n_y or (n_x = n_y and node_x > node_y)) and {den} * n_y >= {num} * n_x"
             f" and least(pos_x, pos_y) + least(n_x - pos_x, n_y - pos_y) >= {overlap} and {_may_link(num, den, '_x', '_y')}"
         )
-        .groupBy("sid_x", "sid_y", "n_x", "n_y", "need_x")
+        .groupBy("node_x", "node_y", "n_x", "n_y", "need_x")
         .agg(F.count("*").alias("shared"), F.min("pos_x").alias("px"), F.min("pos_y").alias("py"))
         .where(f"shared >= need_x and least(n_x - px, n_y - py) >= {overlap}")
-        .select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b"))
+        .select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     )
     other_links = links(pairs, "other")
 
     # 5. all links; a component's name is its smallest id
-    groups = components(first_links.unionAll(other_links)).toDF("sid", "comp")
-    smallest = reps.select("sid", "id").join(groups, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    names = smallest.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = smallest.join(names, "comp").select("sid", "component_id")
+    groups = components(first_links.unionAll(other_links)).toDF("node", "comp")
+    smallest = reps.select("sid", "node", "id").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lowest = smallest.groupBy("comp").agg(F.min("id").alias("component_id"))
+    named = smallest.join(lowest, "comp").select("sid", "component_id")
     out = rows.join(named, "sid", "left").select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
