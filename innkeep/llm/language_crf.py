@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bytetext as bt
 
-SAMPLE = 300
+SAMPLE = 120
 BUCKET_BITS = 18
 GRAMS = (2, 3, 4, 5)
 LEXICON_COUNT = 5  # a word of the lexicon occurs so often in the sample
