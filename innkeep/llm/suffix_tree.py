@@ -137,6 +137,25 @@ def _keys(length: int, ctx):
     return (ctx << 3) | length
 
 
+def largest(df: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows with the greatest values of a positive column: all above a bound that at most ``most`` rows pass.
+
+    The bound comes from a histogram of a few hundred classes of the value's
+    logarithm, so no task or driver sorts or gathers the rows.
+    """
+    place = F.floor(F.log2(F.col(column).cast("double")) * 16)
+    classes = sorted(((r.k, r["count"]) for r in df.groupBy(place.alias("k")).count().collect() if r.k is not None), reverse=True)
+    total, bound = 0, None
+    for k, n in classes:
+        total += n
+        if total > most:
+            break
+        bound = k
+    if bound is None:  # the first class alone is larger: any of its rows
+        return df.where(place == classes[0][0]).limit(most) if classes else df.limit(0)
+    return df.where(place >= bound)
+
+
 def build(grams: DataFrame, contexts: int = CONTEXTS) -> Tree:
     """The tree of ``(key, c)`` counts of byte n-grams (symbol in the lowest byte, then the bytes before it)."""
     level = grams.select(F.col("key"), "c")
@@ -157,7 +176,7 @@ def build(grams: DataFrame, contexts: int = CONTEXTS) -> Tree:
         )
         gain = gain.where(f"gain >= {MIN_GAIN}").select(F.lit(k).alias("k"), "ctx", "gain")
         kept = gain if kept is None else kept.unionAll(gain)
-    best = kept.orderBy(F.desc("gain"), "k", "ctx").limit(contexts).select("k", "ctx").collect()
+    best = largest(cut(kept), "gain", contexts).select("k", "ctx").collect()
     states = {(0, 0)}
     todo = [(r.k, r.ctx) for r in best]
     while todo:  # suffixes and prefixes of a state are states
@@ -271,7 +290,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = sum(r.n for r in total if r.kind == 1) + (n_docs > 0)
     floor = n_all + 0.5 * (distinct + 1)
     # counts of the most frequent words: at most FREQUENT rows of 16 bytes
-    top = words.orderBy(F.desc("c"), "key").limit(FREQUENT).toPandas()
+    top = largest(words, "c", FREQUENT).toPandas()
     keys, c = top["key"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(float)
     order = np.argsort(keys)
     top = sc.broadcast((keys[order], np.log10((c[order] + 0.5) / 0.5)))
