@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .storage import cut
 
 PIVOTS = 32
-PIVOT_SAMPLE = 4096  # vectors the pivots are chosen from
+PIVOT_SAMPLE = 4096  # vectors, on average, that the pivots are chosen from
 RINGS = 8
 BLOCK = 4096  # vectors of a ring, and queries, per task group
 
@@ -157,7 +157,10 @@ def top_k(
         return empty
     rows = rows.where(F.size("v") == sizes["m"])
     # pivots: a bounded sample, by a hash of the id; they decide cost only
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").toPandas()["v"]
+    share = int(min(1.0, PIVOT_SAMPLE / sizes["count"]) * (1 << 30))
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).limit(2 * PIVOT_SAMPLE).toPandas().sort_values("id")["v"]
+    if not len(sample):
+        sample = rows.limit(1).toPandas()["v"]
     p = sc.broadcast(choose_pivots(np.stack(sample.to_numpy()).astype(np.float64), pivots))
     keyed = cut(rows.mapInArrow(_key(p), "id long, v array<long>, pivot int, dist double, norm double"))
     # at most PIVOTS * RINGS rings
