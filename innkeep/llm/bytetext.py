@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20  # documents are taken together up to this many bytes of text
+SLICE_BYTES = 1 << 20  # documents are taken together up to this many bytes of text
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
