@@ -6,18 +6,21 @@ symbol; the tree predicts each byte from the longest retained context, at most
 of word sequences: the score is log10 of the probability of exactly these
 words and the end.
 
-* Counts of all ``DEPTH + 1``-grams and words of the training texts are
-  gathered from every map task and summed by shuffles; shorter contexts are
-  marginal sums.
-* A context is retained when it occurs often enough and the likelihood gained
+* All ``DEPTH + 1``-grams of all texts, with their counts in the training texts,
+  and the training words are gathered from every map task and summed by
+  shuffles; shorter contexts are marginal sums.
+* Every context is retained that occurs often enough and whose likelihood gained
   over its parent (count times Kullback-Leibler divergence) passes
-  ``MIN_GAIN``; of these the ``contexts`` with the greatest gain stay (a
-  documented bound of the model's size, which is what bounds the broadcast).
+  ``MIN_GAIN``, however many these are: the tree is a partitioned table.
 * Distributions are interpolated with the parent's (Witten-Bell), the root's
-  with half a count for each byte.
-* The tree, closed under suffixes and prefixes, is an automaton; texts are
-  scored in equal chunks, each warmed up by the ``DEPTH`` bytes before it, so a
-  long text costs no more steps than a short one.
+  with half a count for each byte.  The tree is closed under suffixes and
+  prefixes.
+* A join a level carries the probabilities down the tree to every distinct
+  ``DEPTH + 1``-gram.  Those of the most frequent ``FREQUENT_GRAMS`` go to every
+  task; a text's other distinct n-grams go by a join, like its rare words.
+
+``DEPTH``, the order of the model, is what a 64-bit key holds less one byte; it
+doesn't follow the input.
 
 Edge cases: null text is empty (one token, the end); rows without an id have a
 null ``held_out`` and aren't learned from; repeated rows count each time; with
@@ -31,16 +34,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bytetext as bt
 from .storage import cut, new_path, remove, written
 
-DEPTH = 5
-CONTEXTS = 20_000
+DEPTH = 6
 MIN_COUNT = 10
 MIN_GAIN = 6.0
 FREQUENT = 1 << 18  # words whose counts go to every task; the others' go by a join
+FREQUENT_GRAMS = 1 << 21  # the same for n-grams and their probabilities
 SEP, END = 0x20, 0x0A  # neither occurs in a word
 CHUNK = 512
 
@@ -77,29 +80,44 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(back, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
 
+def _grams(seq: np.ndarray) -> np.ndarray:
+    """For each symbol the number of it (lowest byte) and the ``DEPTH`` bytes before it."""
+    keys = seq.astype(np.uint64)
+    for k in range(1, DEPTH + 1):
+        keys[k:] |= seq[:-k].astype(np.uint64) << np.uint64(8 * k)
+    return keys
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task: ``kind`` 0 byte n-grams, 1 words, 2 (key 0) documents."""
+    """Counts of a task in its training texts: ``kind`` 0 byte n-grams (those of other texts with 0), 1 words, 2 (key 0) documents."""
     held: dict[int, list] = {0: [], 1: []}
     docs = 0
-    for batch in batches:
-        docs += batch.num_rows
-        for _, _, data, offsets in bt.text_slices(batch):
-            seq, doc_at, words, _ = sequence(data, offsets)
-            keys = seq.astype(np.uint64)
-            for k in range(1, DEPTH + 1):
-                keys[k:] |= seq[:-k].astype(np.uint64) << np.uint64(8 * k)
-            for kind, x in ((0, keys[_real(seq, doc_at)]), (1, words)):
-                held[kind].append(np.unique(x, return_counts=True))
-                if len(held[kind]) == 8:
-                    held[kind] = [_merge(held[kind])]
-    for kind, parts in held.items():
-        if parts:
-            keys, counts = _merge(parts)
+
+    def summed(kind: int) -> Iterator[pa.RecordBatch]:
+        if held[kind]:
+            keys, counts = _merge(held[kind])
+            held[kind] = []
             for i in range(0, len(keys), 100_000):
                 k = keys[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(counts[i : i + 100_000])], names=["kind", "key", "c"]
                 )
+
+    for batch in batches:
+        train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        docs += int(train.sum())
+        for i, j, data, offsets in bt.text_slices(batch):
+            seq, doc_at, words, at = sequence(data, offsets)
+            real, learn = _real(seq, doc_at), np.repeat(train[i:j], np.diff(doc_at))
+            keys = _grams(seq)
+            other = np.unique(keys[real & ~learn])
+            held[0].append((other, np.zeros(len(other), np.int64)))
+            for kind, x in ((0, keys[real & learn]), (1, words[np.repeat(train[i:j], np.diff(at))])):
+                held[kind].append(np.unique(x, return_counts=True))
+                if len(held[kind]) >= 8:  # a few slices at once; Spark's map-side sum does the rest, and spills where it must
+                    yield from summed(kind)
+    for kind in held:
+        yield from summed(kind)
     yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([docs], pa.int64())], names=["kind", "key", "c"])
 
 
@@ -156,42 +174,63 @@ def largest(df: DataFrame, column: str, most: int) -> DataFrame:
     return df.where(place >= bound)
 
 
-def build(grams: DataFrame, contexts: int = CONTEXTS) -> Tree:
-    """The tree of ``(key, c)`` counts of byte n-grams (symbol in the lowest byte, then the bytes before it)."""
-    level = grams.select(F.col("key"), "c")
-    tables = {}
+def _mask(length: int) -> int:
+    return (1 << 8 * length) - 1
+
+
+def levels(grams: DataFrame, keep=lambda df, k: cut(df)) -> list[DataFrame]:
+    """For each context length the table ``key, c, n, w``: n-gram, its count, its context's count and number of different symbols."""
+    out, level = [], grams.select("key", "c")
     for k in range(DEPTH, -1, -1):
-        mask = (1 << 8 * (k + 1)) - 1
-        level = cut(level.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("c").alias("c")))
-        tables[k] = level.select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(255).alias("sym"), "c")
-    kept = None
+        if k < DEPTH:
+            level = level.groupBy(F.col("key").bitwiseAND(_mask(k + 1)).alias("key")).agg(F.sum("c").alias("c"))
+        same = Window.partitionBy(F.shiftright("key", 8))
+        level = keep(level.select("key", "c", F.sum("c").over(same).alias("n"), F.sum(F.expr("int(c > 0)")).over(same).alias("w")), k)
+        out.append(level)
+    return out[::-1]
+
+
+def retained(tables: list[DataFrame]) -> list[DataFrame]:
+    """For each context length the contexts ``ctx`` of the tree: all that pass the test, and their suffixes and prefixes."""
+    out, longer = [], None
+    for k in range(DEPTH, 0, -1):
+        parent = tables[k - 1].select(F.col("key").alias("tail"), F.col("c").alias("pc"), F.col("n").alias("m"))
+        own = tables[k].where(f"c > 0 and n >= {MIN_COUNT}").withColumn("tail", F.col("key").bitwiseAND(_mask(k)))
+        gain = own.join(parent, "tail").groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum(F.expr("c * ln((c / n) / (pc / m))")).alias("gain"))
+        kept = gain.where(f"gain >= {MIN_GAIN}").select("ctx")
+        if longer is not None:
+            kept = kept.unionAll(longer.select(F.explode(F.array(F.col("ctx").bitwiseAND(_mask(k)), F.shiftright("ctx", 8))).alias("ctx"))).distinct()
+        longer = cut(kept)
+        out.append(longer)
+    return out[::-1]
+
+
+def probabilities(tables: list[DataFrame], tree: list[DataFrame], keep=lambda df, k: cut(df)) -> DataFrame:
+    """``key, c, logp``: log10 of the probability of each n-gram's symbol after the longest context of the tree before it."""
+    p = tables[0].select("key", ((F.col("c") + 0.5) / (F.col("n") + 128)).alias("p"))
     for k in range(1, DEPTH + 1):
-        t, up = tables[k], tables[k - 1]
-        n = t.groupBy("ctx").agg(F.sum("c").alias("n")).where(f"n >= {MIN_COUNT}")
-        m = up.groupBy("ctx").agg(F.sum("c").alias("m")).withColumnRenamed("ctx", "par")
-        parent = up.select(F.col("ctx").alias("par"), "sym", F.col("c").alias("pc"))
-        own = t.join(n, "ctx").withColumn("par", F.col("ctx").bitwiseAND((1 << 8 * (k - 1)) - 1))
-        gain = own.join(parent, ["par", "sym"]).join(m, "par").groupBy("ctx").agg(
-            F.sum(F.expr("c * ln((c / n) / (pc / m))")).alias("gain")
-        )
-        gain = gain.where(f"gain >= {MIN_GAIN}").select(F.lit(k).alias("k"), "ctx", "gain")
-        kept = gain if kept is None else kept.unionAll(gain)
-    best = largest(cut(kept), "gain", contexts).select("k", "ctx").collect()
+        own = tables[k].withColumn("tail", F.col("key").bitwiseAND(_mask(k))).withColumn("ctx", F.shiftright("key", 8))
+        own = own.join(p.select(F.col("key").alias("tail"), F.col("p").alias("up")), "tail").join(tree[k - 1].withColumn("state", F.lit(True)), "ctx", "left")
+        weight = F.greatest("w", F.lit(1))
+        mixed = F.when(F.col("state"), (F.col("c") + weight * F.col("up")) / (F.col("n") + weight)).otherwise(F.col("up"))
+        p = keep(own.select("key", "c", mixed.alias("p")), k)
+    return p.select("key", "c", F.log10("p").alias("logp"))
+
+
+def build(grams: DataFrame) -> Tree:
+    """The whole tree as an automaton in this process, for ``(key, c)`` counts of few texts (symbol in the lowest byte, then the bytes before it)."""
+    tables = levels(grams)
     states = {(0, 0)}
-    todo = [(r.k, r.ctx) for r in best]
-    while todo:  # suffixes and prefixes of a state are states
-        k, v = todo.pop()
-        if (k, v) not in states:
-            states.add((k, v))
-            todo += [(k - 1, v & ((1 << 8 * (k - 1)) - 1)), (k - 1, v >> 8)]
+    for k, rows in enumerate(retained(tables), 1):
+        states |= {(k, r.ctx) for r in rows.collect()}
     order = sorted(states)
     place = {s: i for i, s in enumerate(order)}
     spark = grams.sparkSession
-    # at most DEPTH**2 * contexts states, 256 symbols each
     wanted = spark.createDataFrame([(k, v, i) for (k, v), i in place.items()], "k int, ctx long, state int")
     counts = None
     for k in range(DEPTH + 1):
-        rows = tables[k].join(wanted.where(f"k = {k}").drop("k"), "ctx").select("state", F.col("sym").cast("int").alias("sym"), "c")
+        own = tables[k].where("c > 0").select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(255).cast("int").alias("sym"), "c")
+        rows = own.join(wanted.where(f"k = {k}").drop("k"), "ctx").select("state", "sym", "c")
         counts = rows if counts is None else counts.unionAll(rows)
     counts = counts.toPandas()
     return _automaton(order, place, counts)
@@ -236,37 +275,62 @@ def _automaton(order: list, place: dict, counts: pd.DataFrame) -> Tree:
     return Tree(symbol, step, logp)
 
 
-def _score(tree, top):
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``keys``, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return k, keys[k] == wanted
+
+
+def _score(grams, top):
+    kinds = {"row": pa.int64(), "id": pa.int64(), "n": pa.int64(), "known": pa.int64(), "gain": pa.float64(), "score": pa.float64(), "word": pa.int64(), "gram": pa.int64(), "m": pa.int64()}
+
+    def rows_of(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c]) if c in columns else pa.nulls(size, t) for c, t in kinds.items()], names=list(kinds))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tree.value
+        gram_keys, logp = grams.value
         keys, gains = top.value
         for batch in batches:
             for i, j, data, offsets in bt.text_slices(batch):
+                m = j - i
+                row = batch.column(0).slice(i, m).to_numpy(zero_copy_only=False)
                 seq, doc_at, words, at = sequence(data, offsets)
                 n = np.diff(at)
-                doc = np.repeat(np.arange(len(n)), n)
-                k = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
-                known = keys[k] == words if len(keys) else np.zeros(len(words), bool)
-                gain = np.zeros(len(n))
+                doc = np.repeat(np.arange(m), n)
+                k, known = _found(keys, words)
+                gain = np.zeros(m)
                 if known.any():
-                    gain = np.bincount(doc[known], gains[k[known]], len(n))
-                m = j - i
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, m), batch.column(1).slice(i, m), pa.array(n), pa.array(np.bincount(doc[known], minlength=m).astype(np.int64)), pa.array(gain), pa.array(model.score(seq, doc_at)), pa.nulls(m, pa.int64())],
-                    names=["row", "id", "n", "known", "gain", "score", "word"],
-                )
-                rare, rows = words[~known], batch.column(0).slice(i, m).to_numpy(zero_copy_only=False)[doc[~known]]
-                r = len(rare)
-                if r:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows), pa.nulls(r, pa.int64()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.int64()), pa.nulls(r, pa.float64()), pa.nulls(r, pa.float64()), pa.array(rare.view(np.int64))],
-                        names=["row", "id", "n", "known", "gain", "score", "word"],
-                    )
+                    gain = np.bincount(doc[known], gains[k[known]], m)
+                real = _real(seq, doc_at)
+                owner = np.repeat(np.arange(m), np.diff(doc_at))[real]
+                distinct, back = np.unique(_grams(seq)[real], return_inverse=True)
+                g, near = _found(gram_keys, distinct)
+                each = np.zeros(len(distinct))
+                each[near] = logp[g[near]]
+                score = np.bincount(owner, each[back], m)
+                yield rows_of(m, row=row, id=batch.column(1).slice(i, m), n=n, known=np.bincount(doc[known], minlength=m).astype(np.int64), gain=gain, score=score)
+                rare = words[~known]
+                if len(rare):
+                    yield rows_of(len(rare), row=row[doc[~known]], word=rare.view(np.int64))
+                far = ~near[back]
+                pairs, times = np.unique(owner[far] * len(distinct) + back[far], return_counts=True)
+                if len(pairs):
+                    yield rows_of(len(pairs), row=row[pairs // len(distinct)], gram=distinct[pairs % len(distinct)].view(np.int64), m=times)
 
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, contexts: int = CONTEXTS) -> DataFrame:
+def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A bounded table of a key and a number as two arrays in order of the unsigned key, by Arrow (no row objects)."""
+    table = df.toArrow()
+    keys = table.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], table.column(1).to_numpy()[order].astype(float)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Training rows are those whose crc32 of the id's text, modulo ``folds``,
@@ -279,10 +343,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % folds == held
     counts = written(
-        base.where(~fold).select("text").mapInArrow(_gather, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c")),
+        base.select("text", F.coalesce(~fold, F.lit(False)).alias("train")).mapInArrow(_gather, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c")),
         f"{root}/counts",
     )
-    tree = sc.broadcast(build(counts.where("kind = 0").select("key", "c"), contexts))
+    tables = levels(counts.where("kind = 0"), lambda df, k: written(df, f"{root}/level{k}"))
+    grams = probabilities(tables, retained(tables), lambda df, k: written(df, f"{root}/mixed{k}"))
     words = counts.where("kind = 1").select("key", "c")
     total = counts.where("kind > 0").groupBy("kind").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     n_docs = sum(r.c for r in total if r.kind == 2)
@@ -290,28 +355,32 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = sum(r.n for r in total if r.kind == 1) + (n_docs > 0)
     floor = n_all + 0.5 * (distinct + 1)
     # counts of the most frequent words: at most FREQUENT rows of 16 bytes
-    top = largest(words, "c", FREQUENT).toPandas()
-    keys, c = top["key"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(float)
-    order = np.argsort(keys)
-    top = sc.broadcast((keys[order], np.log10((c[order] + 0.5) / 0.5)))
+    keys, c = _sorted(largest(words, "c", FREQUENT))
+    top = sc.broadcast((keys, np.log10((c + 0.5) / 0.5)))
+    # probabilities of the most frequent n-grams: at most FREQUENT_GRAMS rows of 16 bytes
+    near = sc.broadcast(_sorted(largest(grams, "c", FREQUENT_GRAMS).select("key", "logp")))
     rows = base.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     scored = written(
-        rows.mapInArrow(_score(tree, top), "row long, id long, n long, known long, gain double, score double, word long"), f"{root}/scored"
+        rows.mapInArrow(_score(near, top), "row long, id long, n long, known long, gain double, score double, word long, gram long, m long"), f"{root}/scored"
     )
     rare = (
         scored.where("word is not null").select("row", F.col("word").alias("key")).join(words, "key")
         .groupBy("row").agg(F.count("*").alias("rare"), F.sum(F.log10((F.col("c") + 0.5) / 0.5)).alias("rare_gain"))
     )
+    far = (
+        scored.where("gram is not null").select("row", F.col("gram").alias("key"), "m").join(grams.select("key", "logp"), "key")
+        .groupBy("row").agg(F.sum(F.col("m") * F.col("logp")).alias("far"))
+    )
     unseen = float(np.log10(0.5 / floor))
     end = float(np.log10((n_docs + 0.5) / floor))
-    out = scored.where("word is null").join(rare, "row", "left").select(
+    out = scored.where("n is not null").join(rare, "row", "left").join(far, "row", "left").select(
         F.col("id").alias(id_col),
         (F.crc32(F.col("id").cast("string").cast("binary")) % folds == held).alias("held_out"),
         (F.col("n") + 1).alias("n_tokens"),
         (F.col("known") + F.coalesce("rare", F.lit(0)) + F.lit(int(n_docs > 0))).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
         (F.col("n") * F.lit(unseen) + F.col("gain") + F.coalesce("rare_gain", F.lit(0.0)) + F.lit(end)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("far", F.lit(0.0))).alias("score"),
     )
     out = cut(out)
     remove(spark, root)

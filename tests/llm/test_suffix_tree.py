@@ -86,3 +86,29 @@ def test_known_patterns_score_better_than_the_unigram(spark):
     rows = [(i, " ".join(words[(i + k) % 4] for k in range(60))) for i in range(200)]
     out = score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.score > r.base_score for r in out if r.held_out)
+
+
+def test_every_context_that_passes_is_retained(spark):
+    """150 symbols before 150 others decide what follows: more contexts than any bound of the driver's."""
+    a, b = "id div 150", "id % 150"
+    grams = spark.range(22_500).selectExpr(f"(({a}) << 16) | (({b}) << 8) | ((id * 7919 + ({a}) * 31) % 150) AS key", "12L AS c")
+    assert len(build(grams).step) == 1 + 150 + 22_500
+
+
+def test_scores_are_those_of_the_whole_tree(spark, docs, monkeypatch):
+    """With few n-grams broadcast, most scores come by the join; they equal the automaton's of the training texts."""
+    import innkeep.llm.suffix_tree as module
+
+    rows = [r for r in docs.select("doc_id", "text").collect()]
+    data, offsets = bt.buffers(pa.array([r.text for r in rows]))
+    seq, at, _, _ = sequence(data, offsets)
+    grams = collections.Counter()
+    for r, a, b in zip(rows, at, at[1:]):
+        if zlib.crc32(str(r.doc_id).encode()) % 5 != 1:
+            for k in range(a + DEPTH, b):
+                grams[sum(int(seq[k - j]) << 8 * j for j in range(DEPTH + 1))] += 1
+    want = dict(zip((r.doc_id for r in rows), build(spark.createDataFrame(list(grams.items()), "key long, c long")).score(seq, at)))
+    for most in (100, module.FREQUENT_GRAMS):
+        monkeypatch.setattr(module, "FREQUENT_GRAMS", most)
+        got = {r.doc_id: r.score for r in score_texts(docs).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 * abs(want[i]) for i in want)
