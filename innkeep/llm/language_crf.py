@@ -33,7 +33,6 @@ BUCKET_BITS = 18
 GRAMS = (2, 3, 4, 5)
 LEXICON_COUNT = 5  # a word of the lexicon occurs so often in the sample
 SEQUENCE = 64
-LEAST_SCORE = 0.4  # mean posterior below which a document is rejected
 STEPS = 40
 BLOCK = 64
 UNDETERMINED = "und"
@@ -297,11 +296,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return _identified(docs, first, "id long, held_out boolean", id_col, text_col, lang_col, folds, held, model).withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
-    """The rows, with their own columns, whose language is determined with a score of at least ``least``."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
+    """The rows, with their own columns, whose language isn't ``und``.
+
+    The score isn't looked at: it is a mean over the document's words, so a text
+    evenly of n languages has about 1/n however certain its words are.
+    """
     kind = docs.select(F.struct(*docs.columns).alias("r")).schema["r"].dataType.simpleString()
     out = _identified(docs, [F.struct(*docs.columns).alias("r")], f"r {kind}", id_col, text_col, lang_col, 4, 2, model)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("r.*")
+    return out.where(F.col("lang_pred") != UNDETERMINED).select("r.*")
 
 
 def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

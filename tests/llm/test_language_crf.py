@@ -48,3 +48,16 @@ def test_odd_rows(spark, docs, odd_docs):
     kept = keep_identified(odd_docs, model=model)
     assert kept.columns == odd_docs.columns
     assert {r.doc_id for r in kept.collect()} >= {None, 9, 10, 12, 13} and kept.where("doc_id in (1, 7, 11)").isEmpty()
+
+
+def test_code_switched_and_short_texts_stay(spark, docs):
+    model = fit_sample(docs)
+    by = {r.lang: r.text.split() for r in docs.where("lang is not null and length(text) > 200").dropDuplicates(["lang"]).collect()}
+    assert len(by) == 4
+    langs = sorted(by)
+    texts = [" ".join(w for l in langs[:n] for w in by[l][:24]) for n in (2, 3, 4)]
+    texts += [" ".join(w for k in range(0, 24, 6) for l in langs for w in by[l][k : k + 6]), "ok", "Zyx qwv", "one", "résumé"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "CAST(NULL AS STRING) AS lang")
+    scores = {r.doc_id: r.score for r in identify(rows, model=model).collect()}
+    assert min(scores.values()) < 0.4  # what a bound on the mean posterior would lose
+    assert sorted(r.doc_id for r in keep_identified(rows, model=model).collect()) == list(range(len(texts)))
