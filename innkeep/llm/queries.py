@@ -8,7 +8,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .storage import ship
 
@@ -28,6 +28,38 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP11 = """
+WITH f AS (
+  SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.rn AS anchor, a.vec_id AS anchor_id, c.rn AS other, c.vec_id AS other_id, a.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM f a JOIN f c ON a.vec_id % 50 = 0 AND a.rn <> c.rn
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id, other) AS k FROM pairs WHERE same) WHERE k <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other_id, n.other) AS INTEGER) AS rank
+  FROM positives p JOIN pairs n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+OP13 = r"""
+WITH n AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
+), g AS (
+  SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY body
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY body, doc_id) AS copy FROM n
+)
+SELECT r.doc_id, g.keep_id, g.group_size, r.doc_id IS NOT DISTINCT FROM g.keep_id AND r.copy = 1 AS kept, sha256(body) AS text_sha256
+FROM r JOIN g USING (body)
+"""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -104,6 +136,58 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with every seventh label moved on."""
+    from .hard_negatives import mine
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def looped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and text, where every tenth text (by crc32 of the id) repeats a stretch of its words to its end.
+
+    With h the checksum and g = h div 10, n words: from word a = g % n on, word
+    i becomes word a + (i - a) % p, p = 1 + (n - a) div (3 + g % 8).  Other
+    texts, and those of null ids, are left as they are.
+    """
+    rows = docs.select(F.col(id_col), F.col(text_col), F.crc32(F.col(id_col).cast("string")).alias("h"))
+    words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = rows.withColumn("g", F.expr("h div 10")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.expr("if(n > 0, int(g % n), 0)")).withColumn("p", F.expr("if(n > 0, int(1 + (n - a) div (3 + g % 8)), 1)"))
+    again = F.expr("array_join(transform(sequence(0, n - 1), i -> if(i < a, w[i], w[a + (i - a) % p])), ' ')")
+    return rows.select(id_col, F.when(F.col("n") > 0, again).otherwise(F.col(text_col)).alias(text_col))
+
+
+def run_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The run of greatest exponent, and digests of all runs and of the collapsed text."""
+    better: Callable[[Column, Column], Column] = lambda b, r: b.isNull() | (r.length * b.period > b.length * r.period)
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    best = F.aggregate("runs", none, lambda b, r: F.when(better(b, r), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    rows = found.select(id_col, "runs", "collapsed", best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"))
+    return rows.select(
+        id_col, F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, every tenth document looped."""
+    from .periodic_runs import periodic_runs
+
+    return run_digests(periodic_runs(looped(_table(spark, sf_dir, "documents"))))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, kept row and digest of every document by its whole normalised text."""
+    from .exact_copies import copy_groups
+
+    groups = copy_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus_pipeline.run over the documents of ``sf_dir``."""
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
@@ -128,4 +212,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op1_pivot_top_k": OP1}
+    return {"op1_pivot_top_k": OP1, "op11_hard_negatives": OP11, "op13_exact_dedup": OP13}
