@@ -12,16 +12,13 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute(w, least=24, exponent=3):
+    """Every period, every stretch of words that equal the word a period later."""
+    w = np.unique(np.array(w), return_inverse=True)[1] if len(w) else np.zeros(0, np.int64)
     out = {}
     for q in range(1, len(w) // exponent + 1):
-        i = 0
-        while i + q < len(w):
-            s = i
-            while i + q < len(w) and w[i] == w[i + q]:
-                i += 1
-            if i + q - s >= max(least, exponent * q):
-                out.setdefault((s, i + q), q)
-            i += 1
+        edge = np.flatnonzero(np.diff((w[:-q] == w[q:]).astype(np.int8), prepend=0, append=0))
+        for s, e in edge.reshape(-1, 2)[np.diff(edge)[::2] + q >= max(least, exponent * q)].tolist():
+            out.setdefault((s, e + q), q)
     return sorted(((s, e - s, p) for (s, e), p in out.items()), key=lambda r: (r[0], r[2]))
 
 
