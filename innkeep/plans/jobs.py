@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import changes as C
+from ..session import new_folder
+from ..sources import keyed
+from ..streaming import room_status
 from . import oracle as O
 from .catalog import AS_OF, Context, register
 
@@ -501,7 +504,7 @@ FROM judged WHERE reason IS NOT NULL
 
 # ================================================= I7 room status from all stays
 
-@register("replayed_room_status", f"""
+_REPLAYED_SQL = """
 WITH last_stay AS (
   SELECT RoomID, CheckOut FROM hotel_reservation
   QUALIFY row_number() OVER (PARTITION BY RoomID ORDER BY ReservationID DESC) = 1)
@@ -510,13 +513,30 @@ SELECT rm.RoomNo, rm.RoomType, rm.RoomRate,
          AS RoomStatus,
        rm.HousekeeperID
 FROM hotel_room rm LEFT JOIN last_stay l ON l.RoomID = rm.RoomNo
-""")
+"""
+
+
+@register("replayed_room_status", _REPLAYED_SQL)
 def _replayed_room_status(c: Context) -> DataFrame:
     # every stay insert replayed in key order: the trigger's last write per room wins
     stays = c.T["reservation"].select("RoomID", "CheckOut", F.col("ReservationID").alias(SEQ))
     return C.derive_room_status(c.T["room"], stays)
 
 
+@register("streamed_room_status", _REPLAYED_SQL)
+def _streamed_room_status(c: Context) -> DataFrame:
+    """K: the same stays as a stream of files, a micro-batch each; changed rooms go to a log, compacted on the way."""
+    folder = new_folder(c.spark, "room-status")
+    stays = c.T["reservation"].select("RoomID", "CheckOut", F.col("ReservationID").alias(SEQ))
+    stays.repartition(3, F.col(SEQ)).write.parquet(f"{folder}/stays")
+    log = room_status.room_log(f"{folder}/rooms")
+    log.create(c.T["room"])
+    files = c.spark.readStream.schema(stays.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/stays")
+    query = room_status.start(files, log, f"{folder}/checkpoint", {"availableNow": True}, compact_every=2)
+    query.awaitTermination()
+    return log.read(c.spark)
+
+
 # ============================================================ I8 room status set
 
 def room_status_feed(T) -> DataFrame:
@@ -980,6 +1000,61 @@ SELECT {_ROOM_COLS} FROM last
 """)(lambda c: C.upsert(c.T["room"], room_upsert_feed(c.T), "RoomNo"))
 
 
+# ------------------------------------------------ I1 on stored tables, cut by key or day
+
+def _stored_merge(c: Context, table: str, layout: keyed.Layout, changes: DataFrame) -> DataFrame:
+    path, rows = new_folder(c.spark, table), c.T[table]
+    keyed.store(rows, path, layout)
+    keyed.merge(c.spark, path, layout, changes, rows.schema)
+    return keyed.load(c.spark, path, layout, rows.schema)
+
+
+def room_rate_feed(T) -> DataFrame:
+    """New rates for the rooms of every third hundred, some set twice, and rooms after the last one."""
+    rm, k = T["room"], F.col("RoomNo")
+    cols = [c for c in rm.columns if c != "RoomRate"]
+    some = rm.where(F.floor(k / 100) % 3 == 1)
+    a = some.select(*cols, (F.col("RoomRate") + k % 7).cast("decimal(10,2)").alias("RoomRate"), (2 * k).alias(SEQ))
+    b = some.where(k % 12 == 0).select(*cols, F.lit("99.50").cast("decimal(10,2)").alias("RoomRate"), (2 * k + 1).alias(SEQ))
+    top = rm.agg(F.max("RoomNo")).scalar()
+    new = rm.where(k % 40 == 0).select((top + k + 1).alias("RoomNo"), *[c for c in cols if c != "RoomNo"], "RoomRate", (2 * k).alias(SEQ))
+    return a.unionByName(b).unionByName(new)
+
+
+register("room_range_merges", f"""
+WITH feed AS (
+  SELECT RoomNo, RoomType, CAST(RoomRate + RoomNo % 7 AS DECIMAL(10,2)) AS RoomRate, RoomStatus, HousekeeperID, 2 * RoomNo AS seq
+  FROM hotel_room WHERE (RoomNo // 100) % 3 = 1
+  UNION ALL SELECT RoomNo, RoomType, 99.50, RoomStatus, HousekeeperID, 2 * RoomNo + 1
+  FROM hotel_room WHERE (RoomNo // 100) % 3 = 1 AND RoomNo % 12 = 0
+  UNION ALL SELECT (SELECT max(RoomNo) FROM hotel_room) + RoomNo + 1, RoomType, RoomRate, RoomStatus, HousekeeperID, 2 * RoomNo
+  FROM hotel_room WHERE RoomNo % 40 = 0),
+last AS (SELECT * FROM feed QUALIFY row_number() OVER (PARTITION BY RoomNo ORDER BY seq DESC) = 1)
+SELECT {_ROOM_COLS} FROM hotel_room WHERE RoomNo NOT IN (SELECT RoomNo FROM last)
+UNION ALL
+SELECT {_ROOM_COLS} FROM last
+""")(lambda c: _stored_merge(c, "room", keyed.Layout("RoomNo", width=100), room_rate_feed(c.T)))
+
+
+def event_move_feed(T) -> DataFrame:
+    """Events of the first days of a month move on by up to two days; some twice, the last change wins."""
+    ev, k = T["event"], F.col("EventID")
+    early = ev.where(F.dayofmonth("EventDate") <= 4)
+    rest = [c for c in ev.columns if c != "EventDate"]
+    a = early.select(*rest, F.date_add("EventDate", (k % 3).cast("int")).alias("EventDate"), (2 * k).alias(SEQ))
+    b = early.where(k % 5 == 0).select(*rest, F.date_sub("EventDate", 40).alias("EventDate"), (2 * k + 1).alias(SEQ))
+    return a.unionByName(b)
+
+
+register("event_moves", """
+SELECT EventID, EventType,
+       CAST(CASE WHEN dayofmonth(EventDate) > 4 THEN EventDate
+                 WHEN EventID % 5 = 0 THEN EventDate - 40 ELSE EventDate + CAST(EventID % 3 AS INTEGER) END AS DATE) AS EventDate,
+       EventDuration, Host, HallID
+FROM hotel_event
+""")(lambda c: _stored_merge(c, "event", keyed.Layout("EventID", column="EventDate"), event_move_feed(c.T)))
+
+
 def room_add_feed(T) -> DataFrame:
     rm = T["room"]
     k = F.col("RoomNo")

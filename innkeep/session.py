@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,24 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return spark.sparkContext.getCheckpointDir() or fallback
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for lineage cuts and tables between jobs.
+
+    It is the one the session names; a local session that names none gets a
+    temporary folder, any other raises: its executors could not read one.
+    """
+    local = spark.sparkContext.master.startswith("local")
+    folder = checkpoint_dir(spark, tempfile.mkdtemp(prefix="innkeep-") if local and not has_checkpoint_dir(spark) else None)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below :func:`scratch_dir`."""
+    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once when several branches of a plan read it.
 

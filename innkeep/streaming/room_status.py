@@ -10,24 +10,27 @@ update.  As a stream:
    state is one row per room, so it is bounded by the room table, and a
    late change with a lower sequence number cannot overwrite a newer one.
 3. In ``update`` mode each micro-batch emits only the rooms whose latest
-   change moved.  ``foreachBatch`` applies them to the previous snapshot of
-   the room table and writes the new snapshot under ``batch_id=<n>``.
-
-Writing by batch id with ``overwrite`` makes a retried batch (after an
-executor or driver loss) produce the same files again, so the sink is
-idempotent and the checkpoint gives exactly-once results.  The checkpoint
-and the snapshots belong in the shared folder the cluster names in
-``spark.checkpoint.dir``; see :func:`innkeep.session.checkpoint_dir`.
+   change moved.  ``foreachBatch`` appends these rows, and no others, to a
+   :class:`~innkeep.sources.change_log.ChangeLog` under the batch's number.
+   Every ``compact_every`` batches the log is folded into a new base table and
+   old files are deleted.
+
+A retried batch (after an executor or driver loss) writes the same folder
+again, or nothing if a base holds it already, so the sink is idempotent and the
+checkpoint gives exactly-once results.  The checkpoint and the log belong in the
+shared folder the cluster names in ``spark.checkpoint.dir``; see
+:func:`innkeep.session.checkpoint_dir`.
 """
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import SEQ, _replace
+from ..operators.changes import SEQ
+from ..sources.change_log import ChangeLog
 
 OCCUPIED, VACANT = "Occupied", "Vacant"
 
@@ -42,57 +45,32 @@ def latest_status(stays: DataFrame, seq: str = SEQ) -> DataFrame:
     )
 
 
-def snapshot_path(out_dir: str, batch_id: int) -> str:
-    return f"{out_dir.rstrip('/')}/batch_id={batch_id:012d}"
+def room_log(root: str, keep: int = 1) -> ChangeLog:
+    """The log of room status under ``root``; its :meth:`~ChangeLog.create` takes the room table."""
+    return ChangeLog(root, "RoomNo", ("RoomStatus",), keep)
 
 
-def _previous(spark: SparkSession, base_path: str, out_dir: str, batch_id: int) -> DataFrame:
-    """The snapshot written by the batch before; the base room table for the first batch only.
-
-    A missing snapshot raises (the changes before it would be lost): a stream
-    goes on with the ``out_dir`` of its checkpoint, or starts anew with both.
-    """
-    return spark.read.parquet(snapshot_path(out_dir, batch_id - 1) if batch_id > 0 else base_path)
-
-
-def apply_batch(spark: SparkSession, base_path: str, out_dir: str):
-    """The ``foreachBatch`` function: previous snapshot + updated rooms -> new snapshot."""
+def apply_batch(log: ChangeLog, compact_every: int) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function: changed rooms go to the log; now and then the log is compacted."""
 
     def run(updates: DataFrame, batch_id: int) -> None:
-        rooms = _previous(spark, base_path, out_dir, batch_id)
-        new = _replace(rooms, "RoomNo", updates.select("RoomNo", "RoomStatus"), ["RoomStatus"])
-        new.write.mode("overwrite").parquet(snapshot_path(out_dir, batch_id))
+        log.append(updates, batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            log.compact(updates.sparkSession)
 
     return run
 
 
-def start(
-    stays: DataFrame,
-    base_path: str,
-    out_dir: str,
-    checkpoint: str,
-    trigger: dict | None = None,
-) -> StreamingQuery:
+def start(stays: DataFrame, log: ChangeLog, checkpoint: str, trigger: dict | None = None, compact_every: int = 50) -> StreamingQuery:
     """Start the stream.  ``trigger`` e.g. ``{"availableNow": True}`` or
-    ``{"processingTime": "30 seconds"}``."""
-    spark = stays.sparkSession
+    ``{"processingTime": "30 seconds"}``.  A stream goes on with the log of its
+    checkpoint, or starts anew with both."""
     writer = (
         latest_status(stays)
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(apply_batch(spark, base_path, out_dir))
+        .foreachBatch(apply_batch(log, compact_every))
     )
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.start()
-
-
-def latest_snapshot(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Read the newest snapshot written under ``out_dir`` (local or Hadoop path)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(out_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("batch_id="))
-    if not names:
-        raise FileNotFoundError(f"no snapshot under {out_dir}")
-    return spark.read.parquet(os.path.join(out_dir, names[-1]))
