@@ -567,5 +567,5 @@ def oracle_sql(name: str) -> str | None:
 
 
 def _load_jobs() -> None:
-    # the bulk-change jobs register themselves on import
-    from . import jobs  # noqa: F401
+    # the bulk-change jobs, sources and sinks register themselves on import
+    from . import ingest, jobs  # noqa: F401

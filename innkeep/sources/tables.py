@@ -4,19 +4,22 @@
   one directory (one Parquet file per driver table).
 * :func:`read_tables` - already-loaded bookings tables, read with their
   declared schema (no inference).
-* :func:`bulk_load` - typed CSV/JSON initial rows -> quality checks -> Parquet.
-* :func:`read_changes` - JSON change requests, malformed records kept aside.
-* :func:`write_report` - result rows out as JSON / Parquet / CSV.
+* :func:`bulk_load` - typed CSV/JSON initial rows -> quality checks -> Parquet;
+  :func:`load_lines` the same on a text column.
+* :func:`read_changes` - JSON change requests, unreadable records kept aside;
+  :func:`parse_changes` the same on a text column.
+* :func:`write_report` - result rows out as JSON / Parquet / CSV, in order if
+  asked; :func:`report_lines` as a JSON text column.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .adapter import hotel_tables
-from .schema import SPECS
+from .schema import SPECS, TableSpec
 
 DRIVER_TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
@@ -96,36 +99,30 @@ def write_tables(
         writer.parquet(os.path.join(directory, name))
 
 
-def bulk_load(
-    spark: SparkSession,
-    table: str,
-    path: str,
-    out_path: str,
-    fmt: str = "csv",
-    id_type: T.DataType | None = None,
-    mode: str = "errorifexists",
-    parents: dict[str, DataFrame] | None = None,
-) -> DataFrame:
-    """A2: read initial rows with the declared schema, check them, write the rows that pass as Parquet.
+CORRUPT = "_corrupt_record"
+PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+CSV_OPTIONS = {**PERMISSIVE, "escape": '"'}  # a quote in a quoted field is doubled
+
+
+def _readable(spec: TableSpec, id_type: T.DataType | None) -> T.StructType:
+    """The declared columns, each NULL where it does not parse, and the text of records that don't parse."""
+    fields = [T.StructField(f.name, f.dataType, True) for f in spec.struct(id_type).fields]
+    return T.StructType([*fields, T.StructField(CORRUPT, T.StringType(), True)])
+
 
-    Returns the violations: those of the quality job (J) and every record
-    that did not parse, with its text (rule ``unreadable``).  A row with a
-    violation, or with a repeated key, is not written, as the database would
-    refuse it.  ``parents`` (the already-loaded tables, e.g. from
-    :func:`read_tables`) adds the foreign-key check (J5) against them.
+def accept_rows(rows: DataFrame, table: str, parents: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Parsed rows (with the text of records that did not parse) -> ``(rows that pass, violations)``.
+
+    Violations are those of the quality job (J) and every record that did not
+    parse, with its text (rule ``unreadable``).  A row with a violation, or
+    with a repeated key, does not pass, as the database would refuse it.
+    ``parents`` adds the foreign-key check (J5) against them.
     """
     from ..operators.quality import RULE_BUILDERS, _key, _union, check_foreign_keys, check_table
-    from ..session import stage
 
-    spec = SPECS[table]
-    full = T.StructType([*spec.struct(id_type).fields, T.StructField(CORRUPT, T.StringType(), True)])
-    # a field that may not be NULL is read as NULL where it does not parse
-    full = T.StructType([T.StructField(f.name, f.dataType, True) for f in full.fields])
-    reader = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    rows = stage(reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path).select("*"))
+    spec, none = SPECS[table], F.lit(None).cast("string")
     unreadable = rows.where(F.col(CORRUPT).isNotNull()).select(
-        F.lit(table).alias("table_name"), F.lit("unreadable").alias("rule"), F.lit(None).cast("string").alias("column_name"),
-        F.lit(None).cast("string").alias("row_key"), F.col(CORRUPT).alias("bad_value"),
+        F.lit(table).alias("table_name"), F.lit("unreadable").alias("rule"), none.alias("column_name"), none.alias("row_key"), F.col(CORRUPT).alias("bad_value")
     )
     good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     found = [check_table(good, spec), unreadable]
@@ -140,57 +137,122 @@ def bulk_load(
         found += missing
         for m in missing:
             passing = passing.join(m.select(F.col("row_key").alias("__bad")).distinct(), _key(spec) == F.col("__bad"), "left_anti")
-    passing.select(*[c.name for c in spec.columns]).write.mode(mode).parquet(out_path)
-    return _union(found, spark)
+    return passing.select(*[c.name for c in spec.columns]), _union(found, rows.sparkSession)
 
 
-CORRUPT = "_corrupt_record"
+def load_lines(
+    lines: DataFrame, table: str, column: str = "line", fmt: str = "csv", id_type: T.DataType | None = None, parents: dict[str, DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A2 on a column: CSV or JSON text, one record a row -> ``(rows that pass, violations)``.
+
+    The same rules as :func:`bulk_load`, for text that Spark already holds (a
+    message queue, an archive's contents).  Blank lines and NULLs are skipped, as file readers do.
+    """
+    from ..session import stage
 
+    schema, text = _readable(SPECS[table], id_type), F.col(column)
+    parsed = F.from_csv(text, schema.toDDL(), CSV_OPTIONS) if fmt == "csv" else F.from_json(text, schema, PERMISSIVE)
+    rows = lines.where(F.trim(text) != "").select(parsed.alias("r")).select("r.*")
+    return accept_rows(stage(rows), table, parents)
 
-def read_changes(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
-    """A3: JSON change requests with an explicit schema (a StructType or DDL,
-    e.g. ``innkeep.operators.changes.FEEDS["checkout_and_bill"]``).
 
-    Returns ``(good, bad)``; ``bad`` keeps the raw text of every record that
-    did not parse, with a reason, so no request is silently dropped.
+def bulk_load(
+    spark: SparkSession,
+    table: str,
+    path: str,
+    out_path: str,
+    fmt: str = "csv",
+    id_type: T.DataType | None = None,
+    mode: str = "errorifexists",
+    parents: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """A2: read initial rows with the declared schema, check them, write the rows that pass as Parquet.
+
+    Returns the violations of :func:`accept_rows`; ``parents`` are the
+    already-loaded tables (e.g. from :func:`read_tables`).
     """
+    from ..session import stage
+
+    reader = spark.read.schema(_readable(SPECS[table], id_type))
+    rows = stage(reader.options(**CSV_OPTIONS, header=True).csv(path) if fmt == "csv" else reader.options(**PERMISSIVE).json(path))
+    passing, violations = accept_rows(rows, table, parents)
+    passing.write.mode(mode).parquet(out_path)
+    return violations
+
+
+MALFORMED = "malformed record"
+BODY = "body"
+
+
+def parse_changes(lines: DataFrame, schema: T.StructType | str, column: str = "line", keep_body: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A3 on a column: JSON change requests, one a row, with an explicit schema.
+
+    Returns ``(good, bad)``.  ``bad`` has the ``raw`` text and the ``reason``:
+    ``malformed record`` for text that is no JSON object (NULL and blank text too),
+    ``type: <field>`` for the first declared field whose value its type can't hold
+    (text for a number, a number too wide).  What follows a whole object is
+    ignored, as Spark's file reader does.  ``keep_body`` adds the text of the good ones as ``body``:
+    the jobs' rejects carry every feed column, so they then show each request as
+    it was sent (a JSON number ``5`` and a JSON text ``"5"`` stay apart).
+    """
+    from ..session import stage
+
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-    df = (
-        spark.read.schema(full)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
-    # Spark refuses queries that touch only the corrupt column of a raw JSON
-    # scan; materialising the parsed rows is the documented fix.  A reliable
-    # checkpoint in the shared folder when there is one, else a cache.
-    from ..session import has_checkpoint_dir, stage
-
-    df = stage(df) if has_checkpoint_dir(df.sparkSession) else df.persist()
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(
-        F.col(CORRUPT).alias("raw"), F.lit("malformed record").alias("reason")
-    )
-    return good, bad
+    text = F.col(column)
+
+    def parsed(fields: list[T.StructField]):
+        return F.from_json(text, T.StructType([*[T.StructField(f.name, f.dataType, True) for f in fields], T.StructField(CORRUPT, T.StringType(), True)]), PERMISSIVE)
+
+    rows = stage(lines.select(text.alias(column), parsed(schema.fields).alias("r")))
+    broken = F.col("r").isNull() | (F.trim(text) == "") | F.col(f"r.{CORRUPT}").isNotNull()
+    good = rows.where(~broken).select(*[F.col(f"r.{f.name}") for f in schema.fields], *([text.alias(BODY)] if keep_body else []))
+    unlike = [F.when(parsed([f]).getField(CORRUPT).isNotNull(), F.lit(f"type: {f.name}")) for f in schema.fields]
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    reason = F.when(~is_object, F.lit(MALFORMED)).otherwise(F.coalesce(*unlike, F.lit(MALFORMED)))
+    return good, rows.where(broken).select(text.alias("raw"), reason.alias("reason"))
+
+
+def read_changes(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """A3: JSON change requests of files, one a line, with an explicit schema (a StructType or DDL,
+    e.g. ``innkeep.operators.changes.FEEDS["checkout_and_bill"]``).
+
+    Returns ``(good, bad)`` of :func:`parse_changes`; blank lines are skipped.
+    No request is silently dropped.
+    """
+    return parse_changes(spark.read.text(path).where(F.trim("value") != ""), schema, "value")
+
+
+def report_lines(df: DataFrame, column: str = "line") -> DataFrame:
+    """A4 on a column: every result row as JSON text, NULL fields as null, times without a zone."""
+    return df.select(F.to_json(F.struct(*df.columns), JSON_OPTIONS).alias(column))
+
+
+JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "ignoreNullFields": "false"}
 
 
 def write_report(
-    df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite", partition_by: list[str] | None = None
+    df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite", partition_by: list[str] | None = None,
+    order_by: list[Column | str] | None = None,
 ) -> None:
     """A4: emit result rows (JSON lines by default, one file per partition).
 
+    ``order_by`` writes one global order: rows are dealt to tasks by range and
+    sorted within each, so the files, by name, one after the other, are the
+    sorted report (F).  With ``partition_by`` that holds within each folder.
+
     ``partition_by`` writes one folder per value (e.g. a date column) so
     readers prune whole folders; each task writes its own files, nothing
     passes through the driver.
     """
+    if order_by:
+        df = df.orderBy(*(partition_by or []), *order_by)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "json":
         # NULL fields are written as null, as the model's JSON responses carry them
-        writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("ignoreNullFields", False).json(path)
+        writer.options(**JSON_OPTIONS).json(path)
     elif fmt == "csv":
         writer.option("header", True).csv(path)
     else:

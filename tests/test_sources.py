@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import types as T
 
 from innkeep.sources import tables
+from innkeep.sources.tables import bulk_load, load_lines, parse_changes, write_report
 
 from .conftest import SF_SMALL
 
@@ -181,3 +182,60 @@ def test_bulk_load_checks_foreign_keys_against_parents(spark, tmp_path):
                    "R102,Single,250.00,Vacant,HK09\n")
     v = tables.bulk_load(spark, "room", str(csv), str(tmp_path / "room"), parents={"staff": staff, "housekeeping": hk})
     assert [(r.rule, r.column_name, r.row_key) for r in v.collect()] == [("foreign_key", "HousekeeperID", "R102")]
+
+
+def test_load_lines_reads_quotes_and_reports_what_a_file_load_reports(spark, tmp_path):
+    lines = ["1,Ama,Owusu,024", '2,"Kofi, Jr","O""Neil",025', "3,Esi", "", None, "  ", "4,,Boa,1", "5,A,B,C", "5,D,E,F", f"6,{'x' * 21},B,1"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    rows, violations = load_lines(df, "customer")
+    assert [tuple(r) for r in rows.orderBy("CustomerID").collect()] == [("1", "Ama", "Owusu", "024"), ("2", "Kofi, Jr", 'O"Neil', "025")]
+    got = {(r.rule, r.column_name, r.row_key, r.bad_value) for r in violations.collect()}
+    path = str(tmp_path / "rows.csv")
+    with open(path, "w") as f:
+        f.write("\n".join(["CustomerID,CustomerFName,CustomerLName,PhoneNumber", *[x for x in lines if x]]))
+    assert got == {(r.rule, r.column_name, r.row_key, r.bad_value) for r in bulk_load(spark, "customer", path, str(tmp_path / "out")).collect()}
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("CustomerID").collect()] == [tuple(r) for r in rows.orderBy("CustomerID").collect()]
+    assert load_lines(df.limit(0), "customer")[1].collect() == []
+
+
+def test_parse_changes_says_why_and_keeps_the_body(spark):
+    lines = {
+        '{"change_seq": 1, "invoice_no": "7", "amount": 12.50}': None,
+        '{"change_seq": 2, "invoice_no": 7, "amount": "12.5"}': None,
+        "{}": None,
+        '{"change_seq": "1", "invoice_no": 7}': "type: change_seq",
+        '{"change_seq": 1.5}': "type: change_seq",
+        '{"change_seq": 1, "amount": 1e15}': "type: amount",
+        '{"change_seq": 1, "inv': "malformed record",
+        "[1, 2]": "malformed record",
+        "null": "malformed record",
+        "": "malformed record",
+        None: "malformed record",
+    }
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    good, bad = parse_changes(df, "change_seq long, invoice_no string, amount decimal(12,2)", keep_body=True)
+    assert {r.raw: r.reason for r in bad.collect()} == {k: v for k, v in lines.items() if v}
+    assert {r.body: (r.change_seq, r.invoice_no, r.amount and str(r.amount)) for r in good.collect()} == {
+        '{"change_seq": 1, "invoice_no": "7", "amount": 12.50}': (1, "7", "12.50"),
+        '{"change_seq": 2, "invoice_no": 7, "amount": "12.5"}': (2, "7", "12.50"),
+        "{}": (None, None, None),
+    }
+
+
+def test_ordered_report_is_sorted_file_after_file(spark, small_tables, tmp_path):
+    """Several files; by name, one after the other, they are the sorted report."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = small_tables["reservation"].select("ReservationID", "CustomerID", "CheckIn").repartition(5)
+        write_report(df, str(tmp_path / "r"), order_by=[df.CheckIn.desc(), "ReservationID"])
+        write_report(df, str(tmp_path / "p"), order_by=[df.CheckIn.desc()], partition_by=["CustomerID"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(f for f in (tmp_path / "r").iterdir() if f.suffix == ".json")
+    rows = [json.loads(x) for f in files for x in f.read_text().splitlines()]
+    assert len([f for f in files if f.stat().st_size]) > 1 and len(rows) == df.count()
+    by_id = sorted(rows, key=lambda r: r["ReservationID"])
+    assert rows == sorted(by_id, key=lambda r: r["CheckIn"], reverse=True)
+    for folder in (tmp_path / "p").glob("CustomerID=*"):
+        times = [json.loads(x)["CheckIn"] for f in sorted(folder.glob("*.json")) for x in f.read_text().splitlines()]
+        assert times == sorted(times, reverse=True)
