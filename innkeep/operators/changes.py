@@ -40,7 +40,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalar import is_missing, kind_of, py_strip, split_name, stay_charge, stay_nights
-from ..sources.schema import ROOM_STATUSES, SPECS, TableSpec
+from ..sources.schema import ROOM_STATUSES, SPECS, ForeignKey, TableSpec
 from ..session import stage
 from .quality import RULE_BUILDERS
 
@@ -384,32 +384,69 @@ def _update_job(
     return _replace(base, key, last, list(columns)), rejects
 
 
-def _delete_job(
-    T_: Tables, table: str, changes: DataFrame, key_field: str, blockers: list[tuple[str, str]] = ()
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Delete by key; refused while a restricting child row refers to it.
+def references(parent: str, specs: dict[str, TableSpec] = SPECS) -> list[tuple[str, ForeignKey]]:
+    """The foreign keys that refer to a table: ``(child, key)`` in the schema's order."""
+    return [(name, fk) for name, spec in specs.items() for fk in spec.foreign_keys if fk.parent == parent]
+
 
-    ``blockers`` are ``(child table, child column)`` pairs.  Each child is
-    reduced to the distinct referenced keys *of this batch* (a semi join with
-    the feed's keys, then a partial-aggregated distinct) before the flag join.
-    Returns ``(new_table, deleted_keys, rejects)``.
+def _reach(T_: Tables, table: str, roots: DataFrame, specs: dict[str, TableSpec], path: tuple[str, ...] = ()):
+    """Walk the graph from ``roots`` (``__root``, ``__key``: rows of ``table`` that go with a deleted row).
+
+    Yields ``(action, child, column, reached)`` for every edge met, cascades
+    followed to their end; ``reached`` has the roots and the parent keys that the
+    edge's column refers to.
     """
-    spec = SPECS[table]
-    base = T_[table]
-    key = spec.key[0]
+    if table in path:
+        raise ValueError("cascades form a circle: " + " > ".join([*path, table]))
+    for child, fk in references(table, specs):
+        yield fk.on_delete, child, fk.column, roots
+        if fk.on_delete == "cascade" and references(child, specs):
+            key = specs[child].key[0]
+            if key == fk.column:  # the child's rows are named by the parent's key
+                below = roots
+            else:
+                rows = T_[child].select(F.col(key).alias("__child"), F.col(fk.column).alias("__of"))
+                below = rows.join(roots, F.col("__of") == F.col("__key")).select("__root", F.col("__child").alias("__key"))
+            yield from _reach(T_, child, below, specs, (*path, table))
+
+
+def remove_rows(
+    T_: Tables, table: str, changes: DataFrame, key_field: str, specs: dict[str, TableSpec] = SPECS
+) -> tuple[Tables, DataFrame]:
+    """Delete rows by key, with the foreign-key actions that the schema declares.
+
+    All foreign keys that lead to the table are followed, through cascades to
+    their end: a row that a restricting key refers to, itself or by a row that
+    would go with it, is refused (``referenced by <child>.<column>``); else rows
+    of cascading keys go, and columns of set-null keys become NULL.  A table
+    added to ``specs`` is protected without more code.  Deleted once; a later
+    delete of the same key finds no row.
+
+    Per edge, the child's column is reduced to the distinct keys *of this
+    batch* before it is joined, so a hot parent is one row.  Returns every table
+    that an action can change, and the rejects.
+    """
+    base, key = T_[table], specs[table].key[0]
     df = _pack(changes, {key: F.col(key_field).try_cast(base.schema[key].dataType)})
-    df = _present(df, base, key, key, "__found")
+    df = stage(_present(df, base, key, key, "__found"))
     rules = [(F.col("__found").isNull(), NOT_FOUND)]
-    asked = df.select(F.col(key).alias("__ask")).distinct()
-    for child, column in blockers:
-        used = T_[child].select(F.col(column).alias("__ask")).join(asked, "__ask", "left_semi").distinct()
-        flag = f"__ref_{child}_{column}"
-        df = _present(df, used, "__ask", key, flag)
-        rules.append((F.col(flag).isNotNull(), REFERENCED + f"{child}.{column}"))
-    # deleted once; a later delete of the same key finds no row
+    asked = df.where(F.col("__found")).select(F.col(key).alias("__root"), F.col(key).alias("__key")).distinct()
+    edges = list(_reach(T_, table, asked, specs))
+    for action, child, column, reached in edges:
+        if action == "restrict":
+            used = T_[child].select(F.col(column).alias("__key")).join(reached, "__key", "left_semi").distinct()
+            flag = f"__ref_{child}_{column}"
+            df = _present(df, reached.join(used, "__key", "left_semi").select("__root"), "__root", key, flag)
+            rules.append((F.col(flag).isNotNull(), REFERENCED + f"{child}.{column}"))
     valid, rejects = _outcome(_first_in_batch(_judge(df, rules), [key], NOT_FOUND))
-    deleted = valid.select(key).distinct()
-    return _drop_keys(base, key, deleted), deleted, rejects
+    gone = stage(valid.select(F.col(key).alias("__root"), F.col(key).alias("__key")).distinct())
+    out = {table: _drop_keys(base, key, gone.select("__key"))}
+    for action, child, column, reached in _reach(T_, table, gone, specs):
+        if action != "restrict":
+            ids = reached.select("__key").distinct()
+            rows = out.get(child, T_[child])
+            out[child] = _drop_keys(rows, column, ids) if action == "cascade" else _null_where_in(rows, column, ids)
+    return out, rejects
 
 
 # ------------------------------------------------------------------ I1 upsert
@@ -986,14 +1023,7 @@ def remove_staff(T_: Tables, changes: DataFrame):
     NULL (set null).  Returns tables ``staff``, ``housekeeping``,
     ``frontdesk``, ``room``, ``reservation_request``.
     """
-    new_staff, gone, rejects = _delete_job(T_, "staff", changes, "staff_id", [("reservation", "StaffID")])
-    return {
-        "staff": new_staff,
-        "housekeeping": _drop_keys(T_["housekeeping"], "StaffID", gone),
-        "frontdesk": _drop_keys(T_["frontdesk"], "StaffID", gone),
-        "room": _null_where_in(T_["room"], "HousekeeperID", gone),
-        "reservation_request": _null_where_in(T_["reservation_request"], "StaffID", gone),
-    }, rejects
+    return remove_rows(T_, "staff", changes, "staff_id")
 
 
 # ----------------------------------------------------------- I16 customers
@@ -1002,19 +1032,7 @@ def remove_staff(T_: Tables, changes: DataFrame):
 def remove_customers(T_: Tables, changes: DataFrame):
     """I16: delete customers; refused while stays, events, invoices or orders
     refer to them; their feedback and requests are deleted with them."""
-    blockers = [
-        ("reservation", "CustomerID"),
-        ("event", "Host"),
-        ("invoice", "CustomerID"),
-        ("restaurant_order", "CustomerID"),
-    ]
-    new_cust, gone, rejects = _delete_job(T_, "customer", changes, "customer_id", blockers)
-    g = gone.select(F.col("CustomerID"))
-    return {
-        "customer": new_cust,
-        "customer_feedback": T_["customer_feedback"].join(g, "CustomerID", "left_anti"),
-        "reservation_request": T_["reservation_request"].join(g, "CustomerID", "left_anti"),
-    }, rejects
+    return remove_rows(T_, "customer", changes, "customer_id")
 
 
 # ------------------------------------------------------------- I17, I18 rooms
@@ -1162,15 +1180,14 @@ def add_feedback(T_: Tables, changes: DataFrame, as_of):
 
 def remove_feedback(T_: Tables, changes: DataFrame):
     """Delete feedback by id."""
-    new, _, rejects = _delete_job(T_, "customer_feedback", changes, "feedback_id")
-    return {"customer_feedback": new}, rejects
+    return remove_rows(T_, "customer_feedback", changes, "feedback_id")
 
 
 __all__ = [
     "upsert", "add_customers", "update_customers", "book_stays", "checkout_and_bill", "delete_stays",
     "derive_room_status", "set_room_status", "submit_requests", "decide_requests", "approve_requests",
     "decline_requests", "record_payments", "set_amount_paid", "create_invoices", "onboard_staff", "remove_staff",
-    "remove_customers", "add_rooms", "update_rooms", "block_room_deletes", "add_events", "add_halls",
+    "remove_customers", "remove_rows", "references", "add_rooms", "update_rooms", "block_room_deletes", "add_events", "add_halls",
     "add_restaurants", "add_orders", "add_feedback", "remove_feedback", "new_id", "append_validated",
     "stay_bill", "FEEDS",
 ]

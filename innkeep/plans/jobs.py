@@ -627,11 +627,12 @@ SELECT change_seq, reservation_id, reason FROM judged WHERE reason IS NOT NULL
 
 def staff_removal_feed(T) -> DataFrame:
     k = F.col("StaffID")
-    return T["staff"].select(k.alias(SEQ), k.alias("staff_id"))
+    # every fifth removal names nobody: rows of every table stay
+    return T["staff"].select(k.alias(SEQ), F.when(k % 5 == 3, -k).otherwise(k).alias("staff_id"))
 
 
 _STAFF_REMOVAL_SQL = f"""
-WITH feed AS (SELECT StaffID AS change_seq, StaffID AS staff_id FROM hotel_staff),
+WITH feed AS (SELECT StaffID AS change_seq, CASE WHEN StaffID % 5 = 3 THEN -StaffID ELSE StaffID END AS staff_id FROM hotel_staff),
 judged AS (
   SELECT f.*, CASE WHEN s.StaffID IS NULL THEN 'not found'
                    WHEN f.staff_id IN (SELECT StaffID FROM hotel_reservation) THEN '{C.REFERENCED}reservation.StaffID'
@@ -684,16 +685,20 @@ def customer_removal_feed(T) -> DataFrame:
 _CUSTOMER_CHILDREN = {"reservation": "CustomerID", "event": "Host", "invoice": "CustomerID", "restaurant_order": "CustomerID"}
 
 
+def _next_customer(column: str) -> str:
+    return f"(CASE WHEN {column} % 5 = 0 THEN {column} + 1 ELSE {column} END)"
+
+
 _CUSTOMER_REMOVAL_SQL = f"""
 WITH feed AS (SELECT CustomerID AS change_seq, CustomerID AS customer_id FROM hotel_customer),
 judged AS (
   SELECT f.*, CASE WHEN c.CustomerID IS NULL THEN 'not found'
-    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_reservation WHERE CustomerID % 5 <> 0)
+    WHEN f.customer_id IN (SELECT {_next_customer("CustomerID")} FROM hotel_reservation)
       THEN '{C.REFERENCED}reservation.CustomerID'
-    WHEN f.customer_id IN (SELECT Host FROM hotel_event WHERE Host % 5 <> 0) THEN '{C.REFERENCED}event.Host'
-    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_invoice WHERE CustomerID % 5 <> 0)
+    WHEN f.customer_id IN (SELECT {_next_customer("Host")} FROM hotel_event) THEN '{C.REFERENCED}event.Host'
+    WHEN f.customer_id IN (SELECT {_next_customer("CustomerID")} FROM hotel_invoice)
       THEN '{C.REFERENCED}invoice.CustomerID'
-    WHEN f.customer_id IN (SELECT CustomerID FROM hotel_restaurant_order WHERE CustomerID % 5 <> 0)
+    WHEN f.customer_id IN (SELECT {_next_customer("CustomerID")} FROM hotel_restaurant_order)
       THEN '{C.REFERENCED}restaurant_order.CustomerID'
     WHEN f.change_seq <> min(f.change_seq) OVER (PARTITION BY f.customer_id) THEN 'not found' END AS reason
   FROM feed f LEFT JOIN hotel_customer c ON c.CustomerID = f.customer_id),
@@ -702,9 +707,9 @@ gone AS (SELECT customer_id FROM judged WHERE reason IS NULL)
 
 
 def _customer_removal(c: Context):
-    # every fifth customer has no stays, events, invoices or orders: these go, with what cascades
-    free = {t: c.T[t].where(F.col(k) % 5 != 0) for t, k in _CUSTOMER_CHILDREN.items()}
-    return C.remove_customers({**c.T, **free}, customer_removal_feed(c.T))
+    # the stays, events, invoices and orders of every fifth customer are the next one's: these customers go, with what cascades
+    moved = {t: c.T[t].withColumn(k, F.when(F.col(k) % 5 == 0, F.col(k) + 1).otherwise(F.col(k))) for t, k in _CUSTOMER_CHILDREN.items()}
+    return C.remove_customers({**c.T, **moved}, customer_removal_feed(c.T))
 
 
 register("customer_removal_customers", _CUSTOMER_REMOVAL_SQL + """
@@ -726,6 +731,56 @@ SELECT change_seq, customer_id, reason FROM judged WHERE reason IS NOT NULL
 """)(lambda c: _customer_removal(c)[1])
 
 
+# ============================== deletes of other tables, by the schema's graph alone
+
+def hall_removal_feed(T) -> DataFrame:
+    k = F.col("HallID")
+    return T["conference_hall"].select(k.alias(SEQ), F.when(k % 7 == 2, k - 1).otherwise(k).alias("hall_id"))
+
+
+_HALL_REMOVAL_SQL = f"""
+WITH feed AS (SELECT HallID AS change_seq, CASE WHEN HallID % 7 = 2 THEN HallID - 1 ELSE HallID END AS hall_id FROM hotel_conference_hall),
+used AS (SELECT CASE WHEN HallID % 3 = 1 THEN HallID - 1 ELSE HallID END AS HallID FROM hotel_event),
+judged AS (
+  SELECT *, CASE WHEN hall_id NOT IN (SELECT HallID FROM hotel_conference_hall) THEN 'not found'
+                 WHEN hall_id IN (SELECT HallID FROM used) THEN '{C.REFERENCED}event.HallID'
+                 WHEN change_seq <> min(change_seq) OVER (PARTITION BY hall_id) THEN 'not found' END AS reason
+  FROM feed)
+"""
+
+
+def _hall_removal(c: Context):
+    # events of every third hall are held in the one before
+    events = c.T["event"].withColumn("HallID", F.when(F.col("HallID") % 3 == 1, F.col("HallID") - 1).otherwise(F.col("HallID")))
+    return C.remove_rows({**c.T, "event": events}, "conference_hall", hall_removal_feed(c.T), "hall_id")
+
+
+register("hall_removals", _HALL_REMOVAL_SQL + """
+SELECT HallID, HallName, Capacity FROM hotel_conference_hall WHERE HallID NOT IN (SELECT hall_id FROM judged WHERE reason IS NULL)
+""")(lambda c: _hall_removal(c)[0]["conference_hall"])
+
+register("hall_removal_rejects", _HALL_REMOVAL_SQL + """
+SELECT change_seq, hall_id, reason FROM judged WHERE reason IS NOT NULL
+""")(lambda c: _hall_removal(c)[1])
+
+
+def _invoice_removal(c: Context):
+    k = F.col("InvoiceNo")
+    feed = c.T["invoice"].select(k.alias(SEQ), F.when(k % 4 == 1, -k).otherwise(k).alias("invoice_no"))
+    return C.remove_rows(c.T, "invoice", feed, "invoice_no")[0]
+
+
+register("invoice_removals", f"""
+SELECT {_INV_COLS} FROM hotel_invoice WHERE InvoiceNo % 4 = 1
+""")(lambda c: _invoice_removal(c)["invoice"])
+
+register("invoice_removal_orders", """
+SELECT * EXCLUDE (InvoiceID),
+       CASE WHEN InvoiceID % 4 = 1 OR InvoiceID NOT IN (SELECT InvoiceNo FROM hotel_invoice) THEN InvoiceID END AS InvoiceID
+FROM hotel_restaurant_order
+""")(lambda c: _invoice_removal(c)["restaurant_order"])
+
+
 # ==================================================== I2, I3 customers (add, edit)
 
 def customer_add_feed(T) -> DataFrame:
@@ -966,6 +1021,12 @@ UNION ALL
 SELECT new_id, shift, fl FROM judged WHERE reason IS NULL AND role = 'Housekeeping'
 """)(lambda c: C.onboard_staff(c.T, staff_feed(c.T))[0]["housekeeping"])
 
+register("staff_onboarding_frontdesk", _STAFF_SQL + """
+SELECT StaffID, Shift FROM hotel_frontdesk
+UNION ALL
+SELECT new_id, shift FROM judged WHERE reason IS NULL AND role <> 'Housekeeping'
+""")(lambda c: C.onboard_staff(c.T, staff_feed(c.T))[0]["frontdesk"])
+
 register("staff_onboarding_rejects", _STAFF_SQL + """
 SELECT change_seq, staff_id, fname, lname, full_name, role, shift, floor, reason FROM judged WHERE reason IS NOT NULL
 """)(lambda c: C.onboard_staff(c.T, staff_feed(c.T))[1])
@@ -1346,14 +1407,16 @@ SELECT change_seq, feedback_id, customer_id, rating, comments, reason FROM judge
 def feedback_removal_feed(T) -> DataFrame:
     fb = T["customer_feedback"]
     k = F.col("FeedbackID")
-    return fb.where(k % 3 != 0).select((2 * k).alias(SEQ), k.alias("feedback_id")).unionByName(
+    # every third removal names no feedback
+    return fb.select((2 * k).alias(SEQ), F.when(k % 3 == 0, -k - 1).otherwise(k).alias("feedback_id")).unionByName(
         fb.where(k % 14 == 0).select((2 * k + 1).alias(SEQ), (-k).alias("feedback_id"))
     )
 
 
 _FEEDBACK_REMOVAL_SQL = """
 WITH feed AS (
-  SELECT 2 * FeedbackID AS change_seq, FeedbackID AS feedback_id FROM hotel_customer_feedback WHERE FeedbackID % 3 <> 0
+  SELECT 2 * FeedbackID AS change_seq, CASE WHEN FeedbackID % 3 = 0 THEN -FeedbackID - 1 ELSE FeedbackID END AS feedback_id
+  FROM hotel_customer_feedback
   UNION ALL SELECT 2 * FeedbackID + 1, -FeedbackID FROM hotel_customer_feedback WHERE FeedbackID % 14 = 0),
 judged AS (
   SELECT feed.*, CASE WHEN feedback_id NOT IN (SELECT FeedbackID FROM hotel_customer_feedback) THEN 'not found'
