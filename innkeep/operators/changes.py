@@ -105,7 +105,7 @@ FEEDS = {
 # --- end of fixed values --------------------------------------------------------
 
 
-BAD_SEQ = "change_seq must be given, not negative and unique in the batch"
+BAD_SEQ = "change_seq must be given, from 0 to below 10^15 and unique in the batch"
 
 # ------------------------------------------------------------------- helpers
 
@@ -148,7 +148,7 @@ def _pack(changes: DataFrame, columns: dict[str, Column], required: Iterable[str
         F.struct(*[F.col(c) for c in changes.columns]).alias(IN),
         F.col(SEQ).alias("__seq"),
         # the order of changes and generated ids rest on the number: it is judged first
-        F.when(F.col(SEQ).isNull() | (F.col(SEQ) < 0) | F.col("__again").isNotNull(), F.lit(BAD_SEQ)).alias("reason"),
+        F.when(F.col(SEQ).isNull() | (F.col(SEQ) < 0) | (F.col(SEQ) >= GIVEN_TOP) | F.col("__again").isNotNull(), F.lit(BAD_SEQ)).alias("reason"),
         missing.alias("__missing"),
         *[e.alias(n) for n, e in columns.items()],
     )
@@ -282,10 +282,37 @@ def _drop_keys(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- I21 ids
 
 
+# Numbers are kept apart, so that no id or change number can bring another batch to a stop:
+# a change number and the number of a given id stay below GIVEN_TOP (the change is refused
+# alone otherwise), made numbers below NUMBER_TOP.  Ids of a table beyond it are never met by
+# made ones and don't count as in use.
+GIVEN_TOP = 10**15
+NUMBER_TOP = 10**18
+
+
 def _number_after(prefix: str, column: Column) -> Column:
-    """The number after ``prefix`` in an id of that form, else NULL."""
-    digits = F.regexp_extract(column, "^" + re.escape(prefix) + "([0-9]+)$", 1)
-    return F.when(digits != "", digits.try_cast("decimal(38,0)"))
+    """The number after ``prefix`` in an id of that form (``NUMBER_TOP`` for longer ones), else NULL."""
+    digits = F.regexp_extract(column, "^" + re.escape(prefix) + "0*([0-9]+)$", 1)
+    return F.when(digits != "", F.when(F.length(digits) < len(str(NUMBER_TOP)), digits.try_cast("bigint")).otherwise(NUMBER_TOP))
+
+
+def _given(existing: DataFrame, key: str, given: Column) -> Column:
+    """A given id where it is truthy, in the key's type."""
+    dtype = existing.schema[key].dataType
+    if isinstance(dtype, T.StringType):
+        return F.when(given.try_cast("string") != "", given.try_cast("string"))
+    typed = given.try_cast(dtype)
+    return F.when(typed != 0, typed)
+
+
+def too_far(existing: DataFrame, key: str, given: Column, prefixes: Iterable[str] = ("",)) -> Column:
+    """Whether a given id's number is one that ids made later could not go on from."""
+    if isinstance(existing.schema[key].dataType, T.StringType):
+        id_ = _given(existing, key, given)
+        numbers = [_number_after(p, id_) for p in prefixes]
+    else:
+        numbers = [_given(existing, key, given).cast("bigint")]
+    return F.coalesce(F.greatest(F.lit(0), *numbers) >= GIVEN_TOP, F.lit(False))
 
 
 def new_id(existing: DataFrame, key: str, given: Column, prefix: str = "", batch: DataFrame | None = None) -> Column:
@@ -297,31 +324,42 @@ def new_id(existing: DataFrame, key: str, given: Column, prefix: str = "", batch
     subquery Spark runs once; unique ``change_seq`` values then give ids that
     are unique in the batch and new to the table without any coordination
     between tasks.  A given id that collides is refused as a duplicate, as the
-    database would.
+    database would; one that is :func:`too_far` is refused for its size and does
+    not count here.
     """
     dtype = existing.schema[key].dataType
-    seq = F.col(SEQ)
-    if isinstance(dtype, T.StringType):
-        given = F.when(given.try_cast("string") != "", given.try_cast("string"))
-        used = existing.select(_number_after(prefix, F.col(key)).alias("n"))
-        if batch is not None:
-            used = used.unionAll(batch.select(_number_after(prefix, given).alias("n")))
-        top = used.select(F.coalesce(F.max("n"), F.lit(0))).scalar()
-        made = F.concat(F.lit(prefix), (top + seq).cast("string"))
-    else:
-        typed = given.try_cast(dtype)
-        given = F.when(typed != 0, typed)
-        used = existing.select(F.col(key).cast("bigint").alias("n"))
-        if batch is not None:
-            used = used.unionAll(batch.select(given.cast("bigint").alias("n")))
-        top = used.select(F.coalesce(F.max("n"), F.lit(0)).cast("bigint")).scalar()
-        made = (top + seq).cast(dtype)
-    return F.coalesce(given, made)
+    text = isinstance(dtype, T.StringType)
+    given = _given(existing, key, given)
+
+    def number(c: Column) -> Column:
+        return _number_after(prefix, c) if text else c.cast("bigint")
+
+    used = existing.select(number(F.col(key)).alias("n")).where(F.col("n") < NUMBER_TOP)
+    if batch is not None:
+        used = used.unionAll(batch.select(number(given).alias("n")).where(F.col("n") < GIVEN_TOP))
+    top = used.select(F.coalesce(F.max("n"), F.lit(0)).cast("bigint")).scalar()
+    made = F.try_add(top, F.col(SEQ).cast("bigint"))
+    made = F.when(made < NUMBER_TOP, made)
+    return F.coalesce(given, F.concat(F.lit(prefix), made.cast("string")) if text else made.try_cast(dtype))
 
 
 # ------------------------------------------------------- generic insert
 
 
+def _between(table: DataFrame, key: str, changes: DataFrame, given: Column) -> DataFrame:
+    """The rows of ``table`` whose key lies between the least and the greatest given one.
+
+    Both are scalar subqueries that Spark runs first and pushes to the Parquet
+    scan, so files and row groups outside (ids ascend, and
+    :mod:`innkeep.sources.keyed` stores them by range) are not read.
+    """
+    ids = changes.select(_given(table, key, given).alias("id"))
+    low = ids.agg(F.min("id")).scalar()
+    # not max(): Spark would merge the two into a struct, whose fields it doesn't push down
+    high = ids.orderBy(F.desc_nulls_last("id")).limit(1).scalar()
+    return table.where((F.col(key) >= low) & (F.col(key) <= high))
+
+
 def append_validated(
     T_: Tables,
     table: str,
@@ -347,17 +385,22 @@ def append_validated(
     key = spec.key[0]
     cols = dict(columns)
     generated = given_id is not None
+    any_given = generated and given_id in changes.columns
     if generated:
         given = _opt(changes, given_id, base.schema[key].dataType.simpleString())
-        cols[key] = new_id(base, key, given, prefix, changes if given_id in changes.columns else None)
+        cols[key] = new_id(base, key, given, prefix, changes if any_given else None)
     df = _pack(changes, cols, required)
     rules = [(F.col("__missing"), MISSING), *(pre_rules or [])]
     rules += _spec_rules(df, spec, skip_size=[key] if generated else [])
-    df = _present(df, base, key, key, "__dup")
-    rules.append((F.col("__dup").isNotNull(), DUPLICATE))
+    if any_given and not given_id.startswith("__"):
+        rules.append((too_far(base, key, F.col(f"{IN}.{given_id}"), [prefix]), f"size: {key}"))
+    if any_given or not generated:
+        # made ids are above all ids in use: only given ones are looked up, in the part of the table between them
+        df = _present(df, _between(base, key, changes, given) if any_given else base, key, key, "__dup")
+        rules.append((F.col("__dup").isNotNull(), DUPLICATE))
     df, fk = _fk_rules(df, T_, spec)
     df = _judge(df, rules + fk)
-    if not generated or given_id in changes.columns:
+    if any_given or not generated:
         # ids made from change_seq are unique; only given ids can repeat in a batch
         df = _first_in_batch(df, [key], DUPLICATE)
     valid, rejects = _outcome(df)
@@ -623,12 +666,7 @@ def checkout_and_bill(T_: Tables, changes: DataFrame, as_of):
     )
     has_invoice = inv.where(F.col("ReservationID").isNotNull()).select("ReservationID")
     fresh = bills.join(has_invoice, "ReservationID", "left_anti")
-    top = inv.select(F.coalesce(F.max("InvoiceNo"), F.lit(0)).cast("bigint")).scalar()
-    inv_key = inv.schema["InvoiceNo"].dataType
-    if isinstance(inv_key, T.StringType):
-        fresh_no = new_id(inv, "InvoiceNo", F.lit(None).cast("string"), "INV")
-    else:
-        fresh_no = (top + F.col(SEQ)).cast(inv_key)
+    fresh_no = new_id(inv, "InvoiceNo", F.lit(None).cast(inv.schema["InvoiceNo"].dataType), "INV")
     created = fresh.withColumnRenamed("__seq", SEQ).select(
         fresh_no.alias("InvoiceNo"),
         "ReservationID",
@@ -660,6 +698,12 @@ def delete_stays(T_: Tables, changes: DataFrame):
 # ------------------------------------------------------------ I9-I11 requests
 
 
+def _token_number(token: Column) -> Column:
+    """The number of a token in the form of made ones (``NUMBER_TOP`` for longer ones), else NULL."""
+    digits = F.regexp_extract(token, f"^{TOKEN_PREFIX}0*([0-9A-Z]+)$", 1)
+    return F.when(digits != "", F.when(F.length(digits) <= 12, F.conv(digits, 36, 10).try_cast("bigint")).otherwise(NUMBER_TOP))
+
+
 def submit_requests(T_: Tables, changes: DataFrame, as_of):
     """guests' booking requests.
 
@@ -669,8 +713,8 @@ def submit_requests(T_: Tables, changes: DataFrame, as_of):
     guest is the customer with that phone (lowest id); an unseen phone
     creates a customer from its first valid request, and later requests of the
     batch with that phone reuse it.  Token: given, or the prefix + base 36 of
-    (the largest number in use + ``change_seq``); a given token already used is
-    refused.  Status Pending, dated
+    (the largest number in use + ``change_seq``); a given token already used, or
+    one whose number made tokens could not go on from, is refused.  Status Pending, dated
     ``as_of``.
 
     Returns tables ``customer`` and ``reservation_request``.
@@ -678,13 +722,14 @@ def submit_requests(T_: Tables, changes: DataFrame, as_of):
     cust, req = T_["customer"], T_["reservation_request"]
     trim = {n: py_strip(F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in ("fname", "lname", "phone")}
     given = F.when(_opt(changes, "token") != "", _opt(changes, "token"))
-    used = req.select(F.col("RequestToken").alias("t"))
+    used = req.select(_token_number(F.col("RequestToken")).alias("n")).where(F.col("n") < NUMBER_TOP)
     if "token" in changes.columns:
-        used = used.unionAll(changes.select(given.alias("t")))
+        used = used.unionAll(changes.select(_token_number(given).alias("n")).where(F.col("n") < GIVEN_TOP))
     # made tokens go on above the largest number in use, so no batch meets tokens of another
-    number = F.conv(F.substring("t", len(TOKEN_PREFIX) + 1, 12), 36, 10).cast("bigint")
-    top = used.select(F.coalesce(F.max(F.when(F.col("t").rlike(f"^{TOKEN_PREFIX}[0-9A-Z]{{1,12}}$"), number)), F.lit(0))).scalar()
-    tok = F.coalesce(given, F.concat(F.lit(TOKEN_PREFIX), F.upper(F.conv((top + F.col(SEQ)).cast("string"), 10, 36))))
+    top = used.select(F.coalesce(F.max("n"), F.lit(0)).cast("bigint")).scalar()
+    made = F.try_add(top, F.col(SEQ).cast("bigint"))
+    made = F.when(made < NUMBER_TOP, F.concat(F.lit(TOKEN_PREFIX), F.upper(F.conv(made.cast("string"), 10, 36))))
+    tok = F.coalesce(given, made)
     ts = req.schema["CheckIn"].dataType
     df = _pack(
         changes,
@@ -715,8 +760,10 @@ def submit_requests(T_: Tables, changes: DataFrame, as_of):
     ]
     rules += _spec_rules(df, SPECS["reservation_request"], skip_size=["RequestToken"])
     rules += [r for r in _spec_rules(df, SPECS["customer"]) if "CustomerID" not in r[1]]
-    df = _present(df, req, "RequestToken", "RequestToken", "__dup")
-    rules.append((F.col("__dup").isNotNull(), DUPLICATE))
+    if "token" in changes.columns:
+        rules.append((F.coalesce(_token_number(F.col(f"{IN}.token")) >= GIVEN_TOP, F.lit(False)), "size: RequestToken"))
+        df = _present(df, _between(req, "RequestToken", changes, given), "RequestToken", "RequestToken", "__dup")
+        rules.append((F.col("__dup").isNotNull(), DUPLICATE))
     df = _judge(df, rules)
     if "token" in changes.columns:
         # tokens made from change_seq are unique; only given tokens can repeat
@@ -978,7 +1025,8 @@ def onboard_staff(T_: Tables, changes: DataFrame):
     hk = role == "Housekeeping"
     given = _opt(changes, "staff_id")
     key_t = staff.schema["StaffID"].dataType.simpleString()
-    staff_id = F.when(hk, new_id(staff, "StaffID", given, "HK")).otherwise(new_id(staff, "StaffID", given, "FD"))
+    own = changes if "staff_id" in changes.columns else None
+    staff_id = F.when(hk, new_id(staff, "StaffID", given, "HK", own)).otherwise(new_id(staff, "StaffID", given, "FD", own))
     feed = (
         changes.withColumn("__fname", fname)
         .withColumn("__lname", lname)
@@ -1002,6 +1050,7 @@ def onboard_staff(T_: Tables, changes: DataFrame):
         given_id="__staff_id",
         pre_rules=[
             (lname_missing, MISSING),
+            (too_far(staff, "StaffID", F.col(f"{IN}.staff_id") if "staff_id" in changes.columns else F.lit(None).cast(key_t), ("HK", "FD")), "size: StaffID"),
             (~F.coalesce(F.col("Shift").isin(*SPECS["frontdesk"].col("Shift").values), F.lit(False)), "enum: Shift"),
             (F.col("AssignedFloor").isNotNull() & ~F.col("AssignedFloor").between(0, 20), "range: AssignedFloor"),
         ],

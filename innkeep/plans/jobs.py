@@ -318,6 +318,41 @@ FROM numbered
 """)(lambda c: _second_requests(c)[0]["reservation_request"])
 
 
+def token_feed(T) -> DataFrame:
+    """The requests with a token in the form of made ones that leaves no room, a taken, an own or no token."""
+    n = F.col(SEQ)
+    taken = F.concat(F.lit("RQ-"), F.floor(n / 2) * 5)
+    token = F.when(n % 22 == 8, "AK-ZZZZZZZZZZZZ").when(n % 22 == 10, F.concat(F.lit("AK-ZZZZZZZZZZZZ"), n)).when(n % 22 == 12, taken)
+    return request_feed(T).withColumn("token", token.when(n % 22 == 14, F.concat(F.lit("G-"), F.floor(n / 44).cast("string"))))
+
+
+_TOKEN_SQL = _REQUEST_SQL.replace(
+    f"'AK-' || {_base36_sql('change_seq')} AS token",
+    f"""CASE change_seq % 22 WHEN 8 THEN 'AK-ZZZZZZZZZZZZ' WHEN 10 THEN 'AK-ZZZZZZZZZZZZ' || change_seq
+             WHEN 12 THEN 'RQ-' || (change_seq // 2 * 5) WHEN 14 THEN 'G-' || (change_seq // 44) END AS given,
+         COALESCE(given, 'AK-' || {_base36_sql('change_seq')}) AS token""",
+).replace("WHEN token IN (SELECT", "WHEN change_seq % 22 IN (8, 10) THEN 'size: RequestToken'\n              WHEN token IN (SELECT").replace(
+    "'duplicate key' END AS reason\n  FROM cleaned),", """'duplicate key' END AS reason0
+  FROM cleaned),
+once AS (
+  SELECT *, CASE WHEN reason0 IS NULL AND change_seq <> min(CASE WHEN reason0 IS NULL THEN change_seq END) OVER (PARTITION BY token)
+                 THEN 'duplicate key' ELSE reason0 END AS reason
+  FROM judged),"""
+).replace("FROM judged WHERE reason IS NULL", "FROM once WHERE reason IS NULL")
+
+
+register("given_token_requests", _TOKEN_SQL + f"""
+SELECT {_REQ_COLS} FROM hotel_reservation_request
+UNION ALL
+SELECT v.token, COALESCE(k.cid, m.cid), v.room_type, v.check_in, v.check_out, 'Pending', NULL, NULL, DATE '{AS_OF}'
+FROM valid v LEFT JOIN known k ON k.PhoneNumber = v.p LEFT JOIN made m ON m.p = v.p
+""")(lambda c: C.submit_requests(c.T, token_feed(c.T), AS_OF)[0]["reservation_request"])
+
+register("given_token_rejects", _TOKEN_SQL + """
+SELECT change_seq, fname, lname, phone, room_type, check_in, check_out, given AS token, reason FROM once WHERE reason IS NOT NULL
+""")(lambda c: C.submit_requests(c.T, token_feed(c.T), AS_OF)[1])
+
+
 # ===================================================== I10 + I11 request decisions
 
 def _token_key(col: str = "RequestToken"):
@@ -797,7 +832,12 @@ def customer_add_feed(T) -> DataFrame:
         (4 * k + 1).alias(SEQ), k.alias("customer_id"), F.lit("Dup").alias("fname"), F.lit("Row").alias("lname"),
         F.col("PhoneNumber").alias("phone"),
     )
-    return a.unionByName(b)
+    # ids that no made id could go on from
+    far = cu.where(k % 25 == 3).select(
+        (4 * k + 2).alias(SEQ), (F.lit(2**63 - 1) - k).alias("customer_id"), F.lit("Far").alias("fname"), F.lit("Away").alias("lname"),
+        F.col("PhoneNumber").alias("phone"),
+    )
+    return a.unionByName(b).unionByName(far)
 
 
 _CUSTOMER_ADD_SQL = f"""
@@ -806,7 +846,9 @@ WITH feed AS (
          CASE WHEN CustomerID % 30 = 0 THEN '' ELSE CustomerFName END AS fname, 'Copy' AS lname, PhoneNumber AS phone
   FROM hotel_customer
   UNION ALL
-  SELECT 4 * CustomerID + 1, CustomerID, 'Dup', 'Row', PhoneNumber FROM hotel_customer WHERE CustomerID % 20 = 0),
+  SELECT 4 * CustomerID + 1, CustomerID, 'Dup', 'Row', PhoneNumber FROM hotel_customer WHERE CustomerID % 20 = 0
+  UNION ALL
+  SELECT 4 * CustomerID + 2, 9223372036854775807 - CustomerID, 'Far', 'Away', PhoneNumber FROM hotel_customer WHERE CustomerID % 25 = 3),
 ided AS (
   SELECT feed.*, COALESCE(NULLIF(customer_id, 0), (SELECT max(CustomerID) FROM hotel_customer) + change_seq) AS new_id
   FROM feed),
@@ -817,6 +859,7 @@ judged AS (
               WHEN length(fname) > 20 THEN 'size: CustomerFName'
               WHEN length(lname) > 20 THEN 'size: CustomerLName'
               WHEN length(phone) > 10 THEN 'size: PhoneNumber'
+              WHEN customer_id >= {C.GIVEN_TOP} THEN 'size: CustomerID'
               WHEN new_id IN (SELECT CustomerID FROM hotel_customer) THEN 'duplicate key' END AS reason0
   FROM ided),
 final AS (

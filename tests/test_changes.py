@@ -346,3 +346,64 @@ def test_lookup_against_a_parent_with_a_repeated_key(spark):
     new, rej = C.book_stays(T, feed)
     assert rej.count() == 0
     assert new["reservation"].where("CustomerID = 'CU03'").count() == 1
+
+
+FAR = 2**63 - 1
+
+
+def test_an_extreme_id_is_refused_alone(spark):
+    """Numeric ids: the normal rows of the batch, and of the next one, get theirs."""
+    tables = {**make_tables(spark), "customer": spark.createDataFrame([(7, "A", "B", "1"), (FAR, "Old", "One", "2")], "CustomerID long, CustomerFName string, CustomerLName string, PhoneNumber string")}
+    feed = spark.createDataFrame([(1, FAR, "x", "y", "3"), (2, 10**15, "x", "y", "3"), (3, None, "x", "y", "4"), (4, 9, "x", "y", "5"), (10**15, None, "x", "y", "6")], "change_seq long, customer_id long, fname string, lname string, phone string")
+    for after in (9, 12):
+        new, rejects = C.add_customers(tables, feed)
+        got = {(r.change_seq, r.reason) for r in rejects.collect()}
+        assert got >= {(1, "size: CustomerID"), (2, "size: CustomerID"), (10**15, C.BAD_SEQ)} and len(got) == 3 + (after > 9)
+        tables = {**tables, **new}
+        assert after + 3 in {r.CustomerID for r in new["customer"].collect()}
+
+
+def test_an_extreme_text_id_is_refused_alone(spark):
+    long = "CU" + "9" * 38
+    tables = make_tables(spark, customer=[("CU7", "A", "B", "1"), (long, "Old", "One", "2")])
+    feed = spark.createDataFrame([(1, long + "9", "x", "y", "3"), (2, "CU1000000000000000", "x", "y", "3"), (3, None, "x", "y", "4"), (4, "CU007", "x", "y", "5"), (5, "Z1", "x", "y", "6")], "change_seq long, customer_id string, fname string, lname string, phone string")
+    new, rejects = C.add_customers(tables, feed)
+    assert {(r.change_seq, r.reason) for r in rejects.collect()} == {(1, "size: CustomerID"), (2, "size: CustomerID")}
+    assert {r.CustomerID for r in new["customer"].collect()} == {"CU7", long, "CU10", "CU007", "Z1"}
+
+
+def test_a_given_token_blocks_no_later_batch(spark):
+    feed = "change_seq long, fname string, lname string, phone string, room_type string, check_in string, check_out string, token string"
+    row = ("A", "B", "1", "S", "2024-01-01 10:00:00", "2024-01-02 10:00:00")
+    tables = make_tables(spark)
+    for batch in range(3):
+        changes = spark.createDataFrame([(1, *row, "AK-ZZZZZZZZZZZZ"), (2, *row, None), (3, *row, "AK-" + "Z" * 30), (4, *row, f"mine{batch}"), (5, *row, "AK-1Z")], feed)
+        new, rejects = C.submit_requests(tables, changes, "2024-01-01")
+        got = {(r.change_seq, r.reason) for r in rejects.collect()}
+        assert got == {(1, "size: RequestToken"), (3, "size: RequestToken")} | ({(5, "duplicate key")} if batch else set())
+        tables = {**tables, **new}
+    tokens = {r.RequestToken for r in tables["reservation_request"].collect()}
+    assert tokens == {"AK-1Z", "mine0", "mine1", "mine2", "AK-21", "AK-23", "AK-25"}
+
+
+def test_made_ids_are_not_looked_up_and_given_ones_only_in_their_range(spark, tmp_path):
+    rows = spark.range(0, 40000, 1, 8).selectExpr("id AS CustomerID", "'A' AS CustomerFName", "'B' AS CustomerLName", "'1' AS PhoneNumber")
+    rows.write.parquet(str(tmp_path / "customer"))
+    base = spark.read.parquet(str(tmp_path / "customer"))
+    tables = {**make_tables(spark), "customer": base}
+    made = spark.createDataFrame([(1, "x", "y", "3")], "change_seq long, fname string, lname string, phone string")
+    plan = C.append_validated(tables, "customer", made, {"CustomerFName": C.F.col("fname"), "CustomerLName": C.F.col("lname"), "PhoneNumber": C.F.col("phone")}, (), "customer_id")[2]
+    assert plan.count() == 0
+    given = spark.createDataFrame([(1, 17, "x", "y", "3"), (2, 41000, "x", "y", "3"), (3, 30000, "x", "y", "3")], "change_seq long, customer_id long, fname string, lname string, phone string")
+    assert {(r.change_seq, r.reason) for r in C.add_customers(tables, given)[1].collect()} == {(1, "duplicate key"), (3, "duplicate key")}
+    # the bounds reach the scan: row groups outside are not read
+    some = C._between(base, "CustomerID", spark.createDataFrame([(17,), (40,)], "id long"), C.F.col("id"))
+    assert {r.CustomerID for r in some.collect()} == set(range(17, 41))
+    assert scanned(some._jdf.queryExecution().executedPlan().finalPhysicalPlan()) < 40000 / 4
+
+
+def scanned(plan):
+    """Rows that the scans of a plan that has run gave out."""
+    rows = plan.metrics().get("numOutputRows").get().value() if plan.nodeName().startswith("Scan parquet") else 0
+    children = plan.children()
+    return rows + sum(scanned(children.apply(i)) for i in range(children.size()))
