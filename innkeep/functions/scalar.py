@@ -185,9 +185,16 @@ def normalise_token(token) -> Column:
     return F.upper(js_trim(token))
 
 
+COLLATION = "UNICODE_CI_AI"
+
+
 def contains_item(text, item: str) -> Column:
-    """Case-insensitive substring test (the SQL ``LIKE '%item%'`` of the model)."""
-    return F.lower(_c(text)).contains(item.lower())
+    """Substring test under the model's collation (its ``LIKE '%item%'``).
+
+    Upper and lower case, accents and their absence, and spellings such as ß and
+    ss are equal, as Spark's ``UNICODE_CI_AI`` compares text.
+    """
+    return F.contains(F.collate(_c(text), COLLATION), F.collate(F.lit(item), COLLATION))
 
 
 def status_rank(status, order: Iterable[str] = REQUEST_STATUSES) -> Column:

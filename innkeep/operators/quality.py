@@ -15,6 +15,7 @@ big child table is never shuffled against the parent row by row.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -166,6 +167,63 @@ def check_foreign_keys(T_: dict[str, DataFrame], spec: TableSpec) -> list[DataFr
     ]
 
 
+@dataclass(frozen=True)
+class Delta:
+    """What a batch did to one table: whole rows put in or replaced, and keys taken out."""
+
+    upserted: DataFrame | None = None
+    removed: DataFrame | None = None
+
+
+def _texts(df: DataFrame | None, column: str, name: str) -> DataFrame | None:
+    return None if df is None else df.select(F.col(column).cast("string").alias(name))
+
+
+def refresh_foreign_keys(previous: DataFrame, T_: dict[str, DataFrame], deltas: dict[str, Delta]) -> DataFrame:
+    """J5 from changes only: the violations after a batch, from those before it.
+
+    ``T_`` are the tables after the batch, ``deltas`` what it did to them.
+    Equals :func:`check_all` of the foreign-key rule, but reads
+
+    * the batch's rows and the parents' keys for values that came in;
+    * a child's key columns only where keys were taken out of its parent, joined
+      with those keys.
+
+    A violation ends where its row was replaced or taken out, or its parent came in.
+    """
+    frames = [previous]
+    ended = []  # keys of violations that end
+    for name, spec in SPECS.items():
+        if not spec.foreign_keys:
+            continue
+        delta = deltas.get(name, Delta())
+        touched = None
+        for part in (delta.upserted, delta.removed):
+            if part is not None:
+                keys = part.select(_key(spec).alias("row_key"))
+                touched = keys if touched is None else touched.unionAll(keys)
+        if touched is not None:
+            ended.append(touched.select(F.lit(name).alias("table_name"), "row_key").distinct())
+        if delta.upserted is not None:
+            frames += check_foreign_keys({**T_, name: delta.upserted}, spec)
+        for fk in spec.foreign_keys:
+            parent = deltas.get(fk.parent, Delta())
+            came = _texts(parent.upserted, fk.parent_column, "bad_value")
+            if came is not None:
+                ended.append(came.select(F.lit(name).alias("table_name"), F.lit(fk.column).alias("column_name"), "bad_value").distinct())
+            gone = _texts(parent.removed, SPECS[fk.parent].key[0], "bad_value")
+            if gone is not None:
+                gone = gone.distinct().join(_texts(T_[fk.parent], fk.parent_column, "bad_value"), "bad_value", "left_anti")
+                held = T_[name].select(_key(spec).alias("row_key"), F.col(fk.column).cast("string").alias("bad_value"))
+                left = held.join(gone, "bad_value", "left_semi")
+                if touched is not None:  # these rows have been checked whole
+                    left = left.join(touched, "row_key", "left_anti")
+                frames.append(left.select(F.lit(name).alias("table_name"), F.lit("foreign_key").alias("rule"), F.lit(fk.column).alias("column_name"), "row_key", "bad_value"))
+    for keys in ended:
+        frames[0] = frames[0].join(keys, keys.columns, "left_anti")
+    return _union([f.select(*VIOLATION_COLUMNS) for f in frames], previous.sparkSession)
+
+
 def check_table(df: DataFrame, spec: TableSpec) -> DataFrame:
     """All single-table rules (J1-J4, J6, J7) for one table."""
     frames = [check_unique(df, spec)]

@@ -333,7 +333,7 @@ def request_room_matches(T: Tables, ordered: bool = False) -> DataFrame:
 
 
 def customers_ordering(T: Tables, item: str, ordered: bool = False) -> DataFrame:
-    """C14: customers with an order whose text contains ``item`` (any case)."""
+    """C14: customers with an order whose text contains ``item`` (any case, with or without accents)."""
     # DISTINCT as in the model's subquery: a partial aggregate drops repeat
     # buyers before the shuffle, and the semi join reuses its partitioning
     buyers = T["restaurant_order"].where(contains_item("OrderDetails", item)).select("CustomerID").distinct()

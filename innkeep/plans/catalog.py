@@ -230,6 +230,29 @@ WITH asked AS (
 SELECT CustomerID, CustomerFName, CustomerLName FROM hotel_customer SEMI JOIN asked USING (CustomerID)
 """)(lambda c: views.customers_ordering(c.T, ITEM))
 
+# the same orders with accents, capitals, and ß for ss
+_MENU_SQL = """
+WITH menu AS (
+  SELECT CustomerID, CASE WHEN OrderID % 3 = 0 THEN replace(replace(OrderDetails, 'e', 'é'), 'i', 'ï')
+                          WHEN OrderID % 3 = 1 THEN upper(OrderDetails) ELSE OrderDetails END
+         || CASE WHEN OrderID % 50 = 7 THEN ' mit Eßbesteck' WHEN OrderID % 50 = 9 THEN ' MIT ESSBESTECK' ELSE '' END AS Details
+  FROM hotel_restaurant_order)
+"""
+
+
+def _menu(c: Context) -> dict[str, DataFrame]:
+    k, text = F.col("OrderID"), F.col("OrderDetails")
+    other = F.when(k % 3 == 0, F.translate(text, "ei", "éï")).when(k % 3 == 1, F.upper(text)).otherwise(text)
+    extra = F.when(k % 50 == 7, " mit Eßbesteck").when(k % 50 == 9, " MIT ESSBESTECK").otherwise("")
+    return {**c.T, "restaurant_order": c.T["restaurant_order"].withColumn("OrderDetails", F.concat(other, extra))}
+
+
+for _name, _item in (("accents", "rÉd wid"), ("sharp_s", "essBesteck")):
+    register(f"customers_ordering_{_name}", _MENU_SQL + f"""
+SELECT CustomerID, CustomerFName, CustomerLName FROM hotel_customer WHERE CustomerID IN (
+  SELECT CustomerID FROM menu WHERE contains(replace(strip_accents(lower(Details)), 'ß', 'ss'), replace(strip_accents(lower('{_item}')), 'ß', 'ss')))
+""")(lambda c, item=_item: views.customers_ordering(_menu(c), item))
+
 register("rooms_above_average", """
 SELECT RoomNo, RoomType, RoomRate FROM hotel_room
 WHERE RoomRate * (SELECT count(*) FROM hotel_room) > (SELECT sum(RoomRate) FROM hotel_room)
@@ -455,7 +478,7 @@ def _row_rule_sql(rule: str, only: dict[str, str] | None = None) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _fk_sql(only: dict[str, str] | None = None) -> str:
+def _fk_sql(only: dict[str, str] | None = None, parents: dict[str, str] | None = None) -> str:
     parts = []
     for spec in S.SPECS.values():
         if only is not None and spec.name not in only:
@@ -464,7 +487,7 @@ def _fk_sql(only: dict[str, str] | None = None) -> str:
         for fk in spec.foreign_keys:
             parts.append(
                 _v(spec.name, "foreign_key", fk.column, _key_sql(spec), f"c.{fk.column}", f"{src} c",
-                   f"c.{fk.column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM hotel_{fk.parent} p "
+                   f"c.{fk.column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {(parents or {}).get(fk.parent, f'hotel_{fk.parent}')} p "
                    f"WHERE p.{fk.parent_column} = c.{fk.column})")
             )
     return "\nUNION ALL\n".join(parts)
@@ -547,6 +570,78 @@ register("spoilt_stay_order", _SPOILT_SQL + _v("reservation", "stay_order", "Che
 )
 
 
+# amounts and hours wider than their columns: the DECIMAL side of J6
+
+_WIDE_SQL = """
+WITH wide_invoice AS (
+  SELECT InvoiceNo, CAST(CASE WHEN InvoiceNo % 30 = 1 THEN AmountPayable + 100000000 ELSE AmountPayable END AS DECIMAL(14,2)) AS AmountPayable,
+         CAST(CASE WHEN InvoiceNo % 30 = 2 THEN -100000000 - AmountPaid ELSE AmountPaid END AS DECIMAL(14,2)) AS AmountPaid
+  FROM hotel_invoice),
+wide_event AS (SELECT EventID, CAST(CASE WHEN EventID % 30 = 3 THEN EventDuration + 1000 ELSE EventDuration END AS DECIMAL(8,1)) AS EventDuration FROM hotel_event)
+"""
+
+
+def _wide(c: Context) -> DataFrame:
+    k, e = F.col("InvoiceNo"), F.col("EventID")
+    payable, paid, hours = F.col("AmountPayable"), F.col("AmountPaid"), F.col("EventDuration")
+    invoice = c.T["invoice"].withColumns({
+        "AmountPayable": F.when(k % 30 == 1, payable + 100000000).otherwise(payable).cast("decimal(14,2)"),
+        "AmountPaid": F.when(k % 30 == 2, -paid - 100000000).otherwise(paid).cast("decimal(14,2)"),
+    })
+    event = c.T["event"].withColumn("EventDuration", F.when(e % 30 == 3, hours + 1000).otherwise(hours).cast("decimal(8,1)"))
+    return quality.check_rows(invoice, S.SPECS["invoice"], ("size",)).unionByName(quality.check_rows(event, S.SPECS["event"], ("size",)))
+
+
+register("spoilt_size", _WIDE_SQL + "\nUNION ALL\n".join([
+    _v("invoice", "size", "AmountPayable", "InvoiceNo", "AmountPayable", "wide_invoice", "abs(AmountPayable) >= 100000000"),
+    _v("invoice", "size", "AmountPaid", "InvoiceNo", "AmountPaid", "wide_invoice", "abs(AmountPaid) >= 100000000"),
+    _v("event", "size", "EventDuration", "EventID", "EventDuration", "wide_event", "abs(EventDuration) >= 1000"),
+]))(_wide)
+
+
+# J5 from changes only: rooms taken out and put in, stays replaced; the oracle checks the tables after that in full
+
+_AFTER = {"room": "after_room", "reservation": "after_stay", "reservation_request": "hotel_reservation_request", "invoice": "hotel_invoice"}
+_AFTER_SQL = _SPOILT_SQL.rstrip() + """,
+after_room AS (
+  SELECT RoomNo, RoomType, RoomRate, RoomStatus, CASE WHEN RoomNo % 50 = 5 AND RoomNo % 4 = 1 THEN NULL ELSE HousekeeperID END AS HousekeeperID
+  FROM spoilt_room WHERE RoomNo % 37 <> 1
+  UNION ALL SELECT -1, 'Annex', 50, 'Vacant', NULL),
+after_stay AS (
+  SELECT ReservationID, CASE WHEN ReservationID % 40 = 7 THEN -9 ELSE RoomID END AS RoomID,
+         CASE WHEN ReservationID % 40 = 11 THEN -ReservationID - 1 ELSE CustomerID END AS CustomerID, StaffID, CheckIn, CheckOut
+  FROM spoilt_stay WHERE ReservationID % 41 <> 3)
+"""
+
+
+def _after_changes(c: Context) -> DataFrame:
+    before = _spoilt(c)
+    room, stay, r, v = before["room"], before["reservation"], F.col("RoomNo"), F.col("ReservationID")
+    annex = room.sparkSession.range(1).select(
+        F.lit(-1).cast("long").alias("RoomNo"), F.lit("Annex").alias("RoomType"), F.lit(50).cast("decimal(10,2)").alias("RoomRate"),
+        F.lit("Vacant").alias("RoomStatus"), F.lit(None).cast("long").alias("HousekeeperID"),
+    )
+    freed = room.where((r % 50 == 5) & (r % 4 == 1) & (r % 37 != 1)).withColumn("HousekeeperID", F.lit(None).cast("long"))
+    rooms_out = room.where(r % 37 == 1).select("RoomNo")
+    moved = stay.where(v % 40 == 7).withColumn("RoomID", F.lit(-9).cast("long")).unionByName(stay.where(v % 40 == 11).withColumn("CustomerID", -v - 1))
+    moved = moved.where(v % 41 != 3)
+    stays_out = stay.where(v % 41 == 3).select("ReservationID")
+    deltas = {"room": quality.Delta(freed.unionByName(annex), rooms_out), "reservation": quality.Delta(moved, stays_out)}
+    after = {**before}
+    for name, delta in deltas.items():
+        key = S.SPECS[name].key[0]
+        kept = before[name].join(delta.removed, key, "left_anti").join(delta.upserted.select(key), key, "left_anti")
+        after[name] = kept.unionByName(delta.upserted)
+    had = [f for t in _AFTER for f in quality.check_foreign_keys(before, S.SPECS[t])]
+    previous = had[0]
+    for f in had[1:]:
+        previous = previous.unionByName(f)
+    return quality.refresh_foreign_keys(previous, after, deltas)
+
+
+register("foreign_keys_after_changes", _AFTER_SQL + _fk_sql(_AFTER, _AFTER))(_after_changes)
+
+
 # --------------------------------------------------------------------- access
 
 

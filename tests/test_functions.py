@@ -153,3 +153,15 @@ def test_default_label_falsy_and_null_forms(spark):
     rows = df.select(H.default_label("s").alias("a"), H.default_label("f", falsy=False).alias("b"),
                      H.default_label("s", H.UNASSIGNED).alias("c")).collect()
     assert [(r.a, r.b, r.c) for r in rows] == [("—", "0", "Unassigned"), ("—", "—", "Unassigned"), ("Evening", "3", "Evening")]
+
+
+def test_contains_item_under_the_model_collation(spark):
+    texts = ["Jollof rice", "2x JÓLLOF", "jo\u0301llof", "yellow rice", "Eßbesteck", "ESSBESTECK", None, ""]
+    df = spark.createDataFrame([(x,) for x in texts], "d string")
+
+    def hits(item):
+        return [r.d for r in df.where(H.contains_item("d", item)).collect()]
+
+    assert hits("jollof") == hits("JÓLLOF") == texts[:3]
+    assert hits("essbe") == hits("Eßbe") == texts[4:6]
+    assert hits("ice") == [texts[0], texts[3]]

@@ -50,3 +50,70 @@ def test_summary_counts_per_rule(spark):
     )
     rows = [(r.table_name, r.rule, r.column_name, r.violations) for r in quality.summary(quality.check_all(T)).collect()]
     assert rows == [("room", "enum", "RoomStatus", 2)]
+
+
+def test_refreshed_foreign_keys_equal_the_full_check_after_random_batches(spark):
+    import random
+
+    from innkeep.sources.schema import SPECS
+
+    names = ("customer", "customer_feedback", "restaurant", "invoice", "restaurant_order")
+    rng = random.Random(11)
+    day = dt.date(2024, 1, 1)
+    rows = {n: {} for n in names}
+
+    def some_id(k=9):
+        return f"i{rng.randrange(k)}"
+
+    def new_row(table, key):
+        return {
+            "customer": lambda: (key, "A", "B", "1"),
+            "restaurant": lambda: (key, "R", 5),
+            "customer_feedback": lambda: (key, some_id(), 3, "ok", day),
+            "invoice": lambda: (key, None, some_id(), D("1.00"), D("0.00")),
+            "restaurant_order": lambda: (key, some_id(), some_id(), rng.choice([None, some_id()]), "x"),
+        }[table]()
+
+    def frame(table, values):
+        return spark.createDataFrame(list(values), SPECS[table].struct())
+
+    def checked():
+        tables = {n: frame(n, rows[n].values()) for n in names}
+        return {**make_tables(spark), **tables}
+
+    for n in names:
+        for k in range(6):
+            rows[n][f"i{k}"] = new_row(n, f"i{k}")
+    children = [n for n in names if SPECS[n].foreign_keys]
+    as_set = lambda df: sorted(map(tuple, df.collect()))
+
+    def full(tables):
+        return as_set(quality._union([f for n in children for f in quality.check_foreign_keys(tables, SPECS[n])], spark))
+
+    tables = checked()
+    previous = quality._union([f for n in children for f in quality.check_foreign_keys(tables, SPECS[n])], spark)
+    known = spark.createDataFrame(previous.collect(), previous.schema)
+    for _ in range(4):
+        deltas = {}
+        for n in rng.sample(names, 3):
+            out = rng.sample(sorted(rows[n]), min(2, len(rows[n])))
+            put = {k: new_row(n, k) for k in {some_id(12) for _ in range(2)} - set(out)}
+            key = SPECS[n].key[0]
+            deltas[n] = quality.Delta(frame(n, put.values()) if put else None, spark.createDataFrame([(k,) for k in out], f"{key} string"))
+            rows[n] = {k: r for k, r in rows[n].items() if k not in out} | put
+        tables = checked()
+        got = quality.refresh_foreign_keys(known, tables, deltas)
+        assert as_set(got) == full(tables)
+        known = spark.createDataFrame(got.collect(), previous.schema)
+
+
+def test_refresh_reads_children_only_where_parents_went(spark, tmp_path):
+    """A batch of new stays reads the stays' new rows and the parents, not the stays."""
+    T = make_tables(spark)
+    stays = [("RES1", "R1", "CU1", "FD1", t(2024, 1, 1), None)]
+    put = make_tables(spark, reservation=stays)["reservation"]
+    put.write.parquet(str(tmp_path / "reservation"))
+    after = {**T, "reservation": spark.read.parquet(str(tmp_path / "reservation"))}
+    got = quality.refresh_foreign_keys(quality._union([], spark), after, {"reservation": quality.Delta(put)})
+    assert {r.column_name for r in got.collect()} == {"RoomID", "CustomerID", "StaffID"}
+    assert got.inputFiles() == []
