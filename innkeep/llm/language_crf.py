@@ -7,9 +7,10 @@ of different languages follow one another, so words of code-switched texts get
 labels of their own.  Words are labelled by forward-backward posteriors; a
 document's language has the greatest mean posterior, which is its score.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE`` documents
-a language on average, chosen by a hash of the id, never more than twice that
-in total), everything else runs over all rows.  A document's chain is never
+The model is fitted, in one task, on a bounded sample of labelled rows
+(``SAMPLE`` documents a language on average, chosen by a hash of the id, never
+more than twice that in total, and of each a span of at most ``SPAN``
+characters, placed by a hash), everything else runs over all rows and whole texts.  A document's chain is never
 cut: blocks of ``BLOCK`` words are reduced to transfer matrices, whose products
 give exact messages at every block border.
 
@@ -20,6 +21,7 @@ aren't learned from.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import bytetext as bt
 
 SAMPLE = 120
+SPAN = 8192  # so the sample has at most 2 * SAMPLE * SPAN characters a language
 BUCKET_BITS = 18
 GRAMS = (2, 3, 4, 5)
 LEXICON_COUNT = 5  # a word of the lexicon occurs so often in the sample
@@ -269,7 +272,7 @@ def _label_words(model):
     return run
 
 
-def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, sample: int = SAMPLE) -> Model | None:
+def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, sample: int = SAMPLE, span: int = SPAN) -> Model | None:
     """Fit on a bounded sample of the rows outside the held-out fold (None without labelled rows)."""
     own = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     own = own.where("t is not null and l is not null").where(F.crc32(F.col("i").cast("binary")) % folds != held)
@@ -278,9 +281,18 @@ def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return None
     share = F.element_at(F.create_map(*[x for l, c in counts.items() for x in (F.lit(l), F.lit(min(1.0, sample / c)))]), F.col("l"))
     drawn = F.pmod(F.xxhash64("i", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)
-    rows = own.where(drawn).limit(2 * sample * len(counts)).select("i", "t", "l").collect()
-    rows.sort(key=lambda r: (r.i, r.t, r.l))
-    return fit([r.t for r in rows], [r.l for r in rows]) if rows else None
+    start = F.pmod(F.xxhash64("i", F.lit(11)), F.greatest(F.lit(1), F.char_length("t") - span + 1)).cast("int") + 1
+    rows = own.where(drawn).limit(2 * sample * len(counts)).select("i", F.substring("t", start, F.lit(span)).alias("t"), "l")
+    fitted = rows.coalesce(1).mapInArrow(_fitted, "model binary").collect()  # one row
+    return pickle.loads(fitted[0].model) if fitted else None
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole (bounded) sample in one task: the model fitted on it."""
+    rows = sorted((r["i"], r["t"], r["l"]) for batch in batches for r in batch.to_pylist())
+    if rows:
+        model = fit([t for _, t, _ in rows], [l for _, _, l in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def _identified(docs: DataFrame, first: list[Column], kinds: str, id_col: str, text_col: str, lang_col: str, folds: int, held: int, model: Model | None) -> DataFrame:
