@@ -151,8 +151,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = marked_lines(docs, root, id_col, text_col, num, den).where("removed").groupBy(F.col("row").alias("line_row")).agg(F.collect_list("line").alias("line_lost"))
     lost = cut(lost)
     remove(spark, root)
-    placed = docs.withColumn("line_row", F.monotonically_increasing_id()).join(lost, "line_row", "left")
-    lines = F.split(F.col(text_col), "\n")
+    placed = docs.select(F.struct(*docs.columns).alias("r"), F.monotonically_increasing_id().alias("line_row")).join(lost, "line_row", "left")
+    own = F.col("r").getField(text_col)
+    lines = F.split(own, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("line_lost"))
-    text = F.array_join(F.transform(kept, lambda i: lines[i]), "\n")
-    return placed.withColumn(text_col, F.when(F.col("line_lost").isNull(), F.col(text_col)).otherwise(text)).drop("line_row", "line_lost")
+    text = F.when(F.col("line_lost").isNull(), own).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
+    return placed.select(*[text.alias(c) if c == text_col else F.col("r").getField(c).alias(c) for c in docs.columns])

@@ -150,6 +150,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: st
     base, tests, index = _setup(docs, bench, n, id_col, text_col, item_col, root)
     hit = cut(phrase_hits(base, tests, index).select(F.col("did").alias("hit_did"), F.col("h").alias("hit_h")).distinct())
     remove(spark, root)
-    did = F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))
-    h = F.xxhash64(F.col(id_col).cast("long").isNull(), F.col(text_col).cast("string"))
-    return docs.join(checked(hit), (did == F.col("hit_did")) & (h == F.col("hit_h")), "left_anti")
+    i = docs[id_col].cast("long")
+    did, h = F.coalesce(i, F.lit(0).cast("long")), F.xxhash64(i.isNull(), docs[text_col].cast("string"))
+    rows = docs.select(F.struct(*docs.columns).alias("r"), did.alias("did"), h.alias("h"))
+    return rows.join(checked(hit.toDF("did", "h")), ["did", "h"], "left_anti").select("r.*")
