@@ -9,8 +9,9 @@ fewer undecided documents than constraints are left; the landing rounds those.
 
 The flight runs per block of a source (blocks by a hash of the row, about
 ``BLOCK`` documents each).  The one or two documents that a block leaves go on
-to blocks of the next level, until one block per source remains; its landing
-problem has at most two documents.  So no task ever holds a source.
+to blocks of the next level, until one block per source remains.  There the
+larger documents are decided first, and the landing problem has the source's
+smallest, about a dozen.  So no task ever holds a source.
 
 Edge cases: null, empty and blank texts have size 0; they count as documents
 in the balance but not in words.  A null source is a source of its own, last
@@ -89,6 +90,33 @@ def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def settle(p: np.ndarray, x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Decide all units of a source's last block, its words kept within about its smaller documents.
+
+    The largest eighth of the units flies; what stays undecided among them,
+    which no smaller unit could balance, is rounded, and the words it is off by
+    go to all smaller units: their probabilities move by one step.  So on with
+    the next eighth, until the smallest units are left for the landing.
+    """
+    order = np.lexsort((np.arange(len(x)), -x))
+    p, x = p[order].astype(float), x[order].astype(float)
+    i = 0
+    while len(p) - i > HELD + 2:
+        j = i + -(-(len(p) - i) // 8)
+        want = (p[i:] * x[i:]).sum()
+        p[i:j] = np.round(flight(p[i:j], x[i:j], seed + i))
+        want -= (p[i:j] * x[i:j]).sum()
+        low, high = -1.0, 1.0
+        for _ in range(50):
+            step = (low + high) / 2
+            low, high = (step, high) if (np.clip(p[j:] + step, 0, 1) * x[j:]).sum() < want else (low, step)
+        p[j:] = np.clip(p[j:] + high, 0, 1)
+        i = j
+    out = np.empty(len(p))
+    out[order] = landing(p, x)
+    return out
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bt.count_words(batch.column(batch.num_columns - 1)))], names=[*batch.schema.names[:-1], "size"])
@@ -125,11 +153,8 @@ def add_targets(per: DataFrame) -> DataFrame:
 def _decide(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "row"])
-        size = pdf["size"].to_numpy()
-        p = pdf["p"].to_numpy(copy=True)
-        held = min(len(p), HELD) if last else 0  # the landing problem stays small, and has choices
-        p[held:] = flight(p[held:], size[held:], int(pdf["h"].to_numpy().view(np.uint64).sum()))
-        pdf["p"] = landing(p, size) if last else p
+        seed = int(pdf["h"].to_numpy().view(np.uint64).sum())
+        pdf["p"] = (settle if last else flight)(pdf["p"].to_numpy(copy=True), pdf["size"].to_numpy(), seed)
         return pdf[["row", "src", "size", "p", "h", "salt"]]
 
     return run

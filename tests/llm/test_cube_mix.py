@@ -90,3 +90,26 @@ def test_odd_rows(odd_docs):
     rows = mixed_rows(odd_docs)
     assert rows.columns == odd_docs.columns
     assert rows.where("doc_id = 9").count() <= 3
+
+
+def test_settling_leaves_about_a_small_document():
+    """A few huge documents among small ones: words stay near, though a huge one is rounded."""
+    from innkeep.llm.cube_mix import settle
+
+    rng = np.random.default_rng(3)
+    for n, huge in ((400, 3), (60, 1), (13, 1), (5, 0), (1, 0), (0, 0)):
+        for seed in range(20):
+            x = np.concatenate([rng.integers(1, 200, n - huge), rng.integers(2000, 4000, huge)]).astype(float)
+            p = np.full(n, rng.uniform(0.2, 0.8))
+            got = settle(p, x, seed)
+            assert set(got) <= {0.0, 1.0}
+            if n >= 60:
+                assert abs((got * x).sum() - (p * x).sum()) <= np.median(x)
+
+
+def test_every_source_comes_within_a_median_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "sum", "target": "max", "size": "median"}).collect()
+    assert len(rows) > 5
+    for r in rows:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= max(1, r["median(size)"]), r
