@@ -208,7 +208,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``docs`` is read twice and must give the same rows in the same places (a table does).
     """
-    placed = docs.select(F.struct(*docs.columns).alias("r"), F.monotonically_increasing_id().alias("place"))
-    sized = placed.select("place", F.col("r").getField(id_col).alias("i"), F.col("r").getField(text_col).alias("t"), F.col("r").getField(source_col).alias("s"))
+    place = F.monotonically_increasing_id().alias("place")
+    sized = docs.select(place, docs[id_col].alias("i"), docs[text_col].alias("t"), docs[source_col].alias("s"))
     copies = mix(sized, "place", "t", "s", ["i", "t"]).where("copies > 0").select("place", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return placed.join(copies, "place").select("r.*")
+    return docs.select(F.struct(*docs.columns).alias("r"), place).join(copies, "place").select("r.*")

@@ -21,6 +21,7 @@ aren't learned from.
 
 from __future__ import annotations
 
+import multiprocessing
 import pickle
 from collections.abc import Iterator
 
@@ -287,12 +288,20 @@ def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return pickle.loads(fitted[0].model) if fitted else None
 
 
+def _dumped(texts: list[str], languages: list[str]) -> bytes:
+    return pickle.dumps(fit(texts, languages))
+
+
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole (bounded) sample in one task: the model fitted on it."""
+    """The whole (bounded) sample in one task: the model fitted on it, by a child process.
+
+    Workers go on to other tasks; what the fit allocates goes back when the child ends.
+    """
     rows = sorted((r["i"], r["t"], r["l"]) for batch in batches for r in batch.to_pylist())
     if rows:
-        model = fit([t for _, t, _ in rows], [l for _, _, l in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        with multiprocessing.get_context("fork").Pool(1) as child:
+            model = child.apply(_dumped, ([t for _, t, _ in rows], [l for _, _, l in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
 
 def _identified(docs: DataFrame, first: list[Column], kinds: str, id_col: str, text_col: str, lang_col: str, folds: int, held: int, model: Model | None) -> DataFrame:

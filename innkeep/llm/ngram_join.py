@@ -389,9 +389,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     ``docs`` is read twice and must give the same rows in the same places (a table does).
     """
-    placed = docs.select(F.struct(*docs.columns).alias("r"), F.monotonically_increasing_id().alias("place"))
-    groups = jaccard_components(placed.select("place", F.col("r").getField(text_col).alias("t")), "place", "t", words, num, den)
-    ids = placed.select("place", F.col("r").getField(id_col).alias("i"))
+    place = F.monotonically_increasing_id().alias("place")
+    groups = jaccard_components(docs.select(place, docs[text_col].alias("t")), "place", "t", words, num, den)
+    ids = docs.select(place, docs[id_col].alias("i"))
     first = groups.join(ids, "place").groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull(), "i", "place")).alias("m"))
     kept = first.select(F.col("m.place").alias("place"))
-    return placed.join(kept, "place", "left_semi").select("r.*")
+    return docs.select(F.struct(*docs.columns).alias("r"), place).join(kept, "place", "left_semi").select("r.*")
