@@ -58,11 +58,17 @@ def checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows and bytes of an Arrow batch: the JVM, the socket and the worker hold some copies of one per running task.
+ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package's Python files (once per application)."""
+    """Keep the session's Arrow batches small, and give the executors this package's Python files (once per application)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
