@@ -343,6 +343,15 @@ def new_id(existing: DataFrame, key: str, given: Column, prefix: str = "", batch
     return F.coalesce(given, F.concat(F.lit(prefix), made.cast("string")) if text else made.try_cast(dtype))
 
 
+def _largest_id(existing: DataFrame, key: str, prefix: str = "") -> Column:
+    """The largest id in use in the form of made ones: what a change numbered 0 would be given again."""
+    if not isinstance(existing.schema[key].dataType, T.StringType):
+        return existing.where(F.col(key) < NUMBER_TOP).agg(F.max(key)).scalar()
+    n = _number_after(prefix, F.col(key))
+    top = existing.where((n < NUMBER_TOP) & (F.col(key) == F.concat(F.lit(prefix), n.cast("string")))).agg(F.max(n)).scalar()
+    return F.concat(F.lit(prefix), top.cast("string"))
+
+
 # ------------------------------------------------------- generic insert
 
 
@@ -394,8 +403,11 @@ def append_validated(
     rules += _spec_rules(df, spec, skip_size=[key] if generated else [])
     if any_given and not given_id.startswith("__"):
         rules.append((too_far(base, key, F.col(f"{IN}.{given_id}"), [prefix]), f"size: {key}"))
+    if generated and not given_id.startswith("__"):
+        own = _given(base, key, F.col(f"{IN}.{given_id}")).isNull() if any_given else F.lit(True)
+        rules.append((own & (F.col("__seq") == 0) & (F.col(key) == _largest_id(base, key, prefix)), DUPLICATE))
     if any_given or not generated:
-        # made ids are above all ids in use: only given ones are looked up, in the part of the table between them
+        # all other made ids are above those in use: only given ones are looked up, in the part of the table between them
         df = _present(df, _between(base, key, changes, given) if any_given else base, key, key, "__dup")
         rules.append((F.col("__dup").isNotNull(), DUPLICATE))
     df, fk = _fk_rules(df, T_, spec)
@@ -760,6 +772,10 @@ def submit_requests(T_: Tables, changes: DataFrame, as_of):
     ]
     rules += _spec_rules(df, SPECS["reservation_request"], skip_size=["RequestToken"])
     rules += [r for r in _spec_rules(df, SPECS["customer"]) if "CustomerID" not in r[1]]
+    number = _token_number(F.col("RequestToken"))
+    made_form = F.concat(F.lit(TOKEN_PREFIX), F.upper(F.conv(number.cast("string"), 10, 36)))
+    largest = req.where((number < NUMBER_TOP) & (F.col("RequestToken") == made_form)).agg(F.max(F.struct(number.alias("n"), F.col("RequestToken").alias("t"))).alias("m")).select("m.t").scalar()
+    rules.append(((F.col("__seq") == 0) & (F.col("RequestToken") == largest), DUPLICATE))
     if "token" in changes.columns:
         rules.append((F.coalesce(_token_number(F.col(f"{IN}.token")) >= GIVEN_TOP, F.lit(False)), "size: RequestToken"))
         df = _present(df, _between(req, "RequestToken", changes, given), "RequestToken", "RequestToken", "__dup")

@@ -402,6 +402,21 @@ def test_made_ids_are_not_looked_up_and_given_ones_only_in_their_range(spark, tm
     assert scanned(some._jdf.queryExecution().executedPlan().finalPhysicalPlan()) < 40000 / 4
 
 
+def test_a_change_numbered_zero_gets_no_id_in_use(spark):
+    feed = spark.createDataFrame([(0, "x", "y", "3"), (2, "x", "y", "4")], "change_seq long, fname string, lname string, phone string")
+    for first, want in (("CU7", {"CU7", "CU9"}), ("CU007", {"CU007", "CU7", "CU9"})):
+        new, rejects = C.add_customers(make_tables(spark, customer=[(first, "A", "B", "1")]), feed)
+        assert {r.CustomerID for r in new["customer"].collect()} == want
+        assert [r.reason for r in rejects.collect()] == ["duplicate key"] * (3 - len(want))
+    row = ("A", "B", "1", "S", "2024-01-01 10:00:00", "2024-01-02 10:00:00")
+    requests = spark.createDataFrame([(0, *row), (3, *row)], "change_seq long, fname string, lname string, phone string, room_type string, check_in string, check_out string")
+    tables = make_tables(spark)
+    for tokens, refused in (({"AK-0", "AK-3"}, 0), ({"AK-0", "AK-3", "AK-6"}, 1)):
+        new, rejects = C.submit_requests(tables, requests, "2024-01-01")
+        tables = {**tables, **new}
+        assert {r.RequestToken for r in new["reservation_request"].collect()} == tokens and rejects.count() == refused
+
+
 def scanned(plan):
     """Rows that the scans of a plan that has run gave out."""
     rows = plan.metrics().get("numOutputRows").get().value() if plan.nodeName().startswith("Scan parquet") else 0
