@@ -13,12 +13,14 @@ gives a k-th score, then every ring whose bound reaches that score.  All other
 rings are proven to hold nothing.  Rings and query lists are cut into blocks
 of bounded size, so a ring that holds a third of all rows is many tasks.
 
-Components are floor(scale * x), scores are integers and exact (sums below
-2**53); ties go to the smaller id.
+Components are floor(scale * x), scores are integers and exact: vectors with a
+component above sqrt(2**52 / length) (of 64 components: about 131,000 before
+scaling), whose scores could be inexact, take no part.  Ties go to the smaller id.
 
 Edge cases: vectors that are null, hold null or non-finite components, or have
 another length than most take no part; neither do rows without an id; repeated
-rows are candidates of their own (a query leaves out rows with its own id);
+rows are candidates of their own (a query leaves out rows with its own id), and
+rows of one id with different vectors are queries of their own;
 fewer than k candidates are all returned; an empty table gives an empty table.
 """
 
@@ -37,6 +39,7 @@ PIVOTS = 32
 PIVOT_SAMPLE = 4096  # vectors, on average, that the pivots are chosen from
 RINGS = 8
 BLOCK = 4096  # vectors of a ring, and queries, per task group
+EXACT = 1 << 52  # scores are below this
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -44,7 +47,9 @@ def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataF
     x = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where("id is not null and x is not null and size(x) > 0")
     rows = rows.where(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
-    return rows.select("id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    rows = rows.select("id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"), F.sqrt(F.lit(float(EXACT)) / F.size("x")).alias("most"))
+    # products of larger components would not be exact
+    return rows.where(F.forall("v", lambda c: F.abs(c.cast("double")) <= F.col("most"))).select("id", F.col("v").cast("array<long>").alias("v"))
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -110,7 +115,8 @@ def _bounds(pivots, rings):
                 need = np.take_along_axis(before, first, 1) < r["k"] + 1
                 kind = pa.list_(pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(list(top), kind), pa.array(list(need), pa.list_(pa.bool_()))], names=["query_id", "q", "top", "need"]
+                    [part.column(2), part.column(0), part.column(1), pa.array(list(top), kind), pa.array(list(need), pa.list_(pa.bool_()))],
+                    names=["asked", "query_id", "q", "top", "need"],
                 )
 
     return run
@@ -120,7 +126,7 @@ def _best(k: int):
     """Top k per query within one block of a ring and one block of queries."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"asked": [], "query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             x = np.stack(right["v"].to_numpy()).astype(np.float64)
             ids = right["id"].to_numpy(np.int64)
@@ -129,13 +135,14 @@ def _best(k: int):
             for i in range(0, len(left), 256):
                 part = left.iloc[i : i + 256]
                 scores = np.stack(part["q"].to_numpy()).astype(np.float64) @ x.T
-                for qid, floor, s in zip(part["query_id"], part["floor"], scores):
+                for asked, qid, floor, s in zip(part["asked"], part["query_id"], part["floor"], scores):
                     s = np.where(ids == qid, -np.inf, s)
                     m = min(k, len(s))
                     low = np.partition(s, len(s) - m)[len(s) - m]
                     hit = np.flatnonzero(s >= max(low, floor))
                     hit = hit[np.isfinite(s[hit])]
                     hit = hit[np.argsort(-s[hit], kind="stable")][:k]  # ids ascend among equals
+                    out["asked"].append(np.full(len(hit), asked))
                     out["query_id"].append(np.full(len(hit), qid))
                     out["vec_id"].append(ids[hit])
                     out["score"].append(s[hit].astype(np.int64))
@@ -174,25 +181,26 @@ def top_k(
     )
     index = index.join(F.broadcast(places), "ring").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "v", "place", "block")
     asked = queries.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    wanted = rows.join(asked, "id", "left_semi").dropDuplicates(["id", "v"])
-    bounds = cut(wanted.mapInArrow(_bounds(p, sc.broadcast(facts)), "query_id long, q array<long>, top array<double>, need array<boolean>"))
+    # rows of one id with different vectors are queries of their own
+    wanted = rows.join(asked, "id", "left_semi").dropDuplicates(["id", "v"]).withColumn("asked", F.monotonically_increasing_id())
+    bounds = cut(wanted.mapInArrow(_bounds(p, sc.broadcast(facts)), "asked long, query_id long, q array<long>, top array<double>, need array<boolean>"))
     n_queries = bounds.count()
 
     def search(visits: DataFrame) -> DataFrame:
-        """Each query's best within the rings it visits: ``visits(query_id, q, floor, place)``."""
+        """Each query's best within the rings it visits: ``visits(asked, query_id, q, floor, place)``."""
         groups = max(1, -(-n_queries // BLOCK))
         visits = visits.join(F.broadcast(places.select("place", "blocks")), "place").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-        visits = visits.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).drop("blocks")
+        visits = visits.withColumn("part", F.pmod(F.xxhash64("asked"), F.lit(groups)).cast("int")).drop("blocks")
         data = index.withColumn("part", F.explode(F.expr(f"sequence(0, {groups - 1})")))
         keys = ["place", "block", "part"]
-        return visits.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(_best(k), "query_id long, vec_id long, score long")
+        return visits.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(_best(k), "asked long, query_id long, vec_id long, score long")
 
-    each = bounds.select("query_id", "q", F.posexplode(F.arrays_zip("top", "need")).alias("place", "x"))
+    each = bounds.select("asked", "query_id", "q", F.posexplode(F.arrays_zip("top", "need")).alias("place", "x"))
     low = float(-(2**62))
-    near = cut(search(each.where("x.need").select("query_id", "q", F.lit(low).alias("floor"), "place")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = near.withColumn("r", F.row_number().over(order)).where(f"r = {k}").select("query_id", F.col("score").cast("double").alias("kth"))
-    rest = each.join(kth, "query_id", "left").withColumn("floor", F.coalesce("kth", F.lit(low)))
-    far = search(rest.where("not x.need and x.top >= floor").select("query_id", "q", "floor", "place"))
+    near = cut(search(each.where("x.need").select("asked", "query_id", "q", F.lit(low).alias("floor"), "place")))
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    kth = near.withColumn("r", F.row_number().over(order)).where(f"r = {k}").select("asked", F.col("score").cast("double").alias("kth"))
+    rest = each.join(kth, "asked", "left").withColumn("floor", F.coalesce("kth", F.lit(low)))
+    far = search(rest.where("not x.need and x.top >= floor").select("asked", "query_id", "q", "floor", "place"))
     best = near.unionAll(far).withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -47,3 +47,10 @@ def test_odd_rows(spark):
 def test_pivots_differ():
     same = np.array([[1.0, 2.0]] * 5 + [[3.0, 4.0]])
     assert len(choose_pivots(same, 4)) == 2
+
+
+def test_repeated_ids_are_queries_of_their_own_and_huge_components_take_no_part(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.0, 5.0]), (2, [5.0, 0.0]), (3, [1e15, 0.0]), (4, [3e38, -3e38]), (40, [1e9, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in top_k(df, df.where("vec_id % 20 = 0"), k=1).collect())
+    assert got == [(20, 1, 1, 64 * 5 * 64), (20, 1, 2, 64 * 5 * 64)]
