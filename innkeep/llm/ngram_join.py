@@ -97,6 +97,9 @@ def set_keys(s: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [both[i : i + 16] for i in range(0, len(both), 16)]
 
 
+DRAWS = 6  # rounds of drawn leaders at most; pairs left over are found one by one
+DRAW_PAYS = 20  # another round, if one set in so many was linked
+
 SIGNS = ["s0", "s1", "s2", "s3"]
 
 
@@ -319,7 +322,7 @@ def jaccard_components(
         remove(spark, f"{root}/{name}-sets")
         return out
 
-    # 3. leaders, in two rounds; what links to one is joined for a cost linear in the postings.
+    # 3. leaders, in a few rounds; what links to one is joined for a cost linear in the postings.
     # First every set and the set with the fewest tokens of its own in its lists (by size class) ...
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).alias("band")
     banded = posts.select("token", "node", "n", "pos", "first", band)
@@ -334,21 +337,27 @@ def jaccard_components(
     first_links = links(first_pairs, "leader")
     groups = cut(components(first_links).toDF("node", "comp"))
 
-    # ... then every set and, in each list that holds several components, one drawn for the list
+    # ... then every set and, in each list that holds several components, one drawn for the list, now and again
     def still_open(groups: DataFrame) -> DataFrame:
         now = posts.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
         return now.join(mixed, "token")
 
-    now = written(still_open(groups), f"{root}/between")
-    drawn = now.groupBy("token", band).agg(F.min(F.struct(F.xxhash64("node", "token").alias("h"), "node", "n", "comp")).alias("lead"))
-    drawn_pairs = (
-        now.withColumn("band", band).join(drawn, ["token", "band"])
-        .where(f"comp != lead.comp and {den} * least(n, lead.n) >= {num} * greatest(n, lead.n)")
-        .select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
-    )
-    first_links = first_links.unionAll(links(drawn_pairs, "drawn"))
-    groups = cut(components(first_links).toDF("node", "comp"))
+    for draw in range(DRAWS):
+        now = written(still_open(groups), f"{root}/between{draw}")
+        place = F.xxhash64("node", "token", F.lit(draw)).alias("h")
+        drawn = now.groupBy("token", band).agg(F.min(F.struct(place, "node", "n", "comp")).alias("lead"))
+        drawn_pairs = (
+            now.withColumn("band", band).join(drawn, ["token", "band"])
+            .where(f"comp != lead.comp and {den} * least(n, lead.n) >= {num} * greatest(n, lead.n)")
+            .select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
+        )
+        found = links(drawn_pairs, f"drawn{draw}")
+        first_links = first_links.unionAll(found)
+        groups = cut(components(first_links).toDF("node", "comp"))
+        # again where it pays: large groups of near copies hang together after a few draws
+        if DRAW_PAYS * found.count() < now.select("node").distinct().count():
+            break
 
     # 4. pairs between components, from lists that still hold more than one
     signs = reps.select("node", *SIGNS)
