@@ -11,11 +11,16 @@ operations only:
    (any order is exact, this one makes short lists);
 2. each line's words are put into that order; equal sets meet in one class,
    whose first line is its representative;
-3. the first words of every set are posted: sets join on a posted word when
+3. the first words of every set are posted; two sets meet at a posted word when
    sizes and the position of the word leave room for the needed overlap
    (prefix, length and positional filters) and the 64-bit parity signatures of
-   the sets don't differ in more places than the sets may in words;
-4. candidates are verified on their whole sets, read from the texts again.
+   the sets don't differ in more places than the sets may in words.  As one
+   earlier match is enough, lists of frequent words (``LIST_CLASS``) first give
+   each line one candidate: the earliest line of its size in a list of its own.
+   Lines whose match is verified are done; this repeats while it pays, so a
+   template's lines are compared with a few of them, not with each other;
+4. lines still open join with all earlier lines, removed ones included, in all
+   lists; candidates are verified on their whole sets, read from the texts again.
 
 Edge cases: lines without words are never removed and match nothing; null text
 has no lines; null ids come first; rows equal in id and text are one after the
@@ -31,6 +36,9 @@ from .storage import checked, cut, new_path, remove, written
 
 BUCKET_BITS = 20
 CLASS_BITS = 8
+LIST_CLASS = 6  # words in 8 lines or more
+ROUNDS = 6
+ROUND_PAYS = 20  # another round if this one has settled a twentieth of the lines left
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -85,6 +93,7 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     ``row`` numbers the rows of ``docs`` by place: it is read more than once and
     must give the same rows in the same places (a table does).
     """
+    spark = docs.sparkSession
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     classes = written(frequency_classes(base.select("text")), f"{root}/frequencies")
     each = base.select("row", "id", _odd(F.col("text")).alias("odd"), F.posexplode_outer(F.split(_low(F.col("text")), "\n")).alias("line", "s"))
@@ -94,40 +103,73 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     n = F.coalesce(F.size("t"), F.lit(0))
     probe = F.expr(f"n - ceil({num} * n / {den}) + 1").cast("int")
     lines = sets.withColumn("n", n).select(
-        "row", "id", "line", "chars", "n", F.xxhash64("t").alias("k"), _parity(F.col("t")).alias("bits"), F.slice("t", F.lit(1), F.greatest(probe, F.lit(0))).alias("prefix")
+        "row", "id", "line", "chars", "n", F.xxhash64("t").alias("k"), F.xxhash64(F.lit(1), "t").alias("k2"), _parity(F.col("t")).alias("bits"), F.slice("t", F.lit(1), F.greatest(probe, F.lit(0))).alias("prefix")
     )
     lines = written(lines, f"{root}/lines")
 
-    # equal sets meet in one class, named by the hash; its first line stands for it
+    # equal sets meet in one class, named by 128 bits of hash; its first line stands for it
     place = F.struct(F.coalesce("id", F.lit(-(1 << 63)).cast("long")).alias("id"), "line", "row")
-    firsts = written(lines.where("n > 0").groupBy("k").agg(F.min(place).alias("f")), f"{root}/firsts")
-    reps = lines.where("n > 0").join(firsts, "k").where("row = f.row and line = f.line")
-    posts = reps.select("k", "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
-    x = posts.select("tok", *[F.col(c).alias(f"{c}_x") for c in ("k", "n", "bits", "pos")])
-    y = posts.select("tok", *[F.col(c).alias(f"{c}_y") for c in ("k", "n", "bits", "pos")])
-    overlap = f"ceil({num} * (n_x + n_y) / {num + den})"
-    met = x.join(y, "tok").where(
-        f"{den} * n_y >= {num} * n_x and (n_x > n_y or (n_x = n_y and k_x > k_y))"
-        f" and pos_y <= n_y - ceil({2 * num} * n_y / {num + den})"
-        f" and least(n_x - pos_x, n_y - pos_y) + least(pos_x, pos_y) >= {overlap}"
-        f" and bit_count(bits_x ^ bits_y) <= n_x + n_y - 2 * {overlap}"
+    firsts = written(lines.where("n > 0").groupBy("k", "k2").agg(F.min(place).alias("at")), f"{root}/firsts")
+    reps = lines.where("n > 0").join(firsts, ["k", "k2"]).where("row = at.row and line = at.line")
+    # a word of class 0 is in one line only
+    reps = written(reps.select("at", "n", "bits", F.filter("prefix", lambda t: t >= 1 << (63 - CLASS_BITS)).alias("rare"), F.size("prefix").alias("m")), f"{root}/reps")
+
+    each_line = each.where("s is not null").select("row", "line", "s", "odd")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The later lines ``at`` of the pairs ``at, to`` that link, by their whole sets, read from the texts again."""
+        pairs = written(pairs, f"{root}/{name}-pairs")
+        wanted = pairs.select("at.row", "at.line").unionAll(pairs.select("to.row", "to.line")).distinct()
+        wanted = written(wanted, f"{root}/{name}-wanted")
+        whole = each_line.join(checked(wanted), ["row", "line"]).select("row", "line", _hashes(F.col("s"), F.col("odd")).alias("t"))
+        whole = written(whole, f"{root}/{name}-sets")
+        x = whole.select(F.col("row").alias("row_x"), F.col("line").alias("line_x"), F.col("t").alias("tx"))
+        y = whole.select(F.col("row").alias("row_y"), F.col("line").alias("line_y"), F.col("t").alias("ty"))
+        keys = pairs.select("at", *[F.col(f"{c}.{k}").alias(f"{k}_{v}") for c, v in (("at", "x"), ("to", "y")) for k in ("row", "line")])
+        both = keys.join(x, ["row_x", "line_x"]).join(y, ["row_y", "line_y"])
+        common = F.size(F.array_intersect("tx", "ty"))
+        links = both.where(den * common >= num * (F.size("tx") + F.size("ty") - common))
+        links = written(links.select("at").distinct(), f"{root}/{name}-removed")
+        remove(spark, f"{root}/{name}-sets")
+        return links
+
+    overlap = f"ceil({num} * (n + n_y) / {num + den})"
+    #: the filters of a pair: sizes, places of the shared word, parities
+    near = (
+        f"{den} * least(n, n_y) >= {num} * greatest(n, n_y) and least(n - pos, n_y - pos_y) + least(pos, pos_y) >= {overlap}"
+        f" and bit_count(bits ^ bits_y) <= n + n_y - 2 * {overlap}"
     )
-    pairs = written(met.select(F.col("k_x").alias("a"), F.col("k_y").alias("b")).distinct(), f"{root}/pairs")
-
-    # whole sets of the candidates' first lines, read from the texts again
-    wanted = pairs.select(F.col("a").alias("k")).unionAll(pairs.select(F.col("b").alias("k"))).distinct()
-    at = written(firsts.join(wanted, "k").select("k", F.col("f.row").alias("row"), F.col("f.line").alias("line")), f"{root}/wanted")
-    lines_of = each.where("s is not null").select("row", "line", "s", "odd")
-    whole = lines_of.join(checked(at), ["row", "line"]).select("k", _hashes(F.col("s"), F.col("odd")).alias("t"))
-    whole = written(whole, f"{root}/sets")
-    both = pairs.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    links = both.where(den * common >= num * (F.size("ta") + F.size("tb") - common)).select("a", "b")
-    order = firsts.select(F.col("k").alias("a"), F.col("f").alias("fa")), firsts.select(F.col("k").alias("b"), F.col("f").alias("fb"))
-    later = links.join(order[0], "a").join(order[1], "b").select(F.expr("if(fa > fb, a, b)").alias("k")).distinct()
-    gone = written(later, f"{root}/removed").withColumn("gone", F.lit(True))
-    out = lines.select("row", "id", "line", "chars", "n", "k").join(firsts, "k", "left").join(gone, "k", "left")
-    removed = F.expr("n > 0 and (coalesce(gone, false) or row != f.row or line != f.line)")
+
+    def posts(of: DataFrame) -> DataFrame:
+        return of.select("at", "n", "bits", F.posexplode("rare").alias("pos", "tok"), (F.col("m") - F.size("rare")).alias("skip")).withColumn("pos", F.expr("pos + skip")).drop("skip")
+
+    # 3. leaders of long lists, in rounds: a list's earliest open line is compared with its other ones, one candidate a line
+    gone, still = None, reps
+    hot = F.col("tok") >= (LIST_CLASS << (63 - CLASS_BITS))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).alias("band")
+    for r in range(ROUNDS):
+        here = posts(still).where(hot).withColumn("band", band)
+        lead = here.groupBy("tok", "band").agg(F.min(F.struct("at", "n", "bits", "pos")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+        lead = lead.select("tok", "band", F.col("lead.at").alias("to"), *[F.col(f"lead.{c}").alias(f"{c}_y") for c in ("n", "bits", "pos")])
+        met = here.join(lead, ["tok", "band"]).where(f"at > to and {near}")
+        found = verified(met.groupBy("at").agg(F.min("to").alias("to")), f"round{r}")
+        gone = found if gone is None else gone.unionAll(found)
+        still = written(still.join(found, "at", "left_anti"), f"{root}/open{r}")
+        if r:
+            remove(spark, f"{root}/open{r - 1}")
+        if ROUND_PAYS * found.count() < still.count():
+            break
+
+    # 4. lines still open with all earlier ones
+    x = posts(still)
+    y = posts(reps).select("tok", F.col("at").alias("to"), *[F.col(c).alias(f"{c}_y") for c in ("n", "bits", "pos")])
+    shorter = f"if(n >= n_y, pos_y <= n_y - ceil({2 * num} * n_y / {num + den}), pos <= n - ceil({2 * num} * n / {num + den}))"
+    met = x.join(y, "tok").where(f"at > to and {shorter} and {near}")
+    gone = gone.unionAll(verified(met.select("at", "to").distinct(), "rest"))
+
+    names = firsts.join(gone.withColumn("gone", F.lit(True)), "at", "left")
+    out = lines.select("row", "id", "line", "chars", "n", "k", "k2").join(names, ["k", "k2"], "left")
+    removed = F.expr("n > 0 and (coalesce(gone, false) or row != at.row or line != at.line)")
     return out.select("row", "id", "line", "chars", F.coalesce(removed, F.lit(False)).alias("removed"))
 
 

@@ -1,5 +1,8 @@
 import collections
 
+from pyspark.sql import functions as F
+
+from innkeep.llm import line_join
 from innkeep.llm.line_join import dedup_lines, line_counts
 
 LOW = -(1 << 63)
@@ -54,3 +57,30 @@ def test_odd_rows_and_families(spark, odd_docs):
     df = odd_docs.unionByName(spark.createDataFrame(rows, odd_docs.schema))
     assert check(df) > 20
     assert line_counts(df.limit(0)).collect() == []
+
+
+def test_lines_of_one_template_are_compared_with_a_few(spark, monkeypatch):
+    """A common word list with one changing word: as many candidates as lines, not their square."""
+    sizes = {}
+
+    def noted(df, path):
+        out = written(df, path)
+        if path.endswith("-pairs"):
+            sizes[path.rsplit("/", 1)[1]] = out.count()
+        return out
+
+    written = line_join.written
+    monkeypatch.setattr(line_join, "written", noted)
+    words = "the quick brown fox jumps over a lazy dog by noon"
+    rows = [(i, "\n".join(f"{words} id{10 * i + j}" for j in range(10))) for i in range(200)]
+    out = line_counts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert out.agg(F.sum("n_lines"), F.sum("n_removed")).first() == (2000, 1999)
+    assert sum(sizes.values()) <= 2 * 2000
+
+
+def test_removed_lines_still_match_later_ones(spark):
+    """A chain: each line matches the one before it, the ends don't match each other."""
+    words = [f"c{i}" for i in range(60)]
+    rows = [(k, " ".join(words[k : k + 20])) for k in range(0, 40)]
+    df = spark.createDataFrame(rows * 12 + [(100 + k, t) for k, t in rows], "doc_id long, text string")
+    assert check(df) == 40 * 13 - 1
