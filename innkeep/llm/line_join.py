@@ -16,9 +16,10 @@ operations only:
    (prefix, length and positional filters) and the 64-bit parity signatures of
    the sets don't differ in more places than the sets may in words.  As one
    earlier match is enough, lists of frequent words (``LIST_CLASS``) first give
-   each line one candidate: the earliest line of its size in a list of its own.
-   Lines whose match is verified are done; this repeats while it pays, so a
-   template's lines are compared with a few of them, not with each other;
+   each line one candidate: one line, first by place, then drawn, for each size
+   of each list.  The later line of a verified pair is done; this repeats while
+   it pays, so a template's lines are compared with a few of them, not with
+   each other;
 4. lines still open join with all earlier lines, removed ones included, in all
    lists; candidates are verified on their whole sets, read from the texts again.
 
@@ -36,7 +37,7 @@ from .storage import checked, cut, new_path, remove, written
 
 BUCKET_BITS = 20
 CLASS_BITS = 8
-LIST_CLASS = 6  # words in 8 lines or more
+LIST_CLASS = 10  # words in 32 lines or more
 ROUNDS = 6
 ROUND_PAYS = 20  # another round if this one has settled a twentieth of the lines left
 SPACE = r"[\x20\x09-\x0D]+"
@@ -103,7 +104,7 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     n = F.coalesce(F.size("t"), F.lit(0))
     probe = F.expr(f"n - ceil({num} * n / {den}) + 1").cast("int")
     lines = sets.withColumn("n", n).select(
-        "row", "id", "line", "chars", "n", F.xxhash64("t").alias("k"), F.xxhash64(F.lit(1), "t").alias("k2"), _parity(F.col("t")).alias("bits"), F.slice("t", F.lit(1), F.greatest(probe, F.lit(0))).alias("prefix")
+        F.monotonically_increasing_id().alias("node"), "row", "id", "line", "chars", "n", F.xxhash64("t").alias("k"), F.xxhash64(F.lit(1), "t").alias("k2"), _parity(F.col("t")).alias("bits"), F.slice("t", F.lit(1), F.greatest(probe, F.lit(0))).alias("prefix")
     )
     lines = written(lines, f"{root}/lines")
 
@@ -112,60 +113,62 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     firsts = written(lines.where("n > 0").groupBy("k", "k2").agg(F.min(place).alias("at")), f"{root}/firsts")
     reps = lines.where("n > 0").join(firsts, ["k", "k2"]).where("row = at.row and line = at.line")
     # a word of class 0 is in one line only
-    reps = written(reps.select("at", "n", "bits", F.filter("prefix", lambda t: t >= 1 << (63 - CLASS_BITS)).alias("rare"), F.size("prefix").alias("m")), f"{root}/reps")
+    reps = written(reps.select("node", "at", "n", "bits", F.filter("prefix", lambda t: t >= 1 << (63 - CLASS_BITS)).alias("rare"), F.size("prefix").alias("m")), f"{root}/reps")
 
     each_line = each.where("s is not null").select("row", "line", "s", "odd")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The later lines ``at`` of the pairs ``at, to`` that link, by their whole sets, read from the texts again."""
+        """``node, at`` of the later line of every pair ``node, to`` that links, by their whole sets, read from the texts again."""
         pairs = written(pairs, f"{root}/{name}-pairs")
-        wanted = pairs.select("at.row", "at.line").unionAll(pairs.select("to.row", "to.line")).distinct()
+        x, y = (reps.select(F.col("node").alias(c), F.col("at").alias(f"at_{k}")) for c, k in (("node", "x"), ("to", "y")))
+        pairs = written(pairs.join(x, "node").join(y, "to"), f"{root}/{name}-places")
+        wanted = pairs.select("node", "at_x.row", "at_x.line").unionAll(pairs.select("to", "at_y.row", "at_y.line")).distinct()
         wanted = written(wanted, f"{root}/{name}-wanted")
-        whole = each_line.join(checked(wanted), ["row", "line"]).select("row", "line", _hashes(F.col("s"), F.col("odd")).alias("t"))
+        whole = each_line.join(checked(wanted), ["row", "line"]).select("node", _hashes(F.col("s"), F.col("odd")).alias("t"))
         whole = written(whole, f"{root}/{name}-sets")
-        x = whole.select(F.col("row").alias("row_x"), F.col("line").alias("line_x"), F.col("t").alias("tx"))
-        y = whole.select(F.col("row").alias("row_y"), F.col("line").alias("line_y"), F.col("t").alias("ty"))
-        keys = pairs.select("at", *[F.col(f"{c}.{k}").alias(f"{k}_{v}") for c, v in (("at", "x"), ("to", "y")) for k in ("row", "line")])
-        both = keys.join(x, ["row_x", "line_x"]).join(y, ["row_y", "line_y"])
+        both = pairs.join(whole.withColumnRenamed("t", "tx"), "node").join(whole.toDF("to", "ty"), "to")
         common = F.size(F.array_intersect("tx", "ty"))
         links = both.where(den * common >= num * (F.size("tx") + F.size("ty") - common))
-        links = written(links.select("at").distinct(), f"{root}/{name}-removed")
+        later = F.when(F.col("at_x") > F.col("at_y"), F.struct("node", F.col("at_x").alias("at"))).otherwise(F.struct(F.col("to").alias("node"), F.col("at_y").alias("at")))
+        links = written(links.select(later.alias("s")).select("s.*").distinct(), f"{root}/{name}-removed")
         remove(spark, f"{root}/{name}-sets")
         return links
 
-    overlap = f"ceil({num} * (n + n_y) / {num + den})"
+    overlap = f"ceil({num} * (x.n + y.n) / {num + den})"
     #: the filters of a pair: sizes, places of the shared word, parities
     near = (
-        f"{den} * least(n, n_y) >= {num} * greatest(n, n_y) and least(n - pos, n_y - pos_y) + least(pos, pos_y) >= {overlap}"
-        f" and bit_count(bits ^ bits_y) <= n + n_y - 2 * {overlap}"
+        f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos) >= {overlap}"
+        f" and bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {overlap}"
     )
 
-    def posts(of: DataFrame) -> DataFrame:
-        return of.select("at", "n", "bits", F.posexplode("rare").alias("pos", "tok"), (F.col("m") - F.size("rare")).alias("skip")).withColumn("pos", F.expr("pos + skip")).drop("skip")
+    def posts(of: DataFrame, *others: str) -> DataFrame:
+        out = of.select("node", *others, "n", "bits", F.posexplode("rare").alias("p", "tok"), (F.col("m") - F.size("rare")).alias("skip"))
+        return out.select("tok", "node", *others, "n", "bits", F.expr("p + skip").alias("pos"))
 
-    # 3. leaders of long lists, in rounds: a list's earliest open line is compared with its other ones, one candidate a line
-    gone, still = None, reps
+    # 3. leaders of long lists, in rounds: an open line of a list is compared with its other ones, one candidate a line
+    gone, still = None, reps.select("node", "n", "bits", "rare", "m")
     hot = F.col("tok") >= (LIST_CLASS << (63 - CLASS_BITS))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).alias("band")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int").alias("band")
     for r in range(ROUNDS):
-        here = posts(still).where(hot).withColumn("band", band)
-        lead = here.groupBy("tok", "band").agg(F.min(F.struct("at", "n", "bits", "pos")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-        lead = lead.select("tok", "band", F.col("lead.at").alias("to"), *[F.col(f"lead.{c}").alias(f"{c}_y") for c in ("n", "bits", "pos")])
-        met = here.join(lead, ["tok", "band"]).where(f"at > to and {near}")
-        found = verified(met.groupBy("at").agg(F.min("to").alias("to")), f"round{r}")
+        here = posts(still).where(hot).select("*", band)
+        # the first by place, then drawn ones
+        first = F.xxhash64("node", F.lit(r)) if r else F.col("node")
+        lead = here.groupBy("tok", "band").agg(*[F.min_by(c, first).alias(c) for c in ("node", "n", "bits", "pos")], F.count("*").alias("c")).where("c > 1")
+        met = here.alias("x").join(lead.alias("y"), ["tok", "band"]).where(f"x.node != y.node and {near}")
+        found = verified(met.groupBy("x.node").agg(F.min("y.node").alias("to")), f"round{r}")
         gone = found if gone is None else gone.unionAll(found)
-        still = written(still.join(found, "at", "left_anti"), f"{root}/open{r}")
+        still = written(still.join(found, "node", "left_anti"), f"{root}/open{r}")
         if r:
             remove(spark, f"{root}/open{r - 1}")
         if ROUND_PAYS * found.count() < still.count():
             break
 
-    # 4. lines still open with all earlier ones
-    x = posts(still)
-    y = posts(reps).select("tok", F.col("at").alias("to"), *[F.col(c).alias(f"{c}_y") for c in ("n", "bits", "pos")])
-    shorter = f"if(n >= n_y, pos_y <= n_y - ceil({2 * num} * n_y / {num + den}), pos <= n - ceil({2 * num} * n / {num + den}))"
-    met = x.join(y, "tok").where(f"at > to and {shorter} and {near}")
-    gone = gone.unionAll(verified(met.select("at", "to").distinct(), "rest"))
+    # 4. lines still open with all earlier ones; both sides have the same columns and no filter of their own, so one exchange serves them
+    every = reps.join(gone.select("node", F.lit(False).alias("open")), "node", "left").select("*", F.col("at.id").alias("id"))
+    every = posts(every.withColumn("open", F.coalesce("open", F.lit(True))), "id", "open")
+    shorter = f"if(x.n >= y.n, y.pos <= y.n - ceil({2 * num} * y.n / {num + den}), x.pos <= x.n - ceil({2 * num} * x.n / {num + den}))"
+    met = every.alias("x").join(every.alias("y"), "tok").where(f"if(x.open, x.id > y.id or (x.id = y.id and x.node != y.node), y.node is null) and {shorter} and {near}")
+    gone = gone.unionAll(verified(met.select("x.node", F.col("y.node").alias("to")).distinct(), "rest")).select("at").distinct()
 
     names = firsts.join(gone.withColumn("gone", F.lit(True)), "at", "left")
     out = lines.select("row", "id", "line", "chars", "n", "k", "k2").join(names, ["k", "k2"], "left")
