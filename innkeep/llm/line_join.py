@@ -17,9 +17,9 @@ operations only:
    the sets don't differ in more places than the sets may in words.  As one
    earlier match is enough, lists of frequent words (``LIST_CLASS``) first give
    each line one candidate: one line, first by place, then drawn, for each size
-   of each list.  The later line of a verified pair is done; this repeats while
-   it pays, so a template's lines are compared with a few of them, not with
-   each other;
+   of the lists of two of its words, rare ones first, in each round the next
+   two.  The later line of a verified pair is done; this repeats while it pays,
+   so a template's lines are compared with a few of them, not with each other;
 4. lines still open join with all earlier lines, removed ones included, in all
    lists; candidates are verified on their whole sets, read from the texts again.
 
@@ -38,6 +38,7 @@ from .storage import checked, cut, new_path, remove, written
 BUCKET_BITS = 20
 CLASS_BITS = 8
 LIST_CLASS = 10  # words in 32 lines or more
+LIST_WORDS = 2  # words of a line looked at in a round
 ROUNDS = 6
 ROUND_PAYS = 20  # another round if this one has settled a twentieth of the lines left
 SPACE = r"[\x20\x09-\x0D]+"
@@ -108,17 +109,16 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     )
     lines = written(lines, f"{root}/lines")
 
-    # equal sets meet in one class, named by 128 bits of hash; its first line stands for it
+    # equal sets meet in one class, named by 128 bits of hash; its first line stands for it (a word of class 0 is in one line only)
+    rare = F.filter("prefix", lambda t: t >= 1 << (63 - CLASS_BITS)).alias("rare")
     place = F.struct(F.coalesce("id", F.lit(-(1 << 63)).cast("long")).alias("id"), "line", "row")
-    firsts = written(lines.where("n > 0").groupBy("k", "k2").agg(F.min(place).alias("at")), f"{root}/firsts")
-    reps = lines.where("n > 0").join(firsts, ["k", "k2"]).where("row = at.row and line = at.line")
-    # a word of class 0 is in one line only
-    reps = written(reps.select("node", "at", "n", "bits", F.filter("prefix", lambda t: t >= 1 << (63 - CLASS_BITS)).alias("rare"), F.size("prefix").alias("m")), f"{root}/reps")
+    first = F.min(F.struct(place.alias("at"), "node", "n", "bits", rare, F.size("prefix").alias("m")))
+    reps = written(lines.where("n > 0").groupBy("k", "k2").agg(first.alias("f")).select("f.*"), f"{root}/reps")
 
     each_line = each.where("s is not null").select("row", "line", "s", "odd")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """``node, at`` of the later line of every pair ``node, to`` that links, by their whole sets, read from the texts again."""
+        """``node`` of the later line of every pair ``node, to`` that links, by their whole sets, read from the texts again."""
         pairs = written(pairs, f"{root}/{name}-pairs")
         x, y = (reps.select(F.col("node").alias(c), F.col("at").alias(f"at_{k}")) for c, k in (("node", "x"), ("to", "y")))
         pairs = written(pairs.join(x, "node").join(y, "to"), f"{root}/{name}-places")
@@ -129,8 +129,8 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
         both = pairs.join(whole.withColumnRenamed("t", "tx"), "node").join(whole.toDF("to", "ty"), "to")
         common = F.size(F.array_intersect("tx", "ty"))
         links = both.where(den * common >= num * (F.size("tx") + F.size("ty") - common))
-        later = F.when(F.col("at_x") > F.col("at_y"), F.struct("node", F.col("at_x").alias("at"))).otherwise(F.struct(F.col("to").alias("node"), F.col("at_y").alias("at")))
-        links = written(links.select(later.alias("s")).select("s.*").distinct(), f"{root}/{name}-removed")
+        later = F.when(F.col("at_x") > F.col("at_y"), F.col("node")).otherwise(F.col("to"))
+        links = written(links.select(later.alias("node")).distinct(), f"{root}/{name}-removed")
         remove(spark, f"{root}/{name}-sets")
         return links
 
@@ -141,26 +141,26 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
         f" and bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {overlap}"
     )
 
-    def posts(of: DataFrame, *others: str) -> DataFrame:
-        out = of.select("node", *others, "n", "bits", F.posexplode("rare").alias("p", "tok"), (F.col("m") - F.size("rare")).alias("skip"))
+    def posts(of: DataFrame, *others: str, skip: Column = F.col("m") - F.size("rare")) -> DataFrame:
+        """One row per word of ``rare``, whose first one has place ``skip`` in its line."""
+        out = of.select("node", *others, "n", "bits", F.posexplode("rare").alias("p", "tok"), skip.alias("skip"))
         return out.select("tok", "node", *others, "n", "bits", F.expr("p + skip").alias("pos"))
 
     # 3. leaders of long lists, in rounds: an open line of a list is compared with its other ones, one candidate a line
     gone, still = None, reps.select("node", "n", "bits", "rare", "m")
-    hot = F.col("tok") >= (LIST_CLASS << (63 - CLASS_BITS))
+    long_lists = F.filter("rare", lambda t: t >= LIST_CLASS << (63 - CLASS_BITS))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int").alias("band")
     for r in range(ROUNDS):
-        here = posts(still).where(hot).select("*", band)
-        # the first by place, then drawn ones
+        # the next few words of a line, rare ones first; the first line by place, then drawn ones
+        some = still.withColumn("all", long_lists).withColumn("rare", F.slice("all", r * LIST_WORDS + 1, LIST_WORDS))
+        here = posts(some, skip=F.col("m") - F.size("all") + r * LIST_WORDS).select("*", band)
         first = F.xxhash64("node", F.lit(r)) if r else F.col("node")
         lead = here.groupBy("tok", "band").agg(*[F.min_by(c, first).alias(c) for c in ("node", "n", "bits", "pos")], F.count("*").alias("c")).where("c > 1")
         met = here.alias("x").join(lead.alias("y"), ["tok", "band"]).where(f"x.node != y.node and {near}")
         found = verified(met.groupBy("x.node").agg(F.min("y.node").alias("to")), f"round{r}")
         gone = found if gone is None else gone.unionAll(found)
-        still = written(still.join(found, "node", "left_anti"), f"{root}/open{r}")
-        if r:
-            remove(spark, f"{root}/open{r - 1}")
-        if ROUND_PAYS * found.count() < still.count():
+        still = reps.select("node", "n", "bits", "rare", "m").join(gone, "node", "left_anti")
+        if r and ROUND_PAYS * found.count() < still.count():
             break
 
     # 4. lines still open with all earlier ones; both sides have the same columns and no filter of their own, so one exchange serves them
@@ -168,12 +168,12 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     every = posts(every.withColumn("open", F.coalesce("open", F.lit(True))), "id", "open")
     shorter = f"if(x.n >= y.n, y.pos <= y.n - ceil({2 * num} * y.n / {num + den}), x.pos <= x.n - ceil({2 * num} * x.n / {num + den}))"
     met = every.alias("x").join(every.alias("y"), "tok").where(f"if(x.open, x.id > y.id or (x.id = y.id and x.node != y.node), y.node is null) and {shorter} and {near}")
-    gone = gone.unionAll(verified(met.select("x.node", F.col("y.node").alias("to")).distinct(), "rest")).select("at").distinct()
+    gone = gone.unionAll(verified(met.select("x.node", F.col("y.node").alias("to")).distinct(), "rest")).distinct()
 
-    names = firsts.join(gone.withColumn("gone", F.lit(True)), "at", "left")
-    out = lines.select("row", "id", "line", "chars", "n", "k", "k2").join(names, ["k", "k2"], "left")
-    removed = F.expr("n > 0 and (coalesce(gone, false) or row != at.row or line != at.line)")
-    return out.select("row", "id", "line", "chars", F.coalesce(removed, F.lit(False)).alias("removed"))
+    # what stays of the lines with words: first lines of their classes without an earlier match
+    stays = reps.select("node").join(gone, "node", "left_anti").withColumn("stays", F.lit(True))
+    out = lines.select("row", "id", "line", "chars", "n", "node").join(stays, "node", "left")
+    return out.select("row", "id", "line", "chars", F.expr("n > 0 and stays is null").alias("removed"))
 
 
 def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
