@@ -121,7 +121,9 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
         """``node`` of the later line of every pair ``node, to`` that links, by their whole sets, read from the texts again."""
         pairs = written(pairs, f"{root}/{name}-pairs")
         x, y = (reps.select(F.col("node").alias(c), F.col("at").alias(f"at_{k}")) for c, k in (("node", "x"), ("to", "y")))
-        pairs = written(pairs.join(x, "node").join(y, "to"), f"{root}/{name}-places")
+        # short lists (counted) go to the large tables, longer ones meet them by a shuffle
+        pairs = written(x.join(checked(pairs), "node"), f"{root}/{name}-later")
+        pairs = written(y.join(checked(pairs), "to"), f"{root}/{name}-places")
         wanted = pairs.select("node", "at_x.row", "at_x.line").unionAll(pairs.select("to", "at_y.row", "at_y.line")).distinct()
         wanted = written(wanted, f"{root}/{name}-wanted")
         whole = each_line.join(checked(wanted), ["row", "line"]).select("node", _hashes(F.col("s"), F.col("odd")).alias("t"))
@@ -159,19 +161,19 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
         met = here.alias("x").join(lead.alias("y"), ["tok", "band"]).where(f"x.node != y.node and {near}")
         found = verified(met.groupBy("x.node").agg(F.min("y.node").alias("to")), f"round{r}")
         gone = found if gone is None else gone.unionAll(found)
-        still = reps.select("node", "n", "bits", "rare", "m").join(gone, "node", "left_anti")
+        still = reps.select("node", "n", "bits", "rare", "m").join(checked(gone), "node", "left_anti")
         if r and ROUND_PAYS * found.count() < still.count():
             break
 
     # 4. lines still open with all earlier ones; both sides have the same columns and no filter of their own, so one exchange serves them
-    every = reps.join(gone.select("node", F.lit(False).alias("open")), "node", "left").select("*", F.col("at.id").alias("id"))
+    every = reps.join(checked(gone.select("node", F.lit(False).alias("open"))), "node", "left").select("*", F.col("at.id").alias("id"))
     every = posts(every.withColumn("open", F.coalesce("open", F.lit(True))), "id", "open")
     shorter = f"if(x.n >= y.n, y.pos <= y.n - ceil({2 * num} * y.n / {num + den}), x.pos <= x.n - ceil({2 * num} * x.n / {num + den}))"
     met = every.alias("x").join(every.alias("y"), "tok").where(f"if(x.open, x.id > y.id or (x.id = y.id and x.node != y.node), y.node is null) and {shorter} and {near}")
     gone = gone.unionAll(verified(met.select("x.node", F.col("y.node").alias("to")).distinct(), "rest")).distinct()
 
     # what stays of the lines with words: first lines of their classes without an earlier match
-    stays = reps.select("node").join(gone, "node", "left_anti").withColumn("stays", F.lit(True))
+    stays = reps.select("node").join(checked(gone), "node", "left_anti").withColumn("stays", F.lit(True))
     out = lines.select("row", "id", "line", "chars", "n", "node").join(stays, "node", "left")
     return out.select("row", "id", "line", "chars", F.expr("n > 0 and stays is null").alias("removed"))
 
