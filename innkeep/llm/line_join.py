@@ -169,7 +169,7 @@ def marked_lines(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     every = reps.join(checked(gone.select("node", F.lit(False).alias("open"))), "node", "left").select("*", F.col("at.id").alias("id"))
     every = posts(every.withColumn("open", F.coalesce("open", F.lit(True))), "id", "open")
     shorter = f"if(x.n >= y.n, y.pos <= y.n - ceil({2 * num} * y.n / {num + den}), x.pos <= x.n - ceil({2 * num} * x.n / {num + den}))"
-    met = every.alias("x").join(every.alias("y"), "tok").where(f"if(x.open, x.id > y.id or (x.id = y.id and x.node != y.node), y.node is null) and {shorter} and {near}")
+    met = every.alias("x").join(every.alias("y"), "tok").where(f"if(x.open, x.id > y.id or (x.id = y.id and x.node != y.node), y.node is null and y.open) and {shorter} and {near}")
     gone = gone.unionAll(verified(met.select("x.node", F.col("y.node").alias("to")).distinct(), "rest")).distinct()
 
     # what stays of the lines with words: first lines of their classes without an earlier match
