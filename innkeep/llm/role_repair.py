@@ -10,11 +10,13 @@ number and the action of lowest number win.
 A turn's effect on the states' costs is a min-plus matrix that depends on its
 role alone, and such matrices multiply.  Turns are range-partitioned by
 (conversation, turn), so a conversation of any length spreads over tasks: each
-task reduces the stretches at its two ends to one matrix each; from these (two
-small rows a task) follow the costs where each stretch of a conversation in
-several tasks begins; the stretches then tell which state they lead back to,
-and last the turns are repaired and rendered.  Nothing holds a conversation
-whole but a task that holds all of its turns.
+task reduces the stretches at its two ends to one matrix each; from these (a
+table of two small rows a task) follow the costs where each stretch of a
+conversation in several tasks begins; the stretches then tell which state they
+lead back to, and last the turns are repaired and rendered.  Along a
+conversation, matrices and states are combined in a tree of groups of at most
+``FAN`` rows.  Nothing holds a conversation whole but a task that holds all of
+its turns, and no rows go to the driver.
 
 Edge cases: roles are trimmed and lower-cased; null, empty and other roles are
 unknown (cheaper to relabel); null text is empty; rows with a null conversation
@@ -27,15 +29,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import cut
+from .storage import BROADCAST_ROWS, cut
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("unknown", "system", "user", "assistant")  # by state, START standing for an unknown role
 PART_BYTES = 16 << 20
 PART_ROWS = 20_000
+FAN = 1024  # stretches, or groups of them, combined by one group of a task
 INF = 1 << 40
 
 # Names of roles in public chat formats
@@ -125,19 +129,23 @@ def role_number(role: str | None) -> int:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(part, conversation, rows) of each conversation in a task's sorted rows; rows are (turn, role, text)."""
+    """(part, conversation, rows) of each conversation in a task's sorted rows; rows are (turn, role, text, state...)."""
     now, rows = None, []
     for batch in batches:
-        for part, conv, turn, role, text in zip(*[c.to_pylist() for c in batch.columns]):
+        for part, conv, *row in zip(*[c.to_pylist() for c in batch.columns]):
             if now != (part, conv):
                 if rows:
                     yield (*now, rows)
                 now, rows = (part, conv), []
-            rows.append((turn, role, text))
+            rows.append(row)
     if rows:
         yield (*now, rows)
 
 
+NODE = "conv long, part long, item array<long>"
+NODE_SCHEMA = pa.schema([("conv", pa.int64()), ("part", pa.int64()), ("item", pa.list_(pa.int64()))])
+
+
 def _borders(costs: Costs):
     """Matrices of the first and the last stretch of a task (a task in between holds one)."""
 
@@ -145,68 +153,140 @@ def _borders(costs: Costs):
         repair, out = Repair(costs), []
         for part, conv, rows in _stretches(batches):
             m = UNIT
-            for _, role, _ in rows:
-                m = repair.times(m, role_number(role))
+            for row in rows:
+                m = repair.times(m, role_number(row[1]))
             del out[1:]
-            out.append({"part": part, "conv": conv, "matrix": [c for row in m for c in row]})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int32()), ("conv", pa.int64()), ("matrix", pa.list_(pa.int64()))]))
+            out.append({"conv": conv, "part": part, "item": [c for row in m for c in row]})
+        yield pa.RecordBatch.from_pylist(out, NODE_SCHEMA)
 
     return run
 
 
-FIRST = (0, INF, INF, INF)
+FIRST = [0, INF, INF, INF]
 
 
-def begins(borders: list[tuple]) -> dict[tuple, tuple]:
-    """``(part, conv) -> (costs where it begins, whether it is the last stretch)`` for conversations in several tasks."""
-    out, runs = {}, {}
-    for part, conv, matrix in sorted(borders, key=lambda r: r[0]):
-        runs.setdefault(conv, []).append((part, matrix))
-    for conv, stretches in runs.items():
-        vector = FIRST
-        for k, (part, m) in enumerate(stretches if len(stretches) > 1 else []):
-            out[part, conv] = vector, k == len(stretches) - 1
-            vector = [min(min(vector[i] + m[4 * i + j] for i in range(4)), INF) for j in range(4)]
-            low = min(vector)
-            vector = tuple(c - low if c < INF else INF for c in vector)
-    return out
+def _less(values: list[int]) -> list[int]:
+    """Costs less the smallest."""
+    low = min(values)
+    return [c - low if c < INF else INF for c in values]
+
+
+class Begins:
+    """Forward along a conversation: items are matrices, states the costs where a stretch begins and 1 if it is the last."""
+
+    @staticmethod
+    def fold(items: list) -> list:
+        m = items[0]
+        for x in items[1:]:
+            m = _less([min(min(m[4 * i + s] + x[4 * s + j] for s in range(4)), INF) for i in range(4) for j in range(4)])
+        return m
+
+    @staticmethod
+    def root(item: list) -> list:
+        return [*FIRST, 1]
+
+    @staticmethod
+    def spread(state: list, items: list) -> list:
+        *vector, last = state
+        out = []
+        for k, m in enumerate(items):
+            out.append([*vector, last if k == len(items) - 1 else 0])
+            vector = _less([min(min(vector[i] + m[4 * i + j] for i in range(4)), INF) for j in range(4)])
+        return out
+
+
+class Ends:
+    """Backward: items are the states that each end state leads back to, and the end state of a last stretch; states are end states."""
+
+    @staticmethod
+    def fold(items: list) -> list:
+        lead = range(4)
+        for x in reversed(items):
+            lead = [x[s] if s >= 0 else -1 for s in lead]
+        return [*lead, items[-1][4]]
+
+    @staticmethod
+    def root(item: list) -> list:
+        return [item[4]]
+
+    @staticmethod
+    def spread(state: list, items: list) -> list:
+        out, s = [], state[0]
+        for x in reversed(items):
+            out.append([s])
+            s = x[s]
+        return out[::-1]
+
+
+def _scan(nodes: DataFrame, way: type[Begins] | type[Ends], span: int) -> DataFrame:
+    """``conv, part, state`` of every node (``conv, part, item``; parts are below ``span``), in a tree of groups of ``FAN`` parts."""
+
+    def children(df: pd.DataFrame) -> tuple[pd.DataFrame, list]:
+        df = df.sort_values("part")
+        return df, [[int(c) for c in x] for x in df["item"]]
+
+    def answer(df: pd.DataFrame, states: list) -> pd.DataFrame:
+        return pd.DataFrame({"conv": df["conv"].array, "part": df["part"].array, "state": states})
+
+    def whole(df: pd.DataFrame) -> pd.DataFrame:
+        df, items = children(df)
+        return answer(df, way.spread(way.root(way.fold(items)), items))
+
+    def folded(df: pd.DataFrame) -> pd.DataFrame:
+        df, items = children(df)
+        return pd.DataFrame({"conv": df["conv"].array[:1], "part": df["part"].array[:1] // FAN, "item": [way.fold(items)]})
+
+    def below(df: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        df, items = children(df)
+        return answer(df, way.spread([int(c) for c in above["state"].iloc[0]], items))
+
+    out = "conv long, part long, state array<long>"
+    if span <= FAN:
+        return nodes.groupBy("conv").applyInPandas(whole, out)
+    group = F.floor(F.col("part") / FAN).alias("up")
+    above = _scan(cut(nodes.groupBy("conv", group).applyInPandas(folded, NODE)), way, -(-span // FAN))
+    return nodes.groupBy("conv", group).cogroup(above.groupBy("conv", F.col("part").alias("up"))).applyInPandas(below, out)
+
+
+def _beside(dealt: DataFrame, states: DataFrame, name: str) -> DataFrame:
+    """``dealt`` with the state of its stretch as a last column (null: a conversation in one task), stretches whole and in order.
+
+    A state is a handful of numbers: up to ``BROADCAST_ROWS`` of them, counted, go to the tasks; more meet the turns by a shuffle.
+    """
+    states = states.select(F.col("part").alias("to_part"), F.col("conv").alias("to_conv"), F.col("state").alias(name))
+    few = states.count() <= BROADCAST_ROWS
+    at = (F.col("part") == F.col("to_part")) & F.col("conv").eqNullSafe(F.col("to_conv"))
+    out = dealt.join(F.broadcast(states) if few else states, at, "left").drop("to_part", "to_conv")
+    # a part lies whole in one task again, and tasks are in order
+    return out if few else out.repartitionByRange(dealt.rdd.getNumPartitions(), "part").sortWithinPartitions("part", "pos")
 
 
 def _forward(repair: Repair, begin: tuple, rows: list) -> tuple[tuple, list]:
     vector, trail = begin, []
-    for _, role, _ in rows:
-        vector, back = repair.step(vector, role_number(role))
+    for row in rows:
+        vector, back = repair.step(vector, role_number(row[1]))
         trail.append(back)
     return vector, trail
 
 
-def _leads(costs: Costs, known):
+def _leads(costs: Costs):
     """For every state at the end of a stretch, the state at its beginning (-1: not reached); the end state of a last stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair, out = Repair(costs), []
         for part, conv, rows in _stretches(batches):
-            if (part, conv) in known.value:
-                begin, last = known.value[part, conv]
-                vector, trail = _forward(repair, begin, rows)
+            begin = rows[0][-1]
+            if begin is not None:
+                vector, trail = _forward(repair, tuple(begin[:4]), rows)
                 leads = [s if vector[s] < INF else -1 for s in range(4)]
                 for back in reversed(trail):
                     leads = [back[s][0] if s >= 0 else -1 for s in leads]
-                out.append({"part": part, "conv": conv, "leads": leads, "end": repair.end(vector) if last else -1})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int32()), ("conv", pa.int64()), ("leads", pa.list_(pa.int32())), ("end", pa.int32())]))
+                out.append({"conv": conv, "part": part, "item": [*leads, repair.end(vector) if begin[4] else -1]})
+        yield pa.RecordBatch.from_pylist(out, NODE_SCHEMA)
 
     return run
 
 
-def finals(leads: list[tuple]) -> dict[tuple, int]:
-    """``(part, conv) -> state`` in which each stretch ends, from the last stretch back."""
-    out, state = {}, {}
-    for part, conv, back, end in sorted(leads, key=lambda r: -r[0]):
-        out[part, conv] = state[conv] = state.get(conv, end)
-        state[conv] = back[state[conv]]
-    return out
-
-
 OUT = "conv_id long, turn long, role string, new_role string, action string, inserted int, tail int, piece string"
 ACTIONS = ("keep", "merge", "relabel", "relabel_merge")
 
@@ -218,19 +298,19 @@ def _open(role: int) -> str:
 CLOSE = "<|end|>\n"
 
 
-def _render(costs: Costs, known, ends):
+def _render(costs: Costs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair, out = Repair(costs), []
-        for part, conv, rows in _stretches(batches):
-            begin, last = known.value.get((part, conv), (FIRST, True))
-            vector, trail = _forward(repair, begin, rows)
-            final = state = ends.value.get((part, conv), repair.end(vector))
+        for _, conv, rows in _stretches(batches):
+            *begin, last = rows[0][-2] or (*FIRST, 1)
+            vector, trail = _forward(repair, tuple(begin), rows)
+            final = state = rows[0][-1][0] if rows[0][-1] else repair.end(vector)
             path = []
             for back in reversed(trail):
                 before, action, n = back[state]
                 path.append((before, state, action, n))
                 state = before
-            for (turn, role, text), (before, state, action, n) in zip(rows, reversed(path)):
+            for (turn, role, text, *_), (before, state, action, n) in zip(rows, reversed(path)):
                 if action in (1, 3):
                     piece = "\n" + (text or "")
                 else:
@@ -263,7 +343,6 @@ def repair_roles(turns: DataFrame, costs: Costs = Costs(), conv_col: str = "conv
     conversation after it; the pieces of a conversation, in order, are its
     rendered text.
     """
-    sc = turns.sparkSession.sparkContext
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")
     )
@@ -272,11 +351,16 @@ def repair_roles(turns: DataFrame, costs: Costs = Costs(), conv_col: str = "conv
     order = [F.col(c).asc_nulls_first() for c in ("conv", "turn", "role", "text")]
     dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order[:3], F.xxhash64("text"), "row")
     order = [*order[:3], F.xxhash64("text"), F.col("text").asc_nulls_first(), F.col("row")]
-    # a reliable checkpoint keeps partitions and their order; the passes below shuffle nothing
-    dealt = cut(dealt.sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "conv", "turn", "role", "text"))
-    # what leaves the tasks here are two matrices each
-    borders = dealt.mapInArrow(_borders(costs), "part int, conv long, matrix array<long>").collect()
-    known = sc.broadcast(begins([tuple(r) for r in borders]))
-    leads = dealt.mapInArrow(_leads(costs, known), "part int, conv long, leads array<int>, end int").collect() if known.value else []
-    ends = sc.broadcast(finals([tuple(r) for r in leads]))
-    return dealt.mapInArrow(_render(costs, known, ends), OUT)
+    # a reliable checkpoint keeps partitions and their order; the passes below shuffle no text unless states are too many to broadcast
+    dealt = dealt.sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "conv", "turn", "role", "text", F.monotonically_increasing_id().alias("pos"))
+    dealt = cut(dealt)
+    turns = dealt.select("part", "conv", "turn", "role", F.lit(None).cast("string").alias("text"), "pos")
+    nodes = cut(turns.drop("text", "pos").mapInArrow(_borders(costs), NODE))
+    # conversations in several tasks
+    several = nodes.groupBy("conv").agg(F.count("*").alias("c")).where("c > 1").select(F.col("conv").alias("to_conv"))
+    nodes = cut(nodes.join(several, F.col("conv").eqNullSafe(F.col("to_conv")), "left_semi"))
+    span = dealt.rdd.getNumPartitions()
+    begins = cut(_scan(nodes, Begins, span))
+    leads = cut(_beside(turns, begins, "begin").drop("pos").mapInArrow(_leads(costs), NODE))
+    ends = cut(_scan(leads, Ends, span))
+    return _beside(_beside(dealt, begins, "begin"), ends, "end").drop("pos").mapInArrow(_render(costs), OUT)

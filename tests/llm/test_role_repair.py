@@ -51,13 +51,16 @@ def order(r):
     return tuple((x is not None, x if x is not None else 0) for x in r[:2]) + ((r[2] is not None, r[2] or ""),)
 
 
-@pytest.mark.parametrize("rows_a_part", [7, 20_000])
-def test_repairs_are_cheapest_and_legal(spark, monkeypatch, rows_a_part):
+@pytest.mark.parametrize("rows_a_part, fan, broadcast", [(7, 1024, 1000), (2, 3, 1000), (7, 4, 0), (20_000, 1024, 1000)])
+def test_repairs_are_cheapest_and_legal(spark, monkeypatch, rows_a_part, fan, broadcast):
+    """Also in trees of several levels over one conversation's parts, and with states that meet the turns by a shuffle."""
     monkeypatch.setattr(R, "PART_ROWS", rows_a_part)
+    monkeypatch.setattr(R, "FAN", fan)
+    monkeypatch.setattr(R, "BROADCAST_ROWS", broadcast)
     rng = random.Random(5)
     rows = []
     for c in [*range(10), None]:
-        for t in range(rng.choice([1, 2, 3, 9, 40])):
+        for t in range(60 if c is None else rng.choice([1, 2, 3, 9, 40])):
             rows.append((c, t if rng.random() < 0.95 else None, rng.choice(["user", "assistant", "system", "human", "?", None, "USER "]), rng.choice(["x", "y", None, ""])))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
     costs = R.Costs()
