@@ -11,7 +11,10 @@ bounds the ring's scores from above.  A query expands its rings in order of
 that bound: first the best ones until they hold enough vectors for k, which
 gives a k-th score, then every ring whose bound reaches that score.  All other
 rings are proven to hold nothing.  Rings and query lists are cut into blocks
-of bounded size, so a ring that holds a third of all rows is many tasks.
+of bounded size, so a ring that holds a third of all rows is many tasks.  Queries
+of neighbouring pivots share a list, and a block of a ring goes to those lists
+alone in which a query visits the ring; the number of pivots grows with the root
+of the table.
 
 Components are floor(scale * x), scores are integers and exact: vectors with a
 component above sqrt(2**52 / length) (of 64 components: about 131,000 before
@@ -26,6 +29,7 @@ fewer than k candidates are all returned; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +39,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .storage import cut
 
-PIVOTS = 32
+PIVOTS = 32  # at least
+PIVOT_SHARE = 16  # one pivot for so many in the root of the number of vectors
+MOST_PIVOTS = 1024
 PIVOT_SAMPLE = 4096  # vectors, on average, that the pivots are chosen from
 RINGS = 8
 BLOCK = 4096  # vectors of a ring, and queries, per task group
+CELLS = 1 << 20  # bounds of queries and rings computed at once
 EXACT = 1 << 52  # scores are below this
 
 
@@ -93,16 +100,17 @@ def _key(pivots):
     return run
 
 
-def _bounds(pivots, rings):
-    """Upper bound of every ring's score for each query, and which rings it needs for k candidates."""
+def _visits(pivots, rings, far: bool):
+    """The rings that each query visits: those it needs for k candidates, or (``far``) the others whose bound reaches its floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pivots.value
         r = rings.value
+        step = max(1, CELLS // max(1, len(r["ring"])))
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                q = _matrix(part.column(1))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                q = _matrix(part.column(2))
                 d = _distances(q, p)[:, r["pivot"]]
                 gap = np.maximum(0, np.maximum(d - r["hi"], r["lo"] - d))
                 top = ((q**2).sum(1)[:, None] + r["norm"] - gap**2) / 2 + 1e-6 * (1 + r["norm"])
@@ -112,12 +120,12 @@ def _bounds(pivots, rings):
                 np.put_along_axis(first, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), 1)
                 # rings before this place in the order hold fewer than k others
                 before = np.concatenate([np.zeros((len(order), 1)), filled[:, :-1]], 1)
-                need = np.take_along_axis(before, first, 1) < r["k"] + 1
-                kind = pa.list_(pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(2), part.column(0), part.column(1), pa.array(list(top), kind), pa.array(list(need), pa.list_(pa.bool_()))],
-                    names=["asked", "query_id", "q", "top", "need"],
-                )
+                go = np.take_along_axis(before, first, 1) < r["k"] + 1
+                if far:
+                    go = ~go & (top >= part.column(4).to_numpy()[:, None])
+                places = np.nonzero(go)[1].astype(np.int32)
+                at = np.concatenate([[0], np.cumsum(go.sum(1))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(at, places)], names=["asked", "query_id", "q", "part", "floor", "places"])
 
     return run
 
@@ -152,7 +160,7 @@ def _best(k: int):
 
 
 def top_k(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, pivots: int = PIVOTS
+    vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, pivots: int | None = None
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of every query vector (rows of ``queries``)."""
     spark = vectors.sparkSession
@@ -163,14 +171,15 @@ def top_k(
     if sizes is None:
         return empty
     rows = rows.where(F.size("v") == sizes["m"])
-    # pivots: a bounded sample, by a hash of the id; they decide cost only
+    # pivots: from a bounded sample, by a hash of the id; they decide cost only
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, math.isqrt(sizes["count"]) // PIVOT_SHARE))
     share = int(min(1.0, PIVOT_SAMPLE / sizes["count"]) * (1 << 30))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).limit(2 * PIVOT_SAMPLE).toPandas().sort_values("id")["v"]
     if not len(sample):
         sample = rows.limit(1).toPandas()["v"]
     p = sc.broadcast(choose_pivots(np.stack(sample.to_numpy()).astype(np.float64), pivots))
     keyed = cut(rows.mapInArrow(_key(p), "id long, v array<long>, pivot int, dist double, norm double"))
-    # at most PIVOTS * RINGS rings
+    # at most MOST_PIVOTS * RINGS rings
     ends = keyed.groupBy("pivot").agg(F.min("dist").alias("d0"), F.max("dist").alias("d1"))
     ring = F.least(F.lit(RINGS - 1), F.floor((F.col("dist") - F.col("d0")) / F.greatest(F.col("d1") - F.col("d0"), F.lit(1e-9)) * RINGS)).cast("int")
     index = keyed.join(ends, "pivot").withColumn("ring", F.col("pivot") * RINGS + ring).select("id", "v", "pivot", "ring", "dist", "norm")
@@ -182,25 +191,32 @@ def top_k(
     index = index.join(F.broadcast(places), "ring").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "v", "place", "block")
     asked = queries.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     # rows of one id with different vectors are queries of their own
-    wanted = rows.join(asked, "id", "left_semi").dropDuplicates(["id", "v"]).withColumn("asked", F.monotonically_increasing_id())
-    bounds = cut(wanted.mapInArrow(_bounds(p, sc.broadcast(facts)), "asked long, query_id long, q array<long>, top array<double>, need array<boolean>"))
-    n_queries = bounds.count()
-
-    def search(visits: DataFrame) -> DataFrame:
-        """Each query's best within the rings it visits: ``visits(asked, query_id, q, floor, place)``."""
-        groups = max(1, -(-n_queries // BLOCK))
-        visits = visits.join(F.broadcast(places.select("place", "blocks")), "place").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-        visits = visits.withColumn("part", F.pmod(F.xxhash64("asked"), F.lit(groups)).cast("int")).drop("blocks")
-        data = index.withColumn("part", F.explode(F.expr(f"sequence(0, {groups - 1})")))
+    low = float(-(2**62))
+    wanted = keyed.join(asked, "id", "left_semi").dropDuplicates(["id", "v"]).select("id", "v", "pivot")
+    wanted = cut(wanted.select(F.monotonically_increasing_id().alias("asked"), F.col("id").alias("query_id"), F.col("v").alias("q"), "pivot"))
+    # lists of about BLOCK queries, in order of their pivot (at most MOST_PIVOTS counts)
+    homes = wanted.groupBy("pivot").agg(F.count("*").alias("n")).orderBy("pivot").toPandas()
+    homes = [(int(v), int(n), int(e - n)) for v, n, e in zip(homes["pivot"], homes["n"], homes["n"].cumsum())]
+    homes = F.broadcast(spark.createDataFrame(homes, "pivot int, n long, before long"))
+    part = F.floor((F.col("before") + F.pmod(F.xxhash64("asked"), F.col("n"))) / BLOCK).cast("int").alias("part")
+    wanted = wanted.join(homes, "pivot").select("asked", "query_id", "q", part)
+    facts = sc.broadcast(facts)
+
+    def search(queries: DataFrame, far: bool) -> DataFrame:
+        """Each query's best within the rings it visits: ``queries(asked, query_id, q, part, floor)``."""
+        visits = cut(queries.mapInArrow(_visits(p, facts, far), "asked long, query_id long, q array<long>, part int, floor double, places array<int>"))
         keys = ["place", "block", "part"]
+        # the lists in which a ring is visited
+        lists = visits.select(F.col("part").alias("list"), F.explode("places").alias("place")).distinct()
+        lists = lists.join(F.broadcast(places), "place").select("place", F.col("list").alias("part"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+        data = index.join(lists, ["place", "block"])
+        visits = visits.withColumn("place", F.explode("places")).drop("places").join(F.broadcast(places.select("place", "blocks")), "place")
+        visits = visits.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
         return visits.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(_best(k), "asked long, query_id long, vec_id long, score long")
 
-    each = bounds.select("asked", "query_id", "q", F.posexplode(F.arrays_zip("top", "need")).alias("place", "x"))
-    low = float(-(2**62))
-    near = cut(search(each.where("x.need").select("asked", "query_id", "q", F.lit(low).alias("floor"), "place")))
+    near = cut(search(wanted.withColumn("floor", F.lit(low)), False))
     order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("r", F.row_number().over(order)).where(f"r = {k}").select("asked", F.col("score").cast("double").alias("kth"))
-    rest = each.join(kth, "asked", "left").withColumn("floor", F.coalesce("kth", F.lit(low)))
-    far = search(rest.where("not x.need and x.top >= floor").select("asked", "query_id", "q", "floor", "place"))
+    far = search(wanted.join(kth, "asked", "left").select("asked", "query_id", "q", "part", F.coalesce("kth", F.lit(low)).alias("floor")), True)
     best = near.unionAll(far).withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -34,6 +34,36 @@ def test_small_blocks_split_rings_and_queries(spark, monkeypatch):
     rows = [(i, [float(c) for c in rng.normal(size=4)]) for i in range(120)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in top_k(df, df, k=5, pivots=3).collect()) == brute(rows, {i for i, _ in rows}, 5)
+    monkeypatch.setattr(module, "CELLS", 40)
+    monkeypatch.setattr(module, "PIVOTS", 2)
+    monkeypatch.setattr(module, "PIVOT_SHARE", 2)  # 5 pivots for 120 vectors
+    assert sorted(tuple(r) for r in top_k(df, df, k=5).collect()) == brute(rows, {i for i, _ in rows}, 5)
+
+
+def test_blocks_go_to_lists_that_visit_them(spark, monkeypatch):
+    """Vectors far from each other: each list of queries reads the rings near it, not the whole index."""
+    import innkeep.llm.topk_search as module
+
+    monkeypatch.setattr(module, "BLOCK", 40)
+    read, best = spark.sparkContext.accumulator(0), module._best
+
+    def counted(k):
+        run = best(k)
+
+        def each(left, right):
+            read.add(len(right))
+            return run(left, right)
+
+        return each
+
+    monkeypatch.setattr(module, "_best", counted)
+    rng = np.random.default_rng(6)
+    corners = 100 * np.eye(10)
+    rows = [(i, [float(c) for c in corners[i % 10] + rng.normal(size=10)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in top_k(df, df, k=5, pivots=10).collect())
+    assert got == brute(rows, {i for i, _ in rows}, 5)
+    assert read.value < 400 * 10 * 0.6  # ten lists
 
 
 def test_odd_rows(spark):
