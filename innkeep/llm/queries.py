@@ -60,6 +60,86 @@ SELECT r.doc_id, g.keep_id, g.group_size, r.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM r JOIN g USING (body)
 """
 
+LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g
+  FROM d
+), c AS (
+  SELECT row_number() OVER () AS cid, g, len(g) AS n, min(doc_id) AS low FROM s WHERE len(g) > 0 GROUP BY g
+), t AS (
+  SELECT cid, n, unnest(g) AS x FROM c
+), e AS (
+  SELECT a.cid AS a, b.cid AS b FROM t a JOIN t b ON a.x = b.x AND a.cid <> b.cid AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), r AS (
+  SELECT cid AS a, cid AS b FROM c
+  UNION
+  SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), k AS (
+  SELECT r.a AS cid, min(c.low) AS component_id FROM r JOIN c ON c.cid = r.b GROUP BY r.a
+)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN k USING (cid)
+"""
+
+OP9 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS x
+  FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), occ AS (
+  SELECT rn, i, m, array_to_string(w[i:i + m - 1], ' ') AS x
+  FROM (SELECT rn, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d JOIN (SELECT DISTINCT m FROM win) ON len(w) >= m)
+), hit AS (
+  SELECT rn, i, m, item_id FROM occ JOIN win USING (x, m)
+), words AS (
+  SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(i, i + m)) AS p FROM hit) GROUP BY rn
+), items AS (
+  SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rn, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY rn
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rn) LEFT JOIN items USING (rn)
+"""
+
+OP10 = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, doc_id, text FROM documents
+), l AS (
+  SELECT rn, doc_id, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS body
+  FROM (SELECT rn, doc_id, string_split({LOW}, chr(10)) AS a FROM d WHERE text IS NOT NULL)
+), s AS (
+  SELECT *, list_sort(list_distinct(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))) AS g, row_number() OVER (ORDER BY doc_id, line, rn) AS place FROM l
+), c AS (
+  SELECT g, min(place) AS place, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g
+), t AS (
+  SELECT place, n, unnest(g) AS x FROM c
+), f AS (
+  SELECT x, count(*) AS c FROM t GROUP BY x
+), p AS (
+  SELECT place, n, x FROM (SELECT place, n, x, row_number() OVER (PARTITION BY place ORDER BY c, x) AS k FROM t JOIN f USING (x)) WHERE k <= n - (80 * n + 99) // 100 + 1
+), m AS (
+  SELECT DISTINCT a.place, b.place AS before FROM p a JOIN p b ON a.x = b.x AND b.place < a.place AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), gone AS (
+  SELECT DISTINCT m.place FROM m JOIN c a ON a.place = m.place JOIN c b ON b.place = m.before
+  WHERE 100 * len(list_intersect(a.g, b.g)) >= 80 * (a.n + b.n - len(list_intersect(a.g, b.g)))
+), marked AS (
+  SELECT s.rn, s.body, len(s.g) > 0 AND (c.place IS NULL OR gone.place IS NOT NULL) AS removed FROM s LEFT JOIN c ON c.place = s.place LEFT JOIN gone ON gone.place = s.place
+), sums AS (
+  SELECT rn, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, sum(length(body)) FILTER (NOT removed) AS chars FROM marked GROUP BY rn
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(chars, 0) AS BIGINT) AS kept_chars
+FROM d LEFT JOIN sums USING (rn)
+"""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -212,4 +292,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op1_pivot_top_k": OP1, "op11_hard_negatives": OP11, "op13_exact_dedup": OP13}
+    return {"op1_pivot_top_k": OP1, "op2_ngram_jaccard_join": OP2, "op9_positional_index": OP9, "op10_line_dedup": OP10, "op11_hard_negatives": OP11, "op13_exact_dedup": OP13}

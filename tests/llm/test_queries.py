@@ -15,7 +15,7 @@ def test_one_query_for_each_operator_and_the_pipeline():
 def test_oracles(spark):
     for name, sql in Q.oracle_sql().items():
         con = duckdb.connect()
-        for table in ("embeddings", "documents"):
+        for table in ("embeddings", "documents", "benchmark"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
         want = con.execute(sql).fetchall()
         names = [d[0] for d in con.description]
