@@ -4,7 +4,8 @@ A byte-level BPE splits a text into pre-tokens and encodes each by itself, so
 equal pre-tokens have equal ids.  A batch is split with numpy; the library
 encodes the pre-tokens that this worker has not met, and their ids are looked
 up for the rest.  Texts with characters whose class the byte rules don't
-know go to the library whole.  The pre-tokens follow the tokenizer's own
+know go to the library.  Long texts are encoded in pieces of about ``PIECE``
+bytes, cut where a pre-token begins whatever stands around it.  The pre-tokens follow the tokenizer's own
 pattern (contractions, letters, digits, others, each with one leading space;
 white space).
 """
@@ -19,6 +20,7 @@ import pyarrow as pa
 from . import bytetext as bt
 
 MOST_KNOWN = 1_300_000  # pre-tokens a worker remembers before it starts anew
+PIECE = 1 << 20  # bytes encoded at once
 TABLE_BITS = 21
 TABLE = 1 << TABLE_BITS
 
@@ -37,6 +39,26 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Ends of pieces of ``PIECE`` bytes or somewhat more: where a document ends, or one space stands between ASCII letters or digits.
+
+    Such a space begins a pre-token.  Texts without one stay in one piece.
+    """
+    out, at, word = [], PIECE, (_CLASS[:128] == _LETTER) | (_CLASS[:128] == _DIGIT)
+    word = np.concatenate([word, np.zeros(128, bool)])
+    while at < len(data):
+        end = int(offsets[np.searchsorted(offsets, at)])
+        while at < end:
+            seg = data[at - 1 : min(at + PIECE, end) + 1]
+            hit = np.flatnonzero((seg[1:-1] == 0x20) & word[seg[:-2]] & word[seg[2:]])
+            if len(hit):
+                end = at + int(hit[0])
+            at = min(at + PIECE, end)
+        out.append(end)
+        at = end + PIECE
+    return [*out, len(data)] if not out or out[-1] < len(data) else out
+
+
 def _plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Documents whose only characters beyond ASCII are letters U+00C0 to U+017F."""
     nxt = np.append(data[1:], np.uint8(0))
@@ -163,6 +185,19 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets of each) for texts as bytes and offsets."""
+        sizes, out, a = np.zeros(len(offsets) - 1, np.int64), [], 0
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        for b in _cuts(data, offsets):
+            # documents that reach into the piece
+            d0, d1 = max(0, int(np.searchsorted(offsets, a, "right")) - 1), int(np.searchsorted(offsets, b))
+            ids, at = self._piece(data[a:b], np.clip(offsets[d0 : d1 + 1], a, b) - a)
+            sizes[d0:d1] += np.diff(at)
+            out.append(ids)
+            a = b
+        return out[0] if len(out) == 1 else np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         plain = _plain(data, offsets)
         lengths = np.diff(offsets)
         out_n = np.zeros(len(lengths), np.int64)

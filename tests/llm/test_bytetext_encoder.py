@@ -46,3 +46,23 @@ def test_a_worker_that_forgets_still_encodes(monkeypatch):
     for text in ("one two three four", "five six seven eight nine ten", "one nine"):
         data, offsets = bt.buffers(pa.array([text]))
         assert e.encode(data, offsets)[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_long_texts_give_the_ids_of_the_whole(monkeypatch):
+    import innkeep.llm.encoder as module
+
+    rng = random.Random(8)
+    parts = ["a", "word", "don't", " ", " ", "  ", "\n", " '", "9", "é", "日本", "\xa0", "!", "<|endoftext|>", "x y", "1 2"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 200))) for _ in range(300)] + ["", None, "no" * 200, "", " " * 100, "a b " * 50]
+    path = public_path()
+    expected = [e.ids for e in encoder(path).tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for piece in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(module, "PIECE", piece)
+        assert encode_texts(path, texts) == expected
+        data, offsets = bt.buffers(pa.array(texts, pa.string()))
+        cuts = module._cuts(data, offsets)
+        assert cuts == sorted(set(cuts)) and cuts[-1] == len(data)
+    monkeypatch.setattr(module, "PIECE", 64)
+    data, offsets = bt.buffers(pa.array(["a b " * 50]))
+    assert max(np.diff([0, *module._cuts(data, offsets)])) <= 66
+    assert encode_texts(path, ["", None]) == [[], []] and encode_texts(path, []) == []
