@@ -76,3 +76,24 @@ def test_a_layout_has_one_kind():
         Layout("k", width=3, buckets=4)
     with pytest.raises(ValueError):
         Layout("k")
+
+
+def test_folders_and_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Ranges grow with the table's ids, and a merge writes one file a folder, not one a folder and task."""
+    monkeypatch.setattr(keyed, "FOLDERS", 8)
+    layout, path = Layout("EventID", width=10), str(tmp_path / "events")
+    table = spark.range(0, 1000, 1, 7).selectExpr("id AS EventID", "date_add(DATE'2024-01-01', int(id % 5)) AS EventDate", "concat('h', id) AS Host")
+    feed = table.where("EventID % 3 = 0").selectExpr("EventID + 500 AS EventID", "EventDate", "'new' AS Host", "EventID AS change_seq").repartition(6)
+    keyed.store(table, path, layout)
+    assert len(snapshot(path)) <= 8 and os.listdir(path) == ["width=10x16"]
+    touched = keyed.merge(spark, path, layout, feed, table.schema)
+    assert sorted(map(int, touched)) == list(range(3, 10)) and len(snapshot(path)) <= 10
+    assert rows_of(keyed.load(spark, path, layout, table.schema)) == rows_of(upsert(table, feed, "EventID"))
+    with pytest.raises(Exception, match="(?i)already exists"):
+        keyed.store(table, path, layout)
+    keyed.store(table.where("EventID < 20"), path, layout, "overwrite")
+    assert os.listdir(path) == ["width=10"] and keyed.load(spark, path, layout, table.schema).count() == 20
+    wide = Layout("EventID", width=1)
+    monkeypatch.setattr(keyed, "FOLDER_IDS", 4)  # ids far apart don't end up in one folder
+    keyed.store(table, str(tmp_path / "wide"), wide)
+    assert os.listdir(tmp_path / "wide") == ["width=1x4"]
