@@ -261,10 +261,22 @@ def _replace(table: DataFrame, key: str, updates: DataFrame, columns: list[str])
     return joined.select(*out)
 
 
+def _left_spread(rows: DataFrame, other: DataFrame, column: str, key: str) -> DataFrame:
+    """Left join by ``column`` = ``key`` of rows that often have no value there.
+
+    NULL meets nothing, but as a key it would bring all such rows to one task:
+    they are dealt by a number from the whole row, beside 0 for all others.
+    """
+    left = rows.withColumn("__deal", F.when(F.col(column).isNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0)))
+    # 0 as well, but no literal, which Spark would take out of the join's keys
+    right = other.withColumn("__to", F.pmod(F.xxhash64(key), F.lit(1)))
+    return left.join(right, (F.col(column) == F.col(key)) & (F.col("__deal") == F.col("__to")), "left").drop("__deal", "__to")
+
+
 def _null_where_in(table: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """ON DELETE SET NULL: ``column`` becomes NULL where it is one of ``ids``."""
     gone = ids.select(F.col(ids.columns[0]).alias("__gone"), F.lit(True).alias("__hit"))
-    joined = table.join(gone, F.col(column) == F.col("__gone"), "left")
+    joined = _left_spread(table, gone, column, "__gone")
     return joined.select(
         *[
             F.when(F.col("__hit"), F.lit(None)).otherwise(F.col(c)).cast(table.schema[c].dataType).alias(c)
@@ -668,7 +680,7 @@ def checkout_and_bill(T_: Tables, changes: DataFrame, as_of):
 
     bills = last.select("ReservationID", "CustomerID", "Charge", "__seq")
     billed = bills.select(F.col("ReservationID").alias("__bk"), F.col("Charge").alias("__charge"))
-    upd = inv.join(billed, F.col("ReservationID") == F.col("__bk"), "left")
+    upd = _left_spread(inv, billed, "ReservationID", "__bk")
     updated = upd.select(
         *[
             F.coalesce(F.col("__charge"), F.col(c)).cast(inv.schema[c].dataType).alias(c) if c == "AmountPayable"

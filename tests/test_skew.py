@@ -7,6 +7,8 @@ from collections import Counter
 from contextlib import contextmanager
 from decimal import Decimal as D
 
+from pyspark.sql import functions as F
+
 from innkeep.operators import changes as C, views
 
 from .helpers import make_tables
@@ -104,3 +106,15 @@ def test_hot_key_first_and_last_change_win(spark):
         last[rid] = out
     assert rej.count() == 0
     assert outs == {s[0]: last.get(s[0]) for s in stays}
+
+
+def test_rows_without_a_value_are_spread_by_a_set_null(spark):
+    """A NULL key meets nothing: its rows are not brought to one task by the join."""
+    rows = spark.range(0, 2000).selectExpr("id", "IF(id % 4 = 0, id, NULL) AS ref", "IF(id = 7, NULL, 'x') AS other")
+    gone = spark.range(0, 1000).select("id")
+    with conf(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        out = C._null_where_in(rows, "ref", gone)
+        at = dict(out.where("id % 4 > 0").groupBy(F.spark_partition_id()).count().collect())
+        got = {(r["id"], r["ref"]) for r in out.collect()}
+    assert out.columns == rows.columns and len(at) > 1 and max(at.values()) < 750
+    assert got == {(k, k if k % 4 == 0 and k >= 1000 else None) for k in range(2000)}
