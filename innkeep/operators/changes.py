@@ -798,28 +798,28 @@ def submit_requests(T_: Tables, changes: DataFrame, as_of):
         df = _first_in_batch(df, ["RequestToken"], DUPLICATE)
     valid, rejects = _outcome(df)
 
-    # guest by phone: existing customers (lowest id) for the phones of the batch
-    phones = valid.select("PhoneNumber").distinct()
+    # guest by phone: existing customers (lowest id) for the phones of the batch, else one made from the first request
+    phones = valid.groupBy("PhoneNumber").agg(F.min("__seq").alias(SEQ))
     known = (
         cust.join(phones, "PhoneNumber", "left_semi")
         .groupBy("PhoneNumber")
         .agg(F.min("CustomerID").alias("__known"))
     )
-    withc = valid.join(known, "PhoneNumber", "left")
-    firsts = (
-        withc.where(F.col("__known").isNull())
-        .groupBy("PhoneNumber")
-        .agg(F.min_by(F.struct("__seq", "CustomerFName", "CustomerLName"), F.col("__seq")).alias("__n"))
-        .select("PhoneNumber", "__n.*")
+    made_id = new_id(cust, "CustomerID", F.lit(None).cast(cust.schema["CustomerID"].dataType), "CU")
+    # staged, as are the rows: a task then sorts for one or two joins at a time, and no branch makes them again
+    guests = stage(
+        phones.join(known, "PhoneNumber", "left").select(
+            "PhoneNumber",
+            F.coalesce("__known", made_id).alias("CustomerID"),
+            F.when(F.col("__known").isNull(), F.col(SEQ)).alias("__maker"),
+        )
+    )
+    rows = stage(
+        valid.drop(IN).join(guests, "PhoneNumber", "left")
+        .withColumn("RoomNo", F.lit(None).cast(req.schema["RoomNo"].dataType))
+        .withColumn("StaffID", F.lit(None).cast(req.schema["StaffID"].dataType))
     )
-    made = firsts.select(
-        "PhoneNumber", "CustomerFName", "CustomerLName", F.col("__seq").alias(SEQ)
-    ).withColumn("CustomerID", new_id(cust, "CustomerID", F.lit(None).cast(cust.schema["CustomerID"].dataType), "CU"))
-    new_customers = _typed(made, cust)
-    guest = withc.join(made.select("PhoneNumber", F.col("CustomerID").alias("__made")), "PhoneNumber", "left")
-    rows = guest.withColumn("CustomerID", F.coalesce("__known", "__made")).withColumn(
-        "RoomNo", F.lit(None)
-    ).withColumn("StaffID", F.lit(None))
+    new_customers = _typed(rows.where(F.col("__seq") == F.col("__maker")), cust)
     return {
         "customer": cust.unionByName(new_customers),
         "reservation_request": req.unionByName(_typed(rows, req)),

@@ -118,3 +118,21 @@ def test_rows_without_a_value_are_spread_by_a_set_null(spark):
         got = {(r["id"], r["ref"]) for r in out.collect()}
     assert out.columns == rows.columns and len(at) > 1 and max(at.values()) < 750
     assert got == {(k, k if k % 4 == 0 and k >= 1000 else None) for k in range(2000)}
+
+
+def test_new_requests_are_read_without_joining_again(spark):
+    """Guests and rows of a batch are staged: what reads the result neither joins nor sorts the batch again."""
+    customers = spark.createDataFrame([(1, "Ann", "Lee", "0100"), (2, "Bea", "Lee", "0100"), (3, "Cy", "Fox", "0300")], "CustomerID long, CustomerFName string, CustomerLName string, PhoneNumber string")
+    requests = spark.createDataFrame([], "RequestToken string, CustomerID long, RoomType string, CheckIn timestamp_ntz, CheckOut timestamp_ntz, Status string, RoomNo long, StaffID long, RequestDate date")
+    sent = [(k, f"N{k}", "Guest", phone) for k, phone in ((1, "0100"), (2, "0900"), (3, "0900"), (4, "0300"), (5, "0800"))]
+    feed = spark.createDataFrame(sent, "change_seq long, fname string, lname string, phone string").selectExpr(
+        "*", "'Suite' AS room_type", "TIMESTAMP_NTZ'2024-02-01 14:00:00' AS check_in", "TIMESTAMP_NTZ'2024-02-03 14:00:00' AS check_out"
+    )
+    new, rejects = C.submit_requests({"customer": customers, "reservation_request": requests}, feed, "2024-01-15")
+    asked = {(r["RequestToken"], r["CustomerID"]) for r in new["reservation_request"].collect()}
+    assert asked == {("AK-1", 1), ("AK-2", 5), ("AK-3", 5), ("AK-4", 3), ("AK-5", 8)} and rejects.count() == 0
+    made = {tuple(r) for r in new["customer"].where("CustomerID > 3").collect()}
+    assert made == {(5, "N2", "Guest", "0900"), (8, "N5", "Guest", "0800")}
+    for table in new.values():
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
