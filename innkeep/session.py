@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # keys and counts take many times their shuffled size in a task's hash table
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
     # staged change batches are checkpointed; drop the files once unreferenced
@@ -37,6 +39,13 @@ def get_spark(master: str | None = None, app_name: str = "innkeep", conf: dict |
     return spark
 
 
+def bound_tasks(spark: SparkSession) -> None:
+    """Bound what a task reads of a shuffle, unless the session names a size itself."""
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, DEFAULTS[size])
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder for lineage cuts, from ``spark.checkpoint.dir``.
 

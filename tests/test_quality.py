@@ -117,3 +117,20 @@ def test_refresh_reads_children_only_where_parents_went(spark, tmp_path):
     got = quality.refresh_foreign_keys(quality._union([], spark), after, {"reservation": quality.Delta(put)})
     assert {r.column_name for r in got.collect()} == {"RoomID", "CustomerID", "StaffID"}
     assert got.inputFiles() == []
+
+
+def test_a_task_of_the_unique_check_reads_a_bounded_part(spark):
+    """The registered queries bound what a task reads of a shuffle, unless the session names a size."""
+    import __spark_entry__ as entry
+
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size, None)
+    try:
+        spark.conf.unset(size)
+        entry._settings(spark)
+        assert spark.conf.get(size) == "16m"
+        spark.conf.set(size, "1m")
+        entry._settings(spark)
+        assert spark.conf.get(size) == "1m"
+    finally:
+        spark.conf.set(size, before) if before else spark.conf.unset(size)
