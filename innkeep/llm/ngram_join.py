@@ -16,15 +16,19 @@ Plan, in Spark jobs:
    only one set holds are dropped, and repeated sets meet in the first row that
    holds them, whose number names the set from here on;
 3. every set is verified against leaders: the member without tokens of its
-   own that it meets in most lists, then one member drawn for each of its
-   lists.  Linked sets form components, so a group of n near copies costs a
-   multiple of n verifications here, not n * n;
-4. pairs *between* components are generated from the postings with the size,
-   position and multi-match filters and verified on their whole sets.  Pairs
-   within a component can't change the answer.  In both steps sets carry 256
-   parity bits: they differ in at least as many shingles as these differ in
-   bits, which rules out most pairs before sets are moved;
-5. connected components of all links.
+   own that it meets in most lists, then the members drawn for its lists, one
+   a size class.  Linked sets form components, so a group of n near copies costs
+   a multiple of n verifications here, not n * n.  A drawn member has met all
+   others of its list that its size lets it link to, so it leaves that list: a
+   list of two is settled in one round;
+4. pairs *between* components are generated from what is left of the postings
+   with the size, position and multi-match filters and verified on their whole
+   sets.  Pairs within a component can't change the answer.  In both steps sets
+   carry 256 parity bits: they differ in at least as many shingles as these
+   differ in bits.  What these leave is compared by a longer sketch of that
+   kind, two to four bits a shingle, which rules out nearly all other pairs
+   before whole sets are moved;
+5. connected components: each round joins the components its links connect.
 
 Edge cases: null or empty text gives an empty set, linked with nothing; a
 row without an id returns a null component; rows that share an id are
@@ -98,7 +102,9 @@ def set_keys(s: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 DRAWS = 6  # rounds of drawn leaders at most; pairs left over are found one by one
-DRAW_PAYS = 20  # another round, if one set in so many was linked
+DRAW_PAYS = 20  # another round, if one set in so many was linked ...
+LEFT_PAYS = 16  # ... or one in so many of the first postings still shares a list
+SKETCH_BITS = 1 << 16  # longest sketch (8 KiB); shorter sets have two to four bits a shingle
 
 SIGNS = ["s0", "s1", "s2", "s3"]
 
@@ -114,6 +120,40 @@ def signatures(s: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def sketches(s: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Parity bits of each set, a power of two of them; the XOR of a sketch's halves is the sketch of half the length."""
+    n = np.diff(at)
+    bits = np.minimum(1 << np.ceil(np.log2(np.maximum(2 * n, 256))).astype(np.int64), SKETCH_BITS)
+    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(bits)])
+    doc = np.repeat(np.arange(len(n)), n)
+    place = bt.mix(s ^ np.uint64(0xA0761D6478BD642F)).view(np.int64) & (bits[doc] - 1)
+    odd = np.bincount(first[doc] + place, minlength=first[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[i:j] for i, j in zip(first[:-1] >> 3, first[1:] >> 3)]
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Places where two sketches differ, at the length of the shorter one."""
+    x, y = (np.frombuffer(z, np.uint64) for z in (x, y))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            room = total - 2 * -(-num * total // (num + den))
+            apart = [_apart(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(4), batch.column(5))]
+            mask = pa.array(np.array(apart, np.int64) <= room)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def _may_link(num: int, den: int, x: str, y: str) -> str:
     """SQL: the signatures of two sets leave room for the overlap (columns n and s0 to s3, with these endings)."""
     apart = " + ".join(f"bit_count({c}{x} ^ {c}{y})" for c in SIGNS)
@@ -130,14 +170,14 @@ def _summaries(words: int):
                 counts += np.bincount((s >> shift).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 n = j - i
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(np.diff(at), pa.int32()), pa.array(set_keys(s, at), pa.binary()), *map(pa.array, signatures(s, at)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    names=["row", "id", "n", "sid", *SIGNS, "chunk", "counts"],
+                    [batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(np.diff(at), pa.int32()), pa.array(set_keys(s, at), pa.binary()), *map(pa.array, signatures(s, at)), pa.array(sketches(s, at), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    names=["row", "id", "n", "sid", *SIGNS, "sketch", "chunk", "counts"],
                 )
         chunks = [k for k in range(0, len(counts), CHUNK) if counts[k : k + CHUNK].any()]
         m = len(chunks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 4, pa.array([k // CHUNK for k in chunks], pa.int32()), pa.array([counts[k : k + CHUNK].tobytes() for k in chunks], pa.binary())],
-            names=["row", "id", "n", "sid", *SIGNS, "chunk", "counts"],
+            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.binary()), pa.array([k // CHUNK for k in chunks], pa.int32()), pa.array([counts[k : k + CHUNK].tobytes() for k in chunks], pa.binary())],
+            names=["row", "id", "n", "sid", *SIGNS, "sketch", "chunk", "counts"],
         )
 
     return run
@@ -263,12 +303,13 @@ def jaccard_components(
 
     # 1. set keys and frequencies
     summary = written(
-        base.mapInArrow(_summaries(words), f"row long, id long, n int, sid binary, {', '.join(f'{c} long' for c in SIGNS)}, chunk int, counts binary"), f"{root}/summary"
+        base.mapInArrow(_summaries(words), f"row long, id long, n int, sid binary, {', '.join(f'{c} long' for c in SIGNS)}, sketch binary, chunk int, counts binary"), f"{root}/summary"
     )
     ranks = sc.broadcast(frequency_table(summary))
     rows = summary.where("chunk is null").select("row", "id", "n", "sid")
     held = summary.where("chunk is null and n > 0 and id is not null")
-    reps = held.groupBy("sid").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGNS])
+    reps = written(held.groupBy("sid").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGNS]), f"{root}/sets")
+    sketch = summary.where("chunk is null and n > 0 and id is not null").select("row", "sketch")
 
     # 2. postings of the prefixes; tokens of one set only can't link
     posts = written(
@@ -301,13 +342,20 @@ def jaccard_components(
         need = F.when(estimate[k - 1] <= best, F.lit(k)).otherwise(need)
     # sets of a few shingles don't have so many to share
     choice = written(costs.select("node", "first", F.when(F.col("n") < 4 * MAX_MATCH, 1).otherwise(need).alias("need")), f"{root}/choice")
-    posts = written(posts.join(choice, "node"), f"{root}/chosen")
+    posts = written(posts.join(checked(choice), "node"), f"{root}/chosen")
     remove(spark, f"{root}/shared")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = (reps.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "id", "sid", "n", *SIGNS)]).withColumnRenamed(f"node_{k}", k) for k in "ab")
-        pairs = pairs.join(a, "a").join(b, "b").where(_may_link(num, den, "_a", "_b")).select("a", "id_a", "sid_a", "b", "id_b", "sid_b")
-        pairs = written(pairs, f"{root}/{name}-pairs")
+        a, b = (reps.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", *SIGNS)]).withColumnRenamed(f"node_{k}", k) for k in "ab")
+        # a short list of pairs (counted) goes to the sets, a longer one meets them by a shuffle
+        met = written(pairs, f"{root}/{name}-met")
+        near = written(a.join(checked(met), "a").join(b, "b").where(_may_link(num, den, "_a", "_b")).select("a", "b", "n_a", "n_b"), f"{root}/{name}-near")
+        of_b = sketch.toDF("b", "kb").join(checked(near.select("b").distinct()), "b", "left_semi")
+        near = sketch.toDF("a", "ka").join(checked(near), "a").join(of_b, "b").select("a", "b", "n_a", "n_b", "ka", "kb")
+        near = written(near.mapInArrow(_near(num, den), "a long, b long"), f"{root}/{name}-nearer")
+        a, b = (reps.select(*[F.col(c).alias(f"{c}_{k}") for c in ("node", "id", "sid")]).withColumnRenamed(f"node_{k}", k) for k in "ab")
+        pairs = written(a.join(checked(near), "a"), f"{root}/{name}-a")
+        pairs = written(b.join(checked(pairs), "b"), f"{root}/{name}-pairs")
         filters = sc.broadcast([id_filter(pairs.select(c)) for c in ("id_a", "id_b")])
         sets = written(
             base.where("id is not null").select("id", id_hash("id").alias("h"), "text").mapInArrow(_whole_sets(words, filters), "id long, sid binary, toks binary, as_a boolean, as_b boolean"),
@@ -315,7 +363,6 @@ def jaccard_components(
         )
         ta = sets.where("as_a").select(F.col("id").alias("id_a"), F.col("sid").alias("sid_a"), F.col("toks").alias("ta"))
         tb = sets.where("as_b").select(F.col("id").alias("id_b"), F.col("sid").alias("sid_b"), F.col("toks").alias("tb"))
-        # a short list of pairs (counted) goes to the sets, a longer one meets them by a shuffle
         whole = ta.join(checked(pairs), ["id_a", "sid_a"]).select("a", "ta", "b", "id_b", "sid_b")
         whole = whole.join(tb, ["id_b", "sid_b"]).select("a", "b", "ta", "tb")
         out = written(whole.mapInArrow(_verify(num, den), "a long, b long"), f"{root}/{name}-links")
@@ -324,7 +371,8 @@ def jaccard_components(
 
     # 3. leaders, in a few rounds; what links to one is joined for a cost linear in the postings.
     # First every set and the set with the fewest tokens of its own in its lists (by size class) ...
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).alias("band")
+    # (a hair wider than the sizes of linked sets may be apart, so that rounding can't put these two bands apart)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) * (1 - 1e-9)).alias("band")
     banded = posts.select("token", "node", "n", "pos", "first", band)
     leaders = banded.groupBy("token", "band").agg(F.min(F.struct("first", "node", "n")).alias("lead"))
     met = (
@@ -334,34 +382,53 @@ def jaccard_components(
         .where(f"n - p >= ceil({num} * (n + nb) / {num + den})")  # no room for the overlap: left to step 4
     )
     first_pairs = met.groupBy("node").agg(F.max(F.struct("c", "b")).alias("m")).select(F.col("node").alias("a"), F.col("m.b").alias("b"))
-    first_links = links(first_pairs, "leader")
-    groups = cut(components(first_links).toDF("node", "comp"))
-
-    # ... then every set and, in each list that holds several components, one drawn for the list, now and again
-    def still_open(groups: DataFrame) -> DataFrame:
-        now = posts.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-        return now.join(mixed, "token")
 
+    def merged(groups: DataFrame, found: DataFrame) -> DataFrame:
+        """``groups`` (linked sets and their components) with the components joined that ``found`` connects."""
+        if found.isEmpty():
+            return groups
+        ends = found.join(groups.toDF("a", "comp_a"), "a", "left").join(groups.toDF("b", "comp_b"), "b", "left")
+        moved = components(ends.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))).toDF("comp", "to")
+        old = groups.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        return cut(old.unionAll(moved.toDF("node", "comp").join(groups, "node", "left_anti")))
+
+    groups = merged(spark.createDataFrame([], "node long, comp long"), links(first_pairs, "leader"))
+
+    # ... then every set and, in each list that holds several components, those drawn for the list, one a band, now and
+    # again.  A drawn set has met all of the list that it may link to (sizes of linked sets are at most a band apart)
+    # and leaves it
+    def placed(posts: DataFrame, groups: DataFrame) -> DataFrame:
+        return posts.join(checked(groups), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    overlap = f"ceil({num} * (n + l.n) / {num + den})"
+    may_meet = (
+        f"comp != l.comp and abs(band - l.band) <= 1 and {den} * least(n, l.n) >= {num} * greatest(n, l.n)"
+        f" and least(pos, l.pos) + least(n - pos, l.n - l.pos) >= {overlap}"
+    )
+    of_post, at_first = posts.columns, posts.count()
     for draw in range(DRAWS):
-        now = written(still_open(groups), f"{root}/between{draw}")
+        now = placed(posts, groups).withColumn("band", band)
         place = F.xxhash64("node", "token", F.lit(draw)).alias("h")
-        drawn = now.groupBy("token", band).agg(F.min(F.struct(place, "node", "n", "comp")).alias("lead"))
-        drawn_pairs = (
-            now.withColumn("band", band).join(drawn, ["token", "band"])
-            .where(f"comp != lead.comp and {den} * least(n, lead.n) >= {num} * greatest(n, lead.n)")
-            .select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
+        drawn = now.groupBy("token", "band").agg(F.min(F.struct(place, "node", "n", "pos", "comp", "band")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
+        drawn = drawn.groupBy("token").agg(F.collect_list("l").alias("leads"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("c")).where("lo != hi")
+        now = now.join(drawn.select("token", "leads", "c"), "token").select(
+            *of_post, (F.col("c") - F.size("leads")).alias("left"), F.expr("exists(leads, l -> l.node = node)").alias("led"), F.expr(f"transform(filter(leads, l -> {may_meet}), l -> l.node)").alias("met")
         )
+        now = written(now, f"{root}/drawn{draw}")
+        drawn_pairs = now.select("node", F.explode("met").alias("b")).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
         found = links(drawn_pairs, f"drawn{draw}")
-        first_links = first_links.unionAll(found)
-        groups = cut(components(first_links).toDF("node", "comp"))
-        # again where it pays: large groups of near copies hang together after a few draws
-        if DRAW_PAYS * found.count() < now.select("node").distinct().count():
+        groups = merged(groups, found)
+        posts = now.where("not led").select(*of_post)
+        # again where it pays: large groups of near copies hang together after a few draws, and shorter lists come to an end
+        size = now.agg(F.countDistinct("node").alias("sets"), F.count_if(F.expr("not led and left > 1")).alias("left")).first()
+        if DRAW_PAYS * found.count() < size.sets and LEFT_PAYS * size.left < at_first or not size.left:
             break
 
     # 4. pairs between components, from lists that still hold more than one
     signs = reps.select("node", *SIGNS)
-    open_posts = written(still_open(groups).join(signs, "node"), f"{root}/open")
+    now = placed(posts, groups)
+    mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
+    open_posts = written(now.join(mixed, "token").join(signs, "node"), f"{root}/open")
     x = open_posts.where("probe <= need").select("token", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "need", "comp", *SIGNS)])
     y = open_posts.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "index", "comp", *SIGNS)])
     overlap = f"ceil({num} * (n_x + n_y) / {num + den})"
@@ -379,7 +446,7 @@ def jaccard_components(
     other_links = links(pairs, "other")
 
     # 5. all links; a component's name is its smallest id
-    groups = components(first_links.unionAll(other_links)).toDF("node", "comp")
+    groups = merged(groups, other_links)
     smallest = reps.select("sid", "node", "id").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = smallest.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = smallest.join(lowest, "comp").select("sid", "component_id")

@@ -2,6 +2,7 @@ import collections
 
 import pytest
 
+from innkeep.llm import ngram_join
 from innkeep.llm.graph import components
 from innkeep.llm.ngram_join import jaccard_components, keep_one
 
@@ -71,6 +72,26 @@ def test_a_family_of_near_copies_with_chains_and_unlinked_variants(spark):
         assert got == brute(rows, words, num, 100)
 
 
+def test_unlinked_pairs_are_settled_before_whole_sets_are_moved(spark, monkeypatch):
+    rows = []
+    for k in range(30):  # two texts that share two thirds of their words and no others'
+        own = [[f"p{k}_{i}" if (i // 20) % 6 else f"q{k}_{i}_{j}" for i in range(600)] for j in range(2)]
+        rows += [(2 * k + j, " ".join(w)) for j, w in enumerate(own)]
+    made = {}
+
+    def counted(df, path, written=ngram_join.written):
+        out = written(df, path)
+        made[path.rsplit("/", 1)[1]] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard_components(df).collect()), key=str)
+    assert got == brute(rows, 5, 80, 100)
+    assert sum(c for name, c in made.items() if name.endswith("-pairs")) == 0
+    assert made["open"] == 0
+
+
 def test_keep_one_keeps_the_smallest_id_and_all_columns(spark, odd_docs):
     kept = keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
