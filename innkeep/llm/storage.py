@@ -50,6 +50,20 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """:func:`written`, whose shuffle files go as soon as it has ended (else they stay until the driver collects garbage)."""
+    conf = df.sparkSession.conf
+    before = conf.get(FILE_CLEANUP, None)
+    conf.set(FILE_CLEANUP, "true")
+    try:
+        return written(df, path)
+    finally:
+        conf.set(FILE_CLEANUP, before) if before is not None else conf.unset(FILE_CLEANUP)
+
+
 BROADCAST_ROWS = 500_000  # lists up to here are broadcast (about 32 MB); longer ones are joined by a shuffle
 
 

@@ -1,4 +1,5 @@
 import collections
+import os
 
 from pyspark.sql import functions as F
 
@@ -84,3 +85,49 @@ def test_removed_lines_still_match_later_ones(spark):
     rows = [(k, " ".join(words[k : k + 20])) for k in range(0, 40)]
     df = spark.createDataFrame(rows * 12 + [(100 + k, t) for k, t in rows], "doc_id long, text string")
     assert check(df) == 40 * 13 - 1
+
+
+def test_long_lines_that_share_a_rare_word_are_no_candidates(spark, monkeypatch):
+    """Lines of 150 words, too long for 64 parity bits, meet at a word that two of them share."""
+    sizes = {}
+
+    def noted(df, path):
+        out = written(df, path)
+        if path.endswith("-pairs"):
+            sizes[path.rsplit("/", 1)[1]] = out.count()
+        return out
+
+    written = line_join.written
+    monkeypatch.setattr(line_join, "written", noted)
+    rows = [(i, " ".join([f"r{i // 2}"] + [f"w{i}x{j}" for j in range(29)] + [f"c{(7 * i + j * (1 + i % 11)) % 400}" for j in range(120)])) for i in range(400)]
+    out = line_counts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert out.agg(F.sum("n_lines"), F.sum("n_removed")).first() == (400, 0)
+    assert sum(sizes.values()) <= 40
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark, docs, monkeypatch):
+    """What stays on disk beside the steps' own tables is counts of rows, some bytes a task."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f: os.path.getsize(f) for f in files if "/shuffle_" in f and f.endswith(".data") and os.path.exists(f)}
+
+    def noted(df, path):
+        out = written(df, path)
+        left.append(sum(size for f, size in shuffled().items() if f not in before))
+        return out
+
+    left, before, written = [], shuffled(), line_join.written
+    monkeypatch.setattr(line_join, "written", noted)
+    line_counts(docs)
+    assert len(left) > 10 and max(left) < 20_000
+
+
+def test_case_is_folded_for_ascii_letters_only(spark):
+    """Names of texts are equal exactly where the texts are, up to the case of ASCII letters."""
+    texts = ["É A b", "é a B", "é a b", "ã a b", "㩀 a b", "É㩀", "é㩀", "×÷ß", "÷×ß", "ПРИВЕТ x", "привет X", "привет x", "İ", "i̇", "𐐀 Q", "𐐨 q", "𐐀 q", "A", "a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", line_join._low(F.col("t")).alias("name")).collect()
+    fold = lambda t: t.encode().lower()
+    for x in rows:
+        for y in rows:
+            assert (x.name == y.name) == (fold(x.t) == fold(y.t)), (x.t, y.t)
